@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, sharding
+from . import bpe, decontaminate, line_dedup, sharding, warc
 from .storage import table
 
 SHARDS = 16
@@ -16,6 +16,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path() -> str:
+    """The byte-level BPE file of the tokenizer package installed beside Spark."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.scan_documents(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("hit_spans")
@@ -28,6 +44,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_warc": op2_warc,
+        "op3_bpe": op3_bpe,
         "op8_decontamination": op8_decontamination,
         "op10_sharding": op10_sharding,
     }
@@ -51,6 +69,15 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM marked GROUP BY doc_id
 """
 
+_OP2_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT page_id, n, d, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
 _OP8_SQL = r"""
 WITH dw AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -97,4 +124,4 @@ FROM sized s JOIN placed p ON s.doc_id = p.doc_id
 
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": _OP1_SQL, "op8_decontamination": _OP8_SQL, "op10_sharding": _OP10_SQL}
+    return {"op1_line_dedup": _OP1_SQL, "op2_warc": _OP2_SQL, "op8_decontamination": _OP8_SQL, "op10_sharding": _OP10_SQL}
