@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, sharding, warc
+from . import bpe, decontaminate, jaccard, line_dedup, sharding, warc
 from .storage import table
 
 SHARDS = 16
@@ -32,6 +32,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.scan_documents(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("hit_spans")
@@ -46,6 +50,7 @@ def queries() -> dict:
         "op1_line_dedup": op1_line_dedup,
         "op2_warc": op2_warc,
         "op3_bpe": op3_bpe,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_decontamination": op8_decontamination,
         "op10_sharding": op10_sharding,
     }
