@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, line_dedup, sharding, warc
+from . import bpe, decontaminate, hnsw, html_text, jaccard, line_dedup, quality, sharding, warc
 from .storage import table
 
 SHARDS = 16
@@ -32,6 +32,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_documents(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -50,6 +64,9 @@ def queries() -> dict:
         "op1_line_dedup": op1_line_dedup,
         "op2_warc": op2_warc,
         "op3_bpe": op3_bpe,
+        "op4_quality": op4_quality,
+        "op5_html_text": op5_html_text,
+        "op6_hnsw": op6_hnsw,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_decontamination": op8_decontamination,
         "op10_sharding": op10_sharding,
