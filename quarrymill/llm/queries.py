@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, html_text, jaccard, line_dedup, quality, sharding, warc
+from . import bpe, decontaminate, gru_lm, hnsw, html_text, jaccard, line_dedup, quality, sharding, warc
 from .storage import table
 
 SHARDS = 16
@@ -55,6 +55,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_documents(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("hit_spans")
 
 
+def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS).withColumn("law", F.lit("key"))
 
@@ -69,6 +73,7 @@ def queries() -> dict:
         "op6_hnsw": op6_hnsw,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_decontamination": op8_decontamination,
+        "op9_gru_lm": op9_gru_lm,
         "op10_sharding": op10_sharding,
     }
 
