@@ -8,7 +8,7 @@
 3. Every partition trains a copy of the model on all of its training documents
    by truncated backpropagation: documents run side by side in lanes, the state
    is carried from window to window and reset where a document starts. The
-   copies, which start alike, are averaged by their token counts.
+   which start alike, are averaged by their token counts.
 4. Every document is scored as a whole, the state carried across windows.
    Counts of the ``COUNTED`` most frequent words are at hand as a bounded
    broadcast; rarer words are sent to a join with the table of all counts.
@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 from .shingles import ascii_words
 from .storage import materialise
 
-HEAD = 2048
+HEAD = 1024
 CLASS = 32
 COUNTED = 1 << 18
 HIDDEN = 24
 LANES = 256
 STEPS = 24
+#: Backpropagation runs through one window in so many; the state is carried through all of them.
+EVERY = 3
 RATE = 0.1
 FLUSH = 1 << 18
 #: Hash of the end token: it holds a line break, which no word does.
@@ -51,17 +53,21 @@ END = xxhash.xxh3_64_intdigest(b"\nend")
 _PIECES = 16
 
 
-def _hash(words: list[bytes], known: dict) -> np.ndarray:
-    """64-bit hashes as signed integers, the end token behind the last word."""
-    if len(known) > FLUSH:
-        known.clear()
-    out = np.empty(len(words) + 1, np.uint64)
-    for i, w in enumerate(words):
-        if (h := known.get(w)) is None:
-            known[w] = h = xxhash.xxh3_64_intdigest(w)
-        out[i] = h
-    out[-1] = END
-    return out.view(np.int64)
+class Hashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Hashes as signed integers, the end token's behind the last word's."""
+        out = np.empty(len(words) + 1, np.uint64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        out[-1] = END
+        return out.view(np.int64)
 
 
 def is_held_out(doc: str = "doc_id"):
@@ -147,8 +153,11 @@ class Model:
         for t in range(n[0]):
             h = np.where(first[t][:, None], np.float32(0), h)
             x, y = self.g[inputs[t]], h @ self.u
-            r = 1 / (1 + np.exp(-(x[:, :hid] + y[:, :hid])))
-            z = 1 / (1 + np.exp(-(x[:, hid : 2 * hid] + y[:, hid : 2 * hid])))
+            gates = x[:, : 2 * hid] + y[:, : 2 * hid]
+            np.exp(np.negative(gates, out=gates), out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            r, z = gates[:, :hid], gates[:, hid:]
             m = np.tanh(x[:, 2 * hid :] + r * y[:, 2 * hid :])
             keep.append((h, r, z, m, y[:, 2 * hid :]))
             h = m + z * (h - m)
@@ -198,11 +207,15 @@ class Trainer:
 
     def __init__(self, model: Model):
         self.m = model
+        self.turn = 0
         self.sums = {k: np.full(v.shape, 1e-2, np.float32) for k, v in model.weights().items()}
 
     def window(self, tokens, first, real, h, before):
         m, hid = self.m, self.m.hidden
         inputs, states, keep, last = m.forward(tokens, first, h, before)
+        self.turn += 1
+        if self.turn % EVERY != 1:
+            return last
         grads: dict = {}
         at = np.flatnonzero(real.ravel())
         _, d_real = m.output(states.reshape(-1, hid)[at], tokens.ravel()[at].copy(), grads)
@@ -296,13 +309,13 @@ def _train(shared):
     def run(batches):
         start = shared.value
         model = Model(start["counts"], start["rest"])
-        trainer, lookup, known, seen = Trainer(model), Lookup(start["hashes"]), {}, 0
+        trainer, lookup, known, seen = Trainer(model), Lookup(start["hashes"]), Hashes(), 0
 
         def docs():
             nonlocal seen
             for batch in batches:
                 for text in _texts(batch):
-                    at = lookup(_hash(ascii_words(text), known))
+                    at = lookup(known.of(ascii_words(text)))
                     seen += len(at)
                     yield 0, np.where(at < 0, model.head, at)
 
@@ -337,7 +350,7 @@ def _score(shared):
     def run(batches):
         s = shared.value
         model = Model(s["counts"], s["rest"], weights=s["weights"])
-        lookup, counted, known = Lookup(s["hashes"]), Lookup(s["counted"]), {}
+        lookup, counted, known = Lookup(s["hashes"]), Lookup(s["counted"]), Hashes()
         base_of, share_of = s["base"], s["share"]
         uid = TaskContext.get().partitionId() << 40
         names = [x.split()[0] for x in _SCORED.split(", ")]
@@ -348,7 +361,7 @@ def _score(shared):
 
             def docs(batch=batch, n_tokens=n_tokens, n_known=n_known, base=base, score=score, rare=rare):
                 for i, text in enumerate(_texts(batch)):
-                    h = _hash(ascii_words(text), known)
+                    h = known.of(ascii_words(text))
                     at, c = lookup(h), counted(h)
                     n_tokens[i], n_known[i] = len(h), (c >= 0).sum()
                     base[i] = base_of[c[c >= 0]].sum()
