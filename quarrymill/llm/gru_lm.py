@@ -53,21 +53,25 @@ END = xxhash.xxh3_64_intdigest(b"\nend")
 _PIECES = 16
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+class Places(dict):
+    """Place of a word in a list of hashes, or -1; words are remembered up to a bound."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.table = {h: i for i, h in enumerate(hashes.view(np.uint64).tolist())}
+        self.end = self.table.get(END, -1)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > FLUSH:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        self[word] = at = self.table.get(xxhash.xxh3_64_intdigest(word), -1)
+        return at
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        """Hashes as signed integers, the end token's behind the last word's."""
-        out = np.empty(len(words) + 1, np.uint64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        out[-1] = END
-        return out.view(np.int64)
+        """Places of the words and of the end token."""
+        out = np.empty(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        out[-1] = self.end
+        return out
 
 
 def is_held_out(doc: str = "doc_id"):
@@ -101,21 +105,6 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.uint64()).view(pa.int64()), pa.array([docs], pa.int64())], names=["h", "n"])
 
 
-class Lookup:
-    """Places of hashes in a sorted array."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash in the array given, or -1."""
-        if not len(self.sorted):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.order[at], -1)
-
-
 class Model:
     """GRU with an input row per token and a class-factored softmax. Token ``head`` stands for all rarer words."""
 
@@ -309,13 +298,13 @@ def _train(shared):
     def run(batches):
         start = shared.value
         model = Model(start["counts"], start["rest"])
-        trainer, lookup, known, seen = Trainer(model), Lookup(start["hashes"]), Hashes(), 0
+        trainer, places, seen = Trainer(model), Places(start["hashes"]), 0
 
         def docs():
             nonlocal seen
             for batch in batches:
                 for text in _texts(batch):
-                    at = lookup(known.of(ascii_words(text)))
+                    at = places.of(ascii_words(text))
                     seen += len(at)
                     yield 0, np.where(at < 0, model.head, at)
 
@@ -350,7 +339,7 @@ def _score(shared):
     def run(batches):
         s = shared.value
         model = Model(s["counts"], s["rest"], weights=s["weights"])
-        lookup, counted, known = Lookup(s["hashes"]), Lookup(s["counted"]), Hashes()
+        places, head = Places(s["counted"]), model.head  # the model's tokens come first
         base_of, share_of = s["base"], s["share"]
         uid = TaskContext.get().partitionId() << 40
         names = [x.split()[0] for x in _SCORED.split(", ")]
@@ -361,15 +350,16 @@ def _score(shared):
 
             def docs(batch=batch, n_tokens=n_tokens, n_known=n_known, base=base, score=score, rare=rare):
                 for i, text in enumerate(_texts(batch)):
-                    h = known.of(ascii_words(text))
-                    at, c = lookup(h), counted(h)
-                    n_tokens[i], n_known[i] = len(h), (c >= 0).sum()
-                    base[i] = base_of[c[c >= 0]].sum()
-                    score[i] = share_of[c[(c >= 0) & (at < 0)]].sum()
-                    words, n = np.unique(h[c < 0], return_counts=True)
-                    if len(words):
-                        rare.append((np.full(len(words), i), words, n))
-                    yield i, np.where(at < 0, model.head, at)
+                    words = ascii_words(text)
+                    at = places.of(words)
+                    found = at[at >= 0]
+                    n_tokens[i], n_known[i] = len(at), len(found)
+                    base[i], score[i] = base_of[found].sum(), share_of[found[found >= head]].sum()
+                    if len(found) < len(at):
+                        left = [xxhash.xxh3_64_intdigest(w) for w, k in zip(words, at.tolist(), strict=False) if k < 0] + [END] * (places.end < 0)
+                        left, n = np.unique(np.array(left, np.uint64).view(np.int64), return_counts=True)
+                        rare.append((np.full(len(left), i), left, n))
+                    yield i, np.where((at < 0) | (at >= head), head, at)
 
             def step(owner, tokens, first, real, h, before, score=score):
                 _, states, _, last = model.forward(tokens, first, h, before)
