@@ -348,9 +348,11 @@ def _score(shared):
             n_tokens, n_known, base, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
             rare: list = []
 
-            def docs(batch=batch, n_tokens=n_tokens, n_known=n_known, base=base, score=score, rare=rare):
-                for i, text in enumerate(_texts(batch)):
-                    words = ascii_words(text)
+            def docs(batch=batch, size=size, n_tokens=n_tokens, n_known=n_known, base=base, score=score, rare=rare):
+                texts = list(_texts(batch))
+                # The longest first, so that all lanes stay busy to the end.
+                for i in sorted(range(size), key=lambda k: -len(texts[k])):
+                    words = ascii_words(texts[i])
                     at = places.of(words)
                     found = at[at >= 0]
                     n_tokens[i], n_known[i] = len(at), len(found)
