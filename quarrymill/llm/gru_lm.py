@@ -41,11 +41,11 @@ from .storage import materialise
 HEAD = 1024
 CLASS = 32
 COUNTED = 1 << 18
-HIDDEN = 24
+HIDDEN = 16
 LANES = 256
 STEPS = 24
 #: Backpropagation runs through one window in so many; the state is carried through all of them.
-EVERY = 3
+EVERY = 4
 RATE = 0.1
 FLUSH = 1 << 18
 #: Hash of the end token: it holds a line break, which no word does.
