@@ -50,7 +50,7 @@ def _range(start=None, end=None, last=None) -> Column:
 
 def dashed_ranges(text: Column) -> Column:
     """'1.0-1.4, 2.1' as ranges with inclusive ends."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p.rlike(r"^\d"))
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d"))
 
     def one(p: Column) -> Column:
         cut = F.split(p, "-")
