@@ -23,6 +23,7 @@ names clash with a result column are left out.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from itertools import pairwise
 
@@ -45,8 +46,12 @@ _LOADED: dict[str, Tokenizer] = {}
 
 
 def load(path: str) -> Tokenizer:
-    """The tokenizer of a file, without truncation and padding; one for each Python worker."""
+    """The tokenizer of a file, without truncation and padding; one for each Python worker.
+
+    Tasks run side by side, so the library's own threads would only contend for cores.
+    """
     if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
