@@ -15,6 +15,9 @@ text is cut into segments that are encoded in parallel, as rows of their own:
 
 Strings of special tokens are cut out first: the tokenizer does so as well.
 
+Texts and segments that need no join are encoded by ``byte_bpe`` where the
+tokenizer file allows it, else by the tokenizer's own library; ids are equal.
+
 Defined results: null encodes as the empty text (no ids); repeated rows are
 encoded each on its own; an empty table gives no rows; kept columns whose
 names clash with a result column are left out.
@@ -35,14 +38,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .byte_bpe import ByteEncoder, encoder
+
 WHOLE_CHARS = 1 << 20
 SEGMENT_CHARS = 1 << 17
 #: A word of up to so many characters is encoded as a whole at a join.
 SHORT_WORD = 2048
-SAFE_CUT = re.compile(r"(?<=\S)(?=\s)")
+# Unicode's white space, which is what the splitting pattern means by it (str.isspace knows four controls more).
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SAFE_CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 _BATCH_CHARS = 1 << 20
 
-_LOADED: dict[str, Tokenizer] = {}
+_LOADED: dict[str, tuple[Tokenizer, ByteEncoder | None]] = {}
 
 
 def load(path: str) -> Tokenizer:
@@ -55,8 +62,25 @@ def load(path: str) -> Tokenizer:
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _LOADED[path] = tok
-    return _LOADED[path]
+        _LOADED[path] = tok, encoder(tok)
+    return _LOADED[path][0]
+
+
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text, as a whole."""
+    tok, quick = load(path), _LOADED[path][1]
+    out: list = [quick.encode(t) if quick is not None and quick.takes(t) else None for t in texts]
+    rest = [i for i, ids in enumerate(out) if ids is None]
+    for i, e in zip(rest, tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = np.asarray(e.ids, np.uint32)
+    return out
+
+
+def decode_texts(path: str, ids: list[np.ndarray]) -> list[str]:
+    tok, quick = load(path), _LOADED[path][1]
+    if quick is not None:
+        return list(map(quick.decode, ids))
+    return tok.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
 
 
 def _specials(tok: Tokenizer) -> list[str]:
@@ -82,7 +106,7 @@ def segments(text: str, limit: int, specials: list[str]) -> list[tuple[str, bool
             end = min(start + limit, len(piece))
             if end < len(piece):
                 # The last exact cut within reach, else the first one beyond it.
-                cut = next((m for m in range(end, start, -1) if piece[m].isspace() and not piece[m - 1].isspace()), None)
+                cut = next((m for m in range(end, start, -1) if piece[m] in SPACE and piece[m - 1] not in SPACE), None)
                 if cut is None:
                     found = SAFE_CUT.search(piece, end)
                     cut = found.start() if found else len(piece)
@@ -202,21 +226,25 @@ def _groups(texts: list[str]):
         yield start, len(texts)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int32)))
+
+
 def _encode_whole(path: str, keep: list[str], out: pa.Schema, with_ids: bool):
     def run(batches):
-        tok = load(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             counts, digests, decoded, ids = [], [], [], []
             for a, b in _groups(texts):
-                found = [e.ids for e in tok.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+                found = encode_texts(path, texts[a:b])
                 counts += map(len, found)
                 digests += map(_digest, found)
-                decoded += map(_sha, tok.decode_batch(found, skip_special_tokens=False))
+                decoded += map(_sha, decode_texts(path, found))
                 if with_ids:
                     ids += found
             cols = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            cols += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
+            cols += [_lists(ids)] if with_ids else []
             kept = [batch.column(c).cast(out.field(c).type) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, *cols], names=out.names)
 
@@ -250,7 +278,7 @@ def _encode_segments(path: str):
                     ids, sizes = [x for _, w in leaf for x in w], [(len(w), len(i)) for w, i in leaf]
                     text = r["segment"]
                 else:
-                    ids, sizes, text = tok.encode(r["segment"], add_special_tokens=False).ids, [], None
+                    ids, sizes, text = encode_texts(path, [r["segment"]])[0], [], None
                 yield pa.RecordBatch.from_pydict(
                     {"uid": [r["uid"]], "at": [r["at"]], "joined": [r["joined"]], "ids": [np.asarray(ids, "<u4").tobytes()], "sizes": [np.asarray(sizes, "<u4").tobytes()], "segment": [text]},
                     schema=pa.schema([("uid", pa.int64()), ("at", pa.int64()), ("joined", pa.bool_()), ("ids", pa.binary()), ("sizes", pa.binary()), ("segment", pa.string())]),
@@ -279,7 +307,7 @@ def _assemble(path: str, with_ids: bool):
                 ids += rows[a][1].tolist()
             else:
                 ids += [x for _, w in joiner.tree([leaf(*r[1:]) for r in rows[a:b]]) for x in w]
-        out = {"uid": [pdf["uid"].iloc[0]], "n_tokens": [len(ids)], "ids_sha256": [_digest(ids)], "decoded_sha256": [_sha(tok.decode(ids, skip_special_tokens=False))]}
+        out = {"uid": [pdf["uid"].iloc[0]], "n_tokens": [len(ids)], "ids_sha256": [_digest(ids)], "decoded_sha256": [_sha(decode_texts(path, [np.asarray(ids, np.uint32)])[0])]}
         return pd.DataFrame(out | ({"ids": [ids]} if with_ids else {}))
 
     return run

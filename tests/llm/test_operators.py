@@ -132,6 +132,27 @@ def test_tree_concatenation():
             assert bpe.encode_tree(tok, text, limit) == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_quick_encoder_on_every_code_point():
+    """Both libraries split and merge alike, whatever the characters' classes."""
+    tok, step = bpe.load(BPE), 4096
+    for start in range(0, 0x110000, step):
+        chars = [chr(c) for c in range(start, start + step) if not 0xD800 <= c < 0xE000]
+        texts = ["".join(f"!{c}a{c}1{c} {c}?\n" for c in chars[i : i + 16]) for i in range(0, len(chars), 16)]
+        mine = bpe.encode_texts(BPE, texts)
+        assert [i.tolist() for i in mine] == [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        assert bpe.decode_texts(BPE, mine) == texts
+
+
+def test_bpe_quick_encoder_on_special_cases():
+    tok = bpe.load(BPE)
+    texts = ["<|endoftext|>a<|endoftext|>", "", "a" * 40000 + " b", " " * 40000, "<|endoftext", "e\u0301 \U0001f600"]
+    mine = bpe.encode_texts(BPE, texts)
+    assert [i.tolist() for i in mine] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert bpe.decode_texts(BPE, mine) == texts
+    odd = "!\x1c" * 3000 + " ab" * 3000 + "\u3000x"
+    assert bpe.encode_tree(tok, odd, 100) == tok.encode(odd, add_special_tokens=False).ids
+
+
 def test_bpe_documents(spark, monkeypatch):
     tok = bpe.load(BPE)
     rows = [(1, "Hello <|endoftext|> world's"), (2, None), (3, ""), (4, "ab" * 3000 + " end of it " * 50), (4, "q" * 9000), (4, "q" * 9000), (None, "é　x")]
