@@ -8,7 +8,7 @@
 3. Every partition trains a copy of the model on all of its training documents
    by truncated backpropagation: documents run side by side in lanes, the state
    is carried from window to window and reset where a document starts. The
-   which start alike, are averaged by their token counts.
+   copies, which start alike, are averaged by their token counts.
 4. Every document is scored as a whole, the state carried across windows.
    Counts of the ``COUNTED`` most frequent words are at hand as a bounded
    broadcast; rarer words are sent to a join with the table of all counts.
@@ -38,14 +38,17 @@ from pyspark.sql import functions as F
 from .shingles import ascii_words
 from .storage import materialise
 
-HEAD = 1024
+HEAD = 2048
 CLASS = 32
 COUNTED = 1 << 18
-HIDDEN = 16
+HIDDEN = 24
 LANES = 256
+LEARN_LANES = 128
 STEPS = 24
-#: Backpropagation runs through one window in so many; the state is carried through all of them.
-EVERY = 4
+#: Rows of a softmax at a time, so that its table stays in a core's cache.
+BLOCK = 512
+#: Tokens after which a long training document goes on in another lane.
+PIECE = 1024
 RATE = 0.1
 FLUSH = 1 << 18
 #: Hash of the end token: it holds a line break, which no word does.
@@ -132,62 +135,97 @@ class Model:
     def weights(self) -> dict:
         return {k: getattr(self, k) for k in self.NAMES}
 
-    def forward(self, tokens: np.ndarray, first: np.ndarray, h: np.ndarray, before: np.ndarray):
-        """Steps of a window: tokens and first (a document starts) are (steps, lanes)."""
+    def forward(self, tokens: np.ndarray, first: np.ndarray, h: np.ndarray, before: np.ndarray, keep: bool = False):
+        """Steps of a window: tokens and first (a document starts) are (steps, lanes).
+
+        Returns the inputs, the states, what backpropagation needs (``keep``) and the last state.
+        """
         n, hid = tokens.shape, self.hidden
         inputs = np.empty(n, np.int64)
         inputs[0], inputs[1:] = before, tokens[:-1]
         inputs[first] = self.head + 1
-        states, keep = np.empty((*n, hid), np.float32), []
+        states, starts = np.empty((*n, hid), np.float32), first.any(1)
+        x = self.g[inputs]
+        # From here on x holds r, z and m, and y the products with the state.
+        if keep:
+            befores, y = np.empty_like(states), np.empty_like(x)
+        else:
+            befores, y = None, np.empty((1, *x.shape[1:]), np.float32)
         for t in range(n[0]):
-            h = np.where(first[t][:, None], np.float32(0), h)
-            x, y = self.g[inputs[t]], h @ self.u
-            gates = x[:, : 2 * hid] + y[:, : 2 * hid]
-            np.exp(np.negative(gates, out=gates), out=gates)
+            if starts[t]:
+                h = np.where(first[t][:, None], np.float32(0), h)
+            xt, yt = x[t], y[t if keep else 0]
+            np.matmul(h, self.u, out=yt)
+            gates, m = xt[:, : 2 * hid], xt[:, 2 * hid :]
+            gates += yt[:, : 2 * hid]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            r, z = gates[:, :hid], gates[:, hid:]
-            m = np.tanh(x[:, 2 * hid :] + r * y[:, 2 * hid :])
-            keep.append((h, r, z, m, y[:, 2 * hid :]))
-            h = m + z * (h - m)
+            m += gates[:, :hid] * yt[:, 2 * hid :]
+            np.tanh(m, out=m)
+            if keep:
+                befores[t] = h
+            h = h - m
+            h *= gates[:, hid:]
+            h += m
             states[t] = h
-        return inputs, states, keep, h
+        return inputs, states, (befores, x, y), h
+
+    @staticmethod
+    def _softmax(weights, bias, states, at):
+        """Logs of the probabilities ``at`` (outcomes, rows), and all probabilities by outcome and row."""
+        e = weights.T @ states.T
+        e += bias[:, None]
+        e -= e.max(0)
+        own = e[at]
+        np.exp(e, out=e)
+        total = e.sum(0)
+        e /= total
+        return own - np.log(total), e
 
     def output(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None):
-        """Natural log of each token's probability (a rarer word's: of its class), and the gradient by state."""
-        logit = states @ self.c + self.cb
-        top = logit.max(1, keepdims=True)
-        e = np.exp(logit - top)
-        total = e.sum(1, keepdims=True)
+        """Natural log of each token's probability (a rarer word's: of its class), and the gradient by state.
+
+        Tokens are put in order of their classes, and logits kept by class and token, so that sums run along whole rows.
+        """
         cls = tokens // CLASS
         cls[tokens >= self.head] = self.classes - 1
-        rows = np.arange(len(tokens))
-        out = logit[rows, cls] - top[:, 0] - np.log(total[:, 0])
+        order = np.argsort(cls, kind="stable")
+        cls, word, rows = cls[order], tokens[order] % CLASS, np.arange(len(tokens))
+        states = states[order]
+        out = np.empty(len(tokens), np.float32)
+        edges = np.searchsorted(cls, np.arange(self.classes))
+
+        own_log = np.empty(len(tokens), np.float32)
         d_state = None
         if grads is not None:
-            d = e / total
-            d[rows, cls] -= 1
-            grads["c"] = states.T @ d
-            grads["cb"] = d.sum(0)
-            d_state = d @ self.c.T
+            d_state = np.empty_like(states)
+            grads["c"], grads["cb"] = np.zeros_like(self.c), np.zeros_like(self.cb)
             grads["w"], grads["wb"] = np.zeros_like(self.w), np.zeros_like(self.wb)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes))
+        for i in range(0, len(tokens), BLOCK):
+            own, at = states[i : i + BLOCK], (cls[i : i + BLOCK], rows[: min(BLOCK, len(tokens) - i)])
+            own_log[i : i + BLOCK], e = self._softmax(self.c, self.cb, own, at)
+            if grads is not None:
+                e[at] -= 1
+                grads["c"] += (e @ own).T
+                grads["cb"] += e.sum(1)
+                d_state[i : i + BLOCK] = e.T @ self.c.T
         for k in range(self.classes - 1):
-            at = order[edges[k] : edges[k + 1]]
-            if len(at):
-                own = states[at]
-                logit = own @ self.w[k] + self.wb[k]
-                logit -= logit.max(1, keepdims=True)
-                e = np.exp(logit)
-                total = e.sum(1, keepdims=True)
-                word = tokens[at] % CLASS
-                out[at] += logit[np.arange(len(at)), word] - np.log(total[:, 0])
+            i, j = edges[k], edges[k + 1]
+            if i < j:
+                own, at = states[i:j], (word[i:j], rows[: j - i])
+                log, e = self._softmax(self.w[k], self.wb[k], own, at)
+                own_log[i:j] += log
                 if grads is not None:
-                    d = e / total
-                    d[np.arange(len(at)), word] -= 1
-                    grads["w"][k], grads["wb"][k] = own.T @ d, d.sum(0)
-                    d_state[at] += d @ self.w[k].T
+                    e[at] -= 1
+                    grads["w"][k], grads["wb"][k] = (e @ own).T, e.sum(1)
+                    d_state[i:j] += e.T @ self.w[k].T
+        out[order] = own_log
+        if d_state is not None:
+            back = np.empty_like(d_state)
+            back[order] = d_state
+            d_state = back
         return out, d_state
 
 
@@ -196,34 +234,43 @@ class Trainer:
 
     def __init__(self, model: Model):
         self.m = model
-        self.turn = 0
         self.sums = {k: np.full(v.shape, 1e-2, np.float32) for k, v in model.weights().items()}
 
     def window(self, tokens, first, real, h, before):
         m, hid = self.m, self.m.hidden
-        inputs, states, keep, last = m.forward(tokens, first, h, before)
-        self.turn += 1
-        if self.turn % EVERY != 1:
+        inputs, states, (befores, gates, y), last = m.forward(tokens, first, h, before, keep=True)
+        at = np.flatnonzero(real.ravel())
+        if not len(at):
             return last
         grads: dict = {}
-        at = np.flatnonzero(real.ravel())
-        _, d_real = m.output(states.reshape(-1, hid)[at], tokens.ravel()[at].copy(), grads)
+        _, d_real = m.output(states.reshape(-1, hid)[at], tokens.ravel()[at], grads)
         d_states = np.zeros((tokens.size, hid), np.float32)
         d_states[at] = d_real
         d_states = d_states.reshape(states.shape)
-        d_x = np.empty((*tokens.shape, 3 * hid), np.float32)
-        grads["u"], d_h = np.zeros_like(m.u), np.zeros_like(h)
+        # What a step's gradient is multiplied by does not depend on the later steps.
+        r, z, n = gates[..., :hid], gates[..., hid : 2 * hid], gates[..., 2 * hid :]
+        by_n = (1 - z) * (1 - n * n)
+        by_z = (befores - n) * z * (1 - z)
+        by_r = y[..., 2 * hid :] * r * (1 - r)
+        d_x, d_y = np.empty_like(gates), np.empty_like(gates)
+        d_h, starts = np.zeros_like(last), first.any(1)
+        back = np.ascontiguousarray(m.u.T)
         for t in range(len(tokens) - 1, -1, -1):
-            before_h, r, z, n, yn = keep[t]
-            d = d_states[t] + d_h
-            d_n = d * (1 - z) * (1 - n * n)
-            d_z = d * (before_h - n) * z * (1 - z)
-            d_r = d_n * yn * r * (1 - r)
-            d_x[t] = np.concatenate((d_r, d_z, d_n), 1)
-            d_y = np.concatenate((d_r, d_z, d_n * r), 1)
-            grads["u"] += before_h.T @ d_y
-            d_h = np.where(first[t][:, None], np.float32(0), d * z + d_y @ m.u.T)
-        self._step(grads, inputs, d_x, max(1, len(at)))
+            d, dy = d_states[t], d_y[t]
+            d += d_h
+            d_n = d * by_n[t]
+            d_x[t, :, 2 * hid :] = d_n
+            np.multiply(d_n, by_r[t], out=dy[:, :hid])
+            np.multiply(d, by_z[t], out=dy[:, hid : 2 * hid])
+            np.multiply(d_n, r[t], out=dy[:, 2 * hid :])
+            d_h = dy @ back
+            d *= z[t]
+            d_h += d
+            if starts[t]:
+                d_h[first[t]] = 0
+        d_x[..., : 2 * hid] = d_y[..., : 2 * hid]
+        grads["u"] = befores.reshape(-1, hid).T @ d_y.reshape(-1, 3 * hid)
+        self._step(grads, inputs, d_x, len(at))
         return last
 
     def _step(self, grads, inputs, d_x, n):
@@ -245,10 +292,10 @@ class Trainer:
 def windows(docs, lanes: int = LANES, steps: int = STEPS):
     """Windows over documents that run side by side: yields (lanes in use, owners, tokens, first, real).
 
-    ``docs``: iterable of (owner, tokens). A lane takes the next document when its own ends; lanes left idle are dropped.
+    ``docs``: iterable of (owner, tokens, lead); the first ``lead`` tokens are read only. A lane takes the next document when its own ends; lanes left idle are dropped.
     """
     docs = iter(docs)
-    running: list = []  # [owner, tokens, place]
+    running: list = []  # [owner, tokens, lead, place]
     ended = False
     while True:
         fresh = []
@@ -266,12 +313,13 @@ def windows(docs, lanes: int = LANES, steps: int = STEPS):
         for lane, run in enumerate(running):
             t = 0
             while t < steps and run is not None:
-                own, seq, at = run
+                own, seq, lead, at = run
                 n = min(steps - t, len(seq) - at)
-                tokens[t : t + n, lane], owner[t : t + n, lane], real[t : t + n, lane] = seq[at : at + n], own, True
+                tokens[t : t + n, lane], owner[t : t + n, lane] = seq[at : at + n], own
+                real[t + max(0, lead - at) : t + n, lane] = True
                 first[t, lane] = at == 0
-                run[2], t = at + n, t + n
-                if run[2] == len(seq):
+                run[3], t = at + n, t + n
+                if run[3] == len(seq):
                     doc = None if ended else next(docs, None)
                     ended = ended or doc is None
                     run = running[lane] = [*doc, 0] if doc is not None else None
@@ -280,10 +328,10 @@ def windows(docs, lanes: int = LANES, steps: int = STEPS):
         running = [running[i] for i in fresh]
 
 
-def _run(docs, step, hidden: int, head: int):
+def _run(docs, step, hidden: int, head: int, lanes: int = LANES):
     """Carry states over the windows of ``docs``; step(owner, tokens, first, real, h, before) returns the new states."""
     h, before = np.zeros((0, hidden), np.float32), np.zeros(0, np.int64)
-    for owner, tokens, first, real, stay in windows(docs):
+    for owner, tokens, first, real, stay in windows(docs, lanes):
         more = tokens.shape[1] - len(h)
         if more > 0:
             h = np.concatenate((h, np.zeros((more, hidden), np.float32)))
@@ -292,6 +340,13 @@ def _run(docs, step, hidden: int, head: int):
         before = tokens[-1, stay]
 
 
+def pieces(tokens: np.ndarray):
+    """A training document in pieces that run side by side; each after the first reads one token of its predecessor."""
+    yield 0, tokens[:PIECE], 0
+    for k in range(PIECE, len(tokens), PIECE):
+        yield 0, tokens[k - 1 : k + PIECE], 1
+
+
 def _train(shared):
     """A trained copy of the model in pieces, weighted by the tokens it has seen."""
 
@@ -306,9 +361,9 @@ def _train(shared):
                 for text in _texts(batch):
                     at = places.of(ascii_words(text))
                     seen += len(at)
-                    yield 0, np.where(at < 0, model.head, at)
+                    yield from pieces(np.where(at < 0, model.head, at))
 
-        _run(docs(), lambda owner, tokens, first, real, h, before: trainer.window(tokens, first, real, h, before), model.hidden, model.head)
+        _run(docs(), lambda owner, tokens, first, real, h, before: trainer.window(tokens, first, real, h, before), model.hidden, model.head, LEARN_LANES)
         if seen:
             flat = np.concatenate([v.ravel() for v in model.weights().values()]).astype(np.float32)
             part = TaskContext.get().partitionId()
@@ -361,16 +416,27 @@ def _score(shared):
                         left = [xxhash.xxh3_64_intdigest(w) for w, k in zip(words, at.tolist(), strict=False) if k < 0] + [END] * (places.end < 0)
                         left, n = np.unique(np.array(left, np.uint64).view(np.int64), return_counts=True)
                         rare.append((np.full(len(left), i), left, n))
-                    yield i, np.where((at < 0) | (at >= head), head, at)
+                    yield i, np.where((at < 0) | (at >= head), head, at), 0
+
+            waiting: list = []
+
+            def output(waiting=waiting, score=score):
+                if waiting:
+                    states, tokens, owner = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                    waiting.clear()
+                    got, _ = model.output(states, tokens)
+                    score += np.bincount(owner, got.astype(np.float64) / np.log(10), minlength=len(score))
 
-            def step(owner, tokens, first, real, h, before, score=score):
+            def step(owner, tokens, first, real, h, before, waiting=waiting, output=output):
                 _, states, _, last = model.forward(tokens, first, h, before)
                 at = np.flatnonzero(real.ravel())
-                got, _ = model.output(states.reshape(-1, model.hidden)[at], tokens.ravel()[at].copy())
-                score += np.bincount(owner.ravel()[at], got.astype(np.float64) / np.log(10), minlength=len(score))
+                waiting.append((states.reshape(-1, model.hidden)[at], tokens.ravel()[at], owner.ravel()[at]))
+                if sum(len(x) for _, x, _ in waiting) >= LANES * STEPS:
+                    output()
                 return last
 
             _run(docs(), step, model.hidden, model.head)
+            output()
             own = uid + np.arange(size)
             uid += size
             none = np.zeros(size, np.int64)
