@@ -289,10 +289,14 @@ class Trainer:
         self.m.g[rows] -= RATE * g / np.sqrt(self.sums["g"][rows])
 
 
+def _lane(owner, tokens, lead=0) -> list:
+    return [owner, tokens, lead, 0]
+
+
 def windows(docs, lanes: int = LANES, steps: int = STEPS):
     """Windows over documents that run side by side: yields (lanes in use, owners, tokens, first, real).
 
-    ``docs``: iterable of (owner, tokens, lead); the first ``lead`` tokens are read only. A lane takes the next document when its own ends; lanes left idle are dropped.
+    ``docs``: iterable of (owner, tokens) or (owner, tokens, lead); the first ``lead`` tokens are read only. A lane takes the next document when its own ends; lanes left idle are dropped.
     """
     docs = iter(docs)
     running: list = []  # [owner, tokens, lead, place]
@@ -304,7 +308,7 @@ def windows(docs, lanes: int = LANES, steps: int = STEPS):
             if doc is None:
                 ended = True
             else:
-                running.append([*doc, 0])
+                running.append(_lane(*doc))
         if not running:
             return
         tokens = np.zeros((steps, len(running)), np.int64)
@@ -322,7 +326,7 @@ def windows(docs, lanes: int = LANES, steps: int = STEPS):
                 if run[3] == len(seq):
                     doc = None if ended else next(docs, None)
                     ended = ended or doc is None
-                    run = running[lane] = [*doc, 0] if doc is not None else None
+                    run = running[lane] = _lane(*doc) if doc is not None else None
         fresh = [i for i, run in enumerate(running) if run is not None]
         yield owner, tokens, first, real, fresh
         running = [running[i] for i in fresh]
@@ -416,7 +420,7 @@ def _score(shared):
                         left = [xxhash.xxh3_64_intdigest(w) for w, k in zip(words, at.tolist(), strict=False) if k < 0] + [END] * (places.end < 0)
                         left, n = np.unique(np.array(left, np.uint64).view(np.int64), return_counts=True)
                         rare.append((np.full(len(left), i), left, n))
-                    yield i, np.where((at < 0) | (at >= head), head, at), 0
+                    yield i, np.where((at < 0) | (at >= head), head, at)
 
             waiting: list = []
 

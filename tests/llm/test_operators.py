@@ -360,6 +360,48 @@ def test_windows_carry_whole_documents():
     assert {k: v for k, v in seen.items()} == {k: list(v) for k, v in docs}
 
 
+def test_pieces_learn_every_token_once():
+    text = np.arange(2 * gru_lm.PIECE + 7)
+    learned, at_start = [], 0
+    for owner, tokens, first, real, _ in gru_lm.windows(gru_lm.pieces(text), lanes=2, steps=8):
+        learned += tokens[real].tolist()
+        at_start += first.sum()
+    assert sorted(learned) == text.tolist() and at_start == 3
+
+
+def test_gradient_of_a_window():
+    rng = np.random.default_rng(3)
+    model = gru_lm.Model(np.arange(70, 0, -1), 5.0, hidden=4)
+    for k, v in model.weights().items():
+        setattr(model, k, v.astype(np.float64))
+    tokens, first = rng.integers(0, 71, (6, 5)), rng.random((6, 5)) < 0.2
+    real, h, before = rng.random((6, 5)) < 0.8, np.zeros((5, 4), np.float32), rng.integers(0, 71, 5)
+    at = np.flatnonzero(real.ravel())
+
+    def loss():
+        _, states, _, _ = model.forward(tokens, first, h, before)
+        return -model.output(states.reshape(-1, 4)[at].astype(np.float64), tokens.ravel()[at])[0].astype(np.float64).sum()
+
+    class Keep(gru_lm.Trainer):
+        def _step(self, grads, inputs, d_x, n):
+            self.grads = dict(grads)
+            self.grads["g"] = np.zeros_like(model.g)
+            np.add.at(self.grads["g"], inputs.ravel(), d_x.reshape(inputs.size, -1))
+
+    trainer = Keep(model)
+    trainer.window(tokens, first, real, h, before)
+    for k, g in trainer.grads.items():
+        v = getattr(model, k)
+        for i in np.argsort(-np.abs(g.ravel()))[:4]:
+            kept = v.flat[i]
+            v.flat[i] = kept + 2e-2
+            up = loss()
+            v.flat[i] = kept - 2e-2
+            down = loss()
+            v.flat[i] = kept
+            assert abs((up - down) / 4e-2 - g.flat[i]) < 0.02 + 0.03 * abs(g.flat[i]), k
+
+
 # 10: sharding
 
 
