@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import advisories as A
 from ..functions import ecosystems as E
+from ..functions import products as P
 from ..functions import versions as V
 from ..operators import master as M
 from ..operators import matching as S
+from ..operators import resolve as R
+from ..sources import nvd as N
 from .fixtures import FIXTURES
 
 TABLES = ("lineitem", "part", "orders", "supplier", "customer", "events")
@@ -202,6 +205,61 @@ _F = "split_part(fixed_version, '.', 1) || '.' || split_part(fixed_version, '.',
 _Z = "CAST(split_part(fixed_version, '.', 3) AS BIGINT)"
 _SEARCH = f"SELECT request_id, vuln_no, count(*) AS n_rows, struct_extract(min(struct_pack(r := row_id, f := fixed_version)) FILTER (WHERE fixed_version <> ''), 'f') AS fixed_version, string_agg(DISTINCT ecosystem, ',' ORDER BY ecosystem) AS ecosystems FROM fx_installed r JOIN fx_affected a ON {_HIT} GROUP BY 1, 2"
 
+def alias_names(spark, d):
+    p = view(spark, d, "SELECT p_partkey AS id, CASE p_partkey%4 WHEN 0 THEN 'Java' WHEN 1 THEN 'k8s' WHEN 2 THEN 'httpd' ELSE p_name END AS term FROM part")
+    return p.select("id", F.explode(P.product_names(c("term"))).alias("product"))
+
+
+_NVD_JSON = """{"id": "CVE-2024-@", "descriptions": [{"lang": "es", "value": "no"}, {"lang": "en", "value": "about @"}],
+ "metrics": {"cvssMetricV2": [{"cvssData": {"baseScore": 5.0, "vectorString": "v2"}, "baseSeverity": "MEDIUM"}] #},
+ "configurations": [{"nodes": [{"operator": "OR", "negate": false,
+  "cpeMatch": [{"vulnerable": true, "criteria": "cpe:2.3:a:acme:tool@:*:*:*:*:*:*:*:*", "versionStartExcluding": "1.0.0", "versionEndExcluding": "2.@.0"},
+               {"vulnerable": true, "criteria": "cpe:2.3:a:acme:point:3.@.1:*:*:*:*:*:*:*"}],
+  "children": [{"operator": "AND", "negate": true, "cpeMatch": [
+   {"vulnerable": true, "criteria": "cpe:2.3:a:acme:kit:1.5.0:update_@:*:*:*:*:*:*", "versionStartIncluding": "1.5.0", "versionEndIncluding": "1.5.0"},
+   {"vulnerable": false, "criteria": "cpe:2.3:o:acme:base:-:*:*:*:*:*:*:*"}]}]}]}]}"""
+
+
+def nvd_records(spark, d):
+    text = F.replace(F.lit(_NVD_JSON), F.lit("@"), c("k").cast("string"))
+    newer = F.when(c("k") % 2 == 0, F.lit(', "cvssMetricV31": [{"cvssData": {"baseScore": 9.1, "vectorString": "v31", "baseSeverity": "CRITICAL"}}]')).otherwise(F.lit(""))
+    rows = view(spark, d, "SELECT s_suppkey AS k FROM supplier").select(F.from_json(F.replace(text, F.lit("#"), newer), N.SCHEMA).alias("r"))
+    return rows.select("r.*")
+
+
+def nvd_affected(spark, d):
+    return N.affected(nvd_records(spark, d)).select("id", "package_name", "start_including", "start_excluding", "end_including", "end_excluding", "introduced_int", "fixed_int")
+
+
+def nvd_scores(spark, d):
+    got = N.cvss(c("metrics"))
+    return nvd_records(spark, d).select("id", got["score"].alias("score"), got["vector"].alias("vector"), got["severity"].alias("severity"), N.english(c("descriptions")).alias("summary"))
+
+
+def _sources(spark, d):
+    m = fx(spark, d, "fx_master").withColumn("modified_at", c("published_at")).withColumn("summary", F.concat(F.lit("s"), c("vuln_no")))
+    osv = m.where("vuln_no % 2 = 0").withColumn("source_id", c("osv_id"))
+    nvd = m.where("cve_id is not null and vuln_no % 5 = 0").withColumn("source_id", c("cve_id")).withColumn("summary", F.lit(None).cast("string"))
+    adv = m.where("vuln_no % 3 = 0").withColumn("source_id", F.concat(F.lit("ADV-"), c("vuln_no"))).withColumn("severity", F.lit("LOW"))
+    return [x.select(*R.COLUMNS) for x in (osv, nvd, adv)]
+
+
+def masters(spark, d):
+    return R.resolve(*_sources(spark, d)).select("master_key", "cve_id", "osv_id", "advisory_id", "severity", "summary", "n_records")
+
+
+def lost_masters(spark, d):
+    osv, nvd, adv = _sources(spark, d)
+    before = R.resolve(osv.withColumn("cve_id", F.lit(None).cast("string")), nvd, adv)
+    return R.orphans(before, R.resolve(osv, nvd, adv)).select("master_key")
+
+
+# A master has at most one record of a source here, except that one without a CVE id is a master for each source id.
+_MASTERS = """WITH b AS (SELECT *, CAST(vuln_no%2 = 0 AS INT) AS o, CAST(vuln_no%5 = 0 AND cve_id IS NOT NULL AS INT) AS n, CAST(vuln_no%3 = 0 AS INT) AS a FROM fx_master),
+      r AS (SELECT *, cve_id AS master_key, o + n + a AS k FROM b WHERE cve_id IS NOT NULL AND o + n + a > 0
+        UNION ALL SELECT * REPLACE (0 AS a), osv_id, 1 FROM b WHERE cve_id IS NULL AND o = 1
+        UNION ALL SELECT * REPLACE (0 AS o), 'ADV-' || vuln_no, 1 FROM b WHERE cve_id IS NULL AND a = 1)"""
+
 #: name → (query, SQL)
 QUERIES = {
     "range_join_semver": (range_join, f"SELECT r.request_id, a.row_id, a.vuln_no FROM fx_installed r JOIN fx_affected a ON {_HIT}"),
@@ -242,6 +300,16 @@ QUERIES = {
       UNION ALL SELECT row_id, CAST(1 AS INTEGER), '99.0.0', NULL, NULL FROM x"""),
     "range_text": (spoken, """SELECT p_partkey AS id, CASE WHEN k IN (0, 3) THEN a END AS lo, CASE WHEN k IN (1, 3) THEN b END AS hi, CASE WHEN k IN (0, 2) THEN b END AS last
       FROM (SELECT p_partkey, p_partkey%4 AS k, CAST(p_size AS varchar) || '.1' AS a, CAST(p_size + 1 AS varchar) || '.0.2' AS b FROM part)"""),
+    "alias_names": (alias_names, """SELECT p_partkey AS id, unnest(CASE p_partkey%4 WHEN 0 THEN ['jre', 'jdk'] WHEN 1 THEN ['kubernetes'] WHEN 2 THEN ['httpd', 'http_server'] ELSE [p_name] END) AS product FROM part"""),
+    "nvd_affected": (nvd_affected, """WITH s AS (SELECT CAST(s_suppkey AS varchar) AS k, CAST(s_suppkey AS BIGINT) AS n FROM supplier)
+      SELECT 'CVE-2024-' || k AS id, 'tool' || k AS package_name, NULL AS start_including, '1.0.0' AS start_excluding, NULL AS end_including, '2.' || k || '.0' AS end_excluding, 1000000000 AS introduced_int, 2000000000 + n * 1000000 AS fixed_int FROM s
+      UNION ALL SELECT 'CVE-2024-' || k, 'point', '3.' || k || '.1', NULL, '3.' || k || '.1', NULL, 3000001000 + n * 1000000, NULL FROM s
+      UNION ALL SELECT 'CVE-2024-' || k, 'kit', '1.5.0_' || k, NULL, '1.5.0_' || k, NULL, 1005000000 + n * 1000, NULL FROM s"""),
+    "nvd_scores": (nvd_scores, """SELECT 'CVE-2024-' || CAST(s_suppkey AS varchar) AS id, CAST(CASE s_suppkey%2 WHEN 0 THEN 9.1 ELSE 5.0 END AS DOUBLE) AS score, CASE s_suppkey%2 WHEN 0 THEN 'v31' ELSE 'v2' END AS vector,
+      CASE s_suppkey%2 WHEN 0 THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity, 'about ' || CAST(s_suppkey AS varchar) AS summary FROM supplier"""),
+    "master_resolve": (masters, f"""{_MASTERS} SELECT master_key, max(cve_id) AS cve_id, max(CASE WHEN o = 1 THEN osv_id END) AS osv_id, max(CASE WHEN a = 1 AND cve_id IS NULL THEN 'ADV-' || vuln_no END) AS advisory_id,
+      max(CASE WHEN n = 1 OR o = 1 AND severity IS NOT NULL THEN severity WHEN a = 1 THEN 'LOW' END) AS severity, max(CASE WHEN n = 0 THEN 's' || vuln_no END) AS summary, CAST(sum(k) AS BIGINT) AS n_records FROM r GROUP BY 1"""),
+    "master_orphans": (lost_masters, "SELECT osv_id AS master_key FROM fx_master WHERE vuln_no%2 = 0 AND cve_id IS NOT NULL"),
     "boundary_points": (boundary_points, f"""SELECT package_name, point, count(*) AS n FROM (SELECT package_name, {_F} || CAST({_Z} + d AS varchar) AS point
       FROM fx_affected, (VALUES (-1), (0), (1)) t(d) WHERE fixed_version IS NOT NULL AND {_Z} + d >= 0) GROUP BY 1, 2"""),
 }

@@ -43,3 +43,29 @@ def test_follow(spark, tmp_path):
     (src / "2.json").write_text('{"id": "b", "v": 2}\n{"id": "c", "v": 2}\n')
     follow(*args)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "v1")).select("id", "v").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+
+
+def test_nvd_records(spark):
+    from quarrymill.sources import nvd
+
+    low = '{"vulnerable": true, "criteria": "cpe:2.3:a:v:deep:%s:%s:*:*:*:*:*:*"%s}'
+    match = [low % ("1.0", "rc3", ', "versionStartIncluding": "1.0", "versionEndIncluding": "1.0"'), low % ("2.0", "*", ""), low % ("3.0", "rc", ', "versionEndExcluding": "3.0"'), '{"vulnerable": true, "criteria": "cpe:2.3:a:*:x"}']
+    text = '{"id": "A", "configurations": [{"nodes": [{"children": [{"children": [{"cpeMatch": [%s]}]}]}]}, {"nodes": null}]}' % ", ".join(match)
+    rows = spark.createDataFrame([(text,), ('{"id": "B"}',)], "t string").selectExpr(f"from_json(t, '{nvd.SCHEMA}') r").select("r.*")
+    got = sorted((r.start_including or "", r.end_including or "", r.end_excluding or "") for r in nvd.affected(rows).collect())
+    assert got == [("", "", "3.0"), ("1.0-rc3", "1.0-rc3", ""), ("2.0", "2.0", "")]
+    assert [tuple(r) for r in rows.select(nvd.cvss(rows.metrics).isNull(), nvd.english(rows.descriptions).isNull()).collect()] == [(True, True)] * 2
+
+
+def test_masters_from_all_sources(spark):
+    from quarrymill.operators import resolve
+
+    def of(*rows):
+        return spark.createDataFrame(rows, "source_id string, cve_id string, severity string, summary string, published_at timestamp, modified_at timestamp")
+
+    osv = of(("O2", "C1", "HIGH", "two", None, None), ("O1", "C1", None, "one", None, None), ("O3", None, "LOW", None, None, None))
+    nvd = of(("C2", "C2", None, "n", None, None))
+    adv = of(("A1", "C1", "LOW", "adv", None, None), ("A1", None, "LOW", "x", None, None), ("A1", None, "LOW", "y", None, None), ("A2", "C2", "LOW", "z", None, None))
+    got = {r.master_key: (r.osv_id, r.advisory_id, r.severity, r.summary, r.n_records) for r in resolve.resolve(osv, nvd, adv).collect()}
+    assert got == {"C1": ("O1", None, "HIGH", "one", 3), "C2": (None, None, None, "n", 2), "O3": ("O3", None, "LOW", None, 1), "A1": (None, "A1", "LOW", "x", 2)}
+    assert resolve.resolve(of(), of(), of()).count() == 0
