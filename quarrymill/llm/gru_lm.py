@@ -2,7 +2,8 @@
 
 1. Words of all training documents are counted (a task sends its own counts,
    a group-by adds them up).
-2. The most frequent ``HEAD`` tokens get classes of equal size in order of
+2. The most frequent words that make up ``SHARE`` of all training tokens, so
+   more of them in a larger corpus, get classes of equal size in order of
    frequency; all other words are one more class, within which a word's share
    follows its count. Output biases start from the counts.
 3. Every partition trains a copy of the model on all of its training documents
@@ -10,8 +11,8 @@
    is carried from window to window and reset where a document starts. The
    copies, which start alike, are averaged by their token counts.
 4. Every document is scored as a whole, the state carried across windows.
-   Counts of the ``COUNTED`` most frequent words are at hand as a bounded
-   broadcast; rarer words are sent to a join with the table of all counts.
+   Counts of the model's and of at least the ``COUNTED`` most frequent words are
+   at hand as a broadcast; rarer words are sent to a join with the table of all counts.
 
 Words are told apart by 64-bit hashes. Retried tasks give the same copies: the
 only randomness is the fixed start.
@@ -25,6 +26,7 @@ and the text are read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -38,7 +40,10 @@ from pyspark.sql import functions as F
 from .shingles import ascii_words
 from .storage import materialise
 
+#: Share of the training tokens whose words are the model's own, and the least number of such words.
+SHARE = 0.8
 HEAD = 2048
+#: Least number of words in a class; it grows with the root of the model's words.
 CLASS = 32
 COUNTED = 1 << 18
 HIDDEN = 24
@@ -53,7 +58,8 @@ RATE = 0.1
 FLUSH = 1 << 18
 #: Hash of the end token: it holds a line break, which no word does.
 END = xxhash.xxh3_64_intdigest(b"\nend")
-_PIECES = 16
+#: Numbers in a piece of a copy.
+_PIECE = 1 << 18
 
 
 class Places(dict):
@@ -116,20 +122,21 @@ class Model:
     def __init__(self, counts: np.ndarray, rest: float, hidden: int = HIDDEN, weights: dict | None = None):
         head = len(counts)
         self.head, self.hidden = head, hidden
-        self.classes = -(-head // CLASS) + 1  # the last one holds the rarer words
+        self.size = max(CLASS, -(-math.isqrt(head) // 8) * 8)
+        self.classes = -(-head // self.size) + 1  # the last one holds the rarer words
         if weights:
             self.__dict__.update(weights)
             return
         rng = np.random.default_rng(11)
         normal = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        mass = np.zeros((self.classes - 1) * CLASS)
+        mass = np.zeros((self.classes - 1) * self.size)
         mass[:head] = counts + 0.1
-        mass = mass.reshape(-1, CLASS)
+        mass = mass.reshape(-1, self.size)
         with np.errstate(divide="ignore"):
             wb = np.where(mass > 0, np.log(mass), -1e4)
         self.g, self.u = normal(head + 2, 3 * hidden), normal(hidden, 3 * hidden) * np.float32(10 / np.sqrt(hidden))
         self.c, self.cb = normal(hidden, self.classes), np.log(np.append(mass.sum(1), rest + 0.1)).astype(np.float32)
-        self.w, self.wb = normal(self.classes - 1, hidden, CLASS), wb.astype(np.float32)
+        self.w, self.wb = normal(self.classes - 1, hidden, self.size), wb.astype(np.float32)
         self.g[:, hidden : 2 * hidden] += 1  # begin by remembering
 
     def weights(self) -> dict:
@@ -189,10 +196,10 @@ class Model:
 
         Tokens are put in order of their classes, and logits kept by class and token, so that sums run along whole rows.
         """
-        cls = tokens // CLASS
+        cls = tokens // self.size
         cls[tokens >= self.head] = self.classes - 1
         order = np.argsort(cls, kind="stable")
-        cls, word, rows = cls[order], tokens[order] % CLASS, np.arange(len(tokens))
+        cls, word, rows = cls[order], tokens[order] % self.size, np.arange(len(tokens))
         states = states[order]
         out = np.empty(len(tokens), np.float32)
         edges = np.searchsorted(cls, np.arange(self.classes))
@@ -274,11 +281,18 @@ class Trainer:
         return last
 
     def _step(self, grads, inputs, d_x, n):
-        for k, g in grads.items():
-            g = g / np.float32(n / 32)
-            np.clip(g, -1, 1, out=g)
-            self.sums[k] += g * g
-            getattr(self.m, k)[...] -= RATE * g / np.sqrt(self.sums[k])
+        touched = np.flatnonzero(grads["wb"].any(1))  # classes with a word in the window
+        for k, whole in grads.items():
+            # Classes one by one, so that they stay in a core's cache.
+            for at in touched if k in ("w", "wb") else (slice(None),):
+                g = whole[at] / np.float32(n / 32)
+                np.clip(g, -1, 1, out=g)
+                sums = self.sums[k][at]
+                sums += g * g
+                g *= RATE
+                g /= np.sqrt(sums)
+                own = getattr(self.m, k)[at]
+                own -= g
         flat = inputs.ravel()
         order = np.argsort(flat, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
@@ -351,6 +365,15 @@ def pieces(tokens: np.ndarray):
         yield 0, tokens[k - 1 : k + PIECE], 1
 
 
+def head_size(by_count: list, total: int) -> int:
+    """Number of most frequent words that make up SHARE of ``total`` tokens; by_count: (count, words with it)."""
+    size, left = 0, SHARE * total
+    for c, n in sorted(by_count, reverse=True):
+        size += min(n, max(0, math.ceil(left / c)))
+        left -= c * n
+    return max(HEAD, size)
+
+
 def _train(shared):
     """A trained copy of the model in pieces, weighted by the tokens it has seen."""
 
@@ -371,7 +394,7 @@ def _train(shared):
         if seen:
             flat = np.concatenate([v.ravel() for v in model.weights().values()]).astype(np.float32)
             part = TaskContext.get().partitionId()
-            for k, piece in enumerate(np.array_split(flat, _PIECES)):
+            for k, piece in enumerate(np.array_split(flat, -(-flat.size // _PIECE))):
                 yield pa.RecordBatch.from_pydict(
                     {"piece": [k], "part": [part], "tokens": [float(seen)], "flat": [piece.tobytes()]},
                     schema=pa.schema([("piece", pa.int32()), ("part", pa.int32()), ("tokens", pa.float64()), ("flat", pa.binary())]),
@@ -466,18 +489,19 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     counts = materialise(train.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
 
-    # At most COUNTED rows; the first HEAD of them are the model's own tokens.
-    top = counts.orderBy(F.desc("c"), "h").limit(COUNTED).toPandas()
+    # The first ``size`` rows are the model's own tokens; COUNTED rows at least are at hand.
+    size = head_size([tuple(r) for r in counts.groupBy("c").count().collect()], total)
+    top = counts.orderBy(F.desc("c"), "h").limit(max(COUNTED, size)).toPandas()
     h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    head = c[:HEAD]
+    head = c[:size]
     rest, rest_words = total - int(head.sum()), distinct - len(head)
     below = total + 0.1 * (distinct + 1)
     rest_below = rest + 0.1 * (rest_words + 1)
-    start = {"counts": head, "rest": float(rest), "hashes": h[:HEAD]}
+    start = {"counts": head, "rest": float(rest), "hashes": h[:size]}
 
     send = spark.sparkContext.broadcast(start)
     copies = materialise(train.mapInArrow(_train(send), _COPY), "lm-copies")
-    halfway = copies.groupBy("piece", F.floor(F.col("part") / 256).alias("g")).applyInPandas(_average, _COPY)
+    halfway = copies.groupBy("piece", F.floor(F.col("part") / 64).alias("g")).applyInPandas(_average, _COPY)
     flat = sorted(halfway.groupBy("piece").applyInPandas(_average, _COPY).collect(), key=lambda r: r["piece"])  # one model
     model = Model(head, float(rest))
     weights, at = model.weights(), 0

@@ -349,6 +349,34 @@ def test_model_is_a_distribution():
     assert abs(np.exp(out).sum() - 1) < 1e-4
 
 
+def test_model_words_follow_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "HEAD", 8)
+    heads = []
+
+    class Seen(gru_lm.Model):
+        def __init__(self, counts, *args, **more):
+            heads.append(len(counts))
+            super().__init__(counts, *args, **more)
+
+    monkeypatch.setattr(gru_lm, "Model", Seen)
+    for n in (100, 400):
+        rows = [(k, f"w{k} w{k} v{k % 7} u{k % 11}") for k in range(n)]
+        c = Counter(w for i, t in rows for w in [*t.split(), "\n"] if zlib.crc32(str(i).encode()) % 10)
+        before = len(heads)
+        assert gru_lm.score_documents(docs_of(spark, rows)).count() == n
+        size = heads[before]
+        shares = np.cumsum(sorted(c.values(), reverse=True)) / sum(c.values())
+        assert shares[size - 1] >= gru_lm.SHARE > shares[size - 2]
+    assert heads[-1] > 2 * heads[0]
+
+
+def test_larger_classes_are_a_distribution():
+    model = gru_lm.Model(np.arange(5000, 0, -1), 30.0)
+    states = np.random.default_rng(1).standard_normal((1, model.hidden)).astype(np.float32)
+    out, _ = model.output(np.repeat(states, model.head + 1, 0), np.arange(model.head + 1))
+    assert model.size > gru_lm.CLASS and abs(np.exp(out).sum() - 1) < 1e-4
+
+
 def test_windows_carry_whole_documents():
     docs = [(k, np.arange(n) + 1000 * k) for k, n in enumerate([5, 1, 40, 7, 3, 100])]
     seen = defaultdict(list)
