@@ -1,7 +1,10 @@
-"""Readers of landed feed snapshots, with explicit schemas and without row-level functions."""
+"""Readers of landed feed snapshots, with explicit schemas and, but for the criteria of OVAL, without row-level functions."""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +46,79 @@ def read_epss(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_oval(spark: SparkSession, path: str) -> DataFrame:
-    """Patch definitions of an OVAL file (bz2 too), split by row tag."""
+    """Patch definitions of an OVAL file (bz2 too), split by row tag; criteria three levels deep (oval_fixes reads all)."""
     return spark.read.schema(OVAL).format("xml").option("rowTag", "definition").load(path).where("_class = 'patch'")
 
 
+_MARKUP = re.compile(r"""<!--.*?-->|<(/?)(criteria|criterion)\b((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>""", re.S)
+_COMMENT = re.compile(r"""\bcomment=(?:"([^"]*)"|'([^']*)')""")
+_MODULE = re.compile(r"^Module\s+\S+:(\S+)\s+is enabled$", re.I)
+
+
+def collect_criteria(definition: str) -> list[tuple[str, str | None]]:
+    """(comment, module label) of each criterion below the first criteria element, at any depth.
+
+    A label holds on its own level and below it, where the last one of a level
+    counts, and not for siblings; a level's own criteria come before nested ones.
+    """
+    top, path = None, []  # a level: its comments, its nested levels
+    for m in _MARKUP.finditer(re.sub(r'\bcomment="([^"\n]*)\n', r'comment="\1"/>\n', definition)):
+        closing, name, attributes, empty = m.groups()
+        if name == "criteria" and closing:
+            path.pop()
+            if not path:
+                break
+        elif name == "criteria":
+            level: tuple[list, list] = ([], [])
+            if path:
+                path[-1][1].append(level)
+            else:
+                top = level
+            path.append(level)
+            if empty:
+                path.pop()
+                if not path:
+                    break
+        elif name and not closing and path:
+            found = _COMMENT.search(attributes)
+            if found:
+                path[-1][0].append(found[1] if found[1] is not None else found[2])
+    out, todo = [], [(top, None)] if top else []
+    while todo:
+        (comments, nested), label = todo.pop()
+        for comment in comments:
+            got = _MODULE.match(comment)
+            label = got[1] if got else label
+        out += [(comment, label) for comment in comments]
+        todo += [(level, label) for level in reversed(nested)]
+    return out
+
+
+def _criteria(batches):
+    for batch in batches:
+        rows = [(i, k, *x) for i, text in zip(*(batch.column(n).to_pylist() for n in ("id", "text")), strict=True) for k, x in enumerate(collect_criteria(text))]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["id", "pos", "comment", "module"])
+
+
+def oval_fixes(spark: SparkSession, path: str) -> DataFrame:
+    """A row per patch definition and fixed package and version, with the module in scope and the lowest affected version.
+
+    Of repeated packages and versions of a definition the first counts.
+    """
+    from ..functions.advisories import fixed_comment
+    from ..functions.versions import bare_floor, module_floor, strip_epoch
+
+    text = F.regexp_extract("value", r"(?s)<definition\b[^>]*>.*", 0)
+    definitions = spark.read.text(path, lineSep="</definition>").select(text.alias("text")).where(F.col("text").contains('class="patch"'))
+    definitions = definitions.select(F.regexp_extract("text", r"""^<definition\b[^>]*\bid=["']([^"']*)""", 1).alias("id"), "text")
+    rows = definitions.mapInArrow(_criteria, "id string, pos long, comment string, module string").withColumn("fix", fixed_comment(F.col("comment")))
+    fixes = rows.where("fix is not null").select("id", F.trim("fix.package").alias("package"), strip_epoch(F.col("fix.version")).alias("version_end"), "pos", "module")
+    first = fixes.groupBy("id", "package", "version_end").agg(F.min_by("module", "pos").alias("module"))
+    end = F.col("version_end")
+    return first.withColumn("version_start", F.coalesce(module_floor(F.col("module"), end), bare_floor(F.col("package"), end)))
+
+
 def osv_ranges(records: DataFrame) -> DataFrame:
     """A row per version range, and one per package that only lists versions."""
     from ..functions.advisories import event_ranges

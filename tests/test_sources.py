@@ -34,6 +34,25 @@ def test_oval(spark, tmp_path):
     assert len(rows) == 1 and rows[0].criteria.criterion[0]._comment == "a is earlier than 1"
 
 
+def test_oval_criteria_at_any_depth(spark, tmp_path):
+    fix = lambda name, end: f'<criteria operator="AND"><criterion comment="{name} is earlier than {end}"/></criteria>'
+    module = '<criterion comment="Module nodejs:22 is enabled" />'
+    two = fix("nodejs", "1:22.23.1-2.module+el9") + fix("nodejs-devel", "1:22.23.1-2.module+el9")
+    # The reference's shape: the label on level 3, the packages on level 5; the label does not hold for the sibling.
+    deep = f"<criteria><criteria><criteria><criteria>{two}</criteria>{module}</criteria>{fix('rsync', '0:3.2.5-3')}{fix('rsync', '0:3.2.5-3')}</criteria></criteria>"
+    deepest = "<criteria>" * 40 + fix("curl", "7-1") + '<criterion comment="bad is\n' + "</criteria>" * 40
+    head = '<definition id="%s" class="%s"><metadata><title>t</title></metadata>'
+    bodies = [head % ("d1", "patch") + deep, head % ("d2", "patch") + deepest, head % ("d3", "other") + deep, head % ("d4", "patch")]
+    (tmp_path / "o.xml").write_text("<oval><definitions>" + "\n".join(b + "</definition>" for b in bodies) + "</definitions></oval>")
+    got = sorted(tuple(r) for r in feeds.oval_fixes(spark, str(tmp_path / "o.xml")).select("id", "package", "version_end", "module", "version_start").collect())
+    assert got == [
+        ("d1", "nodejs", "22.23.1-2.module+el9", "22", "22.0"),
+        ("d1", "nodejs-devel", "22.23.1-2.module+el9", "22", "22.0"),
+        ("d1", "rsync", "3.2.5-3", None, None),
+        ("d2", "curl", "7-1", None, None),
+    ]
+
+
 def test_follow(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
