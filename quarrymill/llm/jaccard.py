@@ -359,6 +359,19 @@ def similar_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text")
 
 
 def keep_representatives(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near-duplicates and, of each component, the one with the least id."""
-    found = similar_documents(docs, doc, text).where(F.col(doc) != F.col("component_id")).select(F.col(doc).alias("__gone")).distinct()
-    return docs.join(found, docs[doc].cast("long") == F.col("__gone"), "left_anti")
+    """The documents without near-duplicates and, of each component, the one with the least id (null comes last).
+
+    Rows are told apart by id and text: repeated rows count as one document, of
+    which one row stays, and texts that share an id are judged each on its own.
+    """
+    own = F.xxhash64(F.col(doc).isNull(), F.col(doc).cast("long"), F.col(text).isNull(), F.col(text))
+    rows = docs.withColumn("__key", own)
+    found = similar_documents(rows, "__key", text).select("__key", "component_id").distinct()
+    named = rows.groupBy("__key").agg(F.min(F.col(doc).cast("long")).alias("id"), F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key", "n")).alias("least")
+    kept = materialise(named.join(found, "__key").groupBy("component_id").agg(least).select("least.__key", "least.n"), "jaccard-kept")
+    once = rows.join(kept.where("n = 1"), "__key", "left_semi")
+    # Apart and mostly none, so that the texts need not be dealt out a second time.
+    many = materialise(kept.where("n > 1").select("__key"), "jaccard-repeated")
+    again = rows.join(many, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.select(*docs.columns).unionByName(again)

@@ -291,6 +291,16 @@ def test_cells_are_shared():
                     assert len(np.intersect1d(jaccard.cells(a, order)[0], jaccard.cells(b, order)[0]))
 
 
+def test_representatives_of_repeated_rows(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 500)) for _ in range(80))
+    near, clean, twice, nameless, other = text(), text(), text(), text(), text()
+    rows = [(1, near), (5, near + " end"), (5, clean), (7, twice), (7, twice), (None, nameless), (None, nameless), (None, other), (9, other), (11, "a"), (11, "a"), (12, "a"), (13, ""), (14, "")]
+    got = jaccard.keep_representatives(docs_of(spark, rows)).select("doc_id", "text").collect()
+    want = {(1, near): 1, (5, clean): 1, (7, twice): 1, (None, nameless): 1, (9, other): 1, (11, "a"): 1, (13, ""): 1, (14, ""): 1}
+    assert Counter(map(tuple, got)) == want
+
+
 # 8: decontamination
 
 
