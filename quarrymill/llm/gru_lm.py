@@ -8,7 +8,8 @@
    follows its count. Output biases start from the counts.
 3. Every partition trains a copy of the model on all of its training documents
    by truncated backpropagation: documents run side by side in lanes, the state
-   is carried from window to window and reset where a document starts. The
+   is carried from window to window and reset where a document starts, and in
+   learning, not in scoring, after every ``PIECE`` tokens of a document. The
    copies, which start alike, are averaged by their token counts.
 4. Every document is scored as a whole, the state carried across windows.
    Counts of the model's and of at least the ``COUNTED`` most frequent words are
