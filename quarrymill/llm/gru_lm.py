@@ -3,26 +3,36 @@
 1. Words of all training documents are counted (a task sends its own counts,
    a group-by adds them up).
 2. The most frequent words that make up ``SHARE`` of all training tokens, so
-   more of them in a larger corpus, get classes of equal size in order of
-   frequency; all other words are one more class, within which a word's share
-   follows its count. Output biases start from the counts.
-3. Every partition trains a copy of the model on all of its training documents
-   by truncated backpropagation: documents run side by side in lanes, the state
-   is carried from window to window and reset where a document starts, and in
-   learning, not in scoring, after every ``PIECE`` tokens of a document. The
-   copies, which start alike, are averaged by their token counts.
+   more of them in a larger corpus, are the model's own; all others are one
+   more outcome, within which a word's share follows its count. Every document
+   is looked up once and kept as the places of its words.
+3. Training documents are dealt by a hash of id and words to rounds and, within
+   a round, to copies of the model; how many there are follows from the number
+   of training tokens alone, not from how the table is stored. A copy learns
+   from all of its documents by truncated backpropagation: documents run side
+   by side in lanes, and the state is carried from window to window and reset
+   only where a document starts. Copies of a round start alike and are averaged
+   by their token counts; the next round goes on from the average.
 4. Every document is scored as a whole, the state carried across windows.
    Counts of the model's and of at least the ``COUNTED`` most frequent words are
    at hand as a broadcast; rarer words are sent to a join with the table of all counts.
 
+The unit is gated by one update gate: h' = z h + (1 - z) tanh(x + U h), z a
+sigmoid of the same form (a GRU whose reset gate is always open). Outputs are
+factored into classes in order of frequency: a softmax over classes, one within
+the class, and for all but the most frequent words a third one, over the words
+of a part of it. Starting biases follow the counts.
+
 Words are told apart by 64-bit hashes. Retried tasks give the same copies: the
-only randomness is the fixed start.
+only randomness is the fixed start, and a copy reads its documents in a fixed
+order, the longest first, so that no lane is left to run alone at the end.
 
 Defined results: a null or empty text is the end token alone; repeated rows
 are scored, and learned from, each on its own; a null id counts as the empty
-text in the split; with no training document N and V are 0 and the model is
-uniform over what it knows; an empty table gives an empty result. Only the id
-and the text are read.
+text in the split; very long texts are learned and scored whole, in one lane;
+with no training document N and V are 0 and the model is uniform over what it
+knows; an empty table gives an empty result. Only the id and the text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -39,28 +49,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import ascii_words
-from .storage import materialise
+from .storage import discard, materialise
 
 #: Share of the training tokens whose words are the model's own, and the least number of such words.
 SHARE = 0.8
 HEAD = 2048
-#: Least number of words in a class; it grows with the root of the model's words.
-CLASS = 32
+#: Least number of outcomes in a softmax below the first; it grows with the cube root of the model's words.
+SIDE = 8
 COUNTED = 1 << 18
 HIDDEN = 24
-LANES = 256
-LEARN_LANES = 128
+LANES = 512
 STEPS = 24
-#: Rows of a softmax at a time, so that its table stays in a core's cache.
-BLOCK = 512
-#: Tokens after which a long training document goes on in another lane.
-PIECE = 1024
-RATE = 0.1
+#: Rows of the first softmax, and blocks of the others, at a time, so that tables stay in a core's cache.
+BLOCK = 1024
+BLOCKS = 96
+#: Rows in a block of tokens with the same class, and with the same part of a class.
+CLASS_ROWS, PART_ROWS = 32, 8
+RATE = 0.07
+#: Where sums of squares start.
+SQUARES = 1e-7
+#: Rounds of learning, training tokens to a copy and round, and the largest number of copies.
+ROUNDS = 4
+COPY_TOKENS = 1 << 20
+COPIES = 1024
+#: Documents of more tokens come first in a copy, by length.
+LONG = 256
 FLUSH = 1 << 18
 #: Hash of the end token: it holds a line break, which no word does.
 END = xxhash.xxh3_64_intdigest(b"\nend")
 #: Numbers in a piece of a copy.
 _PIECE = 1 << 18
+#: Logits are held below this, so that their exponentials stay finite.
+_LIMIT = np.float32(80)
 
 
 class Places(dict):
@@ -116,29 +136,42 @@ def _count(batches):
 
 
 class Model:
-    """GRU with an input row per token and a class-factored softmax. Token ``head`` stands for all rarer words."""
+    """Gated unit with an input row per token and a softmax factored into classes. Token ``head`` stands for all rarer words.
+
+    A table of the output is (nodes, hidden + 1, outcomes); the last row of a node is its bias.
+    """
 
-    NAMES = ("g", "u", "c", "cb", "w", "wb")
+    NAMES = ("g", "u", "top", "mid", "low")
 
     def __init__(self, counts: np.ndarray, rest: float, hidden: int = HIDDEN, weights: dict | None = None):
         head = len(counts)
         self.head, self.hidden = head, hidden
-        self.size = max(CLASS, -(-math.isqrt(head) // 8) * 8)
-        self.classes = -(-head // self.size) + 1  # the last one holds the rarer words
+        self.side = side = max(SIDE, -(-math.ceil(head ** (1 / 3)) // 8) * 8)
+        self.flat = min(head, side * side)  # words that are outcomes of a class itself
+        self.parts = -(-(head - self.flat) // side)
+        self.deep = -(-self.parts // side)  # classes of parts
         if weights:
-            self.__dict__.update(weights)
+            self.__dict__.update({k: v.copy() for k, v in weights.items()})
             return
         rng = np.random.default_rng(11)
         normal = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        mass = np.zeros((self.classes - 1) * self.size)
-        mass[:head] = counts + 0.1
-        mass = mass.reshape(-1, self.size)
-        with np.errstate(divide="ignore"):
-            wb = np.where(mass > 0, np.log(mass), -1e4)
-        self.g, self.u = normal(head + 2, 3 * hidden), normal(hidden, 3 * hidden) * np.float32(10 / np.sqrt(hidden))
-        self.c, self.cb = normal(hidden, self.classes), np.log(np.append(mass.sum(1), rest + 0.1)).astype(np.float32)
-        self.w, self.wb = normal(self.classes - 1, hidden, self.size), wb.astype(np.float32)
-        self.g[:, hidden : 2 * hidden] += 1  # begin by remembering
+
+        def table(mass: np.ndarray) -> np.ndarray:
+            w = normal(len(mass), hidden + 1, mass.shape[1])
+            with np.errstate(divide="ignore"):
+                w[:, hidden] = np.maximum(np.log(mass) - np.log(np.maximum(mass.max(1, keepdims=True), 1e-30)), -_LIMIT)
+            return w
+
+        mass = np.asarray(counts, np.float64) + 0.1
+        few = np.zeros((-(-self.flat // side), side))
+        few.reshape(-1)[: self.flat] = mass[: self.flat]
+        many = np.zeros((self.deep * side, side))
+        many.reshape(-1)[: head - self.flat] = mass[self.flat :]
+        mid = np.concatenate((few, many.sum(1).reshape(-1, side)))
+        self.low, self.mid = table(many), table(mid)
+        self.top = table(np.append(mid.sum(1), rest + 0.1)[None])
+        self.g, self.u = normal(head + 2, 2 * hidden), normal(hidden, 2 * hidden) * np.float32(10 / np.sqrt(hidden))
+        self.g[:, :hidden] += 1  # begin by remembering
 
     def weights(self) -> dict:
         return {k: getattr(self, k) for k in self.NAMES}
@@ -146,205 +179,238 @@ class Model:
     def forward(self, tokens: np.ndarray, first: np.ndarray, h: np.ndarray, before: np.ndarray, keep: bool = False):
         """Steps of a window: tokens and first (a document starts) are (steps, lanes).
 
-        Returns the inputs, the states, what backpropagation needs (``keep``) and the last state.
+        Returns the inputs, the states with a one behind each, what backpropagation needs (``keep``) and the last state.
         """
         n, hid = tokens.shape, self.hidden
         inputs = np.empty(n, np.int64)
         inputs[0], inputs[1:] = before, tokens[:-1]
         inputs[first] = self.head + 1
-        states, starts = np.empty((*n, hid), np.float32), first.any(1)
-        x = self.g[inputs]
-        # From here on x holds r, z and m, and y the products with the state.
-        if keep:
-            befores, y = np.empty_like(states), np.empty_like(x)
-        else:
-            befores, y = None, np.empty((1, *x.shape[1:]), np.float32)
+        states, starts = np.ones((*n, hid + 1), np.float32), first.any(1)
+        befores = np.empty((*n, hid), np.float32) if keep else None
+        x, y = self.g[inputs], np.empty((n[1], 2 * hid), np.float32)
         for t in range(n[0]):
             if starts[t]:
                 h = np.where(first[t][:, None], np.float32(0), h)
-            xt, yt = x[t], y[t if keep else 0]
-            np.matmul(h, self.u, out=yt)
-            gates, m = xt[:, : 2 * hid], xt[:, 2 * hid :]
-            gates += yt[:, : 2 * hid]
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            m += gates[:, :hid] * yt[:, 2 * hid :]
-            np.tanh(m, out=m)
+            a = x[t]
+            np.matmul(h, self.u, out=y)
+            a += y
+            # One exponential for both: z is a sigmoid, and a tanh is twice a sigmoid less one.
+            np.negative(a, out=a)
+            np.exp(a, out=a)
+            a += 1
+            np.reciprocal(a, out=a)
+            m = a[:, hid:]
+            m *= 2
+            m -= 1
             if keep:
                 befores[t] = h
             h = h - m
-            h *= gates[:, hid:]
+            h *= a[:, :hid]
             h += m
-            states[t] = h
-        return inputs, states, (befores, x, y), h
+            states[t, :, :hid] = h
+        return inputs, states, (befores, x), h
 
     @staticmethod
-    def _softmax(weights, bias, states, at):
-        """Logs of the probabilities ``at`` (outcomes, rows), and all probabilities by outcome and row."""
-        e = weights.T @ states.T
-        e += bias[:, None]
-        e -= e.max(0)
-        own = e[at]
-        np.exp(e, out=e)
-        total = e.sum(0)
-        e /= total
-        return own - np.log(total), e
-
-    def output(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None):
-        """Natural log of each token's probability (a rarer word's: of its class), and the gradient by state.
-
-        Tokens are put in order of their classes, and logits kept by class and token, so that sums run along whole rows.
-        """
-        cls = tokens // self.size
-        cls[tokens >= self.head] = self.classes - 1
-        order = np.argsort(cls, kind="stable")
-        cls, word, rows = cls[order], tokens[order] % self.size, np.arange(len(tokens))
-        states = states[order]
-        out = np.empty(len(tokens), np.float32)
-        edges = np.searchsorted(cls, np.arange(self.classes))
-
-        own_log = np.empty(len(tokens), np.float32)
-        d_state = None
+    def _first(weights, target, states, grads):
+        """Logs of the targets' probabilities under the one softmax that all rows share, and the gradient by state."""
+        w, one = weights[0], np.ones(weights.shape[2], np.float32)
+        log, slope, d_w = np.empty(len(target), np.float32), None, np.zeros_like(w)
         if grads is not None:
-            d_state = np.empty_like(states)
-            grads["c"], grads["cb"] = np.zeros_like(self.c), np.zeros_like(self.cb)
-            grads["w"], grads["wb"] = np.zeros_like(self.w), np.zeros_like(self.wb)
-        for i in range(0, len(tokens), BLOCK):
-            own, at = states[i : i + BLOCK], (cls[i : i + BLOCK], rows[: min(BLOCK, len(tokens) - i)])
-            own_log[i : i + BLOCK], e = self._softmax(self.c, self.cb, own, at)
+            slope, back = np.empty_like(states), np.ascontiguousarray(w.T)
+        for i in range(0, len(target), BLOCK):
+            s = states[i : i + BLOCK]
+            at = np.arange(len(s)), target[i : i + BLOCK]
+            e = np.minimum(s @ w, _LIMIT)
+            own = e[at]
+            np.exp(e, out=e)
+            total = e @ one
+            log[i : i + BLOCK] = own - np.log(total)
             if grads is not None:
+                e *= np.reciprocal(total)[:, None]
                 e[at] -= 1
-                grads["c"] += (e @ own).T
-                grads["cb"] += e.sum(1)
-                d_state[i : i + BLOCK] = e.T @ self.c.T
-        for k in range(self.classes - 1):
-            i, j = edges[k], edges[k + 1]
-            if i < j:
-                own, at = states[i:j], (word[i:j], rows[: j - i])
-                log, e = self._softmax(self.w[k], self.wb[k], own, at)
-                own_log[i:j] += log
-                if grads is not None:
-                    e[at] -= 1
-                    grads["w"][k], grads["wb"][k] = (e @ own).T, e.sum(1)
-                    d_state[i:j] += e.T @ self.w[k].T
-        out[order] = own_log
-        if d_state is not None:
-            back = np.empty_like(d_state)
-            back[order] = d_state
-            d_state = back
-        return out, d_state
+                d_w += s.T @ e
+                np.matmul(e, back, out=slope[i : i + BLOCK])
+        if grads is not None:
+            grads.append((np.zeros(1, np.int64), d_w[None]))
+        return log, slope
+
+    @staticmethod
+    def _below(weights, node, target, states, rows, grads):
+        """The same for rows in order of their nodes, each node with a softmax of its own: rows of a node are put in blocks."""
+        n, one = len(node), np.ones(weights.shape[2], np.float32)
+        log, slope, changes = np.empty(n, np.float32), np.empty_like(states) if grads is not None else None, []
+        if not n:
+            return log, slope
+        edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        touched, sizes, edge = node[edge], np.diff(np.append(edge, n)), np.append(edge, n)
+        blocks = -(-sizes // rows)
+        first = np.concatenate(([0], np.cumsum(blocks)))
+        a = 0
+        while a < len(touched):
+            b = max(a + 1, int(np.searchsorted(first, first[a] + BLOCKS, "right")) - 1)
+            i, j, size = edge[a], edge[b], int(first[b] - first[a])
+            place = np.arange(j - i) + np.repeat((first[a:b] - first[a]) * rows - (edge[a:b] - i), sizes[a:b])
+            s = np.zeros((size * rows, states.shape[1]), np.float32)  # rows left over are zero and change nothing
+            s[place] = states[i:j]
+            s = s.reshape(size, rows, -1)
+            w = weights[np.repeat(touched[a:b], blocks[a:b])]
+            e = np.matmul(s, w)
+            by_row = e.reshape(size * rows, -1)
+            np.minimum(by_row, _LIMIT, out=by_row)
+            at = place, target[i:j]
+            own = by_row[at]
+            np.exp(by_row, out=by_row)
+            total = by_row @ one
+            log[i:j] = own - np.log(total[place])
+            if grads is not None:
+                by_row *= np.reciprocal(total)[:, None]
+                by_row[at] -= 1
+                d_w = np.matmul(s.transpose(0, 2, 1), e)
+                changes.append(d_w if size == b - a else np.add.reduceat(d_w, first[a:b] - first[a], axis=0))
+                slope[i:j] = np.matmul(e, w.transpose(0, 2, 1)).reshape(size * rows, -1)[place]
+            a = b
+        if grads is not None:
+            grads.append((touched, np.concatenate(changes)))
+        return log, slope
+
+    def output(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None):
+        """Natural log of each token's probability (a rarer word's: of its class), and the gradient by state (with or without its one)."""
+        if states.shape[1] == self.hidden:
+            states = np.concatenate((states, np.ones((len(states), 1), states.dtype)), 1)
+        order = np.argsort(tokens.astype(np.int32), kind="stable")
+        tok, s = tokens[order], states[order]
+        f, k = np.searchsorted(tok, (self.flat, self.head))  # tokens of classes, of parts, then the rarer ones
+        few, side = -(-self.flat // self.side), self.side
+        part = (tok[f:k] - self.flat) // side
+        node = np.concatenate((tok[:f] // side, few + part // side))
+        within = np.concatenate((tok[:f] % side, part % side))
+        found = {name: [] if grads is not None else None for name in ("top", "mid", "low")}
+        log, slope = self._first(self.top, np.append(node, np.full(len(tok) - k, few + self.deep)), s, found["top"])
+        for name, i, args in (("mid", 0, (node, within, s[:k], CLASS_ROWS)), ("low", f, (part, (tok[f:k] - self.flat) % side, s[f:k], PART_ROWS))):
+            more, d = self._below(getattr(self, name), *args, found[name])
+            log[i:k] += more
+            if grads is not None:
+                slope[i:k] += d
+        out = np.empty_like(log)
+        out[order] = log
+        if grads is None:
+            return out, None
+        grads.update({name: g[0] for name, g in found.items() if g})
+        back = np.empty((len(tok), self.hidden), np.float32)
+        back[order] = slope[:, : self.hidden]
+        return out, back
 
 
 class Trainer:
-    """Truncated backpropagation over one window, with Adagrad steps."""
+    """Truncated backpropagation over one window, with Adagrad steps; outputs of a node and inputs of a token share a sum of squares."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, sums: dict | None = None):
         self.m = model
-        self.sums = {k: np.full(v.shape, 1e-2, np.float32) for k, v in model.weights().items()}
+        self.sums = {k: v.copy() for k, v in sums.items()} if sums else self.start(model)
+
+    @staticmethod
+    def start(model: Model) -> dict:
+        shape = {"g": lambda s: s[:1], "u": lambda s: s}
+        return {k: np.full(shape.get(k, lambda s: (s[0], s[2]))(v.shape), SQUARES, np.float32) for k, v in model.weights().items()}
 
     def window(self, tokens, first, real, h, before):
         m, hid = self.m, self.m.hidden
-        inputs, states, (befores, gates, y), last = m.forward(tokens, first, h, before, keep=True)
+        inputs, states, (befores, gates), last = m.forward(tokens, first, h, before, keep=True)
         at = np.flatnonzero(real.ravel())
         if not len(at):
             return last
         grads: dict = {}
-        _, d_real = m.output(states.reshape(-1, hid)[at], tokens.ravel()[at], grads)
         d_states = np.zeros((tokens.size, hid), np.float32)
-        d_states[at] = d_real
-        d_states = d_states.reshape(states.shape)
+        _, d_states[at] = m.output(states.reshape(-1, hid + 1)[at], tokens.ravel()[at], grads)
+        d_states = d_states.reshape(*tokens.shape, hid)
         # What a step's gradient is multiplied by does not depend on the later steps.
-        r, z, n = gates[..., :hid], gates[..., hid : 2 * hid], gates[..., 2 * hid :]
-        by_n = (1 - z) * (1 - n * n)
-        by_z = (befores - n) * z * (1 - z)
-        by_r = y[..., 2 * hid :] * r * (1 - r)
-        d_x, d_y = np.empty_like(gates), np.empty_like(gates)
+        z, c = gates[..., :hid], gates[..., hid:]
+        slope, forget = np.empty_like(gates), 1 - z
+        by_z, by_c = slope[..., :hid], slope[..., hid:]
+        np.subtract(befores, c, out=by_z)
+        by_z *= z
+        by_z *= forget
+        np.multiply(c, c, out=by_c)
+        np.subtract(1, by_c, out=by_c)
+        by_c *= forget
+        by_c *= np.float32(0.5)
         d_h, starts = np.zeros_like(last), first.any(1)
         back = np.ascontiguousarray(m.u.T)
         for t in range(len(tokens) - 1, -1, -1):
-            d, dy = d_states[t], d_y[t]
+            d, dx = d_states[t], slope[t]
             d += d_h
-            d_n = d * by_n[t]
-            d_x[t, :, 2 * hid :] = d_n
-            np.multiply(d_n, by_r[t], out=dy[:, :hid])
-            np.multiply(d, by_z[t], out=dy[:, hid : 2 * hid])
-            np.multiply(d_n, r[t], out=dy[:, 2 * hid :])
-            d_h = dy @ back
+            both = dx.reshape(-1, 2, hid)
+            both *= d[:, None, :]
+            d_h = dx @ back
             d *= z[t]
             d_h += d
             if starts[t]:
                 d_h[first[t]] = 0
-        d_x[..., : 2 * hid] = d_y[..., : 2 * hid]
-        grads["u"] = befores.reshape(-1, hid).T @ d_y.reshape(-1, 3 * hid)
-        self._step(grads, inputs, d_x, len(at))
+        d_u = befores.reshape(-1, hid).T @ slope.reshape(-1, 2 * hid)
+        self._step(grads, d_u, inputs.ravel(), slope.reshape(-1, 2 * hid), len(at))
         return last
 
-    def _step(self, grads, inputs, d_x, n):
-        touched = np.flatnonzero(grads["wb"].any(1))  # classes with a word in the window
-        for k, whole in grads.items():
-            # Classes one by one, so that they stay in a core's cache.
-            for at in touched if k in ("w", "wb") else (slice(None),):
-                g = whole[at] / np.float32(n / 32)
+    def _step(self, grads, d_u, inputs, d_x, n):
+        scale = np.float32(32 / n)
+        for k, (touched, whole) in grads.items():
+            w, sums = getattr(self.m, k), self.sums[k]
+            # Some nodes at a time, so that they stay in a core's cache.
+            for i in range(0, len(touched), 32):
+                at, g = touched[i : i + 32], whole[i : i + 32]
+                g *= scale
                 np.clip(g, -1, 1, out=g)
-                sums = self.sums[k][at]
-                sums += g * g
-                g *= RATE
-                g /= np.sqrt(sums)
-                own = getattr(self.m, k)[at]
-                own -= g
-        flat = inputs.ravel()
-        order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-        g = np.add.reduceat(d_x.reshape(len(flat), -1)[order], starts, axis=0) / np.float32(n / 32)
+                sums[at] = s = sums[at] + np.einsum("nhs,nhs->ns", g, g) * np.float32(1 / g.shape[1])
+                g *= (RATE / np.sqrt(s))[:, None, :]
+                w[at] -= g
+        g = np.clip(d_u * scale, -1, 1)
+        self.sums["u"] += g * g
+        self.m.u -= RATE * g / np.sqrt(self.sums["u"])
+        order = np.argsort(inputs.astype(np.int32), kind="stable")
+        inputs = inputs[order]
+        starts = np.flatnonzero(np.concatenate(([True], inputs[1:] != inputs[:-1])))
+        g, rows = np.add.reduceat(d_x[order], starts, axis=0), inputs[starts]
+        g *= scale
         np.clip(g, -1, 1, out=g)
-        rows = flat[order][starts]
-        self.sums["g"][rows] += g * g
-        self.m.g[rows] -= RATE * g / np.sqrt(self.sums["g"][rows])
-
-
-def _lane(owner, tokens, lead=0) -> list:
-    return [owner, tokens, lead, 0]
+        self.sums["g"][rows] = s = self.sums["g"][rows] + np.einsum("nh,nh->n", g, g) * np.float32(1 / g.shape[1])
+        g *= (RATE / np.sqrt(s))[:, None]
+        self.m.g[rows] -= g
 
 
 def windows(docs, lanes: int = LANES, steps: int = STEPS):
-    """Windows over documents that run side by side: yields (lanes in use, owners, tokens, first, real).
+    """Windows over documents that run side by side: yields (owners, tokens, first, real, lanes that go on).
 
-    ``docs``: iterable of (owner, tokens) or (owner, tokens, lead); the first ``lead`` tokens are read only. A lane takes the next document when its own ends; lanes left idle are dropped.
+    ``docs``: iterable of (owner, tokens). A lane takes the next document when its own ends; lanes left idle are dropped.
     """
     docs = iter(docs)
-    running: list = []  # [owner, tokens, lead, place]
+    running: list = []  # [owner, tokens, place]
     ended = False
     while True:
-        fresh = []
         while not ended and len(running) < lanes:
             doc = next(docs, None)
             if doc is None:
                 ended = True
             else:
-                running.append(_lane(*doc))
+                running.append([*doc, 0])
         if not running:
             return
         tokens = np.zeros((steps, len(running)), np.int64)
         owner = np.full(tokens.shape, -1, np.int64)
-        first, real = np.zeros(tokens.shape, bool), np.zeros(tokens.shape, bool)
+        first = np.zeros(tokens.shape, bool)
         for lane, run in enumerate(running):
             t = 0
             while t < steps and run is not None:
-                own, seq, lead, at = run
+                own, seq, at = run
                 n = min(steps - t, len(seq) - at)
                 tokens[t : t + n, lane], owner[t : t + n, lane] = seq[at : at + n], own
-                real[t + max(0, lead - at) : t + n, lane] = True
                 first[t, lane] = at == 0
-                run[3], t = at + n, t + n
-                if run[3] == len(seq):
+                run[2], t = at + n, t + n
+                if run[2] == len(seq):
                     doc = None if ended else next(docs, None)
                     ended = ended or doc is None
-                    run = running[lane] = _lane(*doc) if doc is not None else None
-        fresh = [i for i, run in enumerate(running) if run is not None]
-        yield owner, tokens, first, real, fresh
-        running = [running[i] for i in fresh]
+                    run = running[lane] = [*doc, 0] if doc is not None else None
+        stay = [i for i, run in enumerate(running) if run is not None]
+        yield owner, tokens, first, owner >= 0, stay
+        running = [running[i] for i in stay]
 
 
 def _run(docs, step, hidden: int, head: int, lanes: int = LANES):
@@ -359,13 +425,6 @@ def _run(docs, step, hidden: int, head: int, lanes: int = LANES):
         before = tokens[-1, stay]
 
 
-def pieces(tokens: np.ndarray):
-    """A training document in pieces that run side by side; each after the first reads one token of its predecessor."""
-    yield 0, tokens[:PIECE], 0
-    for k in range(PIECE, len(tokens), PIECE):
-        yield 0, tokens[k - 1 : k + PIECE], 1
-
-
 def head_size(by_count: list, total: int) -> int:
     """Number of most frequent words that make up SHARE of ``total`` tokens; by_count: (count, words with it)."""
     size, left = 0, SHARE * total
@@ -375,25 +434,123 @@ def head_size(by_count: list, total: int) -> int:
     return max(HEAD, size)
 
 
+def most_frequent(counts: DataFrame, by_count: list, size: int) -> pd.DataFrame:
+    """The ``size`` most frequent words (h, c), ties by hash; no more than about that many rows reach the driver."""
+    taken, least, tied = 0, 0, 0
+    for c, n in sorted(by_count, reverse=True):
+        if taken + n > size:
+            least, tied = c, n
+            break
+        taken += n
+    top = counts.where(F.col("c") > least).toPandas()
+    need, reach = size - taken, 1.0
+    while tied and need:
+        # Hashes are spread evenly, so the least ones of the tied words lie below a bound known in advance.
+        share = min(1.0, reach * (need + 8 * math.sqrt(need) + 64) / tied)
+        edge = min(2**63 - 1, -(2**63) + int(share * 2**64))
+        some = counts.where((F.col("c") == least) & (F.col("h") <= edge)).toPandas()
+        if len(some) >= need or share == 1.0:
+            top = pd.concat([top, some.nsmallest(need, "h")])
+            break
+        reach *= 2
+    return top.sort_values(["c", "h"], ascending=[False, True])
+
+
+def vocabulary(train: DataFrame) -> dict:
+    """Counts of all words (a table), the words at hand, most frequent first, and what scores need of them."""
+    counts = materialise(train.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
+    by_count = [tuple(r) for r in counts.groupBy("c").count().collect()]  # as many rows as there are different counts
+    total, distinct = sum(c * n for c, n in by_count), sum(n for _, n in by_count)
+    size = head_size(by_count, total)
+    top = most_frequent(counts, by_count, max(COUNTED, size))
+    h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    head = c[:size]
+    rest, below = total - int(head.sum()), total + 0.1 * (distinct + 1)
+    rest_below = rest + 0.1 * (distinct - len(head) + 1)
+    return {
+        "table": counts, "hashes": h, "counts": head, "rest": float(rest), "total": total, "below": below, "rest_below": rest_below,
+        "base": np.log10((c + 0.1) / below), "share": np.log10((c + 0.1) / rest_below),
+    }
+
+
+_DOC, _RARE = 0, 1
+_TOKENS = "kind byte, uid long, doc long, held_out boolean, n_tokens long, n_known long, base double, share double, ids binary, h long, n long"
+
+
+def _width(head: int) -> str:
+    return "<u2" if head < 1 << 16 else "<u4"
+
+
+def _look_up(shared):
+    """A row per document with its tokens, and a row per document and word that is not at hand."""
+    names = [x.split()[0] for x in _TOKENS.split(", ")]
+
+    def run(batches):
+        s = shared.value
+        places, head = Places(s["hashes"]), s["head"]  # the model's tokens come first
+        base_of, share_of, width = s["base"], s["share"], _width(head)
+        uid = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            size = batch.num_rows
+            n_tokens, n_known, base, share, ids = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size), []
+            rare: list = []
+            for i, text in enumerate(_texts(batch)):
+                words = ascii_words(text)
+                at = places.of(words)
+                found = at[at >= 0]
+                n_tokens[i], n_known[i] = len(at), len(found)
+                base[i], share[i] = base_of[found].sum(), share_of[found[found >= head]].sum()
+                if len(found) < len(at):
+                    left = [xxhash.xxh3_64_intdigest(w) for w, k in zip(words, at.tolist(), strict=False) if k < 0] + [END] * (places.end < 0)
+                    left, n = np.unique(np.array(left, np.uint64).view(np.int64), return_counts=True)
+                    rare.append((np.full(len(left), i), left, n))
+                ids.append(np.where((at < 0) | (at >= head), head, at).astype(width).tobytes())
+            own = uid + np.arange(size)
+            uid += size
+            none = np.zeros(size, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, _DOC, np.int8)), pa.array(own), batch.column("doc"), batch.column("held_out"), *map(pa.array, (n_tokens, n_known, base, share)), pa.array(ids, pa.binary()), *map(pa.array, (none, none))],
+                names=names,
+            )
+            if rare:
+                i, words, n = (np.concatenate(x) for x in zip(*rare, strict=True))
+                k = len(i)
+                none, nothing = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(k, _RARE, np.int8)), pa.array(own[i]), none, pa.array(np.zeros(k, bool)), none, none, nothing, nothing, pa.nulls(k, pa.binary()), pa.array(words), pa.array(n.astype(np.int64))], names=names
+                )
+
+    return run
+
+
+def look_up(rows: DataFrame, vocab: dict) -> DataFrame:
+    """Documents (doc, held_out, text) as the places of their words, in the shared folder."""
+    send = rows.sparkSession.sparkContext.broadcast({k: vocab[k] for k in ("hashes", "base", "share")} | {"head": len(vocab["counts"])})
+    return materialise(rows.mapInArrow(_look_up(send), _TOKENS), "lm-tokens")
+
+
+_COPY = "piece int, part int, tokens double, flat binary"
+
+
 def _train(shared):
     """A trained copy of the model in pieces, weighted by the tokens it has seen."""
 
     def run(batches):
         start = shared.value
-        model = Model(start["counts"], start["rest"])
-        trainer, places, seen = Trainer(model), Places(start["hashes"]), 0
+        model = Model(start["counts"], start["rest"], weights=start["weights"])
+        trainer, width, seen = Trainer(model, start["sums"]), _width(model.head), 0
 
         def docs():
             nonlocal seen
             for batch in batches:
-                for text in _texts(batch):
-                    at = places.of(ascii_words(text))
+                for ids in batch.column("ids").to_pylist():
+                    at = np.frombuffer(ids, width)
                     seen += len(at)
-                    yield from pieces(np.where(at < 0, model.head, at))
+                    yield 0, at
 
-        _run(docs(), lambda owner, tokens, first, real, h, before: trainer.window(tokens, first, real, h, before), model.hidden, model.head, LEARN_LANES)
+        _run(docs(), lambda owner, tokens, first, real, h, before: trainer.window(tokens, first, real, h, before), model.hidden, model.head)
         if seen:
-            flat = np.concatenate([v.ravel() for v in model.weights().values()]).astype(np.float32)
+            flat = np.concatenate([v.ravel() for v in (*model.weights().values(), *trainer.sums.values())])
             part = TaskContext.get().partitionId()
             for k, piece in enumerate(np.array_split(flat, -(-flat.size // _PIECE))):
                 yield pa.RecordBatch.from_pydict(
@@ -411,41 +568,51 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "part": [int(pdf["part"].min())], "tokens": [tokens], "flat": [(total / tokens).astype(np.float32).tobytes()]})
 
 
-_COPY = "piece int, part int, tokens double, flat binary"
-_DOC, _RARE = 0, 1
-_SCORED = "kind byte, uid long, doc long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, n long"
+def _unpack(flat: np.ndarray, *like: dict) -> list[dict]:
+    out, at = [], 0
+    for part in like:
+        out.append({})
+        for k, v in part.items():
+            out[-1][k] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+    return out
+
+
+def learn(tokens: DataFrame, vocab: dict, rounds: int = ROUNDS, copy_tokens: int = COPY_TOKENS) -> dict:
+    """Weights learned from the training documents of ``tokens``."""
+    context = tokens.sparkSession.sparkContext
+    start = {k: vocab[k] for k in ("counts", "rest")}
+    model = Model(start["counts"], start["rest"])
+    weights, sums = model.weights(), Trainer.start(model)
+    copies = max(1, min(COPIES, round(vocab["total"] / (rounds * copy_tokens))))
+    key = F.xxhash64("doc", "ids")
+    docs = tokens.where((F.col("kind") == _DOC) & ~F.col("held_out")).select("ids", "n_tokens", key.alias("key"))
+    docs = docs.withColumn("round", F.pmod("key", F.lit(rounds))).withColumn("copy", F.pmod(F.floor(F.col("key") / rounds), F.lit(copies)).cast("int"))
+    for r in range(rounds):
+        send = context.broadcast(start | {"weights": weights, "sums": sums})
+        dealt = docs.where(F.col("round") == r).repartitionById(copies, "copy")
+        ordered = dealt.sortWithinPartitions(F.desc(F.when(F.col("n_tokens") > LONG, F.col("n_tokens")).otherwise(0)), "key").select("ids")
+        trained = materialise(ordered.mapInArrow(_train(send), _COPY), "lm-copies")
+        halfway = trained.groupBy("piece", F.floor(F.col("part") / 64).alias("g")).applyInPandas(_average, _COPY)
+        flat = sorted(halfway.groupBy("piece").applyInPandas(_average, _COPY).collect(), key=lambda x: x["piece"])  # one model
+        discard(trained)
+        if flat:
+            weights, sums = _unpack(np.concatenate([np.frombuffer(x["flat"], np.float32) for x in flat]), weights, sums)
+    return weights
+
+
+_SCORED = "uid long, doc long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
 def _score(shared):
-    """A row per document, and a row per document and rarer word."""
+    names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches):
         s = shared.value
         model = Model(s["counts"], s["rest"], weights=s["weights"])
-        places, head = Places(s["counted"]), model.head  # the model's tokens come first
-        base_of, share_of = s["base"], s["share"]
-        uid = TaskContext.get().partitionId() << 40
-        names = [x.split()[0] for x in _SCORED.split(", ")]
+        width = _width(model.head)
         for batch in batches:
-            size = batch.num_rows
-            n_tokens, n_known, base, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-            rare: list = []
-
-            def docs(batch=batch, size=size, n_tokens=n_tokens, n_known=n_known, base=base, score=score, rare=rare):
-                texts = list(_texts(batch))
-                # The longest first, so that all lanes stay busy to the end.
-                for i in sorted(range(size), key=lambda k: -len(texts[k])):
-                    words = ascii_words(texts[i])
-                    at = places.of(words)
-                    found = at[at >= 0]
-                    n_tokens[i], n_known[i] = len(at), len(found)
-                    base[i], score[i] = base_of[found].sum(), share_of[found[found >= head]].sum()
-                    if len(found) < len(at):
-                        left = [xxhash.xxh3_64_intdigest(w) for w, k in zip(words, at.tolist(), strict=False) if k < 0] + [END] * (places.end < 0)
-                        left, n = np.unique(np.array(left, np.uint64).view(np.int64), return_counts=True)
-                        rare.append((np.full(len(left), i), left, n))
-                    yield i, np.where((at < 0) | (at >= head), head, at)
-
+            score, docs = batch.column("share").to_numpy(zero_copy_only=False).copy(), [np.frombuffer(x, width) for x in batch.column("ids").to_pylist()]
             waiting: list = []
 
             def output(waiting=waiting, score=score):
@@ -458,76 +625,45 @@ def _score(shared):
             def step(owner, tokens, first, real, h, before, waiting=waiting, output=output):
                 _, states, _, last = model.forward(tokens, first, h, before)
                 at = np.flatnonzero(real.ravel())
-                waiting.append((states.reshape(-1, model.hidden)[at], tokens.ravel()[at], owner.ravel()[at]))
-                if sum(len(x) for _, x, _ in waiting) >= LANES * STEPS:
+                waiting.append((states.reshape(-1, model.hidden + 1)[at], tokens.ravel()[at], owner.ravel()[at]))
+                if sum(len(x) for _, x, _ in waiting) >= 2 * LANES * STEPS:
                     output()
                 return last
 
-            _run(docs(), step, model.hidden, model.head)
+            # The longest first, so that all lanes stay busy to the end.
+            _run(((i, docs[i]) for i in sorted(range(len(docs)), key=lambda k: -len(docs[k]))), step, model.hidden, model.head)
             output()
-            own = uid + np.arange(size)
-            uid += size
-            none = np.zeros(size, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(size, _DOC, np.int8)), pa.array(own), batch.column("doc"), batch.column("held_out"), *map(pa.array, (n_tokens, n_known, base, score, none, none))], names=names
-            )
-            if rare:
-                i, words, n = (np.concatenate(x) for x in zip(*rare, strict=True))
-                k = len(i)
-                none, nothing = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, _RARE, np.int8)), pa.array(own[i]), none, pa.array(np.zeros(k, bool)), none, none, nothing, nothing, pa.array(words), pa.array(n.astype(np.int64))], names=names
-                )
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(score)], names=names)
 
     return run
 
 
-def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def score(tokens: DataFrame, vocab: dict, weights: dict, doc: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("held_out", is_held_out("doc"))
-    train = rows.where(~F.col("held_out")).select("text")
-    counts = materialise(train.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-
-    # The first ``size`` rows are the model's own tokens; COUNTED rows at least are at hand.
-    size = head_size([tuple(r) for r in counts.groupBy("c").count().collect()], total)
-    top = counts.orderBy(F.desc("c"), "h").limit(max(COUNTED, size)).toPandas()
-    h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    head = c[:size]
-    rest, rest_words = total - int(head.sum()), distinct - len(head)
-    below = total + 0.1 * (distinct + 1)
-    rest_below = rest + 0.1 * (rest_words + 1)
-    start = {"counts": head, "rest": float(rest), "hashes": h[:size]}
-
-    send = spark.sparkContext.broadcast(start)
-    copies = materialise(train.mapInArrow(_train(send), _COPY), "lm-copies")
-    halfway = copies.groupBy("piece", F.floor(F.col("part") / 64).alias("g")).applyInPandas(_average, _COPY)
-    flat = sorted(halfway.groupBy("piece").applyInPandas(_average, _COPY).collect(), key=lambda r: r["piece"])  # one model
-    model = Model(head, float(rest))
-    weights, at = model.weights(), 0
-    if flat:
-        joined = np.concatenate([np.frombuffer(r["flat"], np.float32) for r in flat])
-        for k, v in weights.items():
-            weights[k] = joined[at : at + v.size].reshape(v.shape)
-            at += v.size
-    send = spark.sparkContext.broadcast(
-        start | {"weights": weights, "counted": h, "base": np.log10((c + 0.1) / below), "share": np.log10((c + 0.1) / rest_below)}
-    )
-    scored = materialise(rows.mapInArrow(_score(send), _SCORED), "lm-scored")
-    rare = scored.where(F.col("kind") == _RARE).select("uid", "h", "n").join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    send = tokens.sparkSession.sparkContext.broadcast({k: vocab[k] for k in ("counts", "rest")} | {"weights": weights})
+    own = tokens.where(F.col("kind") == _DOC).select("uid", "doc", "held_out", "n_tokens", "n_known", "base", "share", "ids")
+    scored = own.mapInArrow(_score(send), _SCORED)
+    rare = tokens.where(F.col("kind") == _RARE).select("uid", "h", "n").join(vocab["table"], "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(float(below)))).alias("more_base"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(float(rest_below)))).alias("more_score"),
+        F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(float(vocab["below"])))).alias("more_base"),
+        F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(float(vocab["rest_below"])))).alias("more_score"),
     )
     zero = F.lit(0)
-    return scored.where(F.col("kind") == _DOC).join(rare, "uid", "left").select(
+    return scored.join(rare, "uid", "left").select(
         F.col("doc").alias(doc),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", zero)).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
+        F.lit(vocab["total"]).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
     )
+
+
+def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Count, look up, learn and score: a row for every row of ``docs``."""
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("held_out", is_held_out("doc"))
+    vocab = vocabulary(rows.where(~F.col("held_out")).select("text"))
+    tokens = look_up(rows, vocab)
+    return score(tokens, vocab, learn(tokens, vocab), doc)

@@ -11,13 +11,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a local one if all tasks run on this machine, else an error.
+
+    On a cluster every executor would write such a folder on its own disk, and what a later scan finds would be a part of it.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -47,6 +53,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialise`` wrote and nothing will read again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        system, path = fs.FileSystem.from_uri(folder)
+        system.delete_dir(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

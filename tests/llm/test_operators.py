@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,7 +385,7 @@ def test_larger_classes_are_a_distribution():
     model = gru_lm.Model(np.arange(5000, 0, -1), 30.0)
     states = np.random.default_rng(1).standard_normal((1, model.hidden)).astype(np.float32)
     out, _ = model.output(np.repeat(states, model.head + 1, 0), np.arange(model.head + 1))
-    assert model.size > gru_lm.CLASS and abs(np.exp(out).sum() - 1) < 1e-4
+    assert model.side > gru_lm.SIDE and model.parts > model.deep > 0 and abs(np.exp(out).sum() - 1) < 1e-4
 
 
 def test_windows_carry_whole_documents():
@@ -398,33 +399,88 @@ def test_windows_carry_whole_documents():
     assert {k: v for k, v in seen.items()} == {k: list(v) for k, v in docs}
 
 
-def test_pieces_learn_every_token_once():
-    text = np.arange(2 * gru_lm.PIECE + 7)
-    learned, at_start = [], 0
-    for owner, tokens, first, real, _ in gru_lm.windows(gru_lm.pieces(text), lanes=2, steps=8):
-        learned += tokens[real].tolist()
-        at_start += first.sum()
-    assert sorted(learned) == text.tolist() and at_start == 3
+def test_long_documents_start_once():
+    text = np.arange(5000)
+    starts = sum(int(first.sum()) for _, _, first, _, _ in gru_lm.windows([(0, text), (1, text[:3])], lanes=2, steps=8))
+    assert starts == 2
+
+
+def by_token(model, places):
+    """Log10 probability of tokens one at a time, every outcome's share written out."""
+    w = {k: v.astype(np.float64) for k, v in model.weights().items()}
+    hid, side, few = model.hidden, model.side, -(-model.flat // model.side)
+    share = lambda x, state: np.exp(v := state @ x[:-1] + x[-1]) / np.exp(v).sum()
+    h, before, total = np.zeros(hid), model.head + 1, 0.0
+    for t in places:
+        a = w["g"][before] + h @ w["u"]
+        z, c = 1 / (1 + np.exp(-a[:hid])), np.tanh(a[hid:] / 2)
+        h, before = z * h + (1 - z) * c, t
+        if t == model.head:
+            p = share(w["top"][0], h)[-1]
+        elif t < model.flat:
+            p = share(w["top"][0], h)[t // side] * share(w["mid"][t // side], h)[t % side]
+        else:
+            part, word = divmod(t - model.flat, side)
+            node = few + part // side
+            p = share(w["top"][0], h)[node] * share(w["mid"][node], h)[part % side] * share(w["low"][part], h)[word]
+        total += np.log10(p)
+    return total
+
+
+def test_scores_token_by_token(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "HEAD", 150)
+    monkeypatch.setattr(gru_lm, "COUNTED", 180)  # rarer words take the join
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(4000)]
+    rows = [(k, " ".join(words[k * 25 : k * 25 + rng.randint(1, 25)])) for k in range(160)] + [(900, None), (901, "unseen " * 300), (902, " ".join(words[:3000]))]
+    docs = docs_of(spark, rows).selectExpr("doc_id AS doc", "text").withColumn("held_out", gru_lm.is_held_out("doc"))
+    vocab = gru_lm.vocabulary(docs.where("not held_out").select("text"))
+    tokens = gru_lm.look_up(docs, vocab)
+    weights = gru_lm.learn(tokens, vocab, rounds=2, copy_tokens=1500)
+    again = gru_lm.learn(tokens.repartition(7), vocab, rounds=2, copy_tokens=1500)
+    assert all(np.array_equal(weights[k], again[k]) for k in weights)  # however the table is stored
+    model = gru_lm.Model(vocab["counts"], vocab["rest"], weights=weights)
+    assert model.parts and not np.allclose(model.low, gru_lm.Model(vocab["counts"], vocab["rest"]).low)
+    counted = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [*ascii_words((t or "").encode()), b"\nend"])
+    place = {h: k for k, h in enumerate(vocab["hashes"].view(np.uint64).tolist()[: model.head])}
+    rest = sum(counted.values()) - int(vocab["counts"].sum())
+    below = rest + 0.1 * (len(counted) - model.head + 1)
+    for r in gru_lm.score(tokens, vocab, weights, "doc").collect():
+        ws = [*ascii_words((dict(rows)[r.doc] or "").encode()), b"\nend"]
+        at = [place.get(xxhash.xxh3_64_intdigest(w), model.head) for w in ws]
+        want = by_token(model, at) + sum(np.log10((counted[w] + 0.1) / below) for w, k in zip(ws, at) if k == model.head)
+        assert abs(r.score - want) < 1e-3 * max(1, abs(want)), r.doc
+
+
+def test_most_frequent_words(spark):
+    counts = spark.createDataFrame([((k * 0x9E3779B97F4A7C15) % 2**64 - 2**63, 1 + (k % 50 == 0) * 3) for k in range(1, 3000)], "h long, c long")
+    by_count = [tuple(r) for r in counts.groupBy("c").count().collect()]
+    rows = sorted(((-r.c, r.h) for r in counts.collect()))
+    for size in (0, 10, 59, 60, 700, 2999, 5000):
+        got = gru_lm.most_frequent(counts, by_count, size)
+        assert [(-c, h) for h, c in zip(got["h"], got["c"])] == rows[:size]
 
 
 def test_gradient_of_a_window():
     rng = np.random.default_rng(3)
-    model = gru_lm.Model(np.arange(70, 0, -1), 5.0, hidden=4)
+    model = gru_lm.Model(np.arange(90, 0, -1), 5.0, hidden=4)
     for k, v in model.weights().items():
         setattr(model, k, v.astype(np.float64))
-    tokens, first = rng.integers(0, 71, (6, 5)), rng.random((6, 5)) < 0.2
-    real, h, before = rng.random((6, 5)) < 0.8, np.zeros((5, 4), np.float32), rng.integers(0, 71, 5)
+    tokens, first = rng.integers(0, 91, (6, 5)), rng.random((6, 5)) < 0.2
+    real, h, before = rng.random((6, 5)) < 0.8, np.zeros((5, 4), np.float32), rng.integers(0, 91, 5)
     at = np.flatnonzero(real.ravel())
 
     def loss():
         _, states, _, _ = model.forward(tokens, first, h, before)
-        return -model.output(states.reshape(-1, 4)[at].astype(np.float64), tokens.ravel()[at])[0].astype(np.float64).sum()
+        return -model.output(states.reshape(-1, 5)[at].astype(np.float64), tokens.ravel()[at])[0].astype(np.float64).sum()
 
     class Keep(gru_lm.Trainer):
-        def _step(self, grads, inputs, d_x, n):
-            self.grads = dict(grads)
-            self.grads["g"] = np.zeros_like(model.g)
-            np.add.at(self.grads["g"], inputs.ravel(), d_x.reshape(inputs.size, -1))
+        def _step(self, grads, d_u, inputs, d_x, n):
+            self.grads = {"u": d_u, "g": np.zeros_like(model.g)}
+            np.add.at(self.grads["g"], inputs, d_x)
+            for k, (touched, g) in grads.items():
+                self.grads[k] = np.zeros_like(getattr(model, k))
+                self.grads[k][touched] = g
 
     trainer = Keep(model)
     trainer.window(tokens, first, real, h, before)
