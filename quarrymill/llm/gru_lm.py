@@ -1,11 +1,11 @@
 """Operator 9: scoring by a gated recurrent language model.
 
-1. Words of all training documents are counted (a task sends its own counts,
-   a group-by adds them up).
+1. Texts are read and split once, into chunks of documents with words numbered
+   in each; from these the words of all training documents are counted.
 2. The most frequent words that make up ``SHARE`` of all training tokens, so
    more of them in a larger corpus, are the model's own; all others are one
    more outcome, within which a word's share follows its count. Every document
-   is looked up once and kept as the places of its words.
+   is kept as the places of its words.
 3. Training documents are dealt by a hash of id and words to rounds and, within
    a round, to copies of the model; how many there are follows from the number
    of training tokens alone, not from how the table is stored. A copy learns
@@ -38,7 +38,6 @@ read, so other columns may have any name.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -58,23 +57,27 @@ HEAD = 2048
 SIDE = 8
 COUNTED = 1 << 18
 HIDDEN = 24
-LANES = 512
+LANES = 1024
 STEPS = 24
+#: How many times as many steps a window may have when few lanes are left.
+LONGER = 16
 #: Rows of the first softmax, and blocks of the others, at a time, so that tables stay in a core's cache.
 BLOCK = 1024
 BLOCKS = 96
 #: Rows in a block of tokens with the same class, and with the same part of a class.
 CLASS_ROWS, PART_ROWS = 32, 8
-RATE = 0.07
+RATE = 0.15
 #: Where sums of squares start.
 SQUARES = 1e-7
 #: Rounds of learning, training tokens to a copy and round, and the largest number of copies.
-ROUNDS = 4
-COPY_TOKENS = 1 << 20
+ROUNDS = 2
+COPY_TOKENS = 1 << 22
 COPIES = 1024
 #: Documents of more tokens come first in a copy, by length.
 LONG = 256
-FLUSH = 1 << 18
+#: Tokens, and different words, after which a chunk of documents ends.
+CHUNK = 1 << 22
+WORDS = 1 << 19
 #: Hash of the end token: it holds a line break, which no word does.
 END = xxhash.xxh3_64_intdigest(b"\nend")
 #: Numbers in a piece of a copy.
@@ -83,56 +86,63 @@ _PIECE = 1 << 18
 _LIMIT = np.float32(80)
 
 
-class Places(dict):
-    """Place of a word in a list of hashes, or -1; words are remembered up to a bound."""
+class Words(dict):
+    """Numbers of words in order of their first occurrence; the end token, a line break, is 0."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.table = {h: i for i, h in enumerate(hashes.view(np.uint64).tolist())}
-        self.end = self.table.get(END, -1)
+    def __init__(self):
+        super().__init__({b"\n": 0})
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
-            self.clear()
-        self[word] = at = self.table.get(xxhash.xxh3_64_intdigest(word), -1)
-        return at
+        self[word] = number = len(self)
+        return number
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Places of the words and of the end token."""
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out[-1] = self.end
-        return out
+    def hashes(self) -> np.ndarray:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
+        h[0] = END
+        return h.view(np.int64)
 
 
 def is_held_out(doc: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _texts(batch):
-    return (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist())
+_CHUNK = "docs array<long>, held array<boolean>, sizes binary, ids binary, words binary, counts binary"
 
 
-def _count(batches):
-    counts: Counter = Counter()
-    docs = 0
+def _chunks(batches):
+    """Documents put together: their ids, numbers of tokens and word numbers, and each word's hash and count in training documents."""
+    types = (pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4)
+    words, docs, held, ids, size = Words(), [], [], [], 0
 
     def flush():
-        words = list(counts)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-        n = np.fromiter(counts.values(), np.int64, len(words))
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+        nonlocal words, docs, held, ids, size
+        learned = [x for x, out in zip(ids, held, strict=True) if not out]
+        counts = np.bincount(np.concatenate(learned), minlength=len(words)) if learned else np.zeros(len(words), np.int64)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        row = (docs, held, sizes.tobytes(), np.concatenate(ids).tobytes(), words.hashes().tobytes(), counts.astype(np.int64).tobytes())
+        words, docs, held, ids, size = Words(), [], [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _CHUNK.split(", ")])
 
     for batch in batches:
-        for text in _texts(batch):
-            docs += 1
-            counts.update(ascii_words(text))
-            if len(counts) >= FLUSH:
+        for doc, out, text in zip(batch.column("doc").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            found = ascii_words(text or b"")
+            own = np.zeros(len(found) + 1, np.uint32)
+            own[:-1] = np.fromiter(map(words.__getitem__, found), np.uint32, len(found))
+            docs.append(doc)
+            held.append(out)
+            ids.append(own)
+            size += len(own)
+            if size >= CHUNK or len(words) >= WORDS:
                 yield flush()
-    if counts:
-        yield flush()
     if docs:
-        yield pa.RecordBatch.from_arrays([pa.array([END], pa.uint64()).view(pa.int64()), pa.array([docs], pa.int64())], names=["h", "n"])
+        yield flush()
+
+
+def _count(batches):
+    for batch in batches:
+        for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            h, n = np.frombuffer(words, np.int64), np.frombuffer(counts, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 0]), pa.array(n[n > 0])], names=["h", "n"])
 
 
 class Model:
@@ -380,6 +390,7 @@ def windows(docs, lanes: int = LANES, steps: int = STEPS):
     """Windows over documents that run side by side: yields (owners, tokens, first, real, lanes that go on).
 
     ``docs``: iterable of (owner, tokens). A lane takes the next document when its own ends; lanes left idle are dropped.
+    With few lanes left, windows are longer, so that a window still holds a fair number of tokens.
     """
     docs = iter(docs)
     running: list = []  # [owner, tokens, place]
@@ -393,14 +404,15 @@ def windows(docs, lanes: int = LANES, steps: int = STEPS):
                 running.append([*doc, 0])
         if not running:
             return
-        tokens = np.zeros((steps, len(running)), np.int64)
+        long = steps * max(1, min(LONGER, lanes // (8 * len(running))))
+        tokens = np.zeros((long, len(running)), np.int64)
         owner = np.full(tokens.shape, -1, np.int64)
         first = np.zeros(tokens.shape, bool)
         for lane, run in enumerate(running):
             t = 0
-            while t < steps and run is not None:
+            while t < long and run is not None:
                 own, seq, at = run
-                n = min(steps - t, len(seq) - at)
+                n = min(long - t, len(seq) - at)
                 tokens[t : t + n, lane], owner[t : t + n, lane] = seq[at : at + n], own
                 first[t, lane] = at == 0
                 run[2], t = at + n, t + n
@@ -456,9 +468,9 @@ def most_frequent(counts: DataFrame, by_count: list, size: int) -> pd.DataFrame:
     return top.sort_values(["c", "h"], ascending=[False, True])
 
 
-def vocabulary(train: DataFrame) -> dict:
+def vocabulary(chunks: DataFrame) -> dict:
     """Counts of all words (a table), the words at hand, most frequent first, and what scores need of them."""
-    counts = materialise(train.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
+    counts = materialise(chunks.select("words", "counts").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     by_count = [tuple(r) for r in counts.groupBy("c").count().collect()]  # as many rows as there are different counts
     total, distinct = sum(c * n for c, n in by_count), sum(n for _, n in by_count)
     size = head_size(by_count, total)
@@ -487,46 +499,47 @@ def _look_up(shared):
 
     def run(batches):
         s = shared.value
-        places, head = Places(s["hashes"]), s["head"]  # the model's tokens come first
-        base_of, share_of, width = s["base"], s["share"], _width(head)
+        order = np.argsort(s["hashes"], kind="stable")
+        known, head = s["hashes"][order], s["head"]  # the model's tokens come first
+        base_of, share_of, width = np.append(s["base"], 0), np.append(np.where(np.arange(len(known)) < head, 0, s["share"]), 0), _width(head)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            size = batch.num_rows
-            n_tokens, n_known, base, share, ids = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size), []
-            rare: list = []
-            for i, text in enumerate(_texts(batch)):
-                words = ascii_words(text)
-                at = places.of(words)
-                found = at[at >= 0]
-                n_tokens[i], n_known[i] = len(at), len(found)
-                base[i], share[i] = base_of[found].sum(), share_of[found[found >= head]].sum()
-                if len(found) < len(at):
-                    left = [xxhash.xxh3_64_intdigest(w) for w, k in zip(words, at.tolist(), strict=False) if k < 0] + [END] * (places.end < 0)
-                    left, n = np.unique(np.array(left, np.uint64).view(np.int64), return_counts=True)
-                    rare.append((np.full(len(left), i), left, n))
-                ids.append(np.where((at < 0) | (at >= head), head, at).astype(width).tobytes())
-            own = uid + np.arange(size)
-            uid += size
-            none = np.zeros(size, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(size, _DOC, np.int8)), pa.array(own), batch.column("doc"), batch.column("held_out"), *map(pa.array, (n_tokens, n_known, base, share)), pa.array(ids, pa.binary()), *map(pa.array, (none, none))],
-                names=names,
-            )
-            if rare:
-                i, words, n = (np.concatenate(x) for x in zip(*rare, strict=True))
-                k = len(i)
-                none, nothing = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, _RARE, np.int8)), pa.array(own[i]), none, pa.array(np.zeros(k, bool)), none, none, nothing, nothing, pa.nulls(k, pa.binary()), pa.array(words), pa.array(n.astype(np.int64))], names=names
-                )
+            for chunk in batch.to_pylist():
+                words, sizes = np.frombuffer(chunk["words"], np.int64), np.frombuffer(chunk["sizes"], np.int64)
+                near = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+                place = np.where(known[near] == words, order[near], -1) if len(known) else np.full(len(words), -1)
+                ids = np.frombuffer(chunk["ids"], np.uint32)
+                starts, size = np.cumsum(sizes) - sizes, len(sizes)
+                at = place[ids]
+                sums = [np.add.reduceat(x, starts) for x in ((at >= 0).astype(np.int64), base_of[at], share_of[at])]
+                own = uid + np.arange(size)
+                uid += size
+                tokens, zero = np.where((at < 0) | (at >= head), head, at).astype(width).tobytes(), np.zeros(size, np.int64)
+                step = np.dtype(width).itemsize
+                each = [tokens[step * a : step * (a + n)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                cols = [np.full(size, _DOC, np.int8), own, pa.array(chunk["docs"], pa.int64()), pa.array(chunk["held"], pa.bool_()), sizes, *sums, pa.array(each, pa.binary()), zero, zero]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
+                rare = np.flatnonzero(at < 0)
+                if len(rare):
+                    key, n = np.unique((np.searchsorted(starts, rare, "right") - 1) * len(words) + ids[rare], return_counts=True)
+                    k = len(key)
+                    zero, nothing = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(k, _RARE, np.int8)), pa.array(own[key // len(words)]), zero, pa.array(np.zeros(k, bool)), zero, zero, nothing, nothing, pa.nulls(k, pa.binary()), pa.array(words[key % len(words)]), pa.array(n.astype(np.int64))], names=names
+                    )
 
     return run
 
 
-def look_up(rows: DataFrame, vocab: dict) -> DataFrame:
-    """Documents (doc, held_out, text) as the places of their words, in the shared folder."""
-    send = rows.sparkSession.sparkContext.broadcast({k: vocab[k] for k in ("hashes", "base", "share")} | {"head": len(vocab["counts"])})
-    return materialise(rows.mapInArrow(_look_up(send), _TOKENS), "lm-tokens")
+def chunks(rows: DataFrame) -> DataFrame:
+    """Documents (doc, held_out, text) as word numbers, in the shared folder: texts are read and split once."""
+    return materialise(rows.mapInArrow(_chunks, _CHUNK), "lm-chunks")
+
+
+def look_up(held: DataFrame, vocab: dict) -> DataFrame:
+    """The documents of ``held`` (chunks) as the places of their words, in the shared folder."""
+    send = held.sparkSession.sparkContext.broadcast({k: vocab[k] for k in ("hashes", "base", "share")} | {"head": len(vocab["counts"])})
+    return materialise(held.mapInArrow(_look_up(send), _TOKENS), "lm-tokens")
 
 
 _COPY = "piece int, part int, tokens double, flat binary"
@@ -664,6 +677,8 @@ def score(tokens: DataFrame, vocab: dict, weights: dict, doc: str = "doc_id") ->
 def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Count, look up, learn and score: a row for every row of ``docs``."""
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("held_out", is_held_out("doc"))
-    vocab = vocabulary(rows.where(~F.col("held_out")).select("text"))
-    tokens = look_up(rows, vocab)
+    held = chunks(rows)
+    vocab = vocabulary(held)
+    tokens = look_up(held, vocab)
+    discard(held)
     return score(tokens, vocab, learn(tokens, vocab), doc)

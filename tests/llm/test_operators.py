@@ -434,8 +434,10 @@ def test_scores_token_by_token(spark, monkeypatch):
     words = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(4000)]
     rows = [(k, " ".join(words[k * 25 : k * 25 + rng.randint(1, 25)])) for k in range(160)] + [(900, None), (901, "unseen " * 300), (902, " ".join(words[:3000]))]
     docs = docs_of(spark, rows).selectExpr("doc_id AS doc", "text").withColumn("held_out", gru_lm.is_held_out("doc"))
-    vocab = gru_lm.vocabulary(docs.where("not held_out").select("text"))
-    tokens = gru_lm.look_up(docs, vocab)
+    monkeypatch.setattr(gru_lm, "CHUNK", 700)
+    held = gru_lm.chunks(docs)
+    vocab = gru_lm.vocabulary(held)
+    tokens = gru_lm.look_up(held, vocab)
     weights = gru_lm.learn(tokens, vocab, rounds=2, copy_tokens=1500)
     again = gru_lm.learn(tokens.repartition(7), vocab, rounds=2, copy_tokens=1500)
     assert all(np.array_equal(weights[k], again[k]) for k in weights)  # however the table is stored
