@@ -1,26 +1,29 @@
 """Operator 3: BPE encoding and decoding, with tree concatenation for long texts.
 
-Texts of up to ``whole_chars`` characters are encoded as they are. A longer
-text is cut into segments that are encoded in parallel, as rows of their own:
-
-* where white space follows other characters a cut is exact, because no match
-  of the splitting pattern crosses such a place;
-* a stretch without such a place is cut in halves, again and again. The halves'
-  encodings are joined from the leaves up: words (matches of the pattern) next
-  to the join are split again over a growing window until a word start of the
-  window and one of the right half agree; if one word is itself long, its
-  tokens are re-encoded over a growing window until the window's first token
-  is the left half's and its last token the right half's. An encoding is the
-  right one if all neighbouring tokens are, so both sides agree exactly.
-
-Strings of special tokens are cut out first: the tokenizer does so as well.
-
-Texts and segments that need no join are encoded by ``byte_bpe`` where the
-tokenizer file allows it, else by the tokenizer's own library; ids are equal.
-
-Defined results: null encodes as the empty text (no ids); repeated rows are
-encoded each on its own; an empty table gives no rows; kept columns whose
-names clash with a result column are left out.
+A text of more than ``long_chars`` characters is cut at strings of special
+tokens, which the tokenizer cuts out as well, and each piece in halves, again
+and again, wherever the middles fall, until a part has at most
+``segment_chars`` characters. Parts are rows of their own, which tasks encode
+in parallel; shorter texts are encoded where they are read, in the same scan.
+
+The parts' encodings are then joined pair by pair, as the leaves of a tree. At
+a join the text between a certain cut on the left and one on the right is
+encoded again; the window grows on each side until such a cut, which no match
+of the splitting pattern can cross, is in it, so that what lies outside agrees
+exactly. In text without cuts the window grows over all of it; if a word there
+is long and reaches over the join, its tokens are encoded over a growing window
+until the window's first token is the left part's and its last token the right
+part's. An encoding is the right one if all neighbouring tokens are, so both
+sides agree exactly.
+
+``byte_bpe`` encodes where the tokenizer file allows it; for any other file
+every text is encoded whole by the tokenizer's own library. Ids are equal.
+
+Defined results: null encodes as the empty text (no ids); a text of any length
+has the ids of the whole text, and a task holds one text's ids; repeated rows
+are encoded each on its own; an empty table gives no rows; kept columns whose
+names clash with a result column are left out, and columns of any other name
+may be kept.
 """
 
 from __future__ import annotations
@@ -33,20 +36,25 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .byte_bpe import ByteEncoder, encoder
+from .storage import materialise
 
-WHOLE_CHARS = 1 << 20
-SEGMENT_CHARS = 1 << 17
+LONG_CHARS = 1 << 13
+SEGMENT_CHARS = 1 << 13
 #: A word of up to so many characters is encoded as a whole at a join.
 SHORT_WORD = 2048
 # Unicode's white space, which is what the splitting pattern means by it (str.isspace knows four controls more).
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SAFE_CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+# Letters and signs whose class no version of Unicode changes.
+_LETTER, _SIGN = "A-Za-zß-öø-ÿа-яぁ-ゖァ-ヺ一-龥가-힣", "!-&(-/:-@\\[-`{-~。"
+#: Places that no match crosses and where one starts: white space behind anything else, and a change of class.
+CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])|(?<=[{_LETTER}])(?=[0-9'{_SIGN}])|(?<=[0-9])(?=['{_LETTER}{_SIGN}])|(?<=[{_SIGN}])(?=[0-9{_LETTER}])")
 _BATCH_CHARS = 1 << 20
 
 _LOADED: dict[str, tuple[Tokenizer, ByteEncoder | None]] = {}
@@ -83,10 +91,6 @@ def decode_texts(path: str, ids: list[np.ndarray]) -> list[str]:
     return tok.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
 
 
-def _specials(tok: Tokenizer) -> list[str]:
-    return [t.content for t in tok.get_added_tokens_decoder().values()]
-
-
 def pieces(text: str, specials: list[str]) -> list[str]:
     """The text cut at special tokens; each special token is a piece of its own."""
     if not specials:
@@ -95,25 +99,8 @@ def pieces(text: str, specials: list[str]) -> list[str]:
 
 
 def segments(text: str, limit: int, specials: list[str]) -> list[tuple[str, bool]]:
-    """(segment, joined): joined if the segment continues the one before it without an exact cut."""
-    out: list[tuple[str, bool]] = []
-    for piece in pieces(text, specials):
-        start = 0
-        if piece in specials:
-            out.append((piece, False))
-            continue
-        while start < len(piece):
-            end = min(start + limit, len(piece))
-            if end < len(piece):
-                # The last exact cut within reach, else the first one beyond it.
-                cut = next((m for m in range(end, start, -1) if piece[m] in SPACE and piece[m - 1] not in SPACE), None)
-                if cut is None:
-                    found = SAFE_CUT.search(piece, end)
-                    cut = found.start() if found else len(piece)
-                end = cut
-            out += _halves(piece[start:end], limit, False)
-            start = end
-    return out
+    """(part, joined): joined if the part goes on where the one before it was cut in halves."""
+    return [part for p in pieces(text, specials) for part in ([(p, False)] if p in specials else _halves(p, limit, False))]
 
 
 def _halves(run: str, limit: int, joined: bool) -> list[tuple[str, bool]]:
@@ -124,86 +111,103 @@ def _halves(run: str, limit: int, joined: bool) -> list[tuple[str, bool]]:
 
 
 class Joiner:
-    """Joins the words of two halves of one text. A word is (text, ids)."""
+    """Joins the ids of neighbouring parts of a text exactly."""
 
-    def __init__(self, tok: Tokenizer):
-        self.tok, self.split = tok, tok.pre_tokenizer.pre_tokenize_str
+    def __init__(self, tok: Tokenizer, quick: ByteEncoder):
+        self.tok, self.quick = tok, quick
 
-    def words(self, text: str) -> list[str]:
-        return [text[a:b] for _, (a, b) in self.split(text)]
+    def _sizes(self, ids: np.ndarray) -> np.ndarray:
+        return np.array([len(self.quick.bytes[i]) for i in ids.tolist()], np.int64)
 
-    def encode_word(self, word: str) -> list[int]:
-        return [t.id for mapped, _ in self.split(word) for t in self.tok.model.tokenize(mapped)]
+    def _text(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.quick.bytes.__getitem__, ids.tolist()))
 
-    def leaf(self, text: str) -> list[tuple[str, list[int]]]:
-        return [(w, self.encode_word(w)) for w in self.words(text)]
-
-    def join(self, left: list, right: list) -> list:
-        if not left or not right:
-            return left or right
-        # Left words are right but for the last two: only those reach, or look at, the cut.
-        keep = max(0, len(left) - 2)
-        reach = 2
+    def tail(self, ids: np.ndarray) -> tuple[str, int]:
+        """The text behind the last certain cut, and how many tokens come before it."""
+        k = 32
+        while True:
+            k = min(k, len(ids))
+            data = self._text(ids[len(ids) - k :])
+            # A token may start within a character.
+            whole = data[next((i for i, b in enumerate(data[:4]) if b & 0xC0 != 0x80), len(data)) :].decode()
+            cuts = [m.start() for m in CUT.finditer(whole)]
+            if cuts or k == len(ids):
+                text = whole[cuts[-1] if cuts else 0 :]
+                size = len(text.encode())
+                ends = np.cumsum(self._sizes(ids[len(ids) - k :])[::-1])
+                return text, len(ids) - 1 - int(np.searchsorted(ends, size))
+            k *= 2
+
+    def head(self, ids: np.ndarray) -> tuple[str, int]:
+        """The text before the first certain cut, and how many tokens it has."""
+        k = 32
         while True:
-            reach = min(reach, len(right))
-            whole = reach == len(right)
-            tail = "".join(w for w, _ in left[keep:])
-            window = self.words(tail + "".join(w for w, _ in right[:reach]))
-            starts = np.cumsum([len(tail), *(len(w) for w, _ in right[:reach])])
-            mine = np.concatenate(([0], np.cumsum([len(w) for w in window])))
-            # The window's last word may look different with more text behind it.
-            settled = mine if whole else mine[:-2]
-            common = np.intersect1d(settled, starts)
-            if len(common):
-                q = int(common[0])
-                break
-            reach *= 2
-        middle = window[: int(np.searchsorted(mine, q))]
-        rest = right[int(np.searchsorted(starts, q)) :]
-        return left[:keep] + [(w, self._ids(w, left[keep:], right)) for w in middle] + rest
-
-    def _ids(self, word: str, left: list, right: list) -> list[int]:
-        """Ids of a word at the join; a long one is put together from the halves' tokens."""
-        if len(word) > SHORT_WORD:
-            a, b = left[-1], right[0]
-            if word == a[0] + b[0]:
-                return self.join_tokens(a[1], b[1])
-            for known, ids in (*left, b):
-                if word == known:
-                    return ids
-        return self.encode_word(word)
-
-    def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
+            k = min(k, len(ids))
+            text = self._text(ids[:k]).decode("utf-8", "ignore")
+            cut = CUT.search(text)
+            if cut or k == len(ids):
+                text = text[: cut.start()] if cut else text
+                return text, 1 + int(np.searchsorted(np.cumsum(self._sizes(ids[:k])), len(text.encode())))
+            k *= 2
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(left) or not len(right):
+            return left if len(left) else right
+        (a, i), (b, j) = self.tail(left), self.head(right)
+        return np.concatenate((left[:i], self._window(a, left[i:], b, right[:j]), right[j:]))
+
+    def _window(self, a: str, left: np.ndarray, b: str, right: np.ndarray) -> np.ndarray:
+        """Ids of the text a + b, whose parts have the ids ``left`` and ``right``."""
+        if len(a) + len(b) <= SHORT_WORD:
+            return self._encode(a + b)
+        split = self.tok.pre_tokenizer.pre_tokenize_str
+        before, behind = split(a)[-1][1], split(b)[0][1]
+        over = a[before[0] :] + b[: behind[1]]
+        out = []
+        for _, (start, end) in split(a + b):
+            word = (a + b)[start:end]
+            if start < len(a) < end and len(word) > SHORT_WORD and word == over:
+                i = len(left) - 1 - int(np.searchsorted(np.cumsum(self._sizes(left)[::-1]), len(a[before[0] :].encode())))
+                j = 1 + int(np.searchsorted(np.cumsum(self._sizes(right)), len(b[: behind[1]].encode())))
+                out.append(self.join_tokens(left[i:], right[:j]))
+            else:
+                out.append(self._encode(word))
+        return np.concatenate(out)
+
+    def _encode(self, text: str) -> np.ndarray:
+        if self.quick.takes(text):
+            return self.quick.encode(text)
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def join_tokens(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of one word from those of its halves: a window around the join grows until both sides agree."""
         name = self.tok.id_to_token
         i, j = min(8, len(left)), min(8, len(right))
         while True:
-            window = "".join(map(name, left[len(left) - i :])) + "".join(map(name, right[:j]))
-            ids = [t.id for t in self.tok.model.tokenize(window)]
+            window = "".join(map(name, left[len(left) - i :].tolist())) + "".join(map(name, right[:j].tolist()))
+            ids = np.array([t.id for t in self.tok.model.tokenize(window)], np.uint32)
             left_agrees = i == len(left) or ids[0] == left[-i]
             right_agrees = j == len(right) or ids[-1] == right[j - 1]
             if left_agrees and right_agrees:
-                return left[: len(left) - i] + ids + right[j:]
+                return np.concatenate((left[: len(left) - i], ids, right[j:]))
             i = i if left_agrees else min(2 * i, len(left))
             j = j if right_agrees else min(2 * j, len(right))
 
-    def tree(self, parts: list[list]) -> list:
+    def tree(self, parts: list[np.ndarray]) -> np.ndarray:
         while len(parts) > 1:
             parts = [self.join(*p) if len(p) == 2 else p[0] for p in (parts[k : k + 2] for k in range(0, len(parts), 2))]
-        return parts[0] if parts else []
+        return parts[0]
+
+    def whole(self, parts: list[np.ndarray], joined: list[bool]) -> np.ndarray:
+        starts = [k for k, j in enumerate(joined) if not j] + [len(parts)]
+        return np.concatenate([np.empty(0, np.uint32), *(self.tree(parts[a:b]) for a, b in pairwise(starts))])
 
 
 def encode_tree(tok: Tokenizer, text: str, limit: int) -> list[int]:
-    """Ids of a text by segments of at most ``limit`` characters, joined exactly."""
-    specials, joiner, ids = _specials(tok), Joiner(tok), []
-    cut = segments(text, limit, specials)
-    starts = [i for i, (_, joined) in enumerate(cut) if not joined] + [len(cut)]
-    for a, b in pairwise(starts):
-        if b - a == 1:
-            ids += tok.encode(cut[a][0], add_special_tokens=False).ids
-        else:
-            words = joiner.tree([joiner.leaf(s) for s, _ in cut[a:b]])
-            ids += [x for _, w in words for x in w]
-    return ids
+    """Ids of a text by parts of at most ``limit`` characters, joined exactly."""
+    quick = next((q for t, q in _LOADED.values() if t is tok), None) or encoder(tok)
+    joiner, cut = Joiner(tok, quick), segments(text, limit, sorted(quick.special))
+    return joiner.whole([joiner._encode(p) for p, _ in cut], [j for _, j in cut]).tolist()
 
 
 def _digest(ids) -> str:
@@ -231,90 +235,69 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int32)))
 
 
-def _encode_whole(path: str, keep: list[str], out: pa.Schema, with_ids: bool):
-    def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            counts, digests, decoded, ids = [], [], [], []
-            for a, b in _groups(texts):
-                found = encode_texts(path, texts[a:b])
-                counts += map(len, found)
-                digests += map(_digest, found)
-                decoded += map(_sha, decode_texts(path, found))
-                if with_ids:
-                    ids += found
-            cols = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            cols += [_lists(ids)] if with_ids else []
-            kept = [batch.column(c).cast(out.field(c).type) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *cols], names=out.names)
+_NEW = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+_PART = "__uid long, __at long, __joined boolean, __part string"
+
+
+def _results(path: str, ids: list[np.ndarray], with_ids: bool) -> list[pa.Array]:
+    decoded = [_sha(t) for t in decode_texts(path, ids)]
+    out = [pa.array(list(map(len, ids)), pa.int64()), pa.array(list(map(_digest, ids)), pa.string()), pa.array(decoded, pa.string())]
+    return [*out, _lists(ids)] if with_ids else out
 
-    return run
 
+def _first_pass(path: str, long: int, limit: int, keep: list[str], out: pa.Schema, with_ids: bool):
+    """Short texts are encoded; of long ones, each part is a row, the first with what is kept of the document."""
+    new = 3 + with_ids
 
-def _cut(path: str, limit: int):
     def run(batches):
-        specials = _specials(load(path))
+        load(path)
+        quick = _LOADED[path][1]
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("__text").to_pylist(), strict=True):
-                rows = segments(text, limit, specials)
-                yield pa.RecordBatch.from_pydict(
-                    {"uid": [uid] * len(rows), "at": range(len(rows)), "joined": [j for _, j in rows], "next": [*(j for _, j in rows[1:]), False], "segment": [s for s, _ in rows]},
-                    schema=pa.schema([("uid", pa.int64()), ("at", pa.int64()), ("joined", pa.bool_()), ("next", pa.bool_()), ("segment", pa.string())]),
-                )
+            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            is_long = np.array([quick is not None and len(t) > long for t in texts], bool)
+            kept = [batch.column(c).cast(out.field(c).type) for c in keep]
+            short = np.flatnonzero(~is_long)
+            chosen = [texts[i] for i in short]
+            for a, b in _groups(chosen):
+                rows = pa.array(short[a:b])
+                none = [pa.nulls(b - a, f.type) for f in list(out)[-4:]]
+                yield pa.RecordBatch.from_arrays([*(k.take(rows) for k in kept), *_results(path, encode_texts(path, chosen[a:b]), with_ids), *none], schema=out)
+            for i in np.flatnonzero(is_long).tolist():
+                parts = segments(texts[i], limit, sorted(quick.special))
+                n, first = len(parts), pa.array([i] + [None] * (len(parts) - 1), pa.int64())
+                none = [pa.nulls(n, f.type) for f in list(out)[len(keep) : len(keep) + new]]
+                cols = [np.full(n, uid), np.arange(n), np.array([j for _, j in parts]), [t for t, _ in parts]]
+                yield pa.RecordBatch.from_arrays([*(k.take(first) for k in kept), *none, *(pa.array(c, f.type) for c, f in zip(cols, list(out)[-4:], strict=True))], schema=out)
+                uid += 1
 
     return run
 
 
-def _encode_segments(path: str):
-    """Ids of each segment; word lengths too where a join is to follow."""
-
+def _encode_parts(path: str):
     def run(batches):
-        tok = load(path)
-        joiner = Joiner(tok)
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["joined"] or r["next"]:
-                    leaf = joiner.leaf(r["segment"])
-                    ids, sizes = [x for _, w in leaf for x in w], [(len(w), len(i)) for w, i in leaf]
-                    text = r["segment"]
-                else:
-                    ids, sizes, text = encode_texts(path, [r["segment"]])[0], [], None
-                yield pa.RecordBatch.from_pydict(
-                    {"uid": [r["uid"]], "at": [r["at"]], "joined": [r["joined"]], "ids": [np.asarray(ids, "<u4").tobytes()], "sizes": [np.asarray(sizes, "<u4").tobytes()], "segment": [text]},
-                    schema=pa.schema([("uid", pa.int64()), ("at", pa.int64()), ("joined", pa.bool_()), ("ids", pa.binary()), ("sizes", pa.binary()), ("segment", pa.string())]),
-                )
+            ids = [i.astype("<u4").tobytes() for i in encode_texts(path, batch.column("__part").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("__uid", "__at", "__joined")), pa.array(ids, pa.binary())], names=["__uid", "__at", "__joined", "ids"])
 
     return run
 
 
 def _assemble(path: str, with_ids: bool):
-    """One text's ids from its segments; what a task holds is one text and its ids."""
-
-    def leaf(ids: np.ndarray, sizes: np.ndarray, text: str) -> list:
-        out, c, t = [], 0, 0
-        for chars, tokens in sizes.reshape(-1, 2):
-            out.append((text[c : c + chars], ids[t : t + tokens].tolist()))
-            c, t = c + chars, t + tokens
-        return out
+    """One text's ids from its parts; what a task holds is one text's ids."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tok, pdf = load(path), pdf.sort_values("at")
-        joiner, ids = Joiner(tok), []
-        rows = [(j, np.frombuffer(i, "<u4"), np.frombuffer(s, "<u4"), t) for j, i, s, t in zip(pdf["joined"], pdf["ids"], pdf["sizes"], pdf["segment"], strict=True)]
-        starts = [k for k, r in enumerate(rows) if not r[0]] + [len(rows)]
-        for a, b in pairwise(starts):
-            if b - a == 1:
-                ids += rows[a][1].tolist()
-            else:
-                ids += [x for _, w in joiner.tree([leaf(*r[1:]) for r in rows[a:b]]) for x in w]
-        out = {"uid": [pdf["uid"].iloc[0]], "n_tokens": [len(ids)], "ids_sha256": [_digest(ids)], "decoded_sha256": [_sha(decode_texts(path, [np.asarray(ids, np.uint32)])[0])]}
-        return pd.DataFrame(out | ({"ids": [ids]} if with_ids else {}))
+        load(path)
+        pdf = pdf.sort_values("__at")
+        ids = Joiner(*_LOADED[path]).whole([np.frombuffer(i, "<u4") for i in pdf["ids"]], pdf["__joined"].tolist())
+        out = {"__uid": [pdf["__uid"].iloc[0]], "n_tokens": [len(ids)], "ids_sha256": [_digest(ids)], "decoded_sha256": [_sha(decode_texts(path, [ids])[0])]}
+        return pd.DataFrame(out | ({"ids": [ids.astype(np.int32)]} if with_ids else {}))
 
     return run
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer: str, keep: list[str] | None = None, text: str = "text", with_ids: bool = False, whole_chars: int = WHOLE_CHARS, segment_chars: int = SEGMENT_CHARS
+    docs: DataFrame, tokenizer: str, keep: list[str] | None = None, text: str = "text", with_ids: bool = False, whole_chars: int = LONG_CHARS, segment_chars: int = SEGMENT_CHARS
 ) -> DataFrame:
     """The ``keep`` columns with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
 
@@ -322,17 +305,18 @@ def encode_documents(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    new = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    new = T.StructType.fromDDL(_NEW + ", ids array<int>" * with_ids)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
-    schema = T.StructType([*docs.select(*keep).schema.fields, *new.fields])
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    is_long = F.coalesce(F.char_length("__text") > whole_chars, F.lit(False))
-    whole = rows.where(~is_long).mapInArrow(_encode_whole(tokenizer, keep, to_arrow_schema(schema), with_ids), schema)
-
-    long = rows.where(is_long).withColumn("uid", F.monotonically_increasing_id())
-    cut = long.select("uid", "__text").mapInArrow(_cut(tokenizer, segment_chars), "uid long, at long, joined boolean, next boolean, segment string")
-    encoded = cut.repartition("uid", "at").mapInArrow(
-        _encode_segments(tokenizer), "uid long, at long, joined boolean, ids binary, sizes binary, segment string"
-    )
-    joined = encoded.groupBy("uid").applyInPandas(_assemble(tokenizer, with_ids), T.StructType([T.StructField("uid", T.LongType()), *new.fields]))
-    return whole.unionByName(long.select("uid", *keep).join(joined, "uid").drop("uid"))
+    named = docs.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text).alias("__text"))
+    kept = named.columns[:-1]
+    # Of a long text only the first part's row has what is kept, so all of it may be null here.
+    fields = [T.StructField(f.name, f.dataType) for f in named.schema.fields[:-1]]
+    schema = T.StructType([*fields, *new.fields, *T.StructType.fromDDL(_PART).fields])
+    first = materialise(named.mapInArrow(_first_pass(tokenizer, whole_chars, segment_chars, kept, to_arrow_schema(schema), with_ids), schema), "bpe-first")
+
+    parts = first.where("__uid is not null").select("__uid", "__at", "__joined", "__part")
+    encoded = parts.repartition("__uid", "__at").mapInArrow(_encode_parts(tokenizer), "__uid long, __at long, __joined boolean, ids binary")
+    joined = encoded.groupBy("__uid").applyInPandas(_assemble(tokenizer, with_ids), T.StructType([T.StructField("__uid", T.LongType()), *new.fields]))
+    long = first.where("__at = 0").select("__uid", *kept).join(joined, "__uid")
+    out = first.where("__uid is null").select(*kept, *new.names).unionByName(long.select(*kept, *new.names))
+    return out.select(*(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), *new.names)

@@ -123,13 +123,39 @@ def test_warc_member_layouts():
 # 3: BPE
 
 
-def test_tree_concatenation():
+def test_cuts_are_certain():
+    """Every cut stays one whatever follows: both sides' encodings make up the whole one."""
+    tok, rng = bpe.load(BPE), random.Random(5)
+    chars = "aZé漢がя09 \n\u3000'!?.,_~。\u0301s"
+    for _ in range(3000):
+        text = "".join(rng.choice(chars) for _ in range(rng.randint(2, 12)))
+        for m in bpe.CUT.finditer(text):
+            parts = [tok.encode(x, add_special_tokens=False).ids for x in (text, text[: m.start()], text[m.start() :])]
+            assert parts[0] == parts[1] + parts[2], text
+
+
+def test_long_documents_take_the_tree(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    long = docs.where(F.length("text") > bpe.LONG_CHARS).count()
+    tok = bpe.load(BPE)
+    seen = []
+    real = bpe.materialise
+    monkeypatch.setattr(bpe, "materialise", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    got = {r.doc_id: r.ids_sha256 for r in bpe.encode_documents(docs, BPE, keep=["doc_id"]).collect()}
+    assert seen[0].where("__uid is not null").select("__uid").distinct().count() == long >= 40
+    for r in docs.collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        assert got[r.doc_id] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_tree_concatenation(monkeypatch):
     tok, rng = bpe.load(BPE), random.Random(2)
     parts = ["abc", "the", "aaaa", "  ", "\n", " ", "'s", "'", "12", "é", "!!", "<|endoftext|>", "漢", "x" * 30, "ion"]
     for _ in range(300):
         some = rng.sample(parts, rng.randint(1, 6))
         text = "".join(rng.choice(some) for _ in range(rng.choice([5, 60, 300])))
-        for limit in (7, 33):
+        for limit, short in ((7, 2048), (33, 2048), (7, 4), (33, 9)):
+            monkeypatch.setattr(bpe, "SHORT_WORD", short)  # words above it are put together from tokens
             assert bpe.encode_tree(tok, text, limit) == tok.encode(text, add_special_tokens=False).ids
 
 
