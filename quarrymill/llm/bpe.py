@@ -74,9 +74,14 @@ def load(path: str) -> Tokenizer:
     return _LOADED[path][0]
 
 
+def quick_of(path: str) -> ByteEncoder | None:
+    load(path)
+    return _LOADED[path][1]
+
+
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text, as a whole."""
-    tok, quick = load(path), _LOADED[path][1]
+    tok, quick = load(path), quick_of(path)
     out: list = [quick.encode(t) if quick is not None and quick.takes(t) else None for t in texts]
     rest = [i for i, ids in enumerate(out) if ids is None]
     for i, e in zip(rest, tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
@@ -85,7 +90,7 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
 
 
 def decode_texts(path: str, ids: list[np.ndarray]) -> list[str]:
-    tok, quick = load(path), _LOADED[path][1]
+    tok, quick = load(path), quick_of(path)
     if quick is not None:
         return list(map(quick.decode, ids))
     return tok.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
@@ -250,8 +255,7 @@ def _first_pass(path: str, long: int, limit: int, keep: list[str], out: pa.Schem
     new = 3 + with_ids
 
     def run(batches):
-        load(path)
-        quick = _LOADED[path][1]
+        quick = quick_of(path)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t or "" for t in batch.column("__text").to_pylist()]
@@ -287,9 +291,8 @@ def _assemble(path: str, with_ids: bool):
     """One text's ids from its parts; what a task holds is one text's ids."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        load(path)
         pdf = pdf.sort_values("__at")
-        ids = Joiner(*_LOADED[path]).whole([np.frombuffer(i, "<u4") for i in pdf["ids"]], pdf["__joined"].tolist())
+        ids = Joiner(load(path), quick_of(path)).whole([np.frombuffer(i, "<u4") for i in pdf["ids"]], pdf["__joined"].tolist())
         out = {"__uid": [pdf["__uid"].iloc[0]], "n_tokens": [len(ids)], "ids_sha256": [_digest(ids)], "decoded_sha256": [_sha(decode_texts(path, [ids])[0])]}
         return pd.DataFrame(out | ({"ids": [ids.astype(np.int32)]} if with_ids else {}))
 

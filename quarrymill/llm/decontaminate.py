@@ -168,5 +168,7 @@ def scan_documents(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    marked = scan_documents(docs.select(*docs.columns, F.lit(0).alias("__row")), benchmark, size)
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in own.items()))
+    marked = scan_documents(renamed, benchmark, size, text=own["text"])
+    return marked.where(~F.col("contaminated")).select(*(F.col(o).alias(c) for c, o in own.items()))

@@ -1,20 +1,24 @@
 """Operator 5: main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Scripts, styles, navigation,
-headers, footers, asides, forms and elements whose class, id or role names an
-advert, a menu, a notice, a sidebar or comments are left out with all they
-contain. If the page marks its article (article, main), only blocks within it
-are considered.
-
-First pass: a block is bad if most of its text is link text; a long block is
-good if it lies in a marked article or enough of its words are stop words, and
-bad otherwise; a short block stays undecided. Second pass: an undecided block
-takes the label of its nearest decided neighbour; if neighbours at equal
-distance disagree, or there is none, it is good only in a marked article.
+A page is cut into blocks at block-level tags. Scripts, styles and other text
+that is not shown are left out. A block knows whether it lies in a marked
+article (article, main) and whether it lies in an element that is never part
+of one: navigation, headers, footers, asides, forms and elements whose class,
+id or role names an advert, a menu, a notice, a sidebar or comments.
+
+First pass: a block is bad if it lies in such an element or most of its text
+is link text, and good if it is long and enough of its words are stop words,
+in an article and outside. Short blocks and long ones with few stop words stay
+undecided. Second pass: an undecided block takes the label of its nearest
+decided neighbour on its own side of the article's edges; if neighbours at
+equal distance disagree, or there is none, it is good only in a marked article.
+Within an article, elements that are never part of one are no neighbours.
 
 Defined results: a null or empty page has an empty text; character references
-are decoded and white space inside a block is one blank; repeated rows are
-each extracted; other columns are not read.
+are decoded and white space inside a block is one blank; very long and deeply
+nested pages are read whole, in time that grows with their length; repeated
+rows are each extracted; an empty table gives no rows; other columns are not
+read, and kept columns named like a result are left out.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split()
 )
 RAW = frozenset("script style noscript template iframe textarea svg math title object select option canvas audio video".split())
-LEFT_OUT = RAW | frozenset("head nav header footer aside form button menu dialog fieldset".split())
+NEVER = frozenset("head nav header footer aside form button menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
 # A word of a class, id or role attribute that marks what is not the article.
 NOISE = re.compile(
@@ -51,15 +55,15 @@ NOISE = re.compile(
     r"newsletter|subscribe|popup|modal|overlay|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|widget|login|signup|search|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)/?>|<[!?][^>]*(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _left_out(tag: str, attributes: str) -> bool:
-    if tag in LEFT_OUT:
+def _never(tag: str, attributes: str) -> bool:
+    if tag in NEVER:
         return True
     if not attributes or tag in ("html", "body") or tag in ARTICLE:
         return False
@@ -68,36 +72,63 @@ def _left_out(tag: str, attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def blocks(page: str) -> list[tuple[str, float, bool]]:
-    """(text, share of link text, in a marked article) of each block that is not left out."""
-    out: list[tuple[str, float, bool]] = []
+class Open:
+    """The open elements; looking one up and closing it take no longer the more are open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool]] = []  # names, and whether each is never part of an article
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.never = self.articles = self.links = 0
+
+    def push(self, tag: str, never: bool):
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.block_places.append(len(self.stack))
+        self.stack.append((tag, never))
+        self._count(tag, never, 1)
+
+    def _count(self, tag: str, never: bool, by: int):
+        self.never += by * never
+        self.articles += by * (tag in ARTICLE)
+        self.links += by * (tag == "a")
+
+    def close(self, tag: str):
+        """Close the innermost such element and all within it; an inline end tag does not close blocks around it."""
+        at = self.places.get(tag)
+        if not at or tag in INLINE and self.block_places and self.block_places[-1] > at[-1]:
+            return
+        k = at[-1]
+        while len(self.stack) > k:
+            name, never = self.stack.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.block_places.pop()
+            self._count(name, never, -1)
+
+
+def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
+    """(text, share of link text, in a marked article, in an element that is never part of one) of each block."""
+    out: list[tuple[str, float, bool, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is left out
-    skipped = articles = links = 0
+    unclosed: set[str] = set()
+    around = Open()
 
     def end():
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, len("".join(html.unescape("".join(linked)).split())) / len(text), articles > 0))
+            out.append((text, len("".join(html.unescape("".join(linked)).split())) / len(text), around.articles > 0, around.never > 0))
         parts.clear()
         linked.clear()
 
-    def pop(k: int):
-        nonlocal skipped, articles, links
-        while len(stack) > k:
-            name, flag = stack.pop()
-            skipped -= flag
-            articles -= name in ARTICLE
-            links -= name == "a"
-
     at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else size]
-        if text and not skipped:
+        if text:
             parts.append(text)
-            if links:
+            if around.links:
                 linked.append(text)
         if not m:
             break
@@ -106,65 +137,71 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
         if not tag:
             continue
         if tag not in INLINE:
-            if not skipped:
-                end()
-        elif tag == "br" and not skipped:
+            end()
+        elif tag == "br":
             parts.append(" ")
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            # An inline end tag does not close blocks around it.
-            if k is not None and not (tag in INLINE and any(n not in INLINE for n, _ in stack[k + 1 :])):
-                pop(k)
+            around.close(tag)
             continue
         if tag in VOID or m[0].endswith("/>") and tag in RAW:
             continue
         if tag in RAW:
-            done = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            done = tag not in unclosed and re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if not done:
+                unclosed.add(tag)
             at = done.end() if done else size if tag in ("script", "style", "textarea", "title") else at
             continue
-        if tag in _CLOSES and stack and stack[-1][0] in _CLOSES[tag]:
-            pop(len(stack) - 1)
-        flag = _left_out(tag, m[3])
-        stack.append((tag, flag))
-        skipped += flag
-        articles += tag in ARTICLE
-        links += tag == "a"
+        if tag == "body":
+            around.close("head")
+        if tag in _CLOSES and around.stack and around.stack[-1][0] in _CLOSES[tag]:
+            around.close(around.stack[-1][0])
+        around.push(tag, _never(tag, m[3]))
     end()
     return out
 
 
-def extract(page: str) -> str:
-    found = blocks(page)
-    if any(inside for _, _, inside in found):
-        found = [b for b in found if b[2]]
+def first_pass(found: list) -> list[bool | None]:
+    """True (good), False (bad) or None (undecided) of each block."""
     labels: list[bool | None] = []
-    for text, links, inside in found:
-        if links > LINKS:
+    for text, links, _, never in found:
+        if never or links > LINKS:
             labels.append(False)
         elif len(text) < LONG:
             labels.append(None)
         else:
-            words = [w.lower() for w in _WORDS.findall(text)]
-            labels.append(inside or bool(words) and sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words))
-    # Distance to, and label of, the nearest decided block on either side.
-    before, after, last = [None] * len(found), [None] * len(found), None
-    for i, label in enumerate(labels):
-        last = (0, label) if label is not None else last and (last[0] + 1, last[1])
-        before[i] = last
-    last = None
-    for i in range(len(labels) - 1, -1, -1):
-        last = (0, labels[i]) if labels[i] is not None else last and (last[0] + 1, last[1])
-        after[i] = last
-    kept = []
-    for (text, _, inside), label, a, b in zip(found, labels, before, after, strict=True):
+            words = _WORDS.findall(text.lower())
+            labels.append(True if sum(w in STOP_WORDS for w in words) >= max(1, STOP_DENSITY * len(words)) else None)
+    return labels
+
+
+def second_pass(found: list, labels: list[bool | None]) -> list[bool]:
+    """Labels of all blocks, from the nearest decided block on either side within the same run of blocks in, or outside, an article."""
+
+    def nearest(order):
+        out, last, side = [None] * len(found), None, None
+        for i in order:
+            if found[i][2] is not side:
+                last, side = None, found[i][2]
+            if found[i][2] and found[i][3]:
+                continue  # an advert in an article says nothing about what is around it
+            last = (0, labels[i]) if labels[i] is not None else last and (last[0] + 1, last[1])
+            out[i] = last
+        return out
+
+    decided = []
+    for (_, _, inside, _), label, a, b in zip(found, labels, nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1)), strict=True):
         if label is None:
             if a and b and a[0] == b[0] and a[1] != b[1] or not a and not b:
                 label = inside
             else:
                 label = min((x for x in (a, b) if x), key=lambda x: x[0])[1]
-        if label:
-            kept.append(text)
-    return " ".join(kept)
+        decided.append(label)
+    return decided
+
+
+def extract(page: str) -> str:
+    found = blocks(page)
+    return " ".join(b[0] for b, good in zip(found, second_pass(found, first_pass(found)), strict=True) if good)
 
 
 def _extract_all(keep: list[str], names: list[str]):

@@ -13,8 +13,10 @@ nearest, weighted by similarity.
 Defined results: a null or empty text has no features and scores the share of
 good labels in the sample; so does every text if nothing is labelled (0.5 if
 there is no label at all). Labels of documents that occur several times count
-for each. Ties among neighbours go to the one that comes first in the sample's
-order. Only text is read for a score.
+for each. Cosines are compared to five decimals; ties among neighbours go to
+the one that comes first in the sample's order. Texts of any length are read
+whole; an empty table gives no rows; repeated rows are scored each on its own.
+Only text is read for a score; kept columns named like a result are left out.
 """
 
 from __future__ import annotations
@@ -131,7 +133,8 @@ def vote(model: dict, rows: np.ndarray) -> np.ndarray:
     ok = np.flatnonzero(norm > 1e-9)
     if not len(y) or not len(ok):
         return out
-    cosine = (z[ok] / norm[ok, None]) @ model["vectors"].T
+    # Rounded, so that equal neighbours tie however the product was blocked.
+    cosine = np.round((z[ok] / norm[ok, None]) @ model["vectors"].T, 5)
     k = min(NEIGHBOURS, len(y))
     near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if len(y) <= k else _nearest(cosine, k)
     weight = np.clip(np.take_along_axis(cosine, near, 1), 1e-6, 1).astype(np.float64) ** POWER
@@ -140,7 +143,12 @@ def vote(model: dict, rows: np.ndarray) -> np.ndarray:
 
 
 def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    """The k largest of each row, ties to the smaller column."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, 1).min(1)
+    tied = np.flatnonzero((cosine >= least[:, None]).sum(1) > k)
+    near[tied] = np.argsort(-cosine[tied], axis=1, kind="stable")[:, :k]
+    return near
 
 
 def _score(shared, keep: list[str], names: list[str]):
@@ -172,5 +180,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    marked = score_documents(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c != "doc_id"}), labels, text="__own_text", model=fit(docs, labels))
-    return marked.where("predicted = 1").select("doc_id", *(F.col(f"__own_{c}").alias(c) for c in docs.columns if c != "doc_id")).select(*docs.columns)
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in own.items()))
+    marked = score_documents(renamed, labels, doc=own["doc_id"], text=own["text"], model=fit(docs, labels))
+    return marked.where("predicted = 1").select(*(F.col(o).alias(c) for c, o in own.items()))

@@ -2,19 +2,20 @@
 
 Three passes over files in the shared folder, none of which shuffles payloads:
 
-1. ``write_raw``: each input partition writes its pages as WARC records, as
+1. ``_write_raw``: each input partition writes its pages as WARC records, as
    one monolithic gzip stream per archive of bounded size and record count,
    and returns a small row per record (archive, ordinal, digest, length).
 2. From those rows alone it is decided which records are revisits: the least
    page_id of equal payloads stays a response.
-3. ``normalise``: an archive is inflated once as a stream, every record is
+3. ``_normalise``: an archive is inflated once as a stream, every record is
    rewritten as a gzip member of its own (revisits without their payload, with
    the digest and the refers-to id), and a sidecar index of offsets is written.
    ``read_archives`` then reads records by offset.
 
 Files are written under a name of the attempt and renamed when complete, so
-lost executors and repeated tasks leave whole files only. Archives hold at
-most ``MAX_BYTES`` of payload or ``MAX_RECORDS`` records plus one record.
+lost executors and repeated tasks leave whole files only. Raw archives keep the
+attempt in their name and are removed by the driver once all are normalised, so
+a task that is repeated finds its input again. Archives hold at most ``MAX_BYTES`` of payload or ``MAX_RECORDS`` records plus one record.
 
 Defined results: a null html is an empty payload; payloads below ``MIN_BYTES``
 bytes are never revisits; of repeated page_ids with equal payloads all are the
@@ -64,7 +65,10 @@ class _File:
 
     def close(self):
         self.out.close()
-        self.system.move(self.draft, self.path)
+        if self.system.get_file_info(self.path).type == fs.FileType.NotFound:
+            self.system.move(self.draft, self.path)
+        else:  # a repeated task has written the same before
+            self.system.delete_file(self.draft)
 
 
 def record(kind: str, page_id, url: str | None, digest: bytes, length: int, payload: bytes | None, refers_to=None) -> bytes:
@@ -149,7 +153,7 @@ def _write_raw(root: str):
         for batch in batches:
             for page_id, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").cast(pa.binary()).to_pylist(), strict=True):
                 if file is None:
-                    name = f"raw-{part:06d}-{number:05d}.warc.gz"
+                    name = f"{part:06d}-{number:05d}-{uuid.uuid4().hex[:8]}.raw.gz"
                     file, deflater, used, rows, number = _File(system, f"{base}/{name}"), zlib.compressobj(1, zlib.DEFLATED, 31), 0, [], number + 1
                 payload = html or b""
                 digest = hashlib.sha256(payload)
@@ -164,16 +168,16 @@ def _write_raw(root: str):
     return run
 
 
-def _normalise(root: str):
+def _normalise(raw_root: str, root: str):
     """Rewrite one archive: a gzip member for each record, and the index beside it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        system, base = _open(root)
+        (system, base), (_, raw_base) = _open(root), _open(raw_root)
         name = pdf["archive"].iloc[0]
         refers = {int(o): int(r) for o, r in zip(pdf["ordinal"], pdf["refers_to"], strict=True) if not pd.isna(r)}
-        target = name.replace("raw-", "")
+        target = name[:12] + ".warc.gz"
         out, offset, index = _File(system, f"{base}/{target}"), 0, []
-        with system.open_input_stream(f"{base}/{name}", compression=None) as source:
+        with system.open_input_stream(f"{raw_base}/{name}", compression=None) as source:
             for ordinal, (head, length, payload) in enumerate(Stream(source)):
                 digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha256:"))
                 kind = "revisit" if ordinal in refers else "response"
@@ -188,7 +192,6 @@ def _normalise(root: str):
         side = _File(system, f"{base}/{target}.idx")
         side.out.write("".join(json.dumps(x) + "\n" for x in index).encode())
         side.close()
-        system.delete_file(f"{base}/{name}")
         return pd.DataFrame({"archive": [target], "records": [len(index)]})
 
     return run
@@ -226,7 +229,10 @@ def _read(root: str):
 def write_archives(pages: DataFrame, root: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as normalised archives below ``root``: (archive, records)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    raw = materialise(pages.mapInArrow(_write_raw(root), _RAW), "warc-raw")
+    raw_root = f"{root}/raw"
+    raw = materialise(pages.mapInArrow(_write_raw(raw_root), _RAW), "warc-raw")
+    # A row here stands for much work, so the number of tasks follows from the archives.
+    tasks = max(1, 2 * raw.select("archive").distinct().count())
     firsts = (
         raw.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
         .groupBy("payload_digest")
@@ -239,7 +245,11 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = MIN_BYTES) -> D
         .join(firsts, "payload_digest", "left")
         .select("archive", "ordinal", F.when((F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     )
-    return materialise(revisits.groupBy("archive").applyInPandas(_normalise(root), "archive string, records int"), "warc-archives")
+    dealt = revisits.repartition(tasks, "archive").groupBy("archive")
+    out = materialise(dealt.applyInPandas(_normalise(raw_root, root), "archive string, records int"), "warc-archives")
+    system, base = _open(raw_root)
+    system.delete_dir(base)
+    return out
 
 
 def read_archives(archives: DataFrame, root: str) -> DataFrame:
@@ -252,5 +262,5 @@ def read_archives(archives: DataFrame, root: str) -> DataFrame:
 def archive_pages(pages: DataFrame, root: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write pages to archives, then read them back."""
     root = root or new_path(pages.sparkSession, "warc")
-    archives = write_archives(pages, root, min_bytes).repartition("archive")
-    return read_archives(archives, root)
+    archives = write_archives(pages, root, min_bytes)
+    return read_archives(archives.repartition(max(1, archives.count())), root)

@@ -1,12 +1,15 @@
 import gzip
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
-import xxhash
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -112,6 +115,18 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(pages.where("false")).count() == 0
 
 
+def test_warc_tasks_can_be_repeated(spark, tmp_path):
+    raw_root, root = f"file://{tmp_path}/raw", f"file://{tmp_path}"
+    pages = spark.createDataFrame([(k, "u", "<p>" + "x" * 300) for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    raw = pages.mapInArrow(warc._write_raw(raw_root), warc._RAW).toPandas()
+    raw["refers_to"] = [None, 0, 0, 0, 0]
+    first = warc._normalise(raw_root, root)(raw)
+    name = tmp_path / first["archive"][0]
+    before = name.read_bytes()
+    assert warc._normalise(raw_root, root)(raw).equals(first) and name.read_bytes() == before
+    assert {p.name for p in tmp_path.iterdir()} == {"raw", name.name, name.name + ".idx"}
+
+
 def test_warc_member_layouts():
     records = [warc.record("response", k, None, hashlib.sha256(b"%d" % k).digest(), 9, b"\r\n\r\nWARC/1" + b"%d" % k) for k in range(5)]
     for data in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
@@ -216,6 +231,36 @@ def test_quality(spark):
     assert quality.score_documents(docs_of(spark, []), labels).count() == 0
 
 
+def test_quality_votes_by_hand(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(words[: 25 + 15 * (k % 2)]) for _ in range(rng.randint(1, 30)))) for k in range(160)]
+    rows += [(1000 + k, rows[k % 3][1]) for k in range(60)] + [(2000, None), (2001, ""), (2002, "w1 " * 50_000)]
+    labels = spark.createDataFrame([(k, (k * 7 + k // 3) % 2) for k, _ in rows if k % 3], "doc_id long, quality int")
+    docs = docs_of(spark, rows)
+    model = quality.fit(docs, labels, sample=100)
+    assert len(model["y"]) == 100
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, labels, keep=["doc_id"], model=model).collect()}
+    ties = 0
+    for k, text in rows:
+        z = quality.Features().row((text or "").encode()) @ model["projection"]
+        want = model["prior"]
+        if np.linalg.norm(z) > 1e-9:
+            cosine = np.round([float(np.dot(z / np.linalg.norm(z), v)) for v in model["vectors"]], 5)
+            near = sorted(range(len(cosine)), key=lambda i: (-cosine[i], i))[: quality.NEIGHBOURS]
+            ties += sum(c == cosine[near[-1]] for c in cosine) > 1
+            weight = [min(1, max(1e-6, cosine[i])) ** quality.POWER for i in near]
+            want = sum(w * model["y"][i] for w, i in zip(weight, near)) / sum(weight)
+        assert abs(got[k] - want) < 0.02, k
+    assert ties
+    assert quality.score_documents(docs.where("false"), labels, keep=["doc_id"], model=model).count() == 0
+
+
+def test_quality_ties_go_to_the_first():
+    cosine = np.concatenate((np.linspace(0.9, 0.8, 10), np.full(3990, 0.5)))[None]
+    assert sorted(quality._nearest(cosine, 25)[0]) == list(range(25))
+
+
 # 5: HTML
 
 
@@ -230,6 +275,81 @@ def test_html():
         html_text.extract(odd)
 
 
+class Article(HTMLParser):
+    """Text of an article's blocks, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks += [""] if tag not in ("b", "br") else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.blocks += [""] if tag != "b" else []
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+def labels_by_hand(found):
+    """The block rules, looking at every pair of blocks."""
+    first = []
+    for text, links, _, never in found:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        many = bool(words) and sum(w in html_text.STOP_WORDS for w in words) / len(words) >= 0.15
+        first.append(False if never or links > 0.5 else True if len(text) >= 70 and many else None)
+    second = list(first)
+    for i, (_, _, inside, _) in enumerate(found):
+        if first[i] is None:
+            near = []
+            for j in range(len(found)):
+                between = found[min(i, j) : max(i, j) + 1]
+                if first[j] is not None and all(b[2] is inside for b in between) and not (found[j][2] and found[j][3]):
+                    near.append((sum(not (b[2] and b[3]) for b in between), first[j]))
+            best = {label for d, label in near if d == min(near)[0]}
+            second[i] = inside if len(best) != 1 else best.pop()
+    return first, second
+
+
+def test_html_rules_on_pages(spark):
+    by_second = 0
+    for (page,) in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
+        found = html_text.blocks(page or "")
+        first, second = labels_by_hand(found)
+        assert html_text.first_pass(found) == first and html_text.second_pass(found, first) == second
+        by_second += any(x is None for x in first)
+        assert html_text.extract(page or "") == " ".join(" ".join(b.split()) for b in Article(page or "").blocks if b.split())
+    assert by_second >= 40  # pages with blocks that only their neighbours or the article's mark decide
+    rng = random.Random(8)
+    kinds = ["the men of the sea and of the hills " * 3, "xq zv " * 20, "short", "a b"]
+    for _ in range(500):
+        found = [(rng.choice(kinds), rng.choice((0.0, 0.0, 0.9)), inside, rng.random() < 0.2) for inside in (False, True, False) for _ in range(rng.randint(0, 5))]
+        first, second = labels_by_hand(found)
+        assert html_text.first_pass(found) == first and html_text.second_pass(found, first) == second
+
+
+def test_html_outside_articles():
+    prose = "<p>" + "the men of the sea and of the hills " * 3 + "</p>"
+    foreign = "<p>" + "xq zv jj " * 20 + "</p>"
+    assert html_text.extract(foreign + "<p>x</p>") == ""
+    assert html_text.extract(prose + foreign).endswith("xq zv jj")
+    assert html_text.extract("<article>" + foreign + "</article>") != "" == html_text.extract("<p>Home</p><div class=ad>" + prose + "</div>")
+    assert html_text.extract(f"<p>Home</p><article>{prose}</article><p>Legal</p>") == html_text.extract(prose)
+
+
+def test_html_takes_linear_time():
+    for page in ("<div>" * 40_000 + "</span>" * 40_000, "<!" * 60_000, "<select>" * 40_000, "<b>" * 20_000 + "<p>" * 20_000 + "</b>" * 40_000, "<a '" * 60_000):
+        start = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - start < 5
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "c"), (None, None, "", "c"), (2, "v", "<article><p>" + "ab " * 100_000 + "</article>", "c"), (2, "v", "<main>x</main>", "c")], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(pages, keep=["page_id", "url", "text"]).collect()

@@ -43,3 +43,29 @@ def test_stages(spark):
     want = {i: hashlib.sha256(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for i, t in texts.items()}
     assert {r.doc_id: r.ids_sha256 for r in stages["bpe"](spark, safe, DIR).collect()} == want
     assert {r.doc_id: r.ids_sha256 for r in pipeline.run(spark, DIR).collect()} == want
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns and the empty table."""
+    names = ["doc_id", "text", "lang", "source", "n_lines", "n_dropped", "keep_bitmap", "kept_text", "key", "score", "predicted", "n_hit", "comp", "__own_2"]
+    line = "the quick brown fox jumps over the lazy dog again and again " * 2
+    texts = [None, "", "a" * 300_000, "word " * 60_000, line + "\none", line + "\none", line + "\ntwo", line, line + "\nthree", line + "\nfour"]
+    rows = [(k, t, "en", None, *(f"{c}{k}" for c in names[4:])) for k, t in enumerate(texts)]
+    rows += [rows[4], (None, "null id", "en", "s", *names[4:]), (None, None, None, None, *names[4:])]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for name, stage in pipeline.STAGES:
+        for table in (docs, docs.where("false")):
+            out = stage(spark, table, DIR)
+            got = out.collect()
+            if table is not docs:
+                assert got == []
+            elif name == "bpe":
+                assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(r[0] for r in rows if r[0] is not None) and len(got) == len(rows)
+            else:
+                assert out.columns == names and out.schema["n_lines"].dataType.simpleString() == "string"
+                mine = {r[4:] for r in rows}
+                assert all(tuple(r)[4:] in mine for r in got)
+                if name == "line_dedup":
+                    assert len(got) == len(rows) and sum(line.strip() in r.text for r in got) == 1
+                if name == "near_duplicates":
+                    assert sum(r.doc_id == 4 for r in got) == 1
