@@ -47,6 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frequent import most_frequent
 from .shingles import ascii_words
 from .storage import discard, materialise
 
@@ -446,28 +447,6 @@ def head_size(by_count: list, total: int) -> int:
     return max(HEAD, size)
 
 
-def most_frequent(counts: DataFrame, by_count: list, size: int) -> pd.DataFrame:
-    """The ``size`` most frequent words (h, c), ties by hash; no more than about that many rows reach the driver."""
-    taken, least, tied = 0, 0, 0
-    for c, n in sorted(by_count, reverse=True):
-        if taken + n > size:
-            least, tied = c, n
-            break
-        taken += n
-    top = counts.where(F.col("c") > least).toPandas()
-    need, reach = size - taken, 1.0
-    while tied and need:
-        # Hashes are spread evenly, so the least ones of the tied words lie below a bound known in advance.
-        share = min(1.0, reach * (need + 8 * math.sqrt(need) + 64) / tied)
-        edge = min(2**63 - 1, -(2**63) + int(share * 2**64))
-        some = counts.where((F.col("c") == least) & (F.col("h") <= edge)).toPandas()
-        if len(some) >= need or share == 1.0:
-            top = pd.concat([top, some.nsmallest(need, "h")])
-            break
-        reach *= 2
-    return top.sort_values(["c", "h"], ascending=[False, True])
-
-
 def vocabulary(chunks: DataFrame) -> dict:
     """Counts of all words (a table), the words at hand, most frequent first, and what scores need of them."""
     counts = materialise(chunks.select("words", "counts").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")

@@ -5,14 +5,16 @@ so copies, however many, take one place in a graph. Classes are dealt by hash
 to shards of about ``SHARD`` vectors; a hierarchical navigable small-world
 graph is built for each shard and stored as one row of flat neighbour arrays.
 Query blocks meet every shard's row; each shard returns its best, and they are
-merged by exact distance. A task holds one shard and one block of queries.
+merged by exact distance. A shard's row is sent once for ``CHUNK`` blocks, which
+then stream past it: a task holds one shard and one block of queries.
 
 Graphs are built and searched for a batch of points at a time with numpy.
 
 Defined results: vectors that are null or zero, or hold null or non-finite
 components, take no part; -0 equals 0; vectors of different lengths are never
 compared; ties go to the smaller id; a repeated id with the same vector counts
-once; an empty table gives no rows.
+once; other columns are not read, so they may have any name; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ EF_BUILD = 64
 EF_SEARCH = 96
 _BATCH = 64
 _QUERIES = 256
+#: Blocks of queries for which a shard's row is sent once.
+CHUNK = 64
 
 
 def _levels(ids: np.ndarray) -> np.ndarray:
@@ -173,16 +177,17 @@ _INDEX = "dim int, shard int, vectors binary, levels binary, links array<binary>
 
 def _search(top: int, ef: int):
     def run(batches):
-        last, graph = None, None
+        graph = None
         for batch in batches:
             for r in batch.to_pylist():
                 dim = r["dim"]
-                if (dim, r["shard"]) != last:
+                if r["queries"] is None:  # a shard; the blocks behind it are asked of it
                     x, levels = np.frombuffer(r["vectors"], np.float64).reshape(-1, dim), np.frombuffer(r["levels"], np.int64)
                     links = [np.frombuffer(t, np.int32).reshape(len(x), -1) for t in r["links"]]
-                    graph, last = Graph(x, levels, links), (dim, r["shard"])
+                    graph = Graph(x, levels, links)
                     ends = np.cumsum(np.frombuffer(r["counts"], np.int32))
                     members = np.frombuffer(r["members"], np.int64)
+                    continue
                 ids, q = np.array(r["query_ids"], np.int64), np.frombuffer(r["queries"], np.float64).reshape(-1, dim)
                 points, _ = graph.search(q, max(ef, top + 1))
                 out = ([], [], [])
@@ -222,7 +227,9 @@ def build(vectors: DataFrame, top: int = TOP, shard: int = SHARD) -> DataFrame:
     classes = materialise(_classes(vectors, top), "hnsw-classes")
     sizes = classes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
     dealt = classes.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int")).drop("shards")
-    return materialise(dealt.groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX), "hnsw-index")
+    # A shard is much work, whatever its bytes, so the number of tasks follows from the shards.
+    tasks = max(1, 2 * (sizes.agg(F.sum("shards")).first()[0] or 0))
+    return materialise(dealt.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX), "hnsw-index")
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, shard: int = SHARD, ef: int = EF_SEARCH, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -235,8 +242,12 @@ def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, shard: in
         asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n // _QUERIES + 1)).cast("int"))
         .groupBy("dim", "block").applyInPandas(_pack_queries, "dim int, block int, query_ids array<long>, queries binary")
         .join(F.broadcast(places), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+        .withColumn("chunk", F.floor(F.col("block") / CHUNK).cast("int"))
     )
-    found = blocks.join(index, ["dim", "shard"]).mapInArrow(_search(top, ef), "query_id long, vec_id long, score double")
+    chunks = n // _QUERIES // CHUNK + 1
+    shards = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("block", F.lit(-1))
+    meet = shards.unionByName(blocks, allowMissingColumns=True).repartition(max(1, 2 * chunks * index.count()), "dim", "shard", "chunk")
+    found = meet.sortWithinPartitions("dim", "shard", "chunk", "block").mapInArrow(_search(top, ef), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -29,9 +29,10 @@ A sketch with too few occupied cells would weaken the guarantee; with the cell
 counts used, its chance is below 1e-30 for any document.
 
 Defined results: null and empty texts have no shingles and are linked with
-nothing; equal texts are linked; rows that repeat a doc_id are one node; a
+nothing; equal texts are linked; very long texts are described whole; rows that repeat a doc_id are one node; a
 null doc_id is never linked and its component is null; ties for a centre go to
-the least id; an empty table gives an empty result. Other columns are not read.
+the least id; an empty table gives an empty result. Other columns are not read, so they may
+have any name.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .frequent import most_frequent
 from .shingles import ascii_words, mix, shingle_set
 from .storage import materialise
 
@@ -312,10 +314,11 @@ def similar_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     classes = materialise(classes, "jaccard-classes")
 
     # At most FREQUENT rows, however many texts there are.
-    top = first.where(F.col("kind") == _FREQUENT).groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toPandas()
-    keys = top["id"].to_numpy(np.int64).view(np.uint64)
+    counted = materialise(first.where(F.col("kind") == _FREQUENT).groupBy(F.col("id").alias("h")).agg(F.sum("n").alias("c")), "jaccard-counts")
+    top = most_frequent(counted, [tuple(r) for r in counted.groupBy("c").count().collect()], FREQUENT)
+    keys = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy(np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((keys[order], top["c"].to_numpy(np.int64)[order]))
 
     own = rows.join(classes.select("id", "ver"), ["id", "ver"], "left_semi").select("id", "text")
     emitted = own.mapInArrow(_emit(frequent), "key long, id long, salt byte")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quarrymill.llm import bpe, decontaminate, gru_lm, hnsw, html_text, jaccard, line_dedup, quality, sharding, warc
+from quarrymill.llm import bpe, decontaminate, frequent, gru_lm, hnsw, html_text, jaccard, line_dedup, quality, sharding, warc
 from quarrymill.llm.shingles import ascii_words, shingle_set
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -605,7 +605,7 @@ def test_most_frequent_words(spark):
     by_count = [tuple(r) for r in counts.groupBy("c").count().collect()]
     rows = sorted(((-r.c, r.h) for r in counts.collect()))
     for size in (0, 10, 59, 60, 700, 2999, 5000):
-        got = gru_lm.most_frequent(counts, by_count, size)
+        got = frequent.most_frequent(counts, by_count, size)
         assert [(-c, h) for h, c in zip(got["h"], got["c"])] == rows[:size]
 
 
