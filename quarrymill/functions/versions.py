@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_COMPONENT_DIGITS = 6
+#: Factor of the major version in the integer form.
+MAJOR = 1_000_000_000
 
 
 def _number(text: Column) -> Column:
@@ -21,22 +23,39 @@ def strip_epoch(v: Column) -> Column:
     return F.regexp_replace(v, r"^\d+:", "")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` evaluated once however often ``then`` reads it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalize_version(v: Column) -> Column:
-    """major·10^9 + minor·10^6 + patch·10^3 + release; null if a component has over six digits, one less for pre-releases."""
-    s = F.regexp_replace(strip_epoch(v), r"(?i)_update_?(\d+)", r".$1")
+    """major·10^9 + minor·10^6 + patch·10^3 + release; null if a component has over six digits, one less for pre-releases.
+
+    Plain dotted numbers, which most versions are, take a short way.
+    """
+    plain = v.rlike(r"^\d{1,6}(?:\.\d{1,6})*\z")
+    number = lambda k: F.coalesce(F.nullif(F.split_part(v, F.lit("."), F.lit(k)), F.lit("")).try_cast("bigint"), F.lit(0))
+    quick = number(1) * 1_000_000_000 + number(2) * 1_000_000 + number(3) * 1000
     update = r"^(\d+\.\d+) U(\d+)([a-z]?)\z"
-    letter = F.regexp_extract(s, update, 3)
-    as_update = F.concat(
-        F.regexp_extract(s, update, 1), F.lit("."), F.regexp_extract(s, update, 2), F.when(letter == "", "").otherwise(F.concat(F.lit("-"), F.ascii(letter) - 96))
-    )
-    s = F.when(s.rlike(update), as_update).otherwise(s)
-    pre = s.rlike(r"\d-[a-zA-Z]")
-    parts = F.split(F.regexp_replace(F.split_part(s, F.lit("-"), F.lit(1)), "[^0-9.]", ""), r"\.")
-    release = F.when(pre, "").otherwise(F.regexp_extract(F.split_part(s, F.lit("-"), F.lit(2)), r"^(\d+)", 1))
-    digits = [F.regexp_replace(F.coalesce(x, F.lit("")), "^0+", "") for x in (F.get(parts, 0), F.get(parts, 1), F.get(parts, 2), release)]
-    too_long = F.greatest(*(F.length(d) for d in digits)) > MAX_COMPONENT_DIGITS
-    total = sum((_number(d) * 1000**k for d, k in zip(digits, (3, 2, 1, 0), strict=True)), F.lit(0))
-    return F.when(v.isNull() | too_long, None).otherwise(F.when(pre & (total > 0), total - 1).otherwise(total)).cast("bigint")
+
+    def as_update(s: Column) -> Column:
+        letter = F.regexp_extract(s, update, 3)
+        mark = F.when(letter == "", "").otherwise(F.concat(F.lit("-"), F.ascii(letter) - 96))
+        return F.when(s.rlike(update), F.concat(F.regexp_extract(s, update, 1), F.lit("."), F.regexp_extract(s, update, 2), mark)).otherwise(s)
+
+    def general(s: Column) -> Column:
+        pre = s.rlike(r"\d-[a-zA-Z]")
+        parts = F.split(F.regexp_replace(F.split_part(s, F.lit("-"), F.lit(1)), "[^0-9.]", ""), r"\.")
+        release = F.when(pre, "").otherwise(F.regexp_extract(F.split_part(s, F.lit("-"), F.lit(2)), r"^(\d+)", 1))
+        digits = F.concat(F.transform(F.slice(F.concat(parts, F.array_repeat(F.lit(""), 3)), 1, 3), lambda x: F.regexp_replace(x, "^0+", "")), F.array(F.regexp_replace(release, "^0+", "")))
+
+        def total(d: Column) -> Column:
+            return F.when(~F.exists(d, lambda x: F.length(x) > MAX_COMPONENT_DIGITS), F.aggregate(d, F.lit(0).cast("bigint"), lambda acc, x: acc * 1000 + _number(x)))
+
+        return let(let(digits, total), lambda t: F.when(pre & (t > 0), t - 1).otherwise(t))
+
+    spelled = F.regexp_replace(strip_epoch(v), r"(?i)_update_?(\d+)", r".$1")
+    return F.when(plain, quick).when(v.isNotNull(), let(let(spelled, as_update), general)).cast("bigint")
 
 
 def is_valid_version(v: Column) -> Column:
@@ -61,9 +80,10 @@ def version_in_range(v: Column, introduced: Column, fixed: Column, last: Column)
 
 
 def _padded(digits: Column) -> Column:
-    """Digits so that text order is numeric order: their count, then the digits without leading zeros."""
+    """Digits so that text order is numeric order: their count, itself preceded by its own length, then the digits without leading zeros."""
     bare = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    return F.concat(F.lpad(F.length(bare).cast("string"), 3, "0"), bare)
+    size = F.length(bare).cast("string")
+    return F.concat(F.lpad(F.length(size).cast("string"), 2, "0"), size, bare)
 
 
 def rpm_key(v: Column) -> Column:
@@ -88,8 +108,9 @@ def dpkg_key(v: Column) -> Column:
 
 
 def _epoch(v: Column) -> Column:
-    head = F.regexp_extract(v, r"^([^:]*):", 1)
-    return F.coalesce(F.regexp_extract(head, r"^\s*(\d{1,18})", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """The number before a colon as text that orders like it, whatever its length; 0 if there is none."""
+    head = F.regexp_extract(F.regexp_extract(v, r"^([^:]*):", 1), r"^\s*(\d+)", 1)
+    return _padded(F.when(head == "", "0").otherwise(head))
 
 
 def _evr(v: Column, key) -> Column:
@@ -128,23 +149,31 @@ def dpkg_row_matches(v: Column, listed: Column, introduced: Column, fixed: Colum
     return F.coalesce(F.array_contains(listed, v), F.lit(False)) | F.coalesce(bounded & inside, F.lit(False))
 
 
+#: A number of any length that a decimal holds.
+_WIDE = "decimal(38,0)"
+
+
+def _moved(digits: Column, step: int) -> Column:
+    """Digits moved by ``step`` as text; null if that would be negative, or if they are longer than a decimal holds."""
+    n = digits.try_cast(_WIDE) + F.lit(step).cast("decimal(2,0)")
+    return F.when((F.length(digits) < 38) & (n >= 0), n.cast("string"))
+
+
 def bump_patch(v: Column, step: int) -> Column:
     """x.y.z with z moved by ``step``; null if there are no three numbers or z would be negative."""
-    form = r"^(\d+)\.(\d+)\.(\d{1,9})"
-    z = F.regexp_extract(v, form, 3).try_cast("bigint") + step
-    return F.when(v.rlike(form) & (z >= 0), F.concat(F.regexp_extract(v, form, 1), F.lit("."), F.regexp_extract(v, form, 2), F.lit("."), z))
+    form = r"^(\d+)\.(\d+)\.(\d+)"
+    return F.when(v.rlike(form), F.concat(F.regexp_extract(v, form, 1), F.lit("."), F.regexp_extract(v, form, 2), F.lit("."), _moved(F.regexp_extract(v, form, 3), step)))
 
 
 def bump_last_number(v: Column, step: int) -> Column:
     """The last run of digits moved by ``step``; null if there is none or it would be negative."""
-    form = r"^(.*?)(\d{1,18})(\D*)\z"
-    n = F.regexp_extract(v, form, 2).try_cast("bigint") + step
-    return F.when(v.rlike(form) & (n >= 0), F.concat(F.regexp_extract(v, form, 1), n, F.regexp_extract(v, form, 3)))
+    form = r"^(.*?)(\d+)(\D*)\z"
+    return F.when(v.rlike(form), F.concat(F.regexp_extract(v, form, 1), _moved(F.regexp_extract(v, form, 2), step), F.regexp_extract(v, form, 3)))
 
 
 def bump_last_component(v: Column) -> Column:
-    n = F.regexp_extract(v, r"(?:^|\.)(\d{1,18})\z", 1).try_cast("bigint")
-    return F.when(n.isNotNull(), F.concat(F.regexp_extract(v, r"^((?:.*\.)?)\d+\z", 1), n + 1))
+    last = F.regexp_extract(v, r"(?:^|\.)(\d+)\z", 1)
+    return F.when(last != "", F.concat(F.regexp_extract(v, r"^((?:.*\.)?)\d+\z", 1), _moved(last, 1)))
 
 
 # Products whose fixed version tells the major line; those of FAMILIES have two-number majors.
