@@ -315,9 +315,15 @@ QUERIES = {
 }
 
 
+def _all() -> dict:
+    from .more import QUERIES as more
+
+    return QUERIES | more
+
+
 def queries() -> dict:
-    return {name: q for name, (q, _) in QUERIES.items()}
+    return {name: q for name, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {name: with_fixtures(sql) if "fx_" in sql else sql for name, (_, sql) in QUERIES.items()}
+    return {name: with_fixtures(sql) if "fx_" in sql else sql for name, (_, sql) in _all().items()}

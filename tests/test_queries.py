@@ -11,7 +11,7 @@ def plain(rows):
     return sorted(tuple("" if v is None else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_query_equals_sql(spark, name):
     df = plans.queries()[name](spark, DIR)
     cols = sorted(df.columns)
