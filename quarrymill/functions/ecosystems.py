@@ -61,6 +61,17 @@ def route(eco: Column) -> Column:
     )
 
 
+def parse_listed_cpe(cpe: Column) -> Column:
+    """As ``parse_cpe`` for the names of a feed: applications and systems alone, and '-' is a name like any other."""
+    f = F.split(cpe, ":")
+    named = lambda c: ~F.coalesce(c, F.lit("")).isin("", "*")
+    version = F.get(f, 5)
+    return F.when(
+        cpe.startswith("cpe:2.3:") & F.get(f, 2).isin("a", "o") & named(F.get(f, 3)) & named(F.get(f, 4)),
+        F.struct(F.get(f, 2).alias("part"), F.get(f, 3).alias("vendor"), F.get(f, 4).alias("product"), F.when(named(version) & (version != "-"), version).alias("version")),
+    )
+
+
 def parse_cpe(cpe: Column) -> Column:
     """(part, vendor, product, version) of a CPE 2.3 name; null if it has too few fields or no vendor or product."""
     f = F.split(cpe, ":")

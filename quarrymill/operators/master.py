@@ -16,7 +16,10 @@ def not_found(master: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def apply_epss(master: DataFrame, epss: DataFrame, column: str = "score_milli") -> DataFrame:
-    return master.join(epss.select("cve_id", column), "cve_id", "left")
+    """One score per id, the highest of a repeated one; a master the feed no longer has keeps its score."""
+    scores = epss.groupBy("cve_id").agg(F.max(column).alias("__new"))
+    old = F.col(column) if column in master.columns else F.lit(None)
+    return master.join(scores, "cve_id", "left").withColumn(column, F.coalesce("__new", old)).drop("__new")
 
 
 def latest(rows: DataFrame, key: str, *order) -> DataFrame:

@@ -17,7 +17,7 @@ FROM lineitem JOIN part ON l_partkey=p_partkey""",
   CASE WHEN o_orderkey%4<>3 THEN 'CVE-2024-' || CAST(10000+o_orderkey AS varchar(10)) END AS cve_id,
   'GHSA-' || CAST(o_orderkey AS varchar(10)) AS osv_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM'
-    WHEN '5-LOW' THEN 'LOW' END AS severity, o_orderdate AS published_at FROM orders WHERE o_orderkey<500""",
+    WHEN '5-LOW' THEN 'LOW' END AS severity, o_orderdate AS published_at FROM orders""",
     "fx_kev": "SELECT 'CVE-2024-' || CAST(10000+s_suppkey*7 AS varchar(10)) AS cve_id, s_name AS product FROM supplier",
     "fx_epss": "SELECT 'CVE-2024-' || CAST(10000+c_custkey AS varchar(10)) AS cve_id, c_custkey%1000 AS score_milli FROM customer",
     "fx_jobs": """SELECT event_id AS job_id, 'osv-' || event_type AS source, CASE WHEN user_id%5=0 THEN 'failed' ELSE 'completed' END AS status,

@@ -62,7 +62,7 @@ def search_dedup(spark, d):
 
 
 def search_batch(spark, d):
-    return S.first_per_request(search_dedup(spark, d), 5).select("request_id", "vuln_no", "n_rows")
+    return S.first_per_request(search_dedup(spark, d), 500).select("request_id", "vuln_no", "n_rows")
 
 
 def _keyed(evr):
@@ -264,7 +264,7 @@ _MASTERS = """WITH b AS (SELECT *, CAST(vuln_no%2 = 0 AS INT) AS o, CAST(vuln_no
 QUERIES = {
     "range_join_semver": (range_join, f"SELECT r.request_id, a.row_id, a.vuln_no FROM fx_installed r JOIN fx_affected a ON {_HIT}"),
     "search_dedup": (search_dedup, _SEARCH),
-    "search_batch_topk": (search_batch, f"WITH s AS ({_SEARCH}) SELECT request_id, vuln_no, n_rows FROM s QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY vuln_no) <= 5"),
+    "search_batch_topk": (search_batch, f"WITH s AS ({_SEARCH}) SELECT request_id, vuln_no, n_rows FROM s QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY vuln_no) <= 500"),
     "search_page": (page_of_results, f"WITH s AS ({_SEARCH}) SELECT request_id, vuln_no FROM s ORDER BY 1, 2 LIMIT 30 OFFSET 20"),
     "range_join_rpm": (_keyed(V.rpm_evr), _KEYED_SQL),
     "range_join_dpkg": (_keyed(V.dpkg_evr), _KEYED_SQL),

@@ -120,14 +120,15 @@ def oval_fixes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def osv_ranges(records: DataFrame) -> DataFrame:
-    """A row per version range, and one per package that only lists versions."""
+    """A row per version range, and one per package that only lists versions, with integer bounds."""
     from ..functions.advisories import event_ranges
+    from ..functions.versions import normalize_version
 
-    a = records.select("id", F.explode("affected").alias("a")).select("id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("package_name"), "a.ranges", "a.versions")
+    a = records.select("id", F.explode("affected").alias("a")).select("id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("package_name"), "a.ranges", F.coalesce("a.versions", F.array().cast("array<string>")).alias("versions"))
     kept = a.select("id", "ecosystem", "package_name", "versions", F.explode("ranges").alias("r")).where(F.col("r.type").isin("SEMVER", "ECOSYSTEM"))
-    ranged = kept.select("id", "ecosystem", "package_name", F.col("r.type").alias("kind"), "versions", F.inline(event_ranges(F.col("r.events"))))
+    ranged = kept.select("id", "ecosystem", "package_name", F.lower("r.type").alias("kind"), "versions", F.inline(event_ranges(F.col("r.events"))))
     none = F.lit(None).cast("string")
     listed = a.where("ranges is null and size(versions) > 0").select(
         "id", "ecosystem", "package_name", F.lit("versions").alias("kind"), "versions", none.alias("introduced"), none.alias("fixed"), none.alias("last_affected")
     )
-    return ranged.unionByName(listed)
+    return ranged.unionByName(listed).withColumns({f"{c}_int": normalize_version(F.col(c)) for c in ("introduced", "fixed", "last_affected")})

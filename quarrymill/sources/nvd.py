@@ -54,7 +54,7 @@ def affected(records: DataFrame) -> DataFrame:
     """
     found = records.select("id", F.explode("configurations").alias("conf"))
     found = found.select("id", F.explode(_matches(F.coalesce("conf.nodes", F.array()))).alias("m"))
-    found = found.withColumn("p", E.parse_cpe(F.col("m.criteria"))).where("p is not null")
+    found = found.withColumn("p", E.parse_listed_cpe(F.col("m.criteria"))).where("p is not null")
     bound = {k: F.nullif(F.col(f"m.version{k}"), F.lit("")) for k in ("StartIncluding", "StartExcluding", "EndIncluding", "EndExcluding")}
     point = F.when(F.coalesce(*bound.values()).isNull(), F.col("p.version"))
     update = F.get(F.split("m.criteria", ":"), 6)

@@ -5,20 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.master import upsert
+def newest(rows: DataFrame, key: str, order: str, *then: str) -> DataFrame:
+    """Of each key the row with the greatest ``order`` (null is least), whatever batch or file it came in."""
+    first = [order, *then]
+    whole = F.struct(*(F.col(c) for c in first), *(F.col(c) for c in rows.columns if c not in first))
+    return rows.groupBy(key).agg(F.max(whole).alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in rows.columns))
 
 
-def follow(spark: SparkSession, path: str, schema: str, key: str, table: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df):
+def follow(
+    spark: SparkSession, path: str, schema: str, key: str, table: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, order: str | None = None
+):
     """Merge the JSON files that are new below ``path`` into versions of ``table``; returns the finished query.
 
-    Version n + 1 is written before it is read by anyone; a repeated batch writes its version anew.
+    A later batch wins, or, with ``order`` (such as a time of change), the record that is the newest by it. Version n + 1 is written before it is read by anyone; a repeated batch writes its version anew.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = prepare(batch).dropDuplicates([key])
+        new = prepare(batch)
+        by = order or new.columns[0]
+        new = newest(new, key, by)
         if n:
-            new = upsert(batch.sparkSession.read.parquet(f"{table}/v{n - 1}"), new, key).drop("disposition")
+            old = batch.sparkSession.read.parquet(f"{table}/v{n - 1}")
+            both = old.withColumn("__late", F.lit(0)).unionByName(new.withColumn("__late", F.lit(1)))
+            new = newest(both, key, *((order, "__late") if order else ("__late", by))).drop("__late")
         new.write.mode("overwrite").parquet(f"{table}/v{n}")
 
     stream = spark.readStream.schema(schema).json(path)

@@ -16,7 +16,7 @@ def test_osv(spark, tmp_path):
     rows = feeds.read_osv(spark, str(tmp_path)).cache()
     assert rows.where("_corrupt_record is not null").count() == 1
     got = {(r.package_name, r.kind, r.introduced, r.fixed) for r in feeds.osv_ranges(rows.where("id is not null")).collect()}
-    assert got == {("x", "SEMVER", "0", "1.2.0"), ("y", "versions", None, None)}
+    assert got == {("x", "semver", "0", "1.2.0"), ("y", "versions", None, None)}
     assert feeds.modified_since(rows, "2024-03-01").where("id is not null").count() == 0
 
 
@@ -88,3 +88,45 @@ def test_masters_from_all_sources(spark):
     got = {r.master_key: (r.osv_id, r.advisory_id, r.severity, r.summary, r.n_records) for r in resolve.resolve(osv, nvd, adv).collect()}
     assert got == {"C1": ("O1", None, "HIGH", "one", 3), "C2": (None, None, None, "n", 2), "O3": ("O3", None, "LOW", None, 1), "A1": (None, "A1", "LOW", "x", 2)}
     assert resolve.resolve(of(), of(), of()).count() == 0
+
+
+def test_newest_record_wins(spark):
+    from quarrymill.streaming.snapshots import newest
+
+    rows = spark.createDataFrame([("a", 2, "old"), ("a", 3, "new"), ("b", None, "x"), ("b", 1, "y"), ("c", 5, "z")], "id string, modified int, v string")
+    assert {r.id: r.v for r in newest(rows, "id", "modified").collect()} == {"a": "new", "b": "y", "c": "z"}
+
+
+def test_scores_of_repeated_and_lost_ids(spark):
+    from quarrymill.operators import master
+
+    m = spark.createDataFrame([(1, "C1", 5), (2, "C2", 6), (3, None, None)], "no int, cve_id string, score_milli int")
+    e = spark.createDataFrame([("C1", 7), ("C1", 3)], "cve_id string, score_milli int")
+    assert {r.no: r.score_milli for r in master.apply_epss(m, e).collect()} == {1: 7, 2: 6, 3: None}
+
+
+def test_batch_cap(spark):
+    from quarrymill.operators import matching
+
+    rows = spark.createDataFrame([(k % 2, k) for k in range(10)], "request_id int, vuln_no int")
+    assert sorted(tuple(r) for r in matching.first_per_request(rows, 2).collect()) == [(0, 0), (0, 2), (1, 1), (1, 3)]
+
+
+def test_names_of_a_feed(spark):
+    from quarrymill.functions import ecosystems as E
+
+    rows = spark.createDataFrame([("cpe:2.3:h:acme:box:1:*",), ("cpe:2.3:o:acme:-:1:*",), ("cpe:2.3:a:*:x:1:*",), ("cpe:2.3:a:acme:x:-:*",)], "c string")
+    got = [r.p and (r.p.product, r.p.version) for r in rows.select(E.parse_listed_cpe(rows.c).alias("p")).collect()]
+    assert got == [None, ("-", "1"), None, ("x", None)]
+
+
+def test_long_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from quarrymill.functions import versions as V
+
+    r = spark.range(1).select(
+        V.bump_patch(F.lit("1.2.12345678901"), 1).alias("a"), V.bump_last_number(F.lit("v" + "9" * 20 + "x"), 1).alias("b"),
+        V.compare(V.rpm_evr(F.lit("1" + "0" * 18 + ":1")), V.rpm_evr(F.lit("9" * 18 + ":1"))).alias("c"), V.compare(V.rpm_key(F.lit("9" * 1000)), V.rpm_key(F.lit("9" * 200))).alias("d"),
+    ).first()
+    assert tuple(r) == ("1.2.12345678902", "v1" + "0" * 20 + "x", 1, 1)
