@@ -77,8 +77,8 @@ COPIES = 1024
 #: Documents of more tokens come first in a copy, by length.
 LONG = 256
 #: Tokens, and different words, after which a chunk of documents ends.
-CHUNK = 1 << 22
-WORDS = 1 << 19
+CHUNK = 1 << 20
+WORDS = 1 << 18
 #: Hash of the end token: it holds a line break, which no word does.
 END = xxhash.xxh3_64_intdigest(b"\nend")
 #: Numbers in a piece of a copy.
@@ -141,8 +141,8 @@ def _chunks(batches):
 
 def _count(batches):
     for batch in batches:
-        for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            h, n = np.frombuffer(words, np.int64), np.frombuffer(counts, np.int64)
+        for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
+            h, n = np.frombuffer(words.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 0]), pa.array(n[n > 0])], names=["h", "n"])
 
 
@@ -483,11 +483,12 @@ def _look_up(shared):
         base_of, share_of, width = np.append(s["base"], 0), np.append(np.where(np.arange(len(known)) < head, 0, s["share"]), 0), _width(head)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for chunk in batch.to_pylist():
-                words, sizes = np.frombuffer(chunk["words"], np.int64), np.frombuffer(chunk["sizes"], np.int64)
+            for i in range(batch.num_rows):
+                chunk = {k: batch.column(k)[i] for k in ("docs", "held", "sizes", "ids", "words")}
+                words, sizes = np.frombuffer(chunk["words"].as_buffer(), np.int64), np.frombuffer(chunk["sizes"].as_buffer(), np.int64)
                 near = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
                 place = np.where(known[near] == words, order[near], -1) if len(known) else np.full(len(words), -1)
-                ids = np.frombuffer(chunk["ids"], np.uint32)
+                ids = np.frombuffer(chunk["ids"].as_buffer(), np.uint32)
                 starts, size = np.cumsum(sizes) - sizes, len(sizes)
                 at = place[ids]
                 sums = [np.add.reduceat(x, starts) for x in ((at >= 0).astype(np.int64), base_of[at], share_of[at])]
@@ -496,7 +497,7 @@ def _look_up(shared):
                 tokens, zero = np.where((at < 0) | (at >= head), head, at).astype(width).tobytes(), np.zeros(size, np.int64)
                 step = np.dtype(width).itemsize
                 each = [tokens[step * a : step * (a + n)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                cols = [np.full(size, _DOC, np.int8), own, pa.array(chunk["docs"], pa.int64()), pa.array(chunk["held"], pa.bool_()), sizes, *sums, pa.array(each, pa.binary()), zero, zero]
+                cols = [np.full(size, _DOC, np.int8), own, chunk["docs"].values, chunk["held"].values, sizes, *sums, pa.array(each, pa.binary()), zero, zero]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
                 rare = np.flatnonzero(at < 0)
                 if len(rare):
