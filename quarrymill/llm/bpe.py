@@ -278,10 +278,15 @@ def _first_pass(path: str, long: int, limit: int, keep: list[str], out: pa.Schem
     return run
 
 
+def _width(path: str) -> str:
+    """Type in which ids travel between tasks."""
+    return "<u2" if load(path).get_vocab_size() < 1 << 16 else "<u4"
+
+
 def _encode_parts(path: str):
     def run(batches):
         for batch in batches:
-            ids = [i.astype("<u4").tobytes() for i in encode_texts(path, batch.column("__part").to_pylist())]
+            ids = [i.astype(_width(path)).tobytes() for i in encode_texts(path, batch.column("__part").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("__uid", "__at", "__joined")), pa.array(ids, pa.binary())], names=["__uid", "__at", "__joined", "ids"])
 
     return run
@@ -292,7 +297,7 @@ def _assemble(path: str, with_ids: bool):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__at")
-        ids = Joiner(load(path), quick_of(path)).whole([np.frombuffer(i, "<u4") for i in pdf["ids"]], pdf["__joined"].tolist())
+        ids = Joiner(load(path), quick_of(path)).whole([np.frombuffer(i, _width(path)).astype(np.uint32) for i in pdf["ids"]], pdf["__joined"].tolist())
         out = {"__uid": [pdf["__uid"].iloc[0]], "n_tokens": [len(ids)], "ids_sha256": [_digest(ids)], "decoded_sha256": [_sha(decode_texts(path, [ids])[0])]}
         return pd.DataFrame(out | ({"ids": [ids.astype(np.int32)]} if with_ids else {}))
 
