@@ -57,3 +57,19 @@ def evaluate(expected: DataFrame, actual: DataFrame, by: str, ident: str) -> Dat
     n = both.groupBy(by).agg(F.count_if((F.col("e") == 1) & (F.col("a") == 1)).alias("tp"), F.count_if(F.col("e").isNull()).alias("fp"), F.count_if(F.col("a").isNull()).alias("fn"))
     ratio = lambda d: F.when(d == 0, F.lit(1.0)).otherwise(F.col("tp") / d)
     return n.withColumn("precision", ratio(F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp") + F.col("fn")))
+
+
+def totals(counts: DataFrame) -> DataFrame:
+    """One row over all counts of ``evaluate``: sums, precision and recall (1 where undefined), F1 (0 where both are 0), and how many passed."""
+    passed = F.count_if((F.col("fp") == 0) & (F.col("fn") == 0))
+    n = counts.agg(F.count(F.lit(1)).alias("versions"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("tp", "fp", "fn")), passed.alias("passed"))
+    share = lambda other: F.when(F.col("tp") + F.col(other) > 0, F.col("tp") / (F.col("tp") + F.col(other))).otherwise(1.0)
+    rated = n.withColumn("precision", share("fp")).withColumn("recall", share("fn")).withColumn("failed", F.col("versions") - F.col("passed"))
+    both = F.col("precision") + F.col("recall")
+    return rated.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+
+
+def split_cves(found: DataFrame, ident: str = "external_id") -> tuple[DataFrame, DataFrame]:
+    """Rows with a CVE as their id, which can be compared, and the others, which are reported apart."""
+    is_cve = F.coalesce(F.col(ident).rlike(r"(?i)^CVE-\d{4}-\d+\z"), F.lit(False))
+    return found.where(is_cve), found.where(~is_cve)

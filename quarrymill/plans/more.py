@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pages as G
+from ..operators import master as M
 from ..operators import records as R
 from ..operators import search as S
+from ..sources import feeds
 from .queries import view
 
 c = F.col
@@ -218,6 +220,49 @@ def preferred(spark, d):
     return R.prefer(rows.where("id % 2 = 0"), rows.where("id % 3 = 0").withColumn("form", F.lit("cvrf")), key="id")
 
 
+def _advisories(spark, d):
+    p = view(spark, d, "SELECT s_suppkey AS n, CAST(s_suppkey AS varchar(10)) AS x, CAST(s_suppkey%500 AS varchar(10)) AS y FROM supplier")
+    t = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    some = lambda test, *parts: F.when(test, t(*parts)).otherwise("")
+    fix = t('<criterion comment="nodejs is earlier than 1:20.', c("y"), '.0"/>')
+    text = t(
+        '<definition id="oval:com.redhat.rhsa:def:2024', c("x"), '" class="patch"><metadata><title>Fix ', c("x"), '</title><reference source="CVE" ref_id="none"/>',
+        some(c("n") % 2 == 0, '<reference source="RHSA" ref_id="RHSA-2024:9', c("x"), '" ref_url="https://acme.test/', c("x"), '"/>'),
+        "<advisory><severity>", F.when(c("n") % 4 == 0, "Important").otherwise("Odd"), "</severity>", some(c("n") % 3 != 0, '<cve cvss3="7.5/CVSS:3.1/AV:', c("x"), '">CVE-2024-', c("x"), "</cve>"),
+        some(c("n") % 3 == 2, "<cve>CVE-2023-", c("x"), "</cve><cve>other</cve>"), '</advisory></metadata><criteria><criterion comment="Module nodejs:18 is enabled"/>',
+        some(c("n") % 5 != 0, '<criteria><criterion comment="curl is earlier than ', c("y"), '.1"/></criteria>', fix, fix), "</criteria>",
+    )
+    return feeds.oval_advisories(p.select(t("oval:com.redhat.rhsa:def:2024", c("x")).alias("id"), text.alias("text")), "red-hat")
+
+
+def oval_rows(spark, d):
+    return _advisories(spark, d).withColumn("products", F.array_join(F.transform("products", lambda p: p["product"]), ","))
+
+
+def oval_ranges(spark, d):
+    return feeds.advisory_ranges(_advisories(spark, d)).select("external_id", "vendor", "product", "version_start", "version_end", "version_start_int", "version_end_int")
+
+
+_ADVISORIES = """d AS (SELECT s_suppkey AS n, CAST(s_suppkey AS varchar) AS x, s_suppkey%500 AS y FROM supplier WHERE s_suppkey%5 <> 0),
+  v AS (SELECT n, NULL AS cve_id, NULL AS score, NULL AS vector FROM d WHERE n%3 = 0 UNION ALL SELECT n, 'CVE-2024-' || x, 7.5, 'CVSS:3.1/AV:' || x FROM d WHERE n%3 <> 0 UNION ALL SELECT n, 'CVE-2023-' || x, NULL, NULL FROM d WHERE n%3 = 2),
+  o AS (SELECT *, CASE n%2 WHEN 0 THEN 'RHSA-2024:9' ELSE 'RHSA-2024:' END || x || coalesce('/' || cve_id, '') AS external_id FROM d JOIN v USING (n))"""
+
+
+def _by_vuln(spark, d):
+    rows = view(spark, d, "SELECT l_partkey AS product, l_orderkey AS vuln, l_linenumber AS k FROM lineitem")
+    return M.evaluate(rows.where("k % 3 <> 0"), rows.where("k % 4 <> 0"), "product", "vuln")
+
+
+def sweep_totals(spark, d):
+    return M.totals(_by_vuln(spark, d)).select("versions", "tp", "fp", "fn", "passed", "failed", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
+
+
+def cve_split(spark, d):
+    named = view(spark, d, "SELECT CASE o_orderkey%3 WHEN 0 THEN 'cve-2024-' WHEN 1 THEN 'ADV-' END || CAST(o_orderkey AS varchar(10)) AS external_id FROM orders")
+    cves, others = M.split_cves(named)
+    return cves.agg(F.count(F.lit(1)).alias("cves")).crossJoin(others.agg(F.count(F.lit(1)).alias("others")))
+
+
 _X = "CAST(p_size AS varchar)"
 _MS = "p_partkey * 977"
 
@@ -257,5 +302,13 @@ QUERIES = {
     "import_counters": (import_counters, "SELECT count(*) AS total, count(*) FILTER (o_orderkey%4 = 0) AS inserted, count(*) FILTER (o_orderkey%4 = 3) AS updated, count(*) FILTER (o_orderkey%4 = 1) AS failed, count(*) FILTER (o_orderkey%4 = 2) AS skipped FROM orders"),
     "source_coverage": (source_coverage, """SELECT source, expected, found, found < 0.89 * expected AS short FROM (SELECT c_mktsegment AS source, count(*) AS expected, count(*) FILTER (c_custkey%9 <> 0 AND c_mktsegment <> 'BUILDING') AS found FROM customer GROUP BY 1)"""),
     "source_map": (source_map, """SELECT '{' || string_agg('"' || s || '":' || n, ',' ORDER BY s) || '}' AS by_source FROM (SELECT c_mktsegment AS s, count(*) AS n FROM customer GROUP BY 1)"""),
+    "oval_advisories": (oval_rows, f"""WITH {_ADVISORIES} SELECT external_id, cve_id, CAST(score AS DOUBLE) AS score, vector, 'Fix ' || x AS summary, CASE n%4 WHEN 0 THEN 'HIGH' ELSE 'ODD' END AS severity,
+      CASE n%2 WHEN 0 THEN 'https://acme.test/' || x END AS url, 'nodejs,curl' AS products FROM o"""),
+    "advisory_ranges": (oval_ranges, f"""WITH {_ADVISORIES} SELECT external_id, 'red-hat' AS vendor, 'nodejs' AS product, '18.0' AS version_start, '20.' || y || '.0' AS version_end, CAST(18000000000 AS BIGINT) AS version_start_int, CAST(20000000 + y*1000 AS BIGINT)*1000 AS version_end_int FROM o
+      UNION ALL SELECT external_id, 'red-hat', 'curl', CASE WHEN y >= 18 THEN '18.0' END, y || '.1', CASE WHEN y >= 18 THEN 18000000000 END, CAST(y*1000000 + 1000 AS BIGINT)*1000 FROM o"""),
+    "sweep_totals": (sweep_totals, """WITH k AS (SELECT l_partkey AS product, l_orderkey AS vuln, max(CASE WHEN l_linenumber%3 <> 0 THEN 1 ELSE 0 END) AS e, max(CASE WHEN l_linenumber%4 <> 0 THEN 1 ELSE 0 END) AS a FROM lineitem GROUP BY 1, 2),
+      n AS (SELECT product, sum(e*a) AS tp, sum(a - e*a) AS fp, sum(e - e*a) AS fn FROM k WHERE e + a > 0 GROUP BY 1), t AS (SELECT count(*) AS versions, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) FILTER (fp + fn = 0) AS passed FROM n)
+      SELECT versions, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, passed, versions - passed AS failed, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2*tp / (2*tp + fp + fn), 6) AS f1 FROM t"""),
+    "cve_split": (cve_split, "SELECT count(*) FILTER (o_orderkey%3 = 0) AS cves, count(*) FILTER (o_orderkey%3 <> 0) AS others FROM orders"),
     "preferred_form": (preferred, "SELECT p_partkey AS id, CASE WHEN p_partkey%2 = 0 THEN 'csaf' ELSE 'cvrf' END AS form FROM part WHERE p_partkey%2 = 0 OR p_partkey%3 = 0"),
 }

@@ -101,24 +101,84 @@ def _criteria(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["id", "pos", "comment", "module"])
 
 
-def oval_fixes(spark: SparkSession, path: str) -> DataFrame:
-    """A row per patch definition and fixed package and version, with the module in scope and the lowest affected version.
+def oval_definitions(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text) of the patch definitions of OVAL files."""
+    text = F.regexp_extract("value", r"(?s)<definition\b[^>]*>.*", 0)
+    found = spark.read.text(path, lineSep="</definition>").select(text.alias("text")).where(F.col("text").contains('class="patch"'))
+    return found.select(F.regexp_extract("text", r"""^<definition\b[^>]*\bid=["']([^"']*)""", 1).alias("id"), "text")
+
+
+def fixes_of(definitions: DataFrame) -> DataFrame:
+    """A row per definition and fixed package and version, with the module in scope and the lowest affected version.
 
     Of repeated packages and versions of a definition the first counts.
     """
     from ..functions.advisories import fixed_comment
     from ..functions.versions import bare_floor, module_floor, strip_epoch
 
-    text = F.regexp_extract("value", r"(?s)<definition\b[^>]*>.*", 0)
-    definitions = spark.read.text(path, lineSep="</definition>").select(text.alias("text")).where(F.col("text").contains('class="patch"'))
-    definitions = definitions.select(F.regexp_extract("text", r"""^<definition\b[^>]*\bid=["']([^"']*)""", 1).alias("id"), "text")
-    rows = definitions.mapInArrow(_criteria, "id string, pos long, comment string, module string").withColumn("fix", fixed_comment(F.col("comment")))
+    rows = definitions.select("id", "text").mapInArrow(_criteria, "id string, pos long, comment string, module string").withColumn("fix", fixed_comment(F.col("comment")))
     fixes = rows.where("fix is not null").select("id", F.trim("fix.package").alias("package"), strip_epoch(F.col("fix.version")).alias("version_end"), "pos", "module")
-    first = fixes.groupBy("id", "package", "version_end").agg(F.min_by("module", "pos").alias("module"))
+    first = fixes.groupBy("id", "package", "version_end").agg(F.min_by("module", "pos").alias("module"), F.min("pos").alias("pos"))
     end = F.col("version_end")
     return first.withColumn("version_start", F.coalesce(module_floor(F.col("module"), end), bare_floor(F.col("package"), end)))
 
 
+def oval_fixes(spark: SparkSession, path: str) -> DataFrame:
+    """The fixes of the patch definitions of OVAL files."""
+    return fixes_of(oval_definitions(spark, path))
+
+
+# Per vendor, how its feed marks references to its own advisories.
+OVAL_REFERENCES = {"red-hat": "RHSA", "oracle-linux": "elsa"}
+_HEAD = f"metadata struct<title: string, reference: array<struct<_source: string, _ref_id: string, _ref_url: string>>, advisory: struct<severity: string, cve: array<{CVE}>>>"
+
+
+def oval_advisories(definitions: DataFrame, vendor: str) -> DataFrame:
+    """A row per definition and CVE (one without CVEs has one row), with the fixed packages in page order.
+
+    The advisory's id is that of the vendor's own reference, else it is read from
+    the definition's id; definitions without an id or without packages give no row.
+    """
+    from ..functions.advisories import severity
+    from ..functions.pages import per_cve, score_and_vector
+
+    head = F.from_xml(F.concat(F.regexp_extract("text", r"(?s)^.*?</metadata>", 0), F.lit("</definition>")), _HEAD)["metadata"]
+    own = F.get(F.filter("head.reference", lambda r: r["_source"] == OVAL_REFERENCES[vendor]), 0)
+    number = r":def:(\d{4})(\d+)$"
+    year, rest = F.regexp_extract("id", number, 1), F.regexp_extract("id", number, 2)
+    if vendor == "red-hat":
+        kind = F.upper(F.regexp_extract("id", r"com\.redhat\.(rh[a-z]+):", 1))
+        from_id = F.when((kind != "") & (year != ""), F.concat(kind, F.lit("-"), year, F.lit(":"), rest))
+    else:
+        from_id = F.when(year != "", F.concat(F.lit("ELSA-"), year, F.lit("-"), rest))
+    text = F.lit(None).cast("string")
+    product = F.struct(
+        "pos", F.lit(vendor).alias("vendor"), F.col("package").alias("product"), "version_start", "version_end", text.alias("version_fixed"), text.alias("last_affected"),
+        F.array().cast("array<string>").alias("versions"),
+    )
+    packages = fixes_of(definitions).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(product)), lambda p: p.dropFields("pos")).alias("products"))
+    heads = definitions.select("id", head.alias("head")).where("head is not null").withColumn("own", own).withColumn("advisory_id", F.coalesce("own._ref_id", from_id))
+    cves = F.filter(F.coalesce("head.advisory.cve", F.array()), lambda v: v["_VALUE"].startswith("CVE-"))
+    rows = heads.where("advisory_id is not null").join(packages, "id").withColumn("cve", F.explode_outer(cves)).withColumn("cvss", score_and_vector(F.col("cve._cvss3")))
+    return rows.select(
+        per_cve(F.col("advisory_id"), F.col("cve._VALUE")).alias("external_id"), F.col("cve._VALUE").alias("cve_id"), F.col("cvss.score").alias("score"), F.col("cvss.vector").alias("vector"),
+        F.col("head.title").alias("summary"), severity(F.col("head.advisory.severity")).alias("severity"), F.col("own._ref_url").alias("url"), "products",
+    )
+
+
+def advisory_ranges(advisories: DataFrame) -> DataFrame:
+    """A row per advisory and product with integer bounds; a fixed version is the end where no end is stated."""
+    from ..functions.versions import normalize_version
+
+    p = advisories.select("external_id", F.explode("products").alias("p")).select("external_id", "p.*")
+    return p.withColumns(
+        {
+            "vendor": F.trim("vendor"), "product": F.trim("product"), "version_start_int": normalize_version(F.col("version_start")),
+            "version_end_int": normalize_version(F.coalesce("version_end", "version_fixed")), "last_affected_int": normalize_version(F.col("last_affected")),
+        }
+    )
+
+
 def osv_ranges(records: DataFrame) -> DataFrame:
     """A row per version range, and one per package that only lists versions, with integer bounds."""
     from ..functions.advisories import event_ranges

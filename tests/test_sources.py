@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from quarrymill.sources import feeds
 from quarrymill.streaming.snapshots import follow
 
@@ -53,6 +55,36 @@ def test_oval_criteria_at_any_depth(spark, tmp_path):
     ]
 
 
+def test_oval_advisories(spark):
+    fix = '<criteria><criterion comment="openssl is earlier than 1:3.0.7-1"/></criteria>'
+    head = lambda ident, body: f'<definition id="{ident}" class="patch"><metadata><title>T</title>{body}</metadata>'
+    elsa = "oval:com.oracle.elsa:def:20241"
+    rows = [
+        (elsa, head(elsa, "<advisory><severity>LOW</severity><cve cvss3='x/y'>CVE-1-1</cve></advisory>") + fix),  # the id from the definition's
+        ("d2", head("d2", '<reference source="elsa" ref_id="ELSA-7" ref_url="u"/>') + fix),  # no CVE
+        ("d3", head("d3", "") + fix),  # no id
+        ("d4", head("d4", '<reference source="elsa" ref_id="ELSA-8"/>') + "<criteria/>"),  # no package
+        ("d5", '<definition id="d5" class="patch">' + fix),  # no metadata
+    ]
+    made = feeds.oval_advisories(spark.createDataFrame(rows, "id string, text string"), "oracle-linux")
+    got = sorted((r.external_id, r.cve_id, r.score, r.severity, r.url, [(p.vendor, p.product, p.version_end) for p in r.products]) for r in made.collect())
+    product = [("oracle-linux", "openssl", "3.0.7-1")]
+    assert got == [("ELSA-2024-1/CVE-1-1", "CVE-1-1", None, "LOW", None, product), ("ELSA-7", None, None, None, "u", product)]
+    none = spark.createDataFrame([], "id string, text string")
+    assert feeds.advisory_ranges(feeds.oval_advisories(none, "red-hat")).count() == 0
+    fixed = made.limit(1).withColumn("products", F.transform("products", lambda p: p.withField("version_end", F.lit(None).cast("string")).withField("version_fixed", F.lit("2.0"))))
+    assert feeds.advisory_ranges(fixed).first().version_end_int == 2_000_000_000
+
+
+def test_totals_of_nothing(spark):
+    from quarrymill.operators import master
+
+    got = master.totals(spark.createDataFrame([], "product string, tp long, fp long, fn long")).first()
+    assert (got.versions, got.tp, got.precision, got.recall, got.f1, got.passed, got.failed) == (0, 0, 1.0, 1.0, 1.0, 0, 0)
+    worst = master.totals(spark.createDataFrame([("a", 0, 1, 1), ("b", 0, 0, 0)], "product string, tp long, fp long, fn long")).first()
+    assert (worst.precision, worst.recall, worst.f1, worst.passed, worst.failed) == (0.0, 0.0, 0.0, 1, 1)
+
+
 def test_follow(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
