@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gru_lm, hnsw, html_text, jaccard, line_dedup, quality, sharding, warc
+from . import bpe, decontaminate, gru_lm, hnsw, html_text, id_files, jaccard, line_dedup, quality, sharding, warc
 from .storage import table
 
 SHARDS = 16
+END_ID = 2
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS).withColumn("law", F.lit("key"))
 
 
+def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, manifest = id_files.write_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return id_files.read_files(spark, root, manifest)
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -75,6 +81,7 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_gru_lm": op9_gru_lm,
         "op10_sharding": op10_sharding,
+        "op11_id_files": op11_id_files,
     }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quarrymill.llm import bpe, decontaminate, frequent, gru_lm, hnsw, html_text, jaccard, line_dedup, quality, sharding, warc
+from quarrymill.llm import bpe, decontaminate, frequent, gru_lm, hnsw, html_text, id_files, jaccard, line_dedup, quality, sharding, warc
 from quarrymill.llm.shingles import ascii_words, shingle_set
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -667,3 +667,43 @@ def test_sharding(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert {(r["size"], r.text_crc32) for r in got if r.doc_id == 5} == {(len(("é" * 5).encode()) + 1, zlib.crc32(("é" * 5).encode())), (1, 0)}
     assert sharding.shard_rows(docs_of(spark, []), 16).count() == 0
+
+
+# 11: id files
+
+
+@pytest.mark.parametrize("top", [1 << 8, 1 << 16, 1 << 24, 1 << 32])
+def test_control_bytes(top):
+    rng = np.random.default_rng(top)
+    for n in (0, 1, 3, 4, 5, 1000):
+        numbers = rng.integers(0, top, n).astype(np.uint32)
+        control, data = id_files.pack(numbers)
+        assert len(control) == -(-n // 4)
+        assert id_files.unpack(control, data, n).tolist() == numbers.tolist()
+    with pytest.raises(ValueError):
+        id_files.unpack(b"\x00", b"abc", 3)
+
+
+def test_id_files(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(id_files, "BLOCK_IDS", 50)
+    rng = random.Random(11)
+    rows = [(rng.randrange(10**6) - 500_000, " ".join(rng.choice(["the", "Über", "日本", "\n", "x1", "<|endoftext|>"]) for _ in range(rng.randint(0, 40)))) for _ in range(200)]
+    rows += [(7, None), (8, ""), (9, "long text " * 9000), *rows[:3], (rows[0][0], "other"), (None, "no id")]
+    tok = Tokenizer.from_file(BPE)
+    tok.no_truncation()
+    ids = sorted(((i is not None, i or 0, [*tok.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows), key=lambda r: (r[:2], np.array(r[2], "<u2").tobytes()))
+    want, start = [], 0
+    for known, i, x in ids:
+        want.append((i if known else None, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes()), x))
+        start += len(x)
+    root, manifest = id_files.write_files(docs_of(spark, rows), BPE, 2)
+    got = id_files.read_files(spark, root, manifest, with_ids=True).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+    counts = Counter(j for r in want for j in r[4])
+    assert id_files._read_ranks(root).tolist() == sorted(counts, key=lambda j: (-counts[j], j))
+    assert manifest.count() > 1
+
+    root, manifest = id_files.write_files(docs_of(spark, []), BPE, 2)
+    assert id_files.read_files(spark, root, manifest).collect() == []
