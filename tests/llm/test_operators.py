@@ -688,6 +688,7 @@ def test_id_files(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(id_files, "BLOCK_IDS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rng = random.Random(11)
     rows = [(rng.randrange(10**6) - 500_000, " ".join(rng.choice(["the", "Über", "日本", "\n", "x1", "<|endoftext|>"]) for _ in range(rng.randint(0, 40)))) for _ in range(200)]
     rows += [(7, None), (8, ""), (9, "long text " * 9000), *rows[:3], (rows[0][0], "other"), (None, "no id")]
@@ -699,6 +700,7 @@ def test_id_files(spark, monkeypatch):
         want.append((i if known else None, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes()), x))
         start += len(x)
     root, manifest = id_files.write_files(docs_of(spark, rows), BPE, 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = id_files.read_files(spark, root, manifest, with_ids=True).collect()
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
     counts = Counter(j for r in want for j in r[4])
