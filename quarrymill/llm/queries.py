@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gru_lm, hnsw, html_text, id_files, jaccard, line_dedup, quality, sharding, warc
+from . import bpe, decontaminate, divergence, gru_lm, hnsw, html_text, id_files, jaccard, line_dedup, quality, ranked_search, sharding, warc
 from .storage import table
 
 SHARDS = 16
@@ -69,6 +69,14 @@ def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_files(spark, root, manifest)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -82,6 +90,8 @@ def queries() -> dict:
         "op9_gru_lm": op9_gru_lm,
         "op10_sharding": op10_sharding,
         "op11_id_files": op11_id_files,
+        "op12_divergence": op12_divergence,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -156,6 +166,60 @@ SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, CAST(p.shard AS INTEGER) AS
 FROM sized s JOIN placed p ON s.doc_id = p.doc_id
 """
 
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM d),
+size AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM grp) g LEFT JOIN kept k ON k.lang = g.lang GROUP BY g.lang),
+cnt AS (SELECT t.lang, source, t.term, count(*) AS c FROM t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, source, t.term),
+n AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM grp g LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source GROUP BY g.lang, g.source),
+p AS (
+  SELECT n.lang, n.source, k.term, coalesce(c, 0) AS c,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1)) // CAST(n + v AS HUGEINT) AS p
+  FROM n JOIN kept k ON k.lang = n.lang JOIN size ON size.lang = n.lang
+  LEFT JOIN cnt ON cnt.lang = n.lang AND cnt.source = n.source AND cnt.term = k.term),
+q AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(c) + 1)) // CAST(max(n) + max(v) AS HUGEINT) AS q
+  FROM cnt JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) USING (lang) JOIN size USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS f
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+words AS (
+  SELECT p.lang, p.source, p.term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM words)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT count(*) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+p AS (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest(w) AS t FROM d) GROUP BY id, t),
+h AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM p, s GROUP BY t, nn),
+b AS (SELECT row_number() OVER () AS b, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT b, item_id, t, count(*) AS times FROM (
+  SELECT b, item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS t FROM b) GROUP BY b, item_id, t),
+m AS (SELECT id, doc_id, 75 + (25 * len(w) * nn) // ll AS m FROM d, s WHERE len(w) > 0),
+r AS (
+  SELECT b, item_id, doc_id, m.id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN p ON p.t = q.t JOIN h ON h.t = q.t JOIN m ON m.id = p.id GROUP BY b, item_id, doc_id, m.id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0) WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": _OP1_SQL, "op2_warc": _OP2_SQL, "op8_decontamination": _OP8_SQL, "op10_sharding": _OP10_SQL}
+    return {"op1_line_dedup": _OP1_SQL, "op2_warc": _OP2_SQL, "op8_decontamination": _OP8_SQL, "op10_sharding": _OP10_SQL, "op12_divergence": _OP12_SQL, "op13_ranked_search": _OP13_SQL}

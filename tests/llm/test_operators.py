@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quarrymill.llm import bpe, decontaminate, frequent, gru_lm, hnsw, html_text, id_files, jaccard, line_dedup, quality, sharding, warc
+from quarrymill.llm import bpe, decontaminate, divergence, frequent, gru_lm, hnsw, html_text, id_files, jaccard, line_dedup, quality, ranked_search, sharding, warc
 from quarrymill.llm.shingles import ascii_words, shingle_set
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -709,3 +709,139 @@ def test_id_files(spark, monkeypatch):
 
     root, manifest = id_files.write_files(docs_of(spark, []), BPE, 2)
     assert id_files.read_files(spark, root, manifest).collect() == []
+
+
+# 12: source divergence
+
+
+def divergence_by_hand(rows, min_docs=3, top=200):
+    docs, count, total, found = defaultdict(Counter), Counter(), Counter(), []
+    for text, lang, source in rows:
+        t = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        docs[lang or ""].update(set(t))
+        count.update((lang or "", source or "", x) for x in t)
+    groups = sorted({(lang or "", source or "") for _, lang, source in rows})
+    kept = {lang: sorted(t for t, n in docs[lang].items() if n >= min_docs) for lang, _ in groups}
+    total = {(lang, s): sum(count[lang, s, t] for t in kept[lang]) for lang, s in groups}
+
+    def p(lang, sources, t):
+        return 1 + 10**9 * (sum(count[lang, s, t] for s in sources) + 1) // (sum(total[lang, s] for s in sources) + len(kept[lang]))
+
+    for lang, s in groups:
+        others = [x for g, x in groups if g == lang]
+        f = lambda t, q: (p(lang, [s], t) - p(lang, q, t)) ** 2 // p(lang, q, t)  # noqa: E731, B023
+        pairs = [(-sum(f(t, [o]) for t in kept[lang]), o) for o in others if o != s]
+        terms = [(-f(t, others), t) for t in kept[lang] if count[lang, s, t] and p(lang, [s], t) > p(lang, others, t)]
+        for part, some in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+            found += [(lang, s, part, i, -v, n) for n, (v, i) in enumerate(some, 1)]
+    return found
+
+
+LANG_DOCS = "doc_id long, text string, lang string, source string, total long, prefix string"
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_divergence(spark, monkeypatch, small):
+    if small:
+        for name, n in {"COUNTS": 50, "LEAVES": 30, "PREFIX": 1, "RANGE_LEAVES": 40, "BLOCK": 7, "TILE": 2}.items():
+            monkeypatch.setattr(divergence, name, n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = random.Random(12)
+    words = ["the", "The", "then", "thence", "ab1cd", "été", "日本語", "日本", "\U0001f600x", "z" * 3000, "z" * 2999 + "y", *(f"{a}{b}{c}" for a in "pq" for b in "rs" for c in "tuv")]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 30))), rng.choice(["en", "en", "en", "de", None]), rng.choice(["a", "a", "b", "c", "d", None])) for _ in range(200)]
+    rows += [(None, "en", "e"), ("", "xx", "a"), ("lonely words", "yy", "a"), ("other", "yy", "b"), rows[0], rows[0], ("the " * 5000, "en", "a")]
+    docs = spark.createDataFrame([(i, *r, 1, "clash") for i, r in enumerate(rows)], LANG_DOCS)
+    got = [tuple(r) for r in divergence.audit_sources(docs).collect()]
+    assert sorted(got) == sorted(divergence_by_hand(rows))
+    assert divergence.audit_sources(docs.where("doc_id < 0")).collect() == []
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tries_merge():
+    rng = random.Random(5)
+    parts, want = [], defaultdict(lambda: [0, Counter()])
+    for p in range(4):
+        root = divergence.Node()
+        for _ in range(200):
+            term = "".join(rng.choices("abé", k=rng.randint(1, 7))).encode()
+            divergence.insert(root, term, 1, {f"s{p}": 2})
+            want[term][0] += 1
+            want[term][1][f"s{p}"] += 2
+        parts.append(root)
+    whole = divergence.Node()
+    for root in parts:
+        for _, sub in divergence.cut(root, 2):
+            divergence.merge(whole, divergence.load(divergence.dump(sub)))
+    assert [(t, d, c) for t, d, c in divergence.walk(whole)] == [(t, want[t][0], dict(want[t][1])) for t in sorted(want)]
+
+
+def test_exact_shares():
+    rng = random.Random(6)
+    for top in (10, 10**9, 9 * 10**15):
+        totals = [rng.randint(1, top) for _ in range(200)]
+        counts = [rng.randint(0, t - 1) for t in totals]
+        got = divergence.share(np.array(counts), np.array(totals))
+        assert got.tolist() == [1 + 10**9 * (c + 1) // t for c, t in zip(counts, totals, strict=True)]
+
+
+# 13: ranked search
+
+
+def search_by_hand(rows, items, k=20):
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs = [(i, Counter(terms(t))) for i, t in rows if terms(t)]
+    n, total = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text in set(items):
+        found = []
+        for i, c in docs:
+            m = 75 + 25 * sum(c.values()) * n // total
+            score = sum(int(np.floor(1000 * np.log((2 * n + 2) / (2 * df[t] + 1)))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t in terms(text) if c[t])
+            if score > 0:
+                found.append((-score, i is None, i or 0))
+        out += [(item, r, None if z else i, -s) for r, (s, z, i) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ranked_search(spark, monkeypatch, small):
+    if small:
+        for name, n in {"ITEM_BYTES": 60, "SHARD_POSTINGS": 100, "SHARD_DOCS": 40}.items():
+            monkeypatch.setattr(ranked_search, name, n)
+    rng = random.Random(13)
+    words = ["the", "The", "x1", "über", "日本", *(f"w{i}" for i in range(40))]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    rows = [(rng.randrange(10**6), ", ".join(rng.choices(words, weights, k=rng.randint(1, 60)))) for _ in range(300)]
+    rows += [(None, "x1 w7 w7"), (1, None), (2, ""), (3, "?!"), rows[5], rows[5], (4, "the " * 20_000), (rows[6][0], "w39 x1")]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(1, 9)))) for i in range(12)] + [(1, "w39 w39 nowhere"), (20, None), (21, ""), (22, "nowhere"), (None, "über")]
+    asked = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    docs = docs_of(spark, rows)
+    got = [tuple(r) for r in ranked_search.search(docs, asked).select("item_id", "rank", "doc_id", "score").collect()]
+    assert Counter(got) == Counter(search_by_hand(rows, items))
+    assert ranked_search.search(docs.where("doc_id = -1"), asked).collect() == []
+    assert ranked_search.search(docs, asked.where("item_id = -1")).collect() == []
+
+
+def test_search_stops_when_proven():
+    """The k best are among the candidates, and far fewer postings than all are processed where few documents match rare terms."""
+    rng = np.random.default_rng(3)
+    n_docs, vocab = 4000, 50
+    df = np.linspace(3800, 4, vocab).astype(int)
+    held = [np.sort(rng.choice(n_docs, d, replace=False)) for d in df]
+    by_doc = [[] for _ in range(n_docs)]
+    for t, docs in enumerate(held):
+        for d in docs:
+            by_doc[d].append(t)
+    widths, at = np.array(list(map(len, by_doc))), np.array([t for x in by_doc for t in x])
+    tfs, n = rng.integers(1, 6, len(at)), rng.integers(5, 300, n_docs)
+    weights = np.array([ranked_search.weight(n_docs, d) for d in df])
+    shard = ranked_search.Shard(n, widths, at, tfs, weights, n_docs, int(n.sum()))
+    item, repeats = np.array([0, 1, 2, 47, 48, 49]), np.array([1, 2, 1, 1, 1, 3])
+    docs, scores, done = shard.candidates(item, repeats, 5, first=8)
+    factors = np.zeros(vocab + 1, np.int64)
+    factors[item] = repeats
+    whole = shard.complete(np.arange(n_docs), factors)
+    assert sorted(scores)[-5:] == sorted(whole)[-5:]
+    assert (whole[docs] == scores).all()
+    assert done < 0.1 * df[item].sum()
