@@ -193,7 +193,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
     """
     spark, width = docs.sparkSession, width_of(tokenizer)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    encoded = materialise(rows.mapInArrow(_encode(tokenizer, end_id, width), "key long, ids binary"), "ids")
+    encoded = materialise(rows.mapInArrow(_encode(tokenizer, end_id, width), "key long, ids binary"), "ids", "zstd")
     root = new_path(spark, "id-files")
     by_rank = rank_ids(encoded.mapInArrow(_count(width), "id long, n long"))
     system, base = _open(root)
