@@ -316,9 +316,10 @@ QUERIES = {
 
 
 def _all() -> dict:
+    from .documents import QUERIES as documents
     from .more import QUERIES as more
 
-    return QUERIES | more
+    return QUERIES | more | documents
 
 
 def queries() -> dict:
