@@ -317,9 +317,10 @@ QUERIES = {
 
 def _all() -> dict:
     from .documents import QUERIES as documents
+    from .landed import QUERIES as landed
     from .more import QUERIES as more
 
-    return QUERIES | more | documents
+    return QUERIES | more | documents | landed
 
 
 def queries() -> dict:

@@ -7,21 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import ecosystems as E
 from ..functions import versions as V
+from ..operators.trees import unfold
 
-_MATCH = "cpeMatch: array<struct<vulnerable: boolean, criteria: string, versionStartIncluding: string, versionStartExcluding: string, versionEndIncluding: string, versionEndExcluding: string>>"
-#: Levels of nodes below a configuration that are read; the published feed has two.
-DEPTH = 4
-
-
-def _node(depth: int) -> str:
-    below = f", children: array<{_node(depth - 1)}>" if depth > 1 else ""
-    return f"struct<operator: string, negate: boolean, {_MATCH}{below}>"
-
-
+_MATCH = "array<struct<vulnerable: boolean, criteria: string, versionStartIncluding: string, versionStartExcluding: string, versionEndIncluding: string, versionEndExcluding: string>>"
 _SCORE = "array<struct<cvssData: struct<baseScore: double, vectorString: string, baseSeverity: string>, baseSeverity: string>>"
 SCHEMA = (
     "id string, published string, lastModified string, descriptions array<struct<lang: string, value: string>>, "
-    f"metrics struct<cvssMetricV31: {_SCORE}, cvssMetricV40: {_SCORE}, cvssMetricV2: {_SCORE}>, configurations array<struct<nodes: array<{_node(DEPTH)}>>>"
+    f"metrics struct<cvssMetricV31: {_SCORE}, cvssMetricV40: {_SCORE}, cvssMetricV2: {_SCORE}>, configurations variant"
 )
 
 
@@ -36,14 +28,15 @@ def english(descriptions: Column) -> Column:
     return F.get(F.filter(descriptions, lambda d: d["lang"] == "en"), 0)["value"]
 
 
-def _matches(nodes: Column, depth: int = DEPTH) -> Column:
-    """Vulnerable matches of nodes and their children; operators and negation are not evaluated."""
-    some = lambda a: F.coalesce(a, F.array())
-    own = F.flatten(F.transform(nodes, lambda n: F.filter(some(n["cpeMatch"]), lambda m: m["vulnerable"])))
-    if depth == 1:
-        return own
-    below = F.flatten(F.transform(nodes, lambda n: some(n["children"])))
-    return F.concat(own, _matches(below, depth - 1))
+def matches(records: DataFrame) -> DataFrame:
+    """(id, m): vulnerable matches of all nodes, at any depth; operators and negation are not evaluated."""
+
+    def node(v: Column) -> Column:
+        return F.struct(F.try_variant_get(v, "$.cpeMatch", _MATCH).alias("matches"), F.try_variant_get(v, "$.children", "array<variant>").alias("branches"))
+
+    nodes = F.flatten(F.transform(F.col("configurations").try_cast("array<variant>"), lambda c: F.coalesce(F.try_variant_get(c, "$.nodes", "array<variant>"), F.array().cast("array<variant>"))))
+    roots = records.select("id", F.explode(nodes).alias("v")).select("id", node(F.col("v")).alias("n")).select("id", "n.*")
+    return unfold(roots, ["id"], lambda v, _: node(v)).select("id", F.explode("matches").alias("m")).where("m.vulnerable")
 
 
 def affected(records: DataFrame) -> DataFrame:
@@ -52,9 +45,7 @@ def affected(records: DataFrame) -> DataFrame:
     A match without bounds is the version in its name. A range of one version takes up an update or rc qualifier of
     the name. An excluded start counts as included in the integer form.
     """
-    found = records.select("id", F.explode("configurations").alias("conf"))
-    found = found.select("id", F.explode(_matches(F.coalesce("conf.nodes", F.array()))).alias("m"))
-    found = found.withColumn("p", E.parse_listed_cpe(F.col("m.criteria"))).where("p is not null")
+    found = matches(records).withColumn("p", E.parse_listed_cpe(F.col("m.criteria"))).where("p is not null")
     bound = {k: F.nullif(F.col(f"m.version{k}"), F.lit("")) for k in ("StartIncluding", "StartExcluding", "EndIncluding", "EndExcluding")}
     point = F.when(F.coalesce(*bound.values()).isNull(), F.col("p.version"))
     update = F.get(F.split("m.criteria", ":"), 6)

@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet below ``spark.checkpoint.dir``, and a scan of what was written.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new name below ``spark.checkpoint.dir``.
 
-    A lost executor then costs the tasks it was running only. Without that
-    setting a local folder serves under a local master; on a cluster it is an error.
+    Without that setting a local folder serves under a local master; on a cluster it is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in a new folder, and a scan of what was written; a lost executor then costs the tasks it was running only."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
