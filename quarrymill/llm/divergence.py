@@ -29,6 +29,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ COUNTS = 2_000_000
 LEAVES = 500_000
 #: Bytes of a prefix at first, and terms of all partial tries above which one is cut further.
 PREFIX = 3
-RANGE_LEAVES = 2_000_000
+RANGE_LEAVES = 500_000
 BLOCK = 4096
 TILE = 256
 _CELLS = 1 << 20
@@ -194,15 +195,43 @@ def load(row: dict) -> Node:
     return root
 
 
+def _arrays(held: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as a batch; values of a list column are converted all at once."""
+    cols = []
+    for f in schema:
+        values = [row[f.name] for row in held]
+        if pa.types.is_list(f.type):
+            ends = np.cumsum([0, *map(len, values)])
+            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(values)), f.type.value_type)))
+        else:
+            cols.append(pa.array(values, f.type))
+    return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+
+def _dicts(batch: pa.RecordBatch):
+    """Rows of a batch; values of a list column are converted all at once."""
+    cols = []
+    for col in batch.columns:
+        if pa.types.is_list(col.type):
+            flat = col.flatten()
+            values = flat.to_numpy().tolist() if pa.types.is_integer(flat.type) else flat.to_pylist()
+            ends = (col.offsets.to_numpy() - col.offsets[0].as_py()).tolist()
+            cols.append([values[a:b] for a, b in pairwise(ends)])
+        else:
+            cols.append(col.to_pylist())
+    for row in zip(*cols, strict=True):
+        yield dict(zip(batch.schema.names, row, strict=True))
+
+
 def _rows(made, size: int = 512):
     held = []
     for row in made:
         held.append(row)
         if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema=_TRIE_ARROW)
+            yield _arrays(held, _TRIE_ARROW)
             held = []
     if held:
-        yield pa.RecordBatch.from_pylist(held, schema=_TRIE_ARROW)
+        yield _arrays(held, _TRIE_ARROW)
 
 
 def _subtries(tries: dict, depth: int):
@@ -249,7 +278,7 @@ def _count(depth: int, leaves: int, most: int):
 def _recut(depth: int):
     def run(batches):
         for batch in batches:
-            yield from _rows(out for row in batch.to_pylist() for out in _subtries({row["lang"]: load(row)}, depth))
+            yield from _rows(out for row in _dicts(batch) for out in _subtries({row["lang"]: load(row)}, depth))
 
     return run
 
@@ -269,7 +298,7 @@ def _block(lang: str, kept: list) -> pa.RecordBatch:
     sums = np.zeros(len(names), np.int64)
     np.add.at(sums, at, counts)
     row = {"lang": lang, "size": len(kept), "terms": [t.decode() for t, _ in kept], "widths": [len(f) for _, f in kept], "names": list(names), "sums": sums.tolist(), "at": at, "counts": counts}
-    return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
+    return _arrays([row], _BLOCK_ARROW)
 
 
 def _merge(min_docs: int):
@@ -280,7 +309,7 @@ def _merge(min_docs: int):
             return [(t, counts) for t, docs, counts in walk(root) if docs >= min_docs]
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _dicts(batch):
                 key = row["lang"], row["prefix"]
                 if root is not None and key == now:
                     merge(root, load(row))
@@ -351,7 +380,7 @@ def _audit(top: int, tile: int, tables: int = 8):
     def run(batches):
         held = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _dicts(batch):
                 key = row["lang"], row["tile"]
                 if key not in held and len(held) >= tables:
                     for (lang, _), sums in held.items():
