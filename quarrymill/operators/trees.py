@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-#: Levels that one job unfolds.
-LEVELS = 8
+#: Levels that one job unfolds; published documents seldom have more.
+LEVELS = 4
 
 
 def unfold(roots: DataFrame, keys: list[str], child: Callable[[Column, Column], Column]) -> DataFrame:
