@@ -1,18 +1,23 @@
 """Operator 5: main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Scripts, styles and other text
-that is not shown are left out. A block knows whether it lies in a marked
-article (article, main) and whether it lies in an element that is never part
-of one: navigation, headers, footers, asides, forms and elements whose class,
-id or role names an advert, a menu, a notice, a sidebar or comments.
-
-First pass: a block is bad if it lies in such an element or most of its text
-is link text, and good if it is long and enough of its words are stop words,
-in an article and outside. Short blocks and long ones with few stop words stay
-undecided. Second pass: an undecided block takes the label of its nearest
-decided neighbour on its own side of the article's edges; if neighbours at
-equal distance disagree, or there is none, it is good only in a marked article.
-Within an article, elements that are never part of one are no neighbours.
+that is not shown are left out, and so are blocks in elements that name what
+no rule on words can tell from an article: adverts, notices, forms, headers,
+footers, sidebars and reader comments. All others are judged by their length,
+the share of their text that is link text, and the share of stop words.
+
+First pass: a block is bad if most of it is link text, good if it is long
+enough and enough of its words are stop words, else undecided. Marks of the
+page only move these limits: in a marked article (article, main) a stop word
+will do, in a menu (nav) a small share of link text is too much. Second pass: an undecided block takes the label of its nearest decided
+neighbour; a heading looks at what follows it first. The edge of an article or a menu counts as
+``EDGE`` blocks. If neighbours at equal distance disagree, a block with a stop
+word or in an article is good; without any decided neighbour it is bad. Only where an article
+without decided blocks has fewer than ``FEW_WORDS`` different words, so that
+the share of stop words says nothing, its blocks are good.
+
+So prose outside an article stays, lists of links within one go, and an
+article of many words without a stop word among them goes.
 
 Defined results: a null or empty page has an empty text; character references
 are decoded and white space inside a block is one blank; very long and deeply
@@ -25,15 +30,22 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate, groupby, pairwise
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONG = 70
-LINKS = 0.5
-STOP_DENSITY = 0.15
+#: Characters and share of stop words from which a block is good; in a marked article one stop word will do.
+LONG, STOP_DENSITY = 70, 0.15
+#: An article of fewer different words is too small for its share of stop words to say anything.
+FEW_WORDS = 150
+#: Share of link text above which a block is bad: anywhere, and in a menu.
+LINKS, MENU_LINKS = 0.5, 0.1
+#: How many blocks the edge of an article or a menu counts for.
+EDGE = 50
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -47,14 +59,18 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split()
 )
 RAW = frozenset("script style noscript template iframe textarea svg math title object select option canvas audio video".split())
-NEVER = frozenset("head nav header footer aside form button menu dialog fieldset".split())
+NEVER = frozenset("head header footer aside form button dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
+MENU = frozenset("nav menu".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A word of a class, id or role attribute that marks what is not the article.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebars?|side|footer|header|masthead|cookies?|consent|gdpr|notices?|"
-    r"newsletter|subscribe|popup|modal|overlay|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|widget|login|signup|search|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebars?|side|footer|header|masthead|cookies?|consent|gdpr|notices?|"
+    r"newsletter|subscribe|popup|modal|overlay|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|widget|login|signup|search|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+# A word that marks a menu.
+MENU_NAME = re.compile(r"(?:^|[\s_-])(?:nav\w*|menus?|breadcrumbs?|navigation)(?:$|[\s_-])", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)/?>|<[!?][^>]*(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -62,34 +78,37 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _never(tag: str, attributes: str) -> bool:
+def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether it is a menu."""
     if tag in NEVER:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body") or tag in ARTICLE:
-        return False
-    if any(NOISE.search(next(filter(None, m.groups()), "")) for m in _NAMED.finditer(attributes)):
-        return True
-    return bool(_HIDDEN.search(attributes))
+        return False, tag in MENU
+    names = [next(filter(None, m.groups()), "") for m in _NAMED.finditer(attributes)]
+    left_out = any(map(NOISE.search, names)) or bool(_HIDDEN.search(attributes))
+    return left_out, tag in MENU or any(map(MENU_NAME.search, names))
 
 
 class Open:
     """The open elements; looking one up and closing it take no longer the more are open."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool]] = []  # names, and whether each is never part of an article
+        self.stack: list[tuple[str, bool, bool]] = []  # names, whether each is left out, and whether it is a menu
         self.places: dict[str, list[int]] = {}
         self.block_places: list[int] = []
-        self.never = self.articles = self.links = 0
+        self.never = self.articles = self.links = self.menus = self.headings = 0
 
-    def push(self, tag: str, never: bool):
+    def push(self, tag: str, never: bool, menu: bool):
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag not in INLINE:
             self.block_places.append(len(self.stack))
-        self.stack.append((tag, never))
-        self._count(tag, never, 1)
+        self.stack.append((tag, never, menu))
+        self._count(tag, never, menu, 1)
 
-    def _count(self, tag: str, never: bool, by: int):
+    def _count(self, tag: str, never: bool, menu: bool, by: int):
         self.never += by * never
+        self.menus += by * menu
+        self.headings += by * (tag in HEADING)
         self.articles += by * (tag in ARTICLE)
         self.links += by * (tag == "a")
 
@@ -100,16 +119,24 @@ class Open:
             return
         k = at[-1]
         while len(self.stack) > k:
-            name, never = self.stack.pop()
+            name, never, menu = self.stack.pop()
             self.places[name].pop()
             if name not in INLINE:
                 self.block_places.pop()
-            self._count(name, never, -1)
+            self._count(name, never, menu, -1)
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, share of link text, in a marked article, in an element that is never part of one) of each block."""
-    out: list[tuple[str, float, bool, bool]] = []
+class Block(NamedTuple):
+    text: str
+    links: float  # share of link text
+    article: bool = False  # in a marked article
+    menu: bool = False
+    heading: bool = False
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page that are not left out."""
+    out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
     unclosed: set[str] = set()
@@ -117,8 +144,9 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
 
     def end():
         text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            out.append((text, len("".join(html.unescape("".join(linked)).split())) / len(text), around.articles > 0, around.never > 0))
+        if text and not around.never:
+            share = len("".join(html.unescape("".join(linked)).split())) / len(text)
+            out.append(Block(text, share, around.articles > 0, around.menus > 0, around.headings > 0))
         parts.clear()
         linked.clear()
 
@@ -155,53 +183,73 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             around.close("head")
         if tag in _CLOSES and around.stack and around.stack[-1][0] in _CLOSES[tag]:
             around.close(around.stack[-1][0])
-        around.push(tag, _never(tag, m[3]))
+        around.push(tag, *_kind(tag, m[3]))
     end()
     return out
 
 
-def first_pass(found: list) -> list[bool | None]:
+def stop_density(text: str) -> float:
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def first_pass(found: list[Block]) -> list[bool | None]:
     """True (good), False (bad) or None (undecided) of each block."""
     labels: list[bool | None] = []
-    for text, links, _, never in found:
-        if never or links > LINKS:
+    for b in found:
+        if b.links > (MENU_LINKS if b.menu else LINKS):
             labels.append(False)
-        elif len(text) < LONG:
+        elif b.menu:
             labels.append(None)
+        elif b.article:
+            labels.append(True if stop_density(b.text) > 0 else None)
         else:
-            words = _WORDS.findall(text.lower())
-            labels.append(True if sum(w in STOP_WORDS for w in words) >= max(1, STOP_DENSITY * len(words)) else None)
+            labels.append(True if len(b.text) >= LONG and stop_density(b.text) >= STOP_DENSITY else None)
     return labels
 
 
-def second_pass(found: list, labels: list[bool | None]) -> list[bool]:
-    """Labels of all blocks, from the nearest decided block on either side within the same run of blocks in, or outside, an article."""
+def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
+    """Labels of all blocks, undecided ones by their nearest decided neighbour."""
+    steps = (1 + EDGE * ((a.article, a.menu) != (b.article, b.menu)) for a, b in pairwise(found))
+    places = [*accumulate(steps, initial=0)]
 
     def nearest(order):
-        out, last, side = [None] * len(found), None, None
+        out, last = [None] * len(found), None
         for i in order:
-            if found[i][2] is not side:
-                last, side = None, found[i][2]
-            if found[i][2] and found[i][3]:
-                continue  # an advert in an article says nothing about what is around it
-            last = (0, labels[i]) if labels[i] is not None else last and (last[0] + 1, last[1])
             out[i] = last
+            if labels[i] is not None:
+                last = i
         return out
 
+    small = [False] * len(found)
+    for (article, menu), run in groupby(range(len(found)), lambda i: (found[i].article, found[i].menu)):
+        at = list(run)
+        if article and not menu and all(labels[i] is None for i in at):
+            few = len({w for i in at for w in _WORDS.findall(found[i].text.lower())}) < FEW_WORDS
+            for i in at:
+                small[i] = few
+
     decided = []
-    for (_, _, inside, _), label, a, b in zip(found, labels, nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1)), strict=True):
-        if label is None:
-            if a and b and a[0] == b[0] and a[1] != b[1] or not a and not b:
-                label = inside
-            else:
-                label = min((x for x in (a, b) if x), key=lambda x: x[0])[1]
-        decided.append(label)
+    for i, (b, before, behind) in enumerate(zip(found, nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1)), strict=True)):
+        if labels[i] is not None:
+            decided.append(labels[i])
+            continue
+        if small[i]:
+            decided.append(True)
+            continue
+        near = sorted((abs(places[j] - places[i]), labels[j]) for j in (before, behind) if j is not None)
+        if b.heading and behind is not None and places[behind] - places[i] < EDGE:
+            decided.append(labels[behind])
+        elif len(near) == 2 and near[0][0] == near[1][0] and near[0][1] != near[1][1]:
+            decided.append(b.article or stop_density(b.text) > 0)
+        else:
+            decided.append(near[0][1] if near else False)
     return decided
 
 
 def extract(page: str) -> str:
     found = blocks(page)
-    return " ".join(b[0] for b, good in zip(found, second_pass(found, first_pass(found)), strict=True) if good)
+    return " ".join(b.text for b, good in zip(found, second_pass(found, first_pass(found)), strict=True) if good)
 
 
 def _extract_all(keep: list[str], names: list[str]):
