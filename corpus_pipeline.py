@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm import bpe, decontaminate, jaccard, line_dedup, quality
 from quarrymill.llm.queries import tokenizer_path
-from quarrymill.llm.storage import materialise, table
+from quarrymill.llm.storage import materialise, quoted, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     a line stays in the largest id that holds it.
     """
     own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(o) for c, o in own.items())))
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", *(F.col(quoted(c)).alias(o) for c, o in own.items())))
     kept = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col(o) for c, o in own.items()}
     if "n_chars" in kept:
         kept["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .byte_bpe import ByteEncoder, encoder
-from .storage import materialise
+from .storage import materialise, quoted
 
 LONG_CHARS = 1 << 13
 SEGMENT_CHARS = 1 << 13
@@ -315,7 +315,7 @@ def encode_documents(
 
     new = T.StructType.fromDDL(_NEW + ", ids array<int>" * with_ids)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
-    named = docs.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text).alias("__text"))
+    named = docs.select(*(F.col(quoted(c)).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(quoted(text)).alias("__text"))
     kept = named.columns[:-1]
     # Of a long text only the first part's row has what is kept, so all of it may be null here.
     fields = [T.StructField(f.name, f.dataType) for f in named.schema.fields[:-1]]

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import by_place, quoted
+
 WINDOW = 10
 PATTERN_BYTES = 32 << 20
 
@@ -160,15 +162,15 @@ def scan_documents(
     keep = [c for c in (docs.columns if keep is None else keep) if c not in {*new.names, "contaminated"}]
     groups = pattern_groups([(r[0], r[1]) for r in benchmark.where("item_id is not null").select("item_id", "text").toLocalIterator()], size, bound)
     shared = docs.sparkSession.sparkContext.broadcast(groups)
-    schema = T.StructType([*docs.select(*keep).schema.fields, *new.fields])
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    out = rows.mapInArrow(_scan_all(shared, uuid.uuid4().hex, len(groups), keep, to_arrow_schema(schema)), schema)
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    columns, own = by_place(docs, keep)
+    rows = docs.select(*columns, F.col(quoted(text)).alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *new.fields])
+    out = rows.mapInArrow(_scan_all(shared, uuid.uuid4().hex, len(groups), [*own.values()], to_arrow_schema(schema)), schema)
+    return out.select(*(F.col(o).alias(c) for c, o in own.items()), *new.names, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in own.items()))
-    marked = scan_documents(renamed, benchmark, size, text=own["text"])
+    columns, own = by_place(docs)
+    marked = scan_documents(docs.select(*columns), benchmark, size, text=own["text"])
     return marked.where(~F.col("contaminated")).select(*(F.col(o).alias(c) for c, o in own.items()))

@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import by_place, quoted
+
 #: Characters and share of stop words from which a block is good; in a marked article one stop word will do.
 LONG, STOP_DENSITY = 70, 0.15
 #: An article of fewer different words is too small for its share of stop words to say anything.
@@ -265,5 +267,8 @@ def _extract_all(keep: list[str], names: list[str]):
 def extract_pages(pages: DataFrame, keep: list[str] | None = None, column: str = "html") -> DataFrame:
     """The ``keep`` columns of every page with text and n_chars; kept columns of those names are left out."""
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
-    schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(*keep, F.col(column).alias("__html")).mapInArrow(_extract_all(keep, schema.names), schema)
+    columns, own = by_place(pages, keep)
+    rows = pages.select(*columns, F.col(quoted(column)).alias("__html"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    found = rows.mapInArrow(_extract_all([*own.values()], schema.names), schema)
+    return found.select(*(F.col(o).alias(c) for c, o in own.items()), "text", "n_chars")

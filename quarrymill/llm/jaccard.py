@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .frequent import most_frequent
 from .shingles import ascii_words, mix, shingle_set
-from .storage import materialise
+from .storage import by_place, materialise
 
 #: Similarity is at least NUM / DEN.
 NUM, DEN = 4, 5
@@ -367,8 +367,10 @@ def keep_representatives(docs: DataFrame, doc: str = "doc_id", text: str = "text
     Rows are told apart by id and text: repeated rows count as one document, of
     which one row stays, and texts that share an id are judged each on its own.
     """
-    own = F.xxhash64(F.col(doc).isNull(), F.col(doc).cast("long"), F.col(text).isNull(), F.col(text))
-    rows = docs.withColumn("__key", own)
+    columns, own = by_place(docs)
+    docs = docs.select(*columns)
+    doc, text = own[doc], own[text]
+    rows = docs.withColumn("__key", F.xxhash64(F.col(doc).isNull(), F.col(doc).cast("long"), F.col(text).isNull(), F.col(text)))
     found = similar_documents(rows, "__key", text).select("__key", "component_id").distinct()
     named = rows.groupBy("__key").agg(F.min(F.col(doc).cast("long")).alias("id"), F.count(F.lit(1)).alias("n"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key", "n")).alias("least")
@@ -377,4 +379,4 @@ def keep_representatives(docs: DataFrame, doc: str = "doc_id", text: str = "text
     # Apart and mostly none, so that the texts need not be dealt out a second time.
     many = materialise(kept.where("n > 1").select("__key"), "jaccard-repeated")
     again = rows.join(many, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return once.select(*docs.columns).unionByName(again)
+    return once.select(*docs.columns).unionByName(again).select(*(F.col(o).alias(c) for c, o in own.items()))

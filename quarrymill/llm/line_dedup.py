@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialise
+from .storage import by_place, materialise
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -208,17 +208,17 @@ def keep_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_c
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with n_lines, n_dropped, keep_bitmap (null: all stay) and kept_text."""
-    bits = keep_bitmaps(docs, doc, text, min_chars, min_docs).select(
-        F.col("doc").alias("__doc"), F.col("ver").alias("__ver"), F.col("n_dropped").alias("__n"), F.col("keep_bitmap").alias("__bits")
-    )
-    joined = docs.join(bits, (F.col(doc).cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__ver")), "left")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return (
-        joined.withColumn("n_lines", F.size(_lines(F.col(text))).cast("long"))
-        .withColumn("n_dropped", F.coalesce("__n", F.lit(0)).cast("long"))
-        .withColumn("keep_bitmap", F.col("__bits"))
-        .withColumn("__cut", _apply(F.when(F.col("__bits").isNotNull(), whole), F.col("__bits")))
-        .withColumn("kept_text", F.coalesce("__cut", whole))
-        .drop("__doc", "__ver", "__n", "__bits", "__cut")
-    )
+    """``docs`` with n_lines, n_dropped, keep_bitmap (null: all stay) and kept_text, which take the place of own columns so named."""
+    columns, own = by_place(docs)
+    rows = docs.select(*columns)
+    bits = keep_bitmaps(rows, own[doc], own[text], min_chars, min_docs)
+    joined = rows.join(bits, (F.col(own[doc]).cast("long") == F.col("doc")) & (F.xxhash64(own[text]) == F.col("ver")), "left")
+    body = F.col(own[text])
+    whole = F.coalesce(body, F.lit(""))
+    new = {
+        "n_lines": F.size(_lines(body)).cast("long"),
+        "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"),
+        "keep_bitmap": F.col("keep_bitmap"),
+        "kept_text": F.coalesce(_apply(F.when(F.col("keep_bitmap").isNotNull(), whole), F.col("keep_bitmap")), whole),
+    }
+    return joined.select(*(F.col(o).alias(c) for c, o in own.items() if c not in new), *(v.alias(n) for n, v in new.items()))

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import by_place
+
 SAMPLE = 4000
 WORD_COLUMNS = 3072
 OUTLINE_COLUMNS = 1024
@@ -169,18 +171,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     model = model or fit(docs, labels, doc=doc, text=text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    return (
-        rows.mapInArrow(_score(shared, keep, [*keep, "score"]), schema)
-        .withColumn("held_out", is_held_out(doc))
-        .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-    )
+    columns, own = by_place(docs, keep)
+    rows = docs.select(*columns, is_held_out(doc).alias("held_out"), F.col(text).alias("__text"))
+    kept = [*own.values(), "held_out"]
+    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("score", T.DoubleType())])
+    scored = rows.mapInArrow(_score(shared, kept, [*kept, "score"]), schema)
+    return scored.select(*(F.col(o).alias(c) for c, o in own.items()), "score", "held_out", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in own.items()))
-    marked = score_documents(renamed, labels, doc=own["doc_id"], text=own["text"], model=fit(docs, labels))
+    columns, own = by_place(docs)
+    marked = score_documents(docs.select(*columns), labels, doc=own["doc_id"], text=own["text"], model=fit(docs, labels))
     return marked.where("predicted = 1").select(*(F.col(o).alias(c) for c, o in own.items()))

@@ -12,7 +12,8 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +54,17 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def by_place(docs: DataFrame, columns: list[str] | None = None) -> tuple[list[Column], dict[str, str]]:
+    """(columns under names by their place, those names by the columns' own), so that no column's name meets an inner one."""
+    names = {c: f"__own_{i}" for i, c in enumerate(docs.columns if columns is None else columns)}
+    return [F.col(quoted(c)).alias(o) for c, o in names.items()], names
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that ``materialise`` wrote and nothing will read again."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -69,3 +69,35 @@ def test_stages_on_odd_rows(spark):
                     assert len(got) == len(rows) and sum(line.strip() in r.text for r in got) == 1
                 if name == "near_duplicates":
                     assert sum(r.doc_id == 4 for r in got) == 1
+
+
+def test_columns_of_any_name(spark):
+    """No operator's inner names, dots or backticks in the documents' own columns change a row."""
+    import corpus_pipeline
+    from quarrymill.llm import bpe, decontaminate, html_text, jaccard, line_dedup, quality
+    from quarrymill.llm.queries import tokenizer_path
+
+    names = ["__key", "__n", "__doc", "__ver", "__bits", "__text", "__html", "__k0", "__own_0", "__own_5", "doc", "ver", "id", "key", "n", "comp", "kind", "held_out", "score", "n_hit", "a.b", "a`b", "line `1`.x"]
+    line = "a line that many documents repeat, of more than forty characters"
+    rows = [(i, f"{line}\nThe text of document number {i} tells of the sea and of the hills.", *(f"{c}{i}" for c in names)) for i in range(8)]
+    quote = lambda c: "`" + c.replace("`", "``") + "`"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{quote(c)} string" for c in names))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    tests = spark.createDataFrame([(1, "no such words here")], "item_id long, text string")
+    want = sorted(r[2:] for r in rows)
+
+    def same(df, kept=names):
+        at = [names.index(c) for c in kept]
+        assert sorted(tuple(r) for r in df.select(*map(quote, kept)).collect()) == sorted(tuple(w[i] for i in at) for w in want)
+
+    same(line_dedup.dedup_lines(docs))
+    same(quality.score_documents(docs, labels), [c for c in names if c not in ("held_out", "score")])
+    same(html_text.extract_pages(docs.withColumnRenamed("text", "html")))
+    same(decontaminate.scan_documents(docs, tests), [c for c in names if c != "n_hit"])
+    same(bpe.encode_documents(docs, tokenizer_path()))
+    same(jaccard.keep_representatives(docs))
+    same(decontaminate.drop_contaminated(docs, tests))
+    same(corpus_pipeline.drop_repeated_lines(spark, docs, ""))
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert {tuple(r)[2:] for r in kept.collect()} <= set(want)
