@@ -17,8 +17,9 @@
    Counts of the model's and of at least the ``COUNTED`` most frequent words are
    at hand as a broadcast; rarer words are sent to a join with the table of all counts.
 
-The unit is gated by one update gate: h' = z h + (1 - z) tanh(x + U h), z a
-sigmoid of the same form (a GRU whose reset gate is always open). Outputs are
+The unit is a GRU: h' = z h + (1 - z) tanh(x + r (U h)), with the update gate z
+and the reset gate r sigmoids of x + U h, each with an x and U of its own; r acts
+behind the product with the state, so one product serves all three. Outputs are
 factored into classes in order of frequency: a softmax over classes, one within
 the class, and for all but the most frequent words a third one, over the words
 of a part of it. Starting biases follow the counts.
@@ -77,7 +78,7 @@ COPIES = 1024
 #: Documents of more tokens come first in a copy, by length.
 LONG = 256
 #: Tokens, and different words, after which a chunk of documents ends.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 WORDS = 1 << 18
 #: Hash of the end token: it holds a line break, which no word does.
 END = xxhash.xxh3_64_intdigest(b"\nend")
@@ -181,8 +182,8 @@ class Model:
         mid = np.concatenate((few, many.sum(1).reshape(-1, side)))
         self.low, self.mid = table(many), table(mid)
         self.top = table(np.append(mid.sum(1), rest + 0.1)[None])
-        self.g, self.u = normal(head + 2, 2 * hidden), normal(hidden, 2 * hidden) * np.float32(10 / np.sqrt(hidden))
-        self.g[:, :hidden] += 1  # begin by remembering
+        self.g, self.u = normal(head + 2, 3 * hidden), normal(hidden, 3 * hidden) * np.float32(10 / np.sqrt(hidden))
+        self.g[:, : 2 * hidden] += 1  # begin by remembering, and without resets
 
     def weights(self) -> dict:
         return {k: getattr(self, k) for k in self.NAMES}
@@ -197,29 +198,38 @@ class Model:
         inputs[0], inputs[1:] = before, tokens[:-1]
         inputs[first] = self.head + 1
         states, starts = np.ones((*n, hid + 1), np.float32), first.any(1)
-        befores = np.empty((*n, hid), np.float32) if keep else None
-        x, y = self.g[inputs], np.empty((n[1], 2 * hid), np.float32)
-        for t in range(n[0]):
-            if starts[t]:
-                h = np.where(first[t][:, None], np.float32(0), h)
-            a = x[t]
-            np.matmul(h, self.u, out=y)
-            a += y
-            # One exponential for both: z is a sigmoid, and a tanh is twice a sigmoid less one.
+        befores, proposed = (np.empty((*n, hid), np.float32) if keep else None for _ in range(2))
+        # Gates and candidates lie apart, so that each step works on whole rows.
+        gates, fresh = self.g[:, : 2 * hid][inputs], self.g[:, 2 * hid :][inputs]
+        to_gates, to_fresh = np.ascontiguousarray(self.u[:, : 2 * hid]), np.ascontiguousarray(self.u[:, 2 * hid :])
+        both, past = np.empty((n[1], 2 * hid), np.float32), np.empty((n[1], hid), np.float32)
+
+        def squash(a):  # a sigmoid, in place
             np.negative(a, out=a)
             np.exp(a, out=a)
             a += 1
             np.reciprocal(a, out=a)
-            m = a[:, hid:]
-            m *= 2
-            m -= 1
+
+        for t in range(n[0]):
+            if starts[t]:
+                h = np.where(first[t][:, None], np.float32(0), h)
+            a, c = gates[t], fresh[t]
+            a += np.matmul(h, to_gates, out=both)
+            squash(a)
+            np.matmul(h, to_fresh, out=past)
             if keep:
-                befores[t] = h
-            h = h - m
+                befores[t], proposed[t] = h, past
+            past *= a[:, hid:]
+            c += past
+            # A tanh is twice a sigmoid less one.
+            squash(c)
+            c *= 2
+            c -= 1
+            h = h - c
             h *= a[:, :hid]
-            h += m
+            h += c
             states[t, :, :hid] = h
-        return inputs, states, (befores, x), h
+        return inputs, states, (befores, proposed, gates, fresh), h
 
     @staticmethod
     def _first(weights, target, states, grads):
@@ -326,7 +336,7 @@ class Trainer:
 
     def window(self, tokens, first, real, h, before):
         m, hid = self.m, self.m.hidden
-        inputs, states, (befores, gates), last = m.forward(tokens, first, h, before, keep=True)
+        inputs, states, (befores, proposed, gates, fresh), last = m.forward(tokens, first, h, before, keep=True)
         at = np.flatnonzero(real.ravel())
         if not len(at):
             return last
@@ -334,31 +344,36 @@ class Trainer:
         d_states = np.zeros((tokens.size, hid), np.float32)
         _, d_states[at] = m.output(states.reshape(-1, hid + 1)[at], tokens.ravel()[at], grads)
         d_states = d_states.reshape(*tokens.shape, hid)
-        # What a step's gradient is multiplied by does not depend on the later steps.
-        z, c = gates[..., :hid], gates[..., hid:]
-        slope, forget = np.empty_like(gates), 1 - z
-        by_z, by_c = slope[..., :hid], slope[..., hid:]
-        np.subtract(befores, c, out=by_z)
-        by_z *= z
-        by_z *= forget
-        np.multiply(c, c, out=by_c)
-        np.subtract(1, by_c, out=by_c)
-        by_c *= forget
-        by_c *= np.float32(0.5)
         d_h, starts = np.zeros_like(last), first.any(1)
-        back = np.ascontiguousarray(m.u.T)
+        to_gates, to_fresh = np.ascontiguousarray(m.u[:, : 2 * hid].T), np.ascontiguousarray(m.u[:, 2 * hid :].T)
+        forget, more = np.empty_like(last), np.empty_like(last)
         for t in range(len(tokens) - 1, -1, -1):
-            d, dx = d_states[t], slope[t]
+            # Arrays become gradients in place: gates by their own sums, fresh by the candidate's, proposed by its product with the state.
+            d, past, c, z, r = d_states[t], proposed[t], fresh[t], gates[t, :, :hid], gates[t, :, hid:]
             d += d_h
-            both = dx.reshape(-1, 2, hid)
-            both *= d[:, None, :]
-            d_h = dx @ back
-            d *= z[t]
+            np.subtract(1, z, out=forget)
+            forget *= d
+            d *= z
+            np.subtract(befores[t], c, out=more)
+            z *= forget
+            z *= more
+            np.multiply(c, c, out=c)
+            np.subtract(1, c, out=c)
+            c *= np.float32(0.5)
+            c *= forget
+            np.multiply(c, r, out=more)  # of the product with the state
+            np.subtract(1, r, out=r)
+            r *= more
+            r *= past
+            past[:] = more
+            d_h = gates[t] @ to_gates
+            d_h += np.matmul(past, to_fresh, out=more)
             d_h += d
             if starts[t]:
                 d_h[first[t]] = 0
-        d_u = befores.reshape(-1, hid).T @ slope.reshape(-1, 2 * hid)
-        self._step(grads, d_u, inputs.ravel(), slope.reshape(-1, 2 * hid), len(at))
+        wide, narrow, by_state = gates.reshape(-1, 2 * hid), fresh.reshape(-1, hid), befores.reshape(-1, hid).T
+        d_u = np.concatenate((by_state @ wide, by_state @ proposed.reshape(-1, hid)), 1)
+        self._step(grads, d_u, inputs.ravel(), np.concatenate((wide, narrow), 1), len(at))
         return last
 
     def _step(self, grads, d_u, inputs, d_x, n):

@@ -589,8 +589,9 @@ def by_token(model, places):
     share = lambda x, state: np.exp(v := state @ x[:-1] + x[-1]) / np.exp(v).sum()
     h, before, total = np.zeros(hid), model.head + 1, 0.0
     for t in places:
-        a = w["g"][before] + h @ w["u"]
-        z, c = 1 / (1 + np.exp(-a[:hid])), np.tanh(a[hid:] / 2)
+        x, past = w["g"][before].reshape(3, hid), (h @ w["u"]).reshape(3, hid)
+        z, r = 1 / (1 + np.exp(-(x + past)[:2]))
+        c = np.tanh((x[2] + r * past[2]) / 2)
         h, before = z * h + (1 - z) * c, t
         if t == model.head:
             p = share(w["top"][0], h)[-1]
