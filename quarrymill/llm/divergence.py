@@ -42,8 +42,8 @@ MIN_DOCS = 3
 TOP = 200
 UNIT = 1_000_000_000
 #: Distinct (source, term) counts and trie leaves that a counting task holds.
-COUNTS = 2_000_000
-LEAVES = 500_000
+COUNTS = 300_000
+LEAVES = 200_000
 #: Bytes of a prefix at first, and terms of all partial tries above which one is cut further.
 PREFIX = 3
 RANGE_LEAVES = 500_000
