@@ -319,8 +319,9 @@ def _all() -> dict:
     from .documents import QUERIES as documents
     from .landed import QUERIES as landed
     from .more import QUERIES as more
+    from .sweeps import QUERIES as sweeps
 
-    return QUERIES | more | documents | landed
+    return QUERIES | more | documents | landed | sweeps
 
 
 def queries() -> dict:
