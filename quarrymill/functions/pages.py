@@ -185,9 +185,13 @@ def per_cve(advisory: Column, cve: Column) -> Column:
     return F.when(cve.isNull(), advisory).otherwise(F.concat(advisory, F.lit("/"), cve))
 
 
+# What a feed's unfinished comment attribute looks like, and how it is ended.
+UNFINISHED, FINISHED = r'\bcomment="([^"\n]*)\n', 'comment="{}"/>\n'
+
+
 def mend_comments(xml: Column) -> Column:
-    """Comment attributes that a line break ends get their closing quote."""
-    return F.regexp_replace(xml, r'(comment="[^"\n]*)\n', '$1"\n')
+    """Comment attributes that a line break ends get their closing quote, and their elements are closed."""
+    return F.regexp_replace(xml, UNFINISHED, FINISHED.format("$1"))
 
 
 def headed(html: Column, heading: str) -> Column:

@@ -130,6 +130,11 @@ def dpkg_evr(v: Column) -> Column:
     return _evr(v, dpkg_key)
 
 
+def leading_number(version: Column) -> Column:
+    """The first number of a version without an epoch, where it decides before all else; else null."""
+    return F.regexp_extract(version, r"^0*(\d{1,9})(?:[^\d:][^:]*)?\z", 1).try_cast("bigint")
+
+
 def compare(a: Column, b: Column) -> Column:
     return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 

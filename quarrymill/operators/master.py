@@ -33,9 +33,10 @@ def delta_cursor(jobs: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows over old ones by key, with what happened to each."""
+    """New rows over old ones by key, with what happened to each; of new rows that repeat a key the greatest counts."""
     cols = [c for c in old.columns if c != key]
-    o, n = old.withColumn("__o", F.lit(1)).alias("o"), new.withColumn("__n", F.lit(1)).alias("n")
+    once = new.groupBy(key).agg(F.max(F.struct(*cols)).alias("row")).select(key, "row.*")
+    o, n = old.withColumn("__o", F.lit(1)).alias("o"), once.withColumn("__n", F.lit(1)).alias("n")
     return o.join(n, key, "full").select(
         key,
         *(F.when(F.col("n.__n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in cols),

@@ -24,17 +24,19 @@ OSV = """SELECT 'OSV-' || CAST(o_orderkey AS varchar(10)) AS own_id, 'pkg' || CA
   CASE WHEN o_orderkey%9=0 THEN NULL ELSE CAST(o_orderkey%1000 AS bigint) END AS master_no, CAST(o_orderkey%6 AS varchar(10)) || '.0.0' AS introduced_version, (o_orderkey%6)*1000000 AS lo,
   CASE WHEN o_orderkey%7=0 THEN NULL ELSE CAST(o_orderkey%6+2 AS varchar(10)) || '.' || CAST(o_orderkey%10 AS varchar(10)) || '.0' END AS fixed_version,
   CASE WHEN o_orderkey%7=0 THEN NULL ELSE (o_orderkey%6+2)*1000000 + (o_orderkey%10)*1000 END AS hi, CAST(NULL AS varchar(10)) AS last_affected_version,
-  CAST(o_orderkey%8 AS varchar(10)) || '.' || CAST(o_custkey%25 AS varchar(10)) || '.' || CAST(o_custkey%7 AS varchar(10)) AS listed FROM orders"""
+  CAST(o_orderkey%8 AS varchar(10)) || '.' || CAST(o_custkey%25 AS varchar(10)) || '.' || CAST(o_custkey%7 AS varchar(10)) AS listed,
+  CASE o_orderkey%3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS severity, CAST(o_orderkey%10 AS double) AS score, 'about ' || CAST(o_orderkey AS varchar(10)) AS summary FROM orders"""
 NVD = """SELECT 'N-' || CAST(c_custkey AS varchar(10)) AS own_id, c_custkey AS row_id, 'acme' AS vendor, 'pkg' || CAST(c_custkey%200 AS varchar(10)) AS package_name, CAST(NULL AS varchar(10)) AS ecosystem,
-  CAST(c_custkey%1000 AS bigint) AS master_no, CAST(NULL AS varchar(10)) AS fixed_version, (c_custkey%5)*1000000 AS lo, (c_custkey%5+1)*1000000 AS hi FROM customer"""
+  CAST(c_custkey%1000 AS bigint) AS master_no, CAST(NULL AS varchar(10)) AS fixed_version, (c_custkey%5)*1000000 AS lo, (c_custkey%5+1)*1000000 AS hi, CASE c_custkey%3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'LOW' END AS severity, CAST(c_custkey%10 AS double) AS score, 'about ' || CAST(c_custkey AS varchar(10)) AS summary FROM customer"""
 ADVISORY = """SELECT 'ADV-' || CAST(c_custkey AS varchar(10)) AS own_id, 'pkg' || CAST(c_custkey%200 AS varchar(10)) AS package_name,
   CASE c_custkey%3 WHEN 0 THEN 'red-hat' WHEN 1 THEN 'oracle-linux' ELSE 'pan' END AS vendor, CASE WHEN c_custkey%17=0 THEN NULL ELSE CAST((c_custkey*3)%1000 AS bigint) END AS master_no,
   CASE WHEN c_custkey%6=0 THEN NULL ELSE CAST(c_custkey%4 AS varchar(10)) || '.0.0' END AS version_start, CASE WHEN c_custkey%6=0 THEN NULL ELSE (c_custkey%4)*1000000 END AS lo,
   CAST(c_custkey%4+2 AS varchar(10)) || '.0.1' || CASE WHEN c_custkey%5=0 THEN '.module+el9' ELSE '' END AS version_end, (c_custkey%4+2)*1000000+1 AS hi, c_custkey%5=0 AS modular,
-  CAST(c_custkey%8 AS varchar(10)) || '.' || CAST(c_custkey%25 AS varchar(10)) || '.' || CAST(c_custkey%7 AS varchar(10)) AS listed FROM customer"""
+  CAST(c_custkey%8 AS varchar(10)) || '.' || CAST(c_custkey%25 AS varchar(10)) || '.' || CAST(c_custkey%7 AS varchar(10)) AS listed, CASE c_custkey%3 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'LOW' END AS severity, CAST(c_custkey%10 AS double) AS score, 'about ' || CAST(c_custkey AS varchar(10)) AS summary FROM customer"""
 MASTERS = """SELECT CAST(p_partkey AS bigint) AS master_no, CASE WHEN p_partkey%3<>0 THEN 'CVE-2024-' || CAST(p_partkey AS varchar(10)) END AS cve_id,
   CASE WHEN p_partkey%2=0 THEN 'OSV-' || CAST(p_partkey AS varchar(10)) END AS osv_id, CASE WHEN p_partkey%5=0 THEN 'ADV-' || CAST(p_partkey AS varchar(10)) END AS advisory_id,
-  CASE p_size%3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS severity FROM part WHERE p_partkey < 1000"""
+  CASE p_size%3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS severity, CASE WHEN p_partkey%4<>0 THEN CAST(p_partkey%90 AS double)/10 END AS score, 'CVSS:3.1/' || CAST(p_partkey AS varchar(10)) AS vector,
+  'master ' || CAST(p_partkey AS varchar(10)) AS summary, p_partkey%8=0 AS is_kev, CASE WHEN p_partkey%3=0 THEN CAST(p_partkey%100 AS double)/100 END AS epss FROM part"""
 
 
 def _whole(n):
@@ -51,35 +53,50 @@ def _found(spark, d):
 
 def search_all(spark, d):
     return _found(spark, d).select(
-        "request_id", "id", "external_id", "source", F.array_join("sources", ",").alias("sources"), F.array_join(F.array_sort("aliases"), ",").alias("aliases"), "fixed_version", "approximate", "severity"
+        "request_id", "id", "external_id", "source", F.array_join("sources", ",").alias("sources"), F.array_join(F.array_sort("aliases"), ",").alias("aliases"), "fixed_version", "approximate", *_TOLD
     )
 
 
+_TOLD = ("severity", "score", "vector", "summary", "is_kev", "epss")
+
+
+def single(spark, d):
+    """The second page of ten results of each request."""
+    return S.paged(_found(spark, d), 10, 10).select("request_id", "id", "external_id", *_TOLD, c("nth").cast("long").alias("nth"))
+
+
+def batch(spark, d):
+    """At most 500 results of each package, in one list each."""
+    found = S.paged(_found(spark, d), 500)
+    return found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "external_id"))), lambda x: x["external_id"]), ",").alias("ids"))
+
+
 def search_by_source(spark, d):
     return S.found_by(_found(spark, d), "advisory").groupBy("request_id").agg(F.count(F.lit(1)).alias("n_ids"), F.min("external_id").alias("least"))
 
 
 _SEARCH = f"""WITH r AS (SELECT *, coalesce(ecosystem IN ('Debian:12', 'Red Hat:9', 'AlmaLinux:9', 'oracle-linux'), false) AS distro FROM ({REQUESTS})), o AS ({OSV}), n AS ({NVD}), a AS ({ADVISORY}), m AS ({MASTERS}),
   hits AS (
-    SELECT request_id, 1 AS rank, 'osv' AS source, master_no, own_id, fixed_version, NOT distro AND r.n IS NULL AS approximate FROM r JOIN o ON r.package_name = o.package_name
+    SELECT request_id, 1 AS rank, 'osv' AS source, master_no, own_id, fixed_version, NOT distro AND r.n IS NULL AS approximate, severity, score, summary FROM r JOIN o ON r.package_name = o.package_name
       AND CASE WHEN r.ecosystem IS NULL THEN o.ecosystem IN ('npm', 'Hex') ELSE r.ecosystem = o.ecosystem END
       AND CASE WHEN version IS NULL THEN true WHEN r.ecosystem = 'Debian:12' THEN listed = version OR CASE WHEN r.n IS NULL THEN hi IS NULL ELSE lo <= r.n AND (hi IS NULL OR r.n < hi) END
         WHEN distro THEN listed = version WHEN r.n IS NULL THEN true WHEN kind = 'versions' THEN listed = version ELSE lo <= r.n AND (hi IS NULL OR r.n < hi) END
-    UNION ALL SELECT request_id, 2, 'nvd', master_no, own_id, fixed_version, r.n IS NULL FROM r JOIN n ON r.package_name = n.package_name AND r.ecosystem IS NULL AND (r.n IS NULL OR lo <= r.n AND r.n < hi)
-    UNION ALL SELECT request_id, 3, 'advisory', master_no, own_id, version_end, NOT distro AND version IS NOT NULL AND r.n IS NULL FROM r JOIN a ON r.package_name = a.package_name AND (
+    UNION ALL SELECT request_id, 2, 'nvd', master_no, own_id, fixed_version, r.n IS NULL, severity, score, summary FROM r JOIN n ON r.package_name = n.package_name AND r.ecosystem IS NULL AND (r.n IS NULL OR lo <= r.n AND r.n < hi)
+    UNION ALL SELECT request_id, 3, 'advisory', master_no, own_id, version_end, NOT distro AND version IS NOT NULL AND r.n IS NULL, severity, score, summary FROM r JOIN a ON r.package_name = a.package_name AND (
       r.ecosystem IN ('Red Hat:9', 'oracle-linux') AND vendor = CASE r.ecosystem WHEN 'Red Hat:9' THEN 'red-hat' ELSE 'oracle-linux' END
         AND (version IS NULL OR r.n IS NOT NULL AND (lo IS NULL OR lo <= r.n) AND (r.n < hi OR modular AND r.n = hi))
       OR (r.ecosystem IS NULL OR r.ecosystem = 'other') AND NOT modular AND (version IS NULL OR listed = version OR r.n IS NOT NULL AND (lo IS NULL OR lo <= r.n) AND r.n < hi))),
   found AS (SELECT request_id, coalesce('m' || CAST(master_no AS varchar), own_id) AS id, max(master_no) AS master_no, list(DISTINCT own_id) AS owns, string_agg(DISTINCT source, ',' ORDER BY source DESC) AS by_name,
-      first(source ORDER BY rank, own_id) AS one, first(own_id ORDER BY rank, own_id) AS own, first(approximate ORDER BY rank, own_id) AS approximate, first(fixed_version ORDER BY rank, own_id) FILTER (WHERE fixed_version <> '') AS fixed_version FROM hits GROUP BY 1, 2),
+      min(rank) AS rank, first(source ORDER BY rank, own_id) AS one, first(own_id ORDER BY rank, own_id) AS own, first(severity ORDER BY rank, own_id) AS own_severity, first(score ORDER BY rank, own_id) AS own_score, first(summary ORDER BY rank, own_id) AS own_summary, first(approximate ORDER BY rank, own_id) AS approximate, first(fixed_version ORDER BY rank, own_id) FILTER (WHERE fixed_version <> '') AS fixed_version FROM hits GROUP BY 1, 2),
   res AS (SELECT request_id, id, coalesce(cve_id, osv_id, advisory_id, own) AS external_id, CASE WHEN cve_id IS NOT NULL THEN 'nvd' WHEN osv_id IS NOT NULL THEN 'osv' ELSE one END AS source,
       concat_ws(',', CASE WHEN contains(by_name, 'osv') THEN 'osv' END, CASE WHEN contains(by_name, 'nvd') THEN 'nvd' END, CASE WHEN contains(by_name, 'advisory') THEN 'advisory' END) AS sources,
-      array_to_string(list_sort(list_distinct(list_filter(list_concat(owns, [cve_id, osv_id, advisory_id]), lambda x: x IS NOT NULL))), ',') AS aliases, fixed_version, approximate, severity
-    FROM found LEFT JOIN m USING (master_no))"""
+      array_to_string(list_sort(list_distinct(list_filter(list_concat(owns, [cve_id, osv_id, advisory_id]), lambda x: x IS NOT NULL))), ',') AS aliases, fixed_version, approximate,
+      CASE WHEN vector IS NULL THEN own_severity ELSE severity END AS severity, CASE WHEN vector IS NULL THEN own_score ELSE score END AS score, vector, CASE WHEN vector IS NULL THEN own_summary ELSE summary END AS summary,
+      coalesce(is_kev, false) AS is_kev, epss, row_number() OVER (PARTITION BY request_id ORDER BY rank, own, id) AS nth FROM found LEFT JOIN m USING (master_no))"""
 
 
 def cpe_page(spark, d):
-    names = view(spark, d, REQUESTS).where("request_id % 10 = 1").select(
+    names = view(spark, d, REQUESTS).select(
         "request_id", F.concat(F.lit("cpe:2.3:a:acme:"), c("package_name"), F.lit(":"), F.coalesce("version", F.lit("*")), F.lit(":*:*:*:*:*:*:*")).alias("cpe")
     )
     nvd = view(spark, d, NVD).withColumns({"introduced_int": _whole("lo"), "fixed_int": _whole("hi"), "last_affected_int": F.lit(None).cast("bigint")})
@@ -184,7 +201,7 @@ def page_fields(spark, d):
         F.array_join(G.listed_products(t("Tool ", c("x"), ", ab, Kit, Cut sh...")), "|").alias("products"),
         G.page_address(t("https://acme.test/de-de/security-advisories/", c("x"))).alias("address"),
         G.per_cve(t("ADV-", c("x")), F.when(c("k") == 0, t("CVE-2024-", c("x")))).alias("part_id"),
-        G.mend_comments(t('<c comment="a ', c("x"), '\n next="b">')).alias("mended"),
+        G.mend_comments(t('<c comment="a ', c("x"), '\n<d/>')).alias("mended"),
         G.fix_after(t("1.", c("x"), ".3"), G.not_vulnerable(t("1.", c("x"), ".4+, 2.0.1+, none"))).alias("fix"),
     )
 
@@ -268,10 +285,12 @@ _MS = "p_partkey * 977"
 
 #: name → (query, SQL)
 QUERIES = {
-    "search_all": (search_all, f"{_SEARCH} SELECT * FROM res"),
+    "search_all": (search_all, f"{_SEARCH} SELECT * EXCLUDE (nth) FROM res"),
+    "search_single": (single, f"{_SEARCH} SELECT request_id, id, external_id, severity, score, vector, summary, is_kev, epss, nth FROM res WHERE nth BETWEEN 11 AND 20"),
+    "search_batch": (batch, f"{_SEARCH} SELECT request_id, count(*) AS n, string_agg(external_id, ',' ORDER BY nth) AS ids FROM res WHERE nth <= 500 GROUP BY 1"),
     "search_by_source": (search_by_source, f"{_SEARCH} SELECT request_id, count(DISTINCT upper(external_id)) AS n_ids, min(upper(external_id)) AS least FROM res WHERE contains(sources, 'advisory') GROUP BY 1"),
     "cpe_search_paged": (cpe_page, f"""WITH h AS (SELECT request_id, own_id, row_id, row_number() OVER (PARTITION BY request_id ORDER BY own_id, row_id) AS k FROM ({REQUESTS}) r JOIN ({NVD}) n ON r.package_name = n.package_name
-      WHERE request_id%10 = 1 AND (r.n IS NULL OR lo <= r.n AND r.n < hi)) SELECT request_id, own_id, row_id FROM h WHERE k BETWEEN 2 AND 4"""),
+      WHERE (r.n IS NULL OR lo <= r.n AND r.n < hi)) SELECT request_id, own_id, row_id FROM h WHERE k BETWEEN 2 AND 4"""),
     "detail_lookup": (detail, f"""WITH m AS ({MASTERS}), q AS (SELECT p_partkey AS k, CASE p_partkey%4 WHEN 0 THEN 'CVE-2024-' WHEN 1 THEN 'ADV-' WHEN 2 THEN 'OSV-' ELSE 'no-' END || CAST(p_partkey AS varchar) AS ident FROM part),
       w AS (SELECT ident, (SELECT min(master_no) FROM m WHERE ident IN (cve_id, osv_id, advisory_id)) AS a, (SELECT min(master_no) FROM ({ADVISORY}) x WHERE own_id = ident) AS b, (SELECT min(master_no) FROM ({OSV}) y WHERE own_id = ident) AS o FROM q)
       SELECT ident, coalesce(a, b, o) AS master_no, CAST(CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN o IS NOT NULL THEN 3 END AS INTEGER) AS way FROM w"""),
@@ -293,7 +312,7 @@ QUERIES = {
       FROM (SELECT s_suppkey, CAST(s_suppkey%9 AS varchar) AS x FROM supplier), (VALUES (1), (2), (3)) t(k)"""),
     "page_fields": (page_fields, """SELECT s_suppkey AS id, 'A ' || x || ' ' || chr(10) || '<i> "z"' AS plain, x || '.1.2,7.0.1.' || x AS versions, CASE k WHEN 0 THEN 'HIGH' END AS severity, CAST(CASE k WHEN 0 THEN 7.5 END AS DOUBLE) AS score, CASE k WHEN 0 THEN 'CVSS:3.1/AV:' || x END AS vector,
       CASE k WHEN 0 THEN x END AS module, 'VMSA-2024-' || x AS advisory, 'Tool ' || x || '|Kit' AS products, 'https://acme.test/en-us/security-advisories/' || x AS address, 'ADV-' || x || CASE k WHEN 0 THEN '/CVE-2024-' || x ELSE '' END AS part_id,
-      '<c comment="a ' || x || '"' || chr(10) || ' next="b">' AS mended, '1.' || x || '.4' AS fix FROM (SELECT s_suppkey, CAST(s_suppkey AS varchar) AS x, s_suppkey%2 AS k FROM supplier)"""),
+      '<c comment="a ' || x || '"/>' || chr(10) || '<d/>' AS mended, '1.' || x || '.4' AS fix FROM (SELECT s_suppkey, CAST(s_suppkey AS varchar) AS x, s_suppkey%2 AS k FROM supplier)"""),
     "time_labels": (time_labels, f"""SELECT p_partkey AS id, CASE WHEN p_partkey%10 = 0 THEN '-' WHEN s >= 3600 THEN (s//3600) || 'h ' || (s%3600//60) || 'm' WHEN s >= 60 THEN (s//60) || 'm ' || (s%60) || 's' ELSE s || 's' END AS took,
       CASE WHEN p_partkey%10 = 0 THEN '-' WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m//60) || 'h ago' ELSE (m//1440) || 'd ago' END AS ago
       FROM (SELECT p_partkey, CAST(({_MS} + 500)//1000 AS BIGINT) AS s, CAST({_MS}*100//60000 AS BIGINT) AS m FROM part)"""),

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pages import FINISHED, UNFINISHED
+
 EVENTS = "array<struct<introduced: string, fixed: string, last_affected: string>>"
 OSV = (
     "id string, modified string, published string, summary string, aliases array<string>, upstream array<string>, "
@@ -62,7 +64,7 @@ def collect_criteria(definition: str) -> list[tuple[str, str | None]]:
     counts, and not for siblings; a level's own criteria come before nested ones.
     """
     top, path = None, []  # a level: its comments, its nested levels
-    for m in _MARKUP.finditer(re.sub(r'\bcomment="([^"\n]*)\n', r'comment="\1"/>\n', definition)):
+    for m in _MARKUP.finditer(re.sub(UNFINISHED, FINISHED.format(r"\1"), definition)):
         closing, name, attributes, empty = m.groups()
         if name == "criteria" and closing:
             path.pop()
@@ -104,7 +106,7 @@ def _criteria(batches):
 def oval_definitions(spark: SparkSession, path: str) -> DataFrame:
     """(id, text) of the patch definitions of OVAL files."""
     text = F.regexp_extract("value", r"(?s)<definition\b[^>]*>.*", 0)
-    found = spark.read.text(path, lineSep="</definition>").select(text.alias("text")).where(F.col("text").contains('class="patch"'))
+    found = spark.read.text(path, lineSep="</definition>").select(text.alias("text")).where(F.col("text").rlike(r"""^<definition\b[^>]*\bclass=["']patch["']"""))
     return found.select(F.regexp_extract("text", r"""^<definition\b[^>]*\bid=["']([^"']*)""", 1).alias("id"), "text")
 
 
