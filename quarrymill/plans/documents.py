@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import csaf, cvrf
+from ..sources import csaf, cvrf, sitemap
 from .queries import view
 
 c = F.col
@@ -101,6 +101,22 @@ def collections(spark, d):
     return rows.select(*_HEAD, _joined()).unionByName(lost)
 
 
+_LISTED = "SELECT CAST(o_orderkey AS bigint) AS o, o_orderkey%2=0 AS listed, o_orderkey%3=0 AS fresh, o_orderkey%5<>0 AS landed FROM orders"
+
+
+def sitemap_items(spark, d):
+    """Every second order is listed, every third is in the feed, and most have a page: all subsets occur."""
+    rows = view(spark, d, _LISTED)
+    put = lambda test, text: rows.where(test).groupBy(F.floor(c("o") / 200)).agg(F.array_join(F.collect_list(fill(text)), "").alias("text"))
+    listed = sitemap.sitemap_ids(put("listed", "<loc>https://v.test/security-advisories/sophos-sa-{o}</loc>").select("text"))
+    item = "<item><guid>sophos-sa-{o}</guid><title>Resolved flaw in Sophos Tool {o} (CVE-2024-{o + 1000})</title><description>&lt;strong&gt;Severity:&lt;/strong&gt; {CASE WHEN o % 4 = 0 THEN 'High' ELSE 'Odd' END}</description></item>"
+    feed = put("fresh", item).select(F.concat(F.lit("<rss><channel>"), "text", F.lit("</channel></rss>")).alias("text"))
+    page = fill("<title>Flaw in Sophos Kit {o} | Sophos</title><p>{CASE WHEN o % 7 = 0 THEN concat('CVE-2023-', o + 1000, ' CVE-2022-', o + 1000) ELSE 'none' END}</p>")
+    found, failed = sitemap.advisories(listed, sitemap.rss_items(feed), rows.where("landed").select(fill("sophos-sa-{o}").alias("ident"), page.alias("html")))
+    kept = found.select("external_id", "cve_id", "summary", "severity", "product", "patch_available")
+    return kept.unionByName(failed.select(F.concat("ident", F.lit("-failed")).alias("external_id"), *(F.lit(None).alias(n) for n in kept.columns[1:])))
+
+
 _MAPPED = f"""l AS ({LINES}), p AS (SELECT o, ln%3 AS k, max(ln) AS ln, min(ln) AS pos FROM l GROUP BY 1, 2), m AS (SELECT p.o, p.k, p.pos, l.fam, CAST(l.ln AS varchar) || '.' || l.q AS v FROM p JOIN l ON l.o = p.o AND l.ln = p.ln)"""
 
 #: name → (query, SQL)
@@ -112,6 +128,9 @@ QUERIES = {
     "csaf_named_products": (named, f"""WITH l AS ({LINES}), x AS (SELECT o, ln, ln || '.' || q AS b, ln%3 AS k, q FROM l) SELECT CAST(o AS varchar) AS external_id, CAST(o%10 AS DOUBLE) AS score,
       string_agg(CASE k WHEN 0 THEN 'Wall:' || b || '.0::' || b || '.9:' || b || '.5::true' WHEN 1 THEN 'Wall Cloud:' || b || '.0:' || ln || '.' || (q + 1) || '.0::' || b || '.5::true' ELSE 'Wall:::::' || b || '.1:true' END, ';' ORDER BY ln) AS products FROM x GROUP BY o"""),
     "cvrf_product_map": (xml_map, f"WITH {_MAPPED} SELECT o, 'P' || k AS product_id, 'Tool ' || fam AS product, v AS version FROM m"),
+    "sophos_items": (sitemap_items, f"""WITH t AS ({_LISTED} WHERE o_orderkey%2 = 0), x AS (SELECT *, 'sophos-sa-' || o AS i, unnest(CASE WHEN fresh THEN ['CVE-2024-' || (o + 1000)] WHEN landed AND o%7 = 0 THEN ['CVE-2023-' || (o + 1000), 'CVE-2022-' || (o + 1000)] ELSE [NULL] END) AS cve FROM t)
+      SELECT CASE WHEN NOT fresh AND NOT landed THEN i || '-failed' ELSE i || coalesce('/' || cve, '') END AS external_id, cve AS cve_id, CASE WHEN fresh THEN 'Resolved flaw in Sophos Tool ' || o || ' (CVE-2024-' || (o + 1000) || ')' WHEN landed THEN 'Flaw in Sophos Kit ' || o END AS summary,
+        CASE WHEN fresh AND o%4 = 0 THEN 'HIGH' END AS severity, CASE WHEN fresh THEN 'Sophos Tool ' || o WHEN landed THEN 'Sophos Kit ' || o END AS product, CASE WHEN fresh OR landed THEN fresh END AS patch_available FROM x"""),
     "cpu_advisories": (collections, f"""WITH {_MAPPED}, n AS (SELECT l.o, l.ln%2 AS k, min(ln) AS pos, m.fam, m.v FROM l JOIN m ON m.o = l.o AND m.k = l.ln%3 GROUP BY 1, 2, m.fam, m.v),
       s AS (SELECT o, ln%2 AS k, q%10 + 0.5 AS score, ln, row_number() OVER (PARTITION BY o, ln%2 ORDER BY q%10 DESC, ln) AS r FROM l)
       SELECT 'cpu' || o || '-CVE-2024-' || o AS external_id, 'CVE-2024-' || o AS cve_id, 'about ' || o AS summary, 'HIGH' AS severity, CAST(o%10 AS DOUBLE) AS score, 'v' || o AS vector, string_agg('Tool ' || fam || ':::::' || v || ':true', ';' ORDER BY pos) AS products FROM m WHERE o%2 = 0 GROUP BY o

@@ -135,3 +135,25 @@ def test_collections_prefer_the_newer_format(spark):
     rows, failed = cvrf.cpu_advisories(links, texts(spark, cpuboth=new, cpuold="{", cpuother=new), texts(spark, cpuboth=old, cpuold=old, cpulost="<"))
     assert {k: [p[0] for p in v] for k, v in products(rows).items()} == {"cpuboth-CVE-1": ["Server", "Kit"], "cpuold-CVE-2": ["A"]}
     assert [r["id"] for r in failed.collect()] == ["cpulost"]
+
+
+def test_sitemap_rss_and_titles(spark):
+    from quarrymill.sources import sitemap
+
+    names = ["sophos-sa-1", "sophos-sa-2", "sophos-sa-cve-2020-9363", "sophos-sa-4", "sophos-sa-5", "sophos-sa-6", "sophos-sa-7"]
+    listed = spark.createDataFrame([("".join(f"<loc>https://v.test/security-advisories/{n}</loc>" for n in [*names, names[0]]),)], "text string")
+    item = lambda guid, title, text: f'<item><guid isPermaLink="false">{guid}</guid><title>{title}</title><link>https://v.test/de-de/security-advisories/{guid}</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><description><![CDATA[{text}]]></description></item>'
+    feed = "<rss><channel><title>t</title>" + item("sophos-sa-1", "old", "") + item("sophos-sa-1", "Resolved RCE in Sophos Firewall Software (CVE-2024-1)", "<strong>Severity:</strong> High <p>CVE-2024-2, CVE-2024-1</p>") + item("sophos-sa-9", "not listed", "") + "</channel></rss>"
+    pages = [("sophos-sa-2", "<title>Flaw in Sophos Home | Sophos</title><p>CVE-2023-5 and CVE-2023-6</p><script>CVE-2000-1</script>"), ("sophos-sa-cve-2020-9363", "<title>CVE-2021-1 told | Sophos</title>"), ("sophos-sa-4", "<title>No ids</title>"), ("sophos-sa-5", None), ("sophos-sa-6", "<p>nothing</p>"), ("sophos-sa-1", "<title>CVE-1999-1</title>")]
+    items = sitemap.rss_items(spark.createDataFrame([(feed,)], "text string"))
+    rows, failed = sitemap.advisories(sitemap.sitemap_ids(listed), items, spark.createDataFrame(pages, "ident string, html string"))
+    got = {r.external_id: (r.cve_id, r.summary, r.severity, r["product"], r.patch_available) for r in rows.collect()}
+    title = "Resolved RCE in Sophos Firewall Software (CVE-2024-1)"
+    assert got == {
+        "sophos-sa-1/CVE-2024-1": ("CVE-2024-1", title, "HIGH", "Sophos Firewall", True), "sophos-sa-1/CVE-2024-2": ("CVE-2024-2", title, "HIGH", "Sophos Firewall", True),
+        "sophos-sa-2/CVE-2023-5": ("CVE-2023-5", "Flaw in Sophos Home", None, "Sophos Home", False), "sophos-sa-2/CVE-2023-6": ("CVE-2023-6", "Flaw in Sophos Home", None, "Sophos Home", False),
+        "sophos-sa-cve-2020-9363/CVE-2020-9363": ("CVE-2020-9363", "CVE-2021-1 told", None, "Sophos", False), "sophos-sa-4": (None, "No ids", None, "Sophos", False),
+    }
+    assert sorted(r.ident for r in failed.collect()) == ["sophos-sa-5", "sophos-sa-7"]
+    first = rows.where("external_id = 'sophos-sa-1/CVE-2024-1'").first()
+    assert (first.url, str(first.published_at)) == ("https://v.test/en-us/security-advisories/sophos-sa-1", "2024-01-02 10:00:00")

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from quarrymill.sources import feeds
-from quarrymill.streaming.snapshots import follow
+from quarrymill.streaming.snapshots import follow, merge, read_table
 
 
 def test_osv(spark, tmp_path):
@@ -86,14 +86,38 @@ def test_totals_of_nothing(spark):
 
 
 def test_follow(spark, tmp_path):
-    src = tmp_path / "in"
+    src, table = tmp_path / "in", str(tmp_path / "t")
     src.mkdir()
     (src / "1.json").write_text('{"id": "a", "v": 1}\n{"id": "b", "v": 1}\n')
-    args = (spark, str(src), "id string, v int", "id", str(tmp_path / "t"), str(tmp_path / "c"))
+    args = (spark, str(src), "id string, v int", "id", table, str(tmp_path / "c"))
     follow(*args)
     (src / "2.json").write_text('{"id": "b", "v": 2}\n{"id": "c", "v": 2}\n')
     follow(*args)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "v1")).select("id", "v").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    assert {tuple(r) for r in read_table(spark, table).select("id", "v").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = lambda ids, v: spark.createDataFrame([(f"k{i}", v, v) for i in ids], "id string, modified int, v int")
+    have = lambda: {r.id: r.v for r in read_table(spark, table).collect()}
+    files = lambda n: {f.parent.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / f"v{n}").glob("bucket=*/*.parquet")}
+    merge(spark, table, rows(range(400), 1), 0, "id", "modified", buckets=16)
+    first = files(0)
+    assert len(first) == 16 and len(have()) == 400
+    merge(spark, table, rows([3, 7, 3], 2), 1, "id", "modified", buckets=16)
+    assert 1 <= len(files(1)) <= 2 and files(0) == first
+    assert have() == {f"k{i}": 2 if i in (3, 7) else 1 for i in range(400)}
+    # An older record changes nothing; a repeated batch gives the same table.
+    merge(spark, table, rows([7], 0).unionByName(rows([500], 3)), 2, "id", "modified", buckets=16)
+    again = have()
+    assert again["k7"] == 2 and again["k500"] == 3 and len(again) == 401
+    merge(spark, table, rows([7], 0).unionByName(rows([500], 3)), 2, "id", "modified", buckets=16)
+    assert have() == again
+    assert {r.id for r in read_table(spark, table, before=2).collect()} == {f"k{i}" for i in range(400)}
+    # A batch that was stopped before its commit is not seen.
+    rows([1], 9).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{table}/v3")
+    assert have() == again
+    assert read_table(spark, str(tmp_path / "none")) is None
 
 
 def test_nvd_records(spark):
