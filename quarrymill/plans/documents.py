@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import csaf, cvrf, sitemap
+from ..sources import csaf, cvrf, sitemap, vendor_pages
 from .queries import view
 
 c = F.col
@@ -117,6 +117,28 @@ def sitemap_items(spark, d):
     return kept.unionByName(failed.select(F.concat("ident", F.lit("-failed")).alias("external_id"), *(F.lit(None).alias(n) for n in kept.columns[1:])))
 
 
+def _pages(spark, d, template: str):
+    """Pages of the entries of fifty orders each."""
+    rows = view(spark, d, "SELECT CAST(o_orderkey AS bigint) AS o FROM orders").select("o", F.floor(c("o") / 50).alias("page"), fill(template).alias("html"))
+    return rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "html"))), lambda x: x["html"]), "").alias("html"))
+
+
+def _shown(found):
+    show = lambda p: F.concat_ws(":", p["introduced"], p["last_affected"], F.coalesce(p["version_fixed"], F.lit("-")))
+    return found.select("cve_id", "severity", "page", F.array_join(F.transform("products", show), ";").alias("products"))
+
+
+def sections(spark, d):
+    """Entries under the section nearest before them; one of five has no readable range."""
+    template = """{CASE WHEN o % 4 = 0 THEN concat('<h3 id="Fixed_in_Apache_Tomcat_9.0.', o % 90, '">x</h3>') ELSE '' END}<p><strong>{CASE o % 3 WHEN 0 THEN 'Low' WHEN 1 THEN 'Important' ELSE 'Odd' END}: title</strong> <a>CVE-2024-{o % 997 + 1000}</a></p><p>as CVE-1999-1234</p><p>Affects: {CASE WHEN o % 5 = 0 THEN 'see notes' ELSE concat('9.0.', o % 7, ' to 9.0.', o % 7 + o % 11) END}</p>"""
+    return _shown(vendor_pages.by_cve(vendor_pages.sectioned_entries(_pages(spark, d, template))))
+
+
+def lists(spark, d):
+    template = """<li>CVE-2023-{o % 997 + 1000} <br>Severity: {CASE o % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'high' ELSE 'odd' END}<br>Not vulnerable: 1.{o % 9}.{o % 8 + 1}+, 2.0.0+<br>Vulnerable: 1.{o % 9}.0-1.{o % 9}.{o % 8}, {CASE WHEN o % 2 = 0 THEN '1.5.10' ELSE 'none' END}</li>"""
+    return _shown(vendor_pages.by_cve(vendor_pages.list_entries(_pages(spark, d, template))))
+
+
 _MAPPED = f"""l AS ({LINES}), p AS (SELECT o, ln%3 AS k, max(ln) AS ln, min(ln) AS pos FROM l GROUP BY 1, 2), m AS (SELECT p.o, p.k, p.pos, l.fam, CAST(l.ln AS varchar) || '.' || l.q AS v FROM p JOIN l ON l.o = p.o AND l.ln = p.ln)"""
 
 #: name → (query, SQL)
@@ -128,6 +150,16 @@ QUERIES = {
     "csaf_named_products": (named, f"""WITH l AS ({LINES}), x AS (SELECT o, ln, ln || '.' || q AS b, ln%3 AS k, q FROM l) SELECT CAST(o AS varchar) AS external_id, CAST(o%10 AS DOUBLE) AS score,
       string_agg(CASE k WHEN 0 THEN 'Wall:' || b || '.0::' || b || '.9:' || b || '.5::true' WHEN 1 THEN 'Wall Cloud:' || b || '.0:' || ln || '.' || (q + 1) || '.0::' || b || '.5::true' ELSE 'Wall:::::' || b || '.1:true' END, ';' ORDER BY ln) AS products FROM x GROUP BY o"""),
     "cvrf_product_map": (xml_map, f"WITH {_MAPPED} SELECT o, 'P' || k AS product_id, 'Tool ' || fam AS product, v AS version FROM m"),
+    "page_sections": (sections, """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS o, CAST(o_orderkey//50 AS BIGINT) AS page FROM orders),
+      e AS (SELECT *, 'CVE-2024-' || (o%997 + 1000) AS cve_id, CASE o%3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' END AS severity, o%7 AS a, o%7 + o%11 AS b, last_value(CASE WHEN o%4 = 0 THEN o%90 END IGNORE NULLS) OVER (PARTITION BY page ORDER BY o) AS fix FROM o),
+      k AS (SELECT * FROM e WHERE o%5 <> 0), u AS (SELECT cve_id, a, b, min(o) AS first_at, arg_min(coalesce('9.0.' || fix, '-'), o) AS fix FROM k GROUP BY 1, 2, 3)
+      SELECT cve_id, severity, page, products FROM (SELECT cve_id, min(page) AS page, arg_min(severity, o) FILTER (severity IS NOT NULL) AS severity FROM k GROUP BY 1)
+        JOIN (SELECT cve_id, string_agg('9.0.' || a || ':9.0.' || b || ':' || fix, ';' ORDER BY first_at) AS products FROM u GROUP BY 1) USING (cve_id)"""),
+    "page_lists": (lists, """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS o, CAST(o_orderkey//50 AS BIGINT) AS page, 'CVE-2023-' || (o_orderkey%997 + 1000) AS cve_id FROM orders),
+      r AS (SELECT cve_id, o*2 AS pos, '1.' || (o%9) || '.0' AS s, '1.' || (o%9) || '.' || (o%8) AS t, '1.' || (o%9) || '.' || (o%8 + 1) AS fix FROM o UNION ALL SELECT cve_id, o*2 + 1, '1.5.10', '1.5.10', '-' FROM o WHERE o%2 = 0),
+      u AS (SELECT cve_id, s, t, min(pos) AS first_at, arg_min(fix, pos) AS fix FROM r GROUP BY 1, 2, 3)
+      SELECT cve_id, CASE WHEN word = 1 THEN 'HIGH' END AS severity, page, products FROM (SELECT cve_id, min(page) AS page, arg_min(o%3, o) FILTER (o%3 <> 0) AS word FROM o GROUP BY 1)
+        JOIN (SELECT cve_id, string_agg(s || ':' || t || ':' || fix, ';' ORDER BY first_at) AS products FROM u GROUP BY 1) USING (cve_id)"""),
     "sophos_items": (sitemap_items, f"""WITH t AS ({_LISTED} WHERE o_orderkey%2 = 0), x AS (SELECT *, 'sophos-sa-' || o AS i, unnest(CASE WHEN fresh THEN ['CVE-2024-' || (o + 1000)] WHEN landed AND o%7 = 0 THEN ['CVE-2023-' || (o + 1000), 'CVE-2022-' || (o + 1000)] ELSE [NULL] END) AS cve FROM t)
       SELECT CASE WHEN NOT fresh AND NOT landed THEN i || '-failed' ELSE i || coalesce('/' || cve, '') END AS external_id, cve AS cve_id, CASE WHEN fresh THEN 'Resolved flaw in Sophos Tool ' || o || ' (CVE-2024-' || (o + 1000) || ')' WHEN landed THEN 'Flaw in Sophos Kit ' || o END AS summary,
         CASE WHEN fresh AND o%4 = 0 THEN 'HIGH' END AS severity, CASE WHEN fresh THEN 'Sophos Tool ' || o WHEN landed THEN 'Sophos Kit ' || o END AS product, CASE WHEN fresh OR landed THEN fresh END AS patch_available FROM x"""),

@@ -157,3 +157,32 @@ def test_sitemap_rss_and_titles(spark):
     assert sorted(r.ident for r in failed.collect()) == ["sophos-sa-5", "sophos-sa-7"]
     first = rows.where("external_id = 'sophos-sa-1/CVE-2024-1'").first()
     assert (first.url, str(first.published_at)) == ("https://v.test/en-us/security-advisories/sophos-sa-1", "2024-01-02 10:00:00")
+
+
+def test_pages_in_sections(spark):
+    from quarrymill.sources import vendor_pages as V
+
+    entry = lambda head, text, line: f"<p><strong>{head}</strong> <a>x</a></p><p>{text}</p><p>Affects: {line}</p>"
+    page = (
+        entry("Low: early CVE-2024-1", "", "9.0.0.M1 to 9.0.5") + '<h3 id="Fixed_in_Apache_Tomcat_9.0.8">x</h3>' + entry("Important: two CVE-2024-2 CVE-2024-1", "as CVE-1999-9", "Apache Tomcat 9.0.1 to 9.0.7")
+        + entry("Odd CVE-2024-3", "", "see the notes") + entry("no id", "CVE-1999-8", "9.0.1") + '<h3 id="Fixed_in_Apache_Tomcat_9.0.2"></h3>' + entry("Moderate: CVE-2024-2", "", "9.0.1 to 9.0.7")
+    )
+    pages = spark.createDataFrame([(9, page), (10, entry("Critical: CVE-2024-1", "", "10.0.1")), (11, "nothing"), (12, None)], "page int, html string")
+    got = {r.cve_id: (r.severity, r.page, [tuple(p) for p in r.products]) for r in V.by_cve(V.sectioned_entries(pages)).collect()}
+    assert got == {
+        "CVE-2024-1": ("LOW", 9, [("9.0.0.M1", "9.0.5", None), ("9.0.1", "9.0.7", "9.0.8"), ("10.0.1", "10.0.1", None)]),
+        "CVE-2024-2": ("HIGH", 9, [("9.0.1", "9.0.7", "9.0.8")]),
+    }
+
+
+def test_pages_as_lists(spark):
+    from quarrymill.sources import vendor_pages as V
+
+    page = """<li>A CVE-2024-1 <br>Severity: unknown<br>Not vulnerable: 1.31.3+, 1.30.4+<br>Vulnerable: 1.3.0-1.31.2, 0.6-1.30.4, 1.5.10, none, 1.0-x</li>
+    <li>B CVE-2024-1 CVE-2024-2 Severity: medium<br>Vulnerable: 1.5.10</li><li>CVE-2024-3 Not vulnerable: 1.2.3+</li><li>no id Vulnerable: 1.2</li>"""
+    pages = spark.createDataFrame([(1, page)], "page int, html string")
+    got = {r.cve_id: (r.severity, [tuple(p) for p in r.products]) for r in V.by_cve(V.list_entries(pages)).collect()}
+    assert got == {
+        "CVE-2024-1": ("MEDIUM", [("1.3.0", "1.31.2", "1.31.3"), ("0.6", "1.30.4", None), ("1.5.10", "1.5.10", None), ("1.0-x", "1.0-x", None)]),
+        "CVE-2024-2": ("MEDIUM", [("1.5.10", "1.5.10", None)]),
+    }
