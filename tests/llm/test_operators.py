@@ -877,3 +877,22 @@ def test_search_stops_when_proven():
     assert sorted(scores)[-5:] == sorted(whole)[-5:]
     assert (whole[docs] == scores).all()
     assert done < 0.1 * df[item].sum()
+
+
+def test_hnsw_recall_over_shards(spark):
+    """At least 0.9 of the true neighbours over five shards of 64 dimensions, clustered and with copies."""
+    rng = np.random.default_rng(17)
+    centres = rng.standard_normal((40, 64))
+    base = (centres[rng.integers(0, 40, 5000)] + rng.standard_normal((5000, 64)) * 0.7).astype(np.float32)
+    base[4000:4100] = base[0]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"), shard=1000).collect():
+        got[r.query_id].add(r.vec_id)
+    exact, hit = base.astype(np.float64), 0
+    asked = range(0, 5000, 100)
+    for q in asked:
+        d = np.sqrt(((exact - exact[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(got[q] & set(np.lexsort((np.arange(5000), d))[:10].tolist()))
+    assert hit >= 0.9 * 10 * len(asked)
