@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .frequent import most_frequent
 from .shingles import ascii_words, mix, shingle_set
-from .storage import by_place, materialise
+from .storage import by_place, discard, materialise
 
 #: Similarity is at least NUM / DEN.
 NUM, DEN = 4, 5
@@ -316,6 +316,7 @@ def similar_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     # At most FREQUENT rows, however many texts there are.
     counted = materialise(first.where(F.col("kind") == _FREQUENT).groupBy(F.col("id").alias("h")).agg(F.sum("n").alias("c")), "jaccard-counts")
     top = most_frequent(counted, [tuple(r) for r in counted.groupBy("c").count().collect()], FREQUENT)
+    discard(counted)
     keys = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], top["c"].to_numpy(np.int64)[order]))
@@ -336,6 +337,8 @@ def similar_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text")
 
     # Then what is left between components, in blocks.
     left = materialise(_buckets_left(shared, roots), "jaccard-left")
+    discard(shared)
+    discard(links)
     sketches = materialise(texts.join(left.select("id").distinct(), "id", "left_semi").mapInArrow(_describe_sketch, "id long, n long, bits binary"), "jaccard-sketches")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own_block = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -349,6 +352,8 @@ def similar_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text")
         placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "id").mapInArrow(_compare, "u long, v long").distinct()
     )
     more = materialise(_verified(candidates, texts), "jaccard-links")
+    for spent in (left, sketches, texts):
+        discard(spent)
     # Of a component found first, its star edges stand for its links.
     roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
@@ -361,6 +366,14 @@ def similar_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     )
 
 
+#: Keys (of eight bytes) that are sent to all tasks; more are joined by a shuffle.
+KEYS_AT_HAND = 1 << 20
+
+
+def _at_hand(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= KEYS_AT_HAND else keys
+
+
 def keep_representatives(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near-duplicates and, of each component, the one with the least id (null comes last).
 
@@ -371,12 +384,17 @@ def keep_representatives(docs: DataFrame, doc: str = "doc_id", text: str = "text
     docs = docs.select(*columns)
     doc, text = own[doc], own[text]
     rows = docs.withColumn("__key", F.xxhash64(F.col(doc).isNull(), F.col(doc).cast("long"), F.col(text).isNull(), F.col(text)))
-    found = similar_documents(rows, "__key", text).select("__key", "component_id").distinct()
+    found = similar_documents(rows, "__key", text)
     named = rows.groupBy("__key").agg(F.min(F.col(doc).cast("long")).alias("id"), F.count(F.lit(1)).alias("n"))
+    judged = materialise(named.join(found.select("__key", "component_id").distinct(), "__key"), "jaccard-judged")
+    discard(found)
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key", "n")).alias("least")
-    kept = materialise(named.join(found, "__key").groupBy("component_id").agg(least).select("least.__key", "least.n"), "jaccard-kept")
-    once = rows.join(kept.where("n = 1"), "__key", "left_semi")
-    # Apart and mostly none, so that the texts need not be dealt out a second time.
+    kept = materialise(judged.groupBy("component_id").agg(least).select("least.__key", "least.n"), "jaccard-kept")
+    gone = materialise(judged.join(kept.where("n = 1"), "__key", "left_anti").select("__key"), "jaccard-gone")
     many = materialise(kept.where("n > 1").select("__key"), "jaccard-repeated")
-    again = rows.join(many, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    discard(judged)
+    discard(kept)
+    # Most documents stay and few are repeated: texts are dealt out only where what goes is too much to send.
+    once = rows.join(_at_hand(gone), "__key", "left_anti")
+    again = rows.join(_at_hand(many), "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return once.select(*docs.columns).unionByName(again).select(*(F.col(o).alias(c) for c, o in own.items()))
