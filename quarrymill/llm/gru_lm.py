@@ -78,7 +78,7 @@ COPIES = 1024
 #: Documents of more tokens come first in a copy, by length.
 LONG = 256
 #: Tokens, and different words, after which a chunk of documents ends.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 WORDS = 1 << 18
 #: Hash of the end token: it holds a line break, which no word does.
 END = xxhash.xxh3_64_intdigest(b"\nend")
