@@ -63,11 +63,10 @@ LANES = 1024
 STEPS = 24
 #: How many times as many steps a window may have when few lanes are left.
 LONGER = 16
-#: Rows of the first softmax, and blocks of the others, at a time, so that tables stay in a core's cache.
+#: Rows of a softmax at a time, so that tables stay in a core's cache.
 BLOCK = 1024
-BLOCKS = 96
-#: Rows in a block of tokens with the same class, and with the same part of a class.
-CLASS_ROWS, PART_ROWS = 32, 8
+#: Rows of one token whose inputs' gradients are added up rank by rank, all tokens at once; what is beyond, token by token.
+RANKS = 16
 RATE = 0.15
 #: Where sums of squares start.
 SQUARES = 1e-7
@@ -152,6 +151,19 @@ def _order(tokens: np.ndarray) -> np.ndarray:
     return np.sort((tokens.astype(np.int64) << 32) | np.arange(len(tokens))) & 0xFFFFFFFF
 
 
+def _sums(rows: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` over the runs of ``order`` that begin at ``starts``, longest first."""
+    out = rows.take(order[starts], 0)
+    for k in range(1, RANKS):
+        m = int(np.searchsorted(-sizes, -k))  # runs of more than k rows
+        if not m:
+            return out
+        out[:m] += rows.take(order[starts[:m] + k], 0)
+    for i in range(int(np.searchsorted(-sizes, -RANKS))):
+        out[i] += rows.take(order[starts[i] + RANKS : starts[i] + sizes[i]], 0).sum(0)
+    return out
+
+
 class Model:
     """Gated unit with an input row per token and a softmax factored into classes. Token ``head`` stands for all rarer words.
 
@@ -205,36 +217,36 @@ class Model:
         states, starts = np.ones((*n, hid + 1), np.float32), first.any(1)
         befores, proposed = (np.empty((*n, hid), np.float32) if keep else None for _ in range(2))
         # Gates and candidates lie apart, so that each step works on whole rows.
-        gates, fresh = self.g[:, : 2 * hid][inputs], self.g[:, 2 * hid :][inputs]
-        to_gates, to_fresh = np.ascontiguousarray(self.u[:, : 2 * hid]), np.ascontiguousarray(self.u[:, 2 * hid :])
-        both, past = np.empty((n[1], 2 * hid), np.float32), np.empty((n[1], hid), np.float32)
+        update, reset, fresh = (self.g.reshape(-1, hid).take(3 * inputs + k, 0) for k in range(3))
+        to_update, to_reset, to_fresh = (np.ascontiguousarray(self.u[:, k : k + hid]) for k in (0, hid, 2 * hid))
+        past = np.empty((n[1], hid), np.float32)
 
-        def squash(a):  # a sigmoid, in place
-            np.negative(a, out=a)
-            np.exp(a, out=a)
+        def squash(a):  # a sigmoid, in place: half of one more than the tanh of a half
+            a *= np.float32(0.5)
+            np.tanh(a, out=a)
             a += 1
-            np.reciprocal(a, out=a)
+            a *= np.float32(0.5)
 
         for t in range(n[0]):
             if starts[t]:
                 h = np.where(first[t][:, None], np.float32(0), h)
-            a, c = gates[t], fresh[t]
-            a += np.matmul(h, to_gates, out=both)
-            squash(a)
+            z, r, c = update[t], reset[t], fresh[t]
+            z += np.matmul(h, to_update, out=past)
+            squash(z)
+            r += np.matmul(h, to_reset, out=past)
+            squash(r)
             np.matmul(h, to_fresh, out=past)
             if keep:
                 befores[t], proposed[t] = h, past
-            past *= a[:, hid:]
+            past *= r
             c += past
-            # A tanh is twice a sigmoid less one.
-            squash(c)
-            c *= 2
-            c -= 1
+            c *= np.float32(0.5)
+            np.tanh(c, out=c)
             h = h - c
-            h *= a[:, :hid]
+            h *= z
             h += c
             states[t, :, :hid] = h
-        return inputs, states, (befores, proposed, gates, fresh), h
+        return inputs, states, (befores, proposed, update, reset, fresh), h
 
     @staticmethod
     def _first(weights, target, states, grads):
@@ -261,70 +273,83 @@ class Model:
         return log, slope
 
     @staticmethod
-    def _below(weights, node, target, states, rows, grads):
-        """The same for rows in order of their nodes, each node with a softmax of its own: rows of a node are put in blocks."""
+    def _below(weights, node, target, rows, states, log, slope, grads):
+        """Adds the same to ``log`` and ``slope`` for the ``rows`` of ``states``, in order of their nodes, each node with a softmax of its own.
+
+        A node's rows are one block; nodes whose blocks are of one length are multiplied together.
+        """
+        if not len(node):
+            return
         n, one = len(node), np.ones(weights.shape[2], np.float32)
-        log, slope, changes = np.empty(n, np.float32), np.empty_like(states) if grads is not None else None, []
-        if not n:
-            return log, slope
         edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        touched, sizes, edge = node[edge], np.diff(np.append(edge, n)), np.append(edge, n)
-        blocks = -(-sizes // rows)
-        first = np.concatenate(([0], np.cumsum(blocks)))
+        touched, sizes = node[edge], np.diff(np.append(edge, n))
+        # Lengths are in steps of a quarter of a power of two, of 4 at least.
+        unit = np.maximum(4, 1 << np.maximum(0, np.log2(sizes).astype(np.int64) - 2))
+        length = -(-sizes // unit) * unit
+        by = np.argsort(length, kind="stable")
+        touched, sizes, edge, length = touched[by], sizes[by], edge[by], length[by]
+        ends = np.cumsum(length)
+        # A block's places beyond its rows hold the node's last row, and count for nothing.
+        within = np.arange(ends[-1]) - np.repeat(ends - length, length)
+        spare = within >= np.repeat(sizes, length)
+        source = np.repeat(edge, length) + np.minimum(within, np.repeat(sizes, length) - 1)
+        row, aim = rows[source], target[source]
+        logs = np.empty(ends[-1], np.float32)
+        if grads is not None:
+            slopes = np.empty((ends[-1] + 1, states.shape[1]), slope.dtype)
+            slopes[-1] = 0
+            d_w = np.empty((len(touched), *weights.shape[1:]), weights.dtype)
         a = 0
         while a < len(touched):
-            b = max(a + 1, int(np.searchsorted(first, first[a] + BLOCKS, "right")) - 1)
-            i, j, size = edge[a], edge[b], int(first[b] - first[a])
-            place = np.arange(j - i) + np.repeat((first[a:b] - first[a]) * rows - (edge[a:b] - i), sizes[a:b])
-            s = np.zeros((size * rows, states.shape[1]), np.float32)  # rows left over are zero and change nothing
-            s[place] = states[i:j]
-            s = s.reshape(size, rows, -1)
-            w = weights[np.repeat(touched[a:b], blocks[a:b])]
+            size = int(length[a])
+            b = min(a + max(1, BLOCK // size), int(np.searchsorted(length, size, "right")))
+            i, j = int(ends[a]) - size, int(ends[b - 1])
+            s = states.take(row[i:j], 0).reshape(b - a, size, -1)
+            w = weights.take(touched[a:b], 0)
             e = np.matmul(s, w)
-            by_row = e.reshape(size * rows, -1)
+            by_row = e.reshape(j - i, -1)
             np.minimum(by_row, _LIMIT, out=by_row)
-            at = place, target[i:j]
+            at = np.arange(j - i), aim[i:j]
             own = by_row[at]
             np.exp(by_row, out=by_row)
             total = by_row @ one
-            log[i:j] = own - np.log(total[place])
+            logs[i:j] = own - np.log(total)
             if grads is not None:
                 by_row *= np.reciprocal(total)[:, None]
                 by_row[at] -= 1
-                d_w = np.matmul(s.transpose(0, 2, 1), e)
-                changes.append(d_w if size == b - a else np.add.reduceat(d_w, first[a:b] - first[a], axis=0))
-                slope[i:j] = np.matmul(e, w.transpose(0, 2, 1)).reshape(size * rows, -1)[place]
+                by_row[spare[i:j]] = 0
+                np.matmul(s.transpose(0, 2, 1), e, out=d_w[a:b])
+                np.matmul(e, w.transpose(0, 2, 1), out=slopes[i:j].reshape(s.shape))
             a = b
+        place = np.full(len(states), ends[-1])
+        real = np.flatnonzero(~spare)
+        place[row[real]] = real
+        log[row[real]] += logs[real]
         if grads is not None:
-            grads.append((touched, np.concatenate(changes)))
-        return log, slope
+            slope += slopes.take(place, 0)
+            grads.append((touched, d_w))
 
     def output(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None = None):
         """Natural log of each token's probability (a rarer word's: of its class), and the gradient by state (with or without its one)."""
         if states.shape[1] == self.hidden:
             states = np.concatenate((states, np.ones((len(states), 1), states.dtype)), 1)
         order = _order(tokens)
-        tok, s = tokens[order], states[order]
+        tok = tokens[order]
         f, k = np.searchsorted(tok, (self.flat, self.head))  # tokens of classes, of parts, then the rarer ones
         few, side = -(-self.flat // self.side), self.side
         part = (tok[f:k] - self.flat) // side
         node = np.concatenate((tok[:f] // side, few + part // side))
         within = np.concatenate((tok[:f] % side, part % side))
         found = {name: [] if grads is not None else None for name in ("top", "mid", "low")}
-        log, slope = self._first(self.top, np.append(node, np.full(len(tok) - k, few + self.deep)), s, found["top"])
-        for name, i, args in (("mid", 0, (node, within, s[:k], CLASS_ROWS)), ("low", f, (part, (tok[f:k] - self.flat) % side, s[f:k], PART_ROWS))):
-            more, d = self._below(getattr(self, name), *args, found[name])
-            log[i:k] += more
-            if grads is not None:
-                slope[i:k] += d
-        out = np.empty_like(log)
-        out[order] = log
+        target = np.full(len(tok), few + self.deep)
+        target[order[:k]] = node
+        log, slope = self._first(self.top, target, states, found["top"])
+        self._below(self.mid, node, within, order[:k], states, log, slope, found["mid"])
+        self._below(self.low, part, (tok[f:k] - self.flat) % side, order[f:k], states, log, slope, found["low"])
         if grads is None:
-            return out, None
+            return log, None
         grads.update({name: g[0] for name, g in found.items() if g})
-        back = np.empty((len(tok), self.hidden), np.float32)
-        back[order] = slope[:, : self.hidden]
-        return out, back
+        return log, slope[:, : self.hidden]
 
 
 class Trainer:
@@ -341,20 +366,23 @@ class Trainer:
 
     def window(self, tokens, first, real, h, before):
         m, hid = self.m, self.m.hidden
-        inputs, states, (befores, proposed, gates, fresh), last = m.forward(tokens, first, h, before, keep=True)
+        inputs, states, (befores, proposed, update, reset, fresh), last = m.forward(tokens, first, h, before, keep=True)
         at = np.flatnonzero(real.ravel())
         if not len(at):
             return last
         grads: dict = {}
-        d_states = np.zeros((tokens.size, hid), np.float32)
-        _, d_states[at] = m.output(states.reshape(-1, hid + 1)[at], tokens.ravel()[at], grads)
+        if len(at) == tokens.size:
+            d_states = np.ascontiguousarray(m.output(states.reshape(-1, hid + 1), tokens.ravel(), grads)[1])
+        else:
+            d_states = np.zeros((tokens.size, hid), np.float32)
+            _, d_states[at] = m.output(states.reshape(-1, hid + 1).take(at, 0), tokens.ravel()[at], grads)
         d_states = d_states.reshape(*tokens.shape, hid)
         d_h, starts = np.zeros_like(last), first.any(1)
-        to_gates, to_fresh = np.ascontiguousarray(m.u[:, : 2 * hid].T), np.ascontiguousarray(m.u[:, 2 * hid :].T)
+        to_update, to_reset, to_fresh = (np.ascontiguousarray(m.u[:, k : k + hid].T) for k in (0, hid, 2 * hid))
         forget, more = np.empty_like(last), np.empty_like(last)
         for t in range(len(tokens) - 1, -1, -1):
             # Arrays become gradients in place: gates by their own sums, fresh by the candidate's, proposed by its product with the state.
-            d, past, c, z, r = d_states[t], proposed[t], fresh[t], gates[t, :, :hid], gates[t, :, hid:]
+            d, past, c, z, r = d_states[t], proposed[t], fresh[t], update[t], reset[t]
             d += d_h
             np.subtract(1, z, out=forget)
             forget *= d
@@ -371,14 +399,15 @@ class Trainer:
             r *= more
             r *= past
             past[:] = more
-            d_h = gates[t] @ to_gates
+            d_h = z @ to_update
+            d_h += np.matmul(r, to_reset, out=more)
             d_h += np.matmul(past, to_fresh, out=more)
             d_h += d
             if starts[t]:
                 d_h[first[t]] = 0
-        wide, narrow, by_state = gates.reshape(-1, 2 * hid), fresh.reshape(-1, hid), befores.reshape(-1, hid).T
-        d_u = np.concatenate((by_state @ wide, by_state @ proposed.reshape(-1, hid)), 1)
-        self._step(grads, d_u, inputs.ravel(), (wide, narrow), len(at))
+        d_x, by_state = tuple(x.reshape(-1, hid) for x in (update, reset, fresh)), befores.reshape(-1, hid).T
+        d_u = np.concatenate([by_state @ x for x in (*d_x[:2], proposed.reshape(-1, hid))], 1)
+        self._step(grads, d_u, inputs.ravel(), d_x, len(at))
         return last
 
     def _step(self, grads, d_u, inputs, d_x, n):
@@ -399,7 +428,10 @@ class Trainer:
         order = _order(inputs)
         inputs = inputs[order]
         starts = np.flatnonzero(np.concatenate(([True], inputs[1:] != inputs[:-1])))
-        g, rows = np.concatenate([np.add.reduceat(part[order], starts, axis=0) for part in d_x], 1), inputs[starts]
+        sizes = np.diff(np.append(starts, len(inputs)))
+        by = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[by], sizes[by]
+        g, rows = np.concatenate([_sums(part, order, starts, sizes) for part in d_x], 1), inputs[starts]
         g *= scale
         np.clip(g, -1, 1, out=g)
         self.sums["g"][rows] = s = self.sums["g"][rows] + np.einsum("nh,nh->n", g, g) * np.float32(1 / g.shape[1])
@@ -638,7 +670,7 @@ def _score(shared):
             def step(owner, tokens, first, real, h, before, waiting=waiting, output=output):
                 _, states, _, last = model.forward(tokens, first, h, before)
                 at = np.flatnonzero(real.ravel())
-                waiting.append((states.reshape(-1, model.hidden + 1)[at], tokens.ravel()[at], owner.ravel()[at]))
+                waiting.append((states.reshape(-1, model.hidden + 1).take(at, 0), tokens.ravel()[at], owner.ravel()[at]))
                 if sum(len(x) for _, x, _ in waiting) >= 2 * LANES * STEPS:
                     output()
                 return last

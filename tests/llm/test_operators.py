@@ -676,6 +676,51 @@ def test_gradient_of_a_window():
             assert abs((up - down) / 4e-2 - g.flat[i]) < 0.02 + 0.03 * abs(g.flat[i]), k
 
 
+def test_gradients_of_a_node_in_one_block():
+    rng = np.random.default_rng(5)
+    model = gru_lm.Model(np.arange(3000, 0, -1), 5.0)
+    tokens = np.concatenate((rng.integers(0, 3001, 900), np.full(1500, 7), np.full(37, 2999), np.full(3, 1500)))
+    rng.shuffle(tokens)
+    states = np.ones((len(tokens), model.hidden + 1), np.float32)
+    states[:, :-1] = rng.standard_normal((len(tokens), model.hidden))
+    grads = {}
+    log, slope = model.output(states, tokens, grads)
+    part = (tokens - model.flat) // model.side
+    few, low = -(-model.flat // model.side), (tokens >= model.flat) & (tokens < model.head)
+    levels = {
+        "top": (np.arange(len(tokens)), np.zeros_like(tokens), np.where(tokens < model.flat, tokens // model.side, np.where(low, few + part // model.side, few + model.deep))),
+        "mid": (np.flatnonzero(tokens < model.head), np.where(low, few + part // model.side, tokens // model.side), np.where(low, part % model.side, tokens % model.side)),
+        "low": (np.flatnonzero(low), part, (tokens - model.flat) % model.side),
+    }
+    want_log, want_slope = np.zeros(len(tokens)), np.zeros((len(tokens), model.hidden))
+    for name, (rows, node, target) in levels.items():
+        w, want = getattr(model, name), np.zeros(getattr(model, name).shape)
+        for i in rows:
+            e = np.exp(states[i].astype(np.float64) @ w[node[i]])
+            e /= e.sum()
+            want_log[i] += np.log(e[target[i]])
+            e[target[i]] -= 1
+            want[node[i]] += np.outer(states[i], e)
+            want_slope[i] += (w[node[i]] @ e)[:-1]
+        touched, got = grads[name]
+        assert len(got) == len(touched) == len(set(touched.tolist())) == len(set(node[rows].tolist()))
+        whole = np.zeros(w.shape)
+        whole[touched] = got
+        assert np.allclose(whole, want, atol=1e-3)
+    assert np.allclose(log, want_log, atol=1e-4) and np.allclose(slope, want_slope, atol=1e-4)
+
+
+def test_sums_by_rank():
+    rng = np.random.default_rng(6)
+    tokens = np.sort(np.concatenate((rng.integers(0, 500, 800), np.full(gru_lm.RANKS, 600), np.full(gru_lm.RANKS + 1, 601), np.full(2000, 602))))
+    rows, order = rng.standard_normal((len(tokens), 5)).astype(np.float32), rng.permutation(len(tokens))
+    _, starts, sizes = np.unique(tokens, return_index=True, return_counts=True)
+    by = np.argsort(-sizes, kind="stable")
+    got = gru_lm._sums(rows, order, starts[by], sizes[by])
+    assert np.allclose(got, np.add.reduceat(rows[order].astype(np.float64), starts, axis=0)[by], atol=1e-4)
+    assert len(gru_lm._sums(rows, order, starts[:1], np.array([1]))) == 1
+
+
 # 10: sharding
 
 
