@@ -1,3 +1,4 @@
+import gc
 import gzip
 import hashlib
 import random
@@ -852,6 +853,32 @@ def test_tries_merge():
     assert [(t, d, c) for t, d, c in divergence.walk(whole)] == [(t, want[t][0], dict(want[t][1])) for t in sorted(want)]
 
 
+def test_trie_of_sorted_terms():
+    rng = random.Random(13)
+    found = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 7))).encode() for _ in range(400)} | {b"a", b"aa", b"aab", "日本".encode()}
+    one_by_one = divergence.Node()
+    for term in sorted(found):
+        divergence.insert(one_by_one, term, len(term), {"s": 1})
+    built = divergence.build((t, len(t), {"s": 1}) for t in sorted(found))
+    assert divergence.dump(built) == divergence.dump(one_by_one)
+    assert divergence.dump(divergence.build([])) == divergence.dump(divergence.Node())
+
+
+def test_no_search_for_cycles_while_counting():
+    seen = []
+
+    def task(batches):
+        for batch in batches:
+            seen.append(gc.isenabled())
+            yield batch
+
+    assert list(divergence._uncollected(task)([1, 2])) == [1, 2] and seen == [False, False] and gc.isenabled()
+    left = divergence._uncollected(task)([1, 2])
+    next(left)
+    left.close()
+    assert gc.isenabled()
+
+
 def test_exact_shares():
     rng = random.Random(6)
     for top in (10, 10**9, 9 * 10**15):
