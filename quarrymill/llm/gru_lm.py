@@ -19,7 +19,7 @@
 
 The unit is a GRU: h' = z h + (1 - z) tanh(x + r (U h)), with the update gate z
 and the reset gate r sigmoids of x + U h, each with an x and U of its own; r acts
-behind the product with the state, so one product serves all three. Outputs are
+behind the product with the state, so all three are products with the same state. Outputs are
 factored into classes in order of frequency: a softmax over classes, one within
 the class, and for all but the most frequent words a third one, over the words
 of a part of it. Starting biases follow the counts.
