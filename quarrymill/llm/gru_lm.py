@@ -43,13 +43,13 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frequent import most_frequent
-from .shingles import ascii_words
 from .storage import discard, materialise
 
 #: Share of the training tokens whose words are the model's own, and the least number of such words.
@@ -63,10 +63,10 @@ LANES = 1024
 STEPS = 24
 #: How many times as many steps a window may have when few lanes are left.
 LONGER = 16
-#: Rows of a softmax at a time, so that tables stay in a core's cache.
-BLOCK = 1024
+#: Rows at a time of the first softmax and of those below it, so that tables stay in a core's cache and products are small ones.
+FIRST, BLOCK = 256, 1024
 #: Rows of one token whose inputs' gradients are added up rank by rank, all tokens at once; what is beyond, token by token.
-RANKS = 16
+RANKS = 32
 RATE = 0.15
 #: Where sums of squares start.
 SQUARES = 1e-7
@@ -76,8 +76,10 @@ COPY_TOKENS = 1 << 22
 COPIES = 1024
 #: Documents of more tokens come first in a copy, by length.
 LONG = 256
-#: Tokens, and different words, after which a chunk of documents ends.
+#: Tokens after which a chunk of documents ends, and bytes of texts that are split at a time.
 CHUNK = 1 << 20
+SLICE = 1 << 22
+#: Different words of chunks to a file, at least: a small table in many files would mean as many child processes of Hadoop's local writer.
 WORDS = 1 << 18
 #: Hash of the end token: it holds a line break, which no word does.
 END = xxhash.xxh3_64_intdigest(b"\nend")
@@ -87,55 +89,63 @@ _PIECE = 1 << 18
 _LIMIT = np.float32(80)
 
 
-class Words(dict):
-    """Numbers of words in order of their first occurrence; the end token, a line break, is 0."""
-
-    def __init__(self):
-        super().__init__({b"\n": 0})
+def is_held_out(doc: str = "doc_id"):
+    return F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
 
-    def hashes(self) -> np.ndarray:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
-        h[0] = END
-        return h.view(np.int64)
+_CHUNK = "docs array<long>, held array<boolean>, sizes binary, ids binary, words binary, counts binary, distinct long"
 
 
-def is_held_out(doc: str = "doc_id"):
-    return F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")) % 10 == 0
+def _split(texts):
+    """Words of texts, one after another, and how many each text has. Arrow's white space is ``[\\x20\\x09-\\x0D]``, and only A-Z are lower-cased."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # at the ends of a text
+    if empty.any():
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        words = words.filter(pa.array(~empty))
+    return words, sizes
 
 
-_CHUNK = "docs array<long>, held array<boolean>, sizes binary, ids binary, words binary, counts binary"
+def _slices(batches):
+    """Parts of batches with about SLICE bytes of text, or a single one that is larger."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")) - at)
+            yield batch.slice(at, n)
+            at += n
 
 
 def _chunks(batches):
-    """Documents put together: their ids, numbers of tokens and word numbers, and each word's hash and count in training documents."""
-    types = (pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4)
-    words, docs, held, ids, size = Words(), [], [], [], 0
+    """Documents put together: their ids, numbers of tokens and word numbers, and each word's hash and count in training documents.
+
+    Words are numbered from 1 in order of their first occurrence; 0 is the end token.
+    """
+    types = (pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64())
+    parts: list = []
 
     def flush():
-        nonlocal words, docs, held, ids, size
-        learned = [x for x, out in zip(ids, held, strict=True) if not out]
-        counts = np.bincount(np.concatenate(learned), minlength=len(words)) if learned else np.zeros(len(words), np.int64)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        row = (docs, held, sizes.tobytes(), np.concatenate(ids).tobytes(), words.hashes().tobytes(), counts.astype(np.int64).tobytes())
-        words, docs, held, ids, size = Words(), [], [], [], 0
+        docs, held = (pa.concat_arrays([p[k] for p in parts]) for k in (0, 1))
+        found, sizes = pa.concat_arrays([p[2] for p in parts]).dictionary_encode(), np.concatenate([p[3] for p in parts]) + 1
+        parts.clear()
+        ids = np.zeros(int(sizes.sum()), np.uint32)
+        word = np.ones(len(ids), bool)
+        word[np.cumsum(sizes) - 1] = False
+        ids[word] = found.indices.to_numpy(zero_copy_only=False) + np.uint32(1)
+        words = found.dictionary.cast(pa.large_binary() if pa.types.is_large_string(found.dictionary.type) else pa.binary()).to_pylist()
+        hashes = np.fromiter((END, *map(xxhash.xxh3_64_intdigest, words)), np.uint64, len(words) + 1)
+        learned = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), sizes)
+        counts = np.bincount(ids[learned], minlength=len(hashes)).astype(np.int64)
+        row = (docs, held, sizes.tobytes(), ids.tobytes(), hashes.tobytes(), counts.tobytes(), len(hashes))
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _CHUNK.split(", ")])
 
-    for batch in batches:
-        for doc, out, text in zip(batch.column("doc").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            found = ascii_words(text or b"")
-            own = np.zeros(len(found) + 1, np.uint32)
-            own[:-1] = np.fromiter(map(words.__getitem__, found), np.uint32, len(found))
-            docs.append(doc)
-            held.append(out)
-            ids.append(own)
-            size += len(own)
-            if size >= CHUNK or len(words) >= WORDS:
-                yield flush()
-    if docs:
+    for part in _slices(batches):
+        parts.append((part.column("doc"), part.column("held_out"), *_split(part.column("text"))))
+        if sum(int(p[3].sum()) + len(p[3]) for p in parts) >= CHUNK:
+            yield flush()
+    if parts:
         yield flush()
 
 
@@ -214,8 +224,10 @@ class Model:
         inputs = np.empty(n, np.int64)
         inputs[0], inputs[1:] = before, tokens[:-1]
         inputs[first] = self.head + 1
-        states, starts = np.ones((*n, hid + 1), np.float32), first.any(1)
-        befores, proposed = (np.empty((*n, hid), np.float32) if keep else None for _ in range(2))
+        states, starts = np.ones((*n, hid + 1), np.float32), [np.flatnonzero(x) for x in first]
+        # Each step's state before and product with it; where nothing is kept, two places and one serve in turn.
+        befores, proposed = (np.empty((k, n[1], hid), np.float32) for k in ((n[0] + 1, n[0]) if keep else (2, 1)))
+        befores[0] = h
         # Gates and candidates lie apart, so that each step works on whole rows.
         update, reset, fresh = (self.g.reshape(-1, hid).take(3 * inputs + k, 0) for k in range(3))
         to_update, to_reset, to_fresh = (np.ascontiguousarray(self.u[:, k : k + hid]) for k in (0, hid, 2 * hid))
@@ -228,25 +240,22 @@ class Model:
             a *= np.float32(0.5)
 
         for t in range(n[0]):
-            if starts[t]:
-                h = np.where(first[t][:, None], np.float32(0), h)
+            h, after, product = befores[t % len(befores)], befores[(t + 1) % len(befores)], proposed[t % len(proposed)]
+            h[starts[t]] = 0
             z, r, c = update[t], reset[t], fresh[t]
             z += np.matmul(h, to_update, out=past)
             squash(z)
             r += np.matmul(h, to_reset, out=past)
             squash(r)
-            np.matmul(h, to_fresh, out=past)
-            if keep:
-                befores[t], proposed[t] = h, past
-            past *= r
-            c += past
+            np.matmul(h, to_fresh, out=product)
+            c += np.multiply(product, r, out=past)
             c *= np.float32(0.5)
             np.tanh(c, out=c)
-            h = h - c
-            h *= z
-            h += c
-            states[t, :, :hid] = h
-        return inputs, states, (befores, proposed, update, reset, fresh), h
+            np.subtract(h, c, out=after)
+            after *= z
+            after += c
+            states[t, :, :hid] = after
+        return inputs, states, (befores[:-1], proposed, update, reset, fresh), befores[n[0] % len(befores)]
 
     @staticmethod
     def _first(weights, target, states, grads):
@@ -255,19 +264,21 @@ class Model:
         log, slope, d_w = np.empty(len(target), np.float32), None, np.zeros_like(w)
         if grads is not None:
             slope, back = np.empty_like(states), np.ascontiguousarray(w.T)
-        for i in range(0, len(target), BLOCK):
-            s = states[i : i + BLOCK]
-            at = np.arange(len(s)), target[i : i + BLOCK]
-            e = np.minimum(s @ w, _LIMIT)
-            own = e[at]
+        aim = np.arange(len(target)) % FIRST * len(one) + target
+        for i in range(0, len(target), FIRST):
+            s, at = states[i : i + FIRST], aim[i : i + FIRST]
+            e = s @ w
+            np.clip(e, -np.inf, _LIMIT, out=e)
+            line = e.reshape(-1)
+            own = line.take(at)
             np.exp(e, out=e)
             total = e @ one
-            log[i : i + BLOCK] = own - np.log(total)
+            log[i : i + FIRST] = own - np.log(total)
             if grads is not None:
                 e *= np.reciprocal(total)[:, None]
-                e[at] -= 1
+                line[at] -= 1
                 d_w += s.T @ e
-                np.matmul(e, back, out=slope[i : i + BLOCK])
+                np.matmul(e, back, out=slope[i : i + FIRST])
         if grads is not None:
             grads.append((np.zeros(1, np.int64), d_w[None]))
         return log, slope
@@ -293,7 +304,8 @@ class Model:
         within = np.arange(ends[-1]) - np.repeat(ends - length, length)
         spare = within >= np.repeat(sizes, length)
         source = np.repeat(edge, length) + np.minimum(within, np.repeat(sizes, length) - 1)
-        row, aim = rows[source], target[source]
+        row, hit = rows[source], (~spare).astype(np.float32)
+        aim = np.arange(ends[-1]) * len(one) + target[source]
         logs = np.empty(ends[-1], np.float32)
         if grads is not None:
             slopes = np.empty((ends[-1] + 1, states.shape[1]), slope.dtype)
@@ -308,16 +320,15 @@ class Model:
             w = weights.take(touched[a:b], 0)
             e = np.matmul(s, w)
             by_row = e.reshape(j - i, -1)
-            np.minimum(by_row, _LIMIT, out=by_row)
-            at = np.arange(j - i), aim[i:j]
-            own = by_row[at]
+            np.clip(by_row, -np.inf, _LIMIT, out=by_row)
+            at, line = aim[i:j] - i * len(one), e.reshape(-1)
+            own = line.take(at)
             np.exp(by_row, out=by_row)
             total = by_row @ one
             logs[i:j] = own - np.log(total)
             if grads is not None:
-                by_row *= np.reciprocal(total)[:, None]
-                by_row[at] -= 1
-                by_row[spare[i:j]] = 0
+                by_row *= (hit[i:j] / total)[:, None]
+                line[at] -= hit[i:j]
                 np.matmul(s.transpose(0, 2, 1), e, out=d_w[a:b])
                 np.matmul(e, w.transpose(0, 2, 1), out=slopes[i:j].reshape(s.shape))
             a = b
@@ -377,11 +388,11 @@ class Trainer:
             d_states = np.zeros((tokens.size, hid), np.float32)
             _, d_states[at] = m.output(states.reshape(-1, hid + 1).take(at, 0), tokens.ravel()[at], grads)
         d_states = d_states.reshape(*tokens.shape, hid)
-        d_h, starts = np.zeros_like(last), first.any(1)
+        d_h, starts = np.zeros_like(last), [np.flatnonzero(x) for x in first]
         to_update, to_reset, to_fresh = (np.ascontiguousarray(m.u[:, k : k + hid].T) for k in (0, hid, 2 * hid))
         forget, more = np.empty_like(last), np.empty_like(last)
         for t in range(len(tokens) - 1, -1, -1):
-            # Arrays become gradients in place: gates by their own sums, fresh by the candidate's, proposed by its product with the state.
+            # Arrays become gradients in place: update and fresh by their own sums, proposed by the reset gate's, reset by the product with the state.
             d, past, c, z, r = d_states[t], proposed[t], fresh[t], update[t], reset[t]
             d += d_h
             np.subtract(1, z, out=forget)
@@ -394,19 +405,19 @@ class Trainer:
             np.subtract(1, c, out=c)
             c *= np.float32(0.5)
             c *= forget
-            np.multiply(c, r, out=more)  # of the product with the state
-            np.subtract(1, r, out=r)
-            r *= more
-            r *= past
-            past[:] = more
-            d_h = z @ to_update
-            d_h += np.matmul(r, to_reset, out=more)
-            d_h += np.matmul(past, to_fresh, out=more)
+            np.subtract(1, r, out=more)
+            r *= c
+            past *= r
+            past *= more
+            np.matmul(z, to_update, out=d_h)
+            d_h += np.matmul(past, to_reset, out=more)
+            d_h += np.matmul(r, to_fresh, out=more)
             d_h += d
-            if starts[t]:
-                d_h[first[t]] = 0
-        d_x, by_state = tuple(x.reshape(-1, hid) for x in (update, reset, fresh)), befores.reshape(-1, hid).T
-        d_u = np.concatenate([by_state @ x for x in (*d_x[:2], proposed.reshape(-1, hid))], 1)
+            d_h[starts[t]] = 0
+        # Step by step, as small products are the faster ones.
+        by_state = befores.transpose(0, 2, 1)
+        d_u = np.concatenate([np.matmul(by_state, x).sum(0) for x in (update, proposed, reset)], 1)
+        d_x = tuple(x.reshape(-1, hid) for x in (update, proposed, fresh))
         self._step(grads, d_u, inputs.ravel(), d_x, len(at))
         return last
 
@@ -501,7 +512,9 @@ def head_size(by_count: list, total: int) -> int:
 
 def vocabulary(chunks: DataFrame) -> dict:
     """Counts of all words (a table), the words at hand, most frequent first, and what scores need of them."""
-    counts = materialise(chunks.select("words", "counts").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
+    files = max(1, math.ceil((chunks.agg(F.sum("distinct")).first()[0] or 0) / WORDS))
+    counts = chunks.select("words", "counts").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
+    counts = materialise(counts.coalesce(files), "lm-counts")
     by_count = [tuple(r) for r in counts.groupBy("c").count().collect()]  # as many rows as there are different counts
     total, distinct = sum(c * n for c, n in by_count), sum(n for _, n in by_count)
     size = head_size(by_count, total)
@@ -512,12 +525,13 @@ def vocabulary(chunks: DataFrame) -> dict:
     rest_below = rest + 0.1 * (distinct - len(head) + 1)
     return {
         "table": counts, "hashes": h, "counts": head, "rest": float(rest), "total": total, "below": below, "rest_below": rest_below,
-        "base": np.log10((c + 0.1) / below), "share": np.log10((c + 0.1) / rest_below),
+        "base": np.log10((c + 0.1) / below), "share": np.log10((c + 0.1) / rest_below), "files": files,
     }
 
 
-_DOC, _RARE = 0, 1
-_TOKENS = "kind byte, uid long, doc long, held_out boolean, n_tokens long, n_known long, base double, share double, ids binary, h long, n long"
+_TOKENS = "uid long, doc long, held_out boolean, n_tokens long, n_known long, base double, share double, ids binary, rare binary"
+#: A word of a document that is not at hand: its hash, and how often it occurs there.
+_RARE = np.dtype([("h", "<i8"), ("n", "<i4")])
 
 
 def _width(head: int) -> str:
@@ -525,7 +539,7 @@ def _width(head: int) -> str:
 
 
 def _look_up(shared):
-    """A row per document with its tokens, and a row per document and word that is not at hand."""
+    """A row per document with its tokens, and its words that are not at hand."""
     names = [x.split()[0] for x in _TOKENS.split(", ")]
 
     def run(batches):
@@ -546,19 +560,16 @@ def _look_up(shared):
                 sums = [np.add.reduceat(x, starts) for x in ((at >= 0).astype(np.int64), base_of[at], share_of[at])]
                 own = uid + np.arange(size)
                 uid += size
-                tokens, zero = np.where((at < 0) | (at >= head), head, at).astype(width).tobytes(), np.zeros(size, np.int64)
-                step = np.dtype(width).itemsize
+                tokens, step = np.where((at < 0) | (at >= head), head, at).astype(width).tobytes(), np.dtype(width).itemsize
                 each = [tokens[step * a : step * (a + n)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                cols = [np.full(size, _DOC, np.int8), own, chunk["docs"].values, chunk["held"].values, sizes, *sums, pa.array(each, pa.binary()), zero, zero]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
                 rare = np.flatnonzero(at < 0)
-                if len(rare):
-                    key, n = np.unique((np.searchsorted(starts, rare, "right") - 1) * len(words) + ids[rare], return_counts=True)
-                    k = len(key)
-                    zero, nothing = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, _RARE, np.int8)), pa.array(own[key // len(words)]), zero, pa.array(np.zeros(k, bool)), zero, zero, nothing, nothing, pa.nulls(k, pa.binary()), pa.array(words[key % len(words)]), pa.array(n.astype(np.int64))], names=names
-                    )
+                key, n = np.unique((np.searchsorted(starts, rare, "right") - 1) * len(words) + ids[rare], return_counts=True)
+                pairs = np.empty(len(key), _RARE)
+                pairs["h"], pairs["n"] = words[key % len(words)], n
+                edge, pairs = (np.searchsorted(key, np.arange(size + 1) * len(words)) * _RARE.itemsize).tolist(), pairs.tobytes()
+                more = [pairs[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+                cols = [own, chunk["docs"].values, chunk["held"].values, sizes, *sums, pa.array(each, pa.binary()), pa.array(more, pa.binary())]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
 
     return run
 
@@ -631,7 +642,7 @@ def learn(tokens: DataFrame, vocab: dict, rounds: int = ROUNDS, copy_tokens: int
     weights, sums = model.weights(), Trainer.start(model)
     copies = max(1, min(COPIES, round(vocab["total"] / (rounds * copy_tokens))))
     key = F.xxhash64("doc", "ids")
-    docs = tokens.where((F.col("kind") == _DOC) & ~F.col("held_out")).select("ids", "n_tokens", key.alias("key"))
+    docs = tokens.where(~F.col("held_out")).select("ids", "n_tokens", key.alias("key"))
     docs = docs.withColumn("round", F.pmod("key", F.lit(rounds))).withColumn("copy", F.pmod(F.floor(F.col("key") / rounds), F.lit(copies)).cast("int"))
     for r in range(rounds):
         send = context.broadcast(start | {"weights": weights, "sums": sums})
@@ -683,19 +694,28 @@ def _score(shared):
     return run
 
 
+def _rare(batches):
+    """A row per document and word that is not at hand."""
+    for batch in batches:
+        rare = batch.column("rare").to_pylist()
+        pairs, sizes = np.frombuffer(b"".join(rare), _RARE), [len(x) // _RARE.itemsize for x in rare]
+        cols = (np.repeat(batch.column("uid").to_numpy(), sizes), pairs["h"], pairs["n"].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["uid", "h", "n"])
+
+
 def score(tokens: DataFrame, vocab: dict, weights: dict, doc: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     send = tokens.sparkSession.sparkContext.broadcast({k: vocab[k] for k in ("counts", "rest")} | {"weights": weights})
-    own = tokens.where(F.col("kind") == _DOC).select("uid", "doc", "held_out", "n_tokens", "n_known", "base", "share", "ids")
+    own = tokens.select("uid", "doc", "held_out", "n_tokens", "n_known", "base", "share", "ids")
     scored = own.mapInArrow(_score(send), _SCORED)
-    rare = tokens.where(F.col("kind") == _RARE).select("uid", "h", "n").join(vocab["table"], "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rare = tokens.select("uid", "rare").where(F.octet_length("rare") > 0).mapInArrow(_rare, "uid long, h long, n long").join(vocab["table"], "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(float(vocab["below"])))).alias("more_base"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(float(vocab["rest_below"])))).alias("more_score"),
     )
     zero = F.lit(0)
-    return scored.join(rare, "uid", "left").select(
+    return scored.join(rare, "uid", "left").coalesce(vocab["files"]).select(
         F.col("doc").alias(doc),
         "held_out",
         "n_tokens",
@@ -708,7 +728,7 @@ def score(tokens: DataFrame, vocab: dict, weights: dict, doc: str = "doc_id") ->
 
 def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Count, look up, learn and score: a row for every row of ``docs``."""
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("held_out", is_held_out("doc"))
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).withColumn("held_out", is_held_out("doc"))
     held = chunks(rows)
     vocab = vocabulary(held)
     tokens = look_up(held, vocab)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -722,6 +723,42 @@ def test_sums_by_rank():
     assert len(gru_lm._sums(rows, order, starts[:1], np.array([1]))) == 1
 
 
+def test_small_counts_lie_in_few_files(spark):
+    rows = [(k, f"w{k} v{k % 7} and more") for k in range(500)]
+    own = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        held = gru_lm.chunks(docs_of(spark, rows).selectExpr("doc_id AS doc", "text").withColumn("held_out", gru_lm.is_held_out("doc")))
+        vocab = gru_lm.vocabulary(held)
+        tokens = gru_lm.look_up(held, vocab)
+        scored = gru_lm.score(tokens, vocab, gru_lm.Model(vocab["counts"], vocab["rest"]).weights())
+        assert len(vocab["table"].inputFiles()) == 1 and scored.rdd.getNumPartitions() == 1 and scored.count() == 500
+        assert tokens.count() == 500  # words that are not at hand add no rows
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_chunks_hold_the_words_of_whole_texts(monkeypatch):
+    texts = [None, "", "  ", "\x1c a\x1d\x85B\xa0c\u2003d \x00 ", "\tÄa\x0bİ\x0cZz\r\nzz ", "x" * 300, "one", " Two  two\n", *(f"w{k % 9} " * (k % 5) for k in range(60))]
+    held = [k % 4 == 0 for k in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(held), pa.array(texts, pa.string())], names=["doc", "held_out", "text"])
+    monkeypatch.setattr(gru_lm, "CHUNK", 50)
+    monkeypatch.setattr(gru_lm, "SLICE", 40)
+    got, counted = {}, Counter()
+    for chunk in gru_lm._chunks([batch.slice(0, 11), batch.slice(11)]):
+        x = {k: v[0] for k, v in chunk.to_pydict().items()}
+        words, ids = np.frombuffer(x["words"], np.uint64), np.frombuffer(x["ids"], np.uint32)
+        assert len(words) == len(set(words.tolist())) == x["distinct"]
+        for doc, out, part in zip(x["docs"], x["held"], np.split(ids, np.cumsum(np.frombuffer(x["sizes"], np.int64))[:-1]), strict=True):
+            got[doc] = out, words[part].tolist()
+        counted.update({w: n for w, n in zip(words.tolist(), np.frombuffer(x["counts"], np.int64).tolist(), strict=True) if n})
+    want = {k: (held[k], [*map(xxhash.xxh3_64_intdigest, ascii_words((t or "").encode())), gru_lm.END]) for k, t in enumerate(texts)}
+    assert got == want and counted == Counter(w for out, ws in want.values() if not out for w in ws)
+
+
 # 10: sharding
 
 
