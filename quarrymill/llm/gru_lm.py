@@ -134,7 +134,7 @@ def _chunks(batches):
         word = np.ones(len(ids), bool)
         word[np.cumsum(sizes) - 1] = False
         ids[word] = found.indices.to_numpy(zero_copy_only=False) + np.uint32(1)
-        words = found.dictionary.cast(pa.large_binary() if pa.types.is_large_string(found.dictionary.type) else pa.binary()).to_pylist()
+        words = found.dictionary.cast(pa.large_binary() if pa.types.is_large_string(found.dictionary.type) else pa.binary()).to_numpy(zero_copy_only=False)
         hashes = np.fromiter((END, *map(xxhash.xxh3_64_intdigest, words)), np.uint64, len(words) + 1)
         learned = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), sizes)
         counts = np.bincount(ids[learned], minlength=len(hashes)).astype(np.int64)
