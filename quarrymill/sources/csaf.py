@@ -1,12 +1,19 @@
-"""CSAF 2.0 documents: their product trees, of any depth, and the products that their vulnerabilities name."""
+"""CSAF 2.0 documents: their product trees, of any depth, and the products that their vulnerabilities name.
+
+Joins merge: files of documents are so much smaller than their rows that Spark, going by
+the files, would send whole tables through the driver.
+"""
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pages as G
-from ..operators.trees import unfold
+from ..storage import written
 
 _CVSS = "struct<baseScore: double, baseSeverity: string, vectorString: string>"
 _SCORES = f"array<struct<cvss_v3: {_CVSS}, cvss_v4: {_CVSS}>>"
@@ -19,32 +26,81 @@ SCHEMA = (
 
 
 def read_csaf(documents: DataFrame) -> DataFrame:
-    """(id, head, tree, vulnerabilities) of rows (id, text); texts that are no JSON objects give no row."""
+    """(id, head, tree as JSON, vulnerabilities) of rows (id, text); texts that are no JSON objects give no row."""
     d = documents.select("id", F.from_json("text", SCHEMA).alias("d")).where("d.document is not null or d.product_tree is not null or d.vulnerabilities is not null")
-    return d.select("id", F.col("d.document").alias("head"), F.col("d.product_tree").alias("tree"), F.coalesce("d.vulnerabilities", F.array().cast(d.schema["d"].dataType["vulnerabilities"].dataType)).alias("vulnerabilities"))
+    return d.select("id", F.col("d.document").alias("head"), F.to_json("d.product_tree").alias("tree"), F.coalesce("d.vulnerabilities", F.array().cast(d.schema["d"].dataType["vulnerabilities"].dataType)).alias("vulnerabilities"))
 
 
-def product_nodes(parsed: DataFrame) -> DataFrame:
-    """A row per branch: id, path (positions from the root; their order is the tree's), category, name, product_id, product and family.
+class _Number(str):
+    """A number as its document writes it."""
 
-    ``family`` is the name of the nearest branch of category product_name, the branch itself included.
+
+def _text(x) -> str | None:
+    """A value as text: strings bare, all else as JSON."""
+    if x is None or isinstance(x, str):
+        return x
+    inner = lambda v: _text(v) if isinstance(v, (_Number, dict, list)) else json.dumps(v, ensure_ascii=False)
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{inner(v)}" for k, v in x.items()) + "}"
+    return "[" + ",".join(map(inner, x)) + "]" if isinstance(x, list) else json.dumps(x)
+
+
+def collect_branches(tree: str | None):
+    """(path, category, name, product_id, product, family) of each branch below a product tree, given as JSON, in the tree's order.
+
+    A stack holds what is still to visit, so depth is free.
     """
+    root = json.loads(tree, parse_int=_Number, parse_float=_Number) if tree else None
+    field = lambda v, n: v.get(n) if isinstance(v, dict) else None
+    stack = [((), None, root)]
+    while stack:
+        path, family, v = stack.pop()
+        if path:
+            category, name, product = _text(field(v, "category")), _text(field(v, "name")), field(v, "product")
+            family = name if category == "product_name" else family
+            yield path, category, name, _text(field(product, "product_id")) or None, _text(field(product, "name")), family
+        below = field(v, "branches")
+        if isinstance(below, list):
+            stack.extend(((*path, i), family, below[i]) for i in range(len(below) - 1, -1, -1))
+
+
+#: Nodes that leave Python in one batch; one document may have any number.
+_BATCH = 50_000
+_NODE = {"pos": pa.int32(), "path": pa.list_(pa.int32()), "category": pa.string(), "name": pa.string(), "product_id": pa.string(), "product": pa.string(), "family": pa.string()}
+
+
+def _branches(batches):
+    for batch in batches:
+        at, rows = [], []
+
+        def out(ids=batch.column("id"), at=at, rows=rows):
+            columns = zip(*rows, strict=True) if rows else [()] * len(_NODE)
+            arrays = [ids.take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, _NODE.values(), strict=True))]
+            at.clear(), rows.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["id", *_NODE])
+
+        for i, tree in enumerate(batch.column("tree").to_pylist()):
+            for pos, node in enumerate(collect_branches(tree)):
+                at.append(i)
+                rows.append((pos, *node))
+                if len(rows) == _BATCH:
+                    yield out()
+        yield out()
 
-    def node(v: Column, path: Column, above: Column) -> Column:
-        text = lambda p: F.try_variant_get(v, p, "string")
-        name, category = text("$.name"), text("$.category")
-        return F.struct(
-            path.alias("path"), category.alias("category"), name.alias("name"), F.nullif(text("$.product.product_id"), F.lit("")).alias("product_id"), text("$.product.name").alias("product"),
-            F.when(category == "product_name", name).otherwise(above).alias("family"), F.try_variant_get(v, "$.branches", "array<variant>").alias("branches"),
-        )
 
-    roots = parsed.select("id", F.explode(F.transform(F.try_variant_get("tree", "$.branches", "array<variant>"), lambda v, i: node(v, F.array(i), F.lit(None).cast("string")))).alias("n")).select("id", "n.*")
-    return unfold(roots, ["id"], lambda v, i: node(v, F.concat("path", F.array(i)), F.col("family")))
+def product_nodes(parsed: DataFrame) -> DataFrame:
+    """A row per branch: id, pos (its place in the tree's order), path (positions from the root), category, name, product_id, product and family.
+
+    ``family`` is the name of the nearest branch of category product_name, the branch itself included.
+    """
+    kind = parsed.schema["id"].dataType.simpleString()
+    texts = "category string, name string, product_id string, product string, family string"
+    return parsed.select("id", "tree").mapInArrow(_branches, f"id {kind}, pos int, path array<int>, {texts}")
 
 
 def _last(nodes: DataFrame, *values: Column) -> DataFrame:
     """One row per document and product id: the last one of the tree."""
-    return nodes.groupBy("id", "product_id").agg(F.max_by(F.struct(*values), "path").alias("v")).select("id", "product_id", "v.*")
+    return nodes.groupBy("id", "product_id").agg(F.max_by(F.struct(*values), "pos").alias("v")).select("id", "product_id", "v.*")
 
 
 def range_map(nodes: DataFrame) -> DataFrame:
@@ -91,8 +147,9 @@ def statuses(parsed: DataFrame) -> DataFrame:
 
 
 def _first_listed(listed: DataFrame) -> DataFrame:
-    rows = listed.where("kind = 'affected'")
-    return rows.groupBy("id", "product_id").agg(F.min(F.struct("vuln", "nth")).alias("at")).select("id", "product_id", F.col("at.vuln").alias("vuln"), F.col("at.nth").alias("nth"))
+    place = F.col("vuln").cast("bigint") * (1 << 32) + F.col("nth")
+    rows = listed.where("kind = 'affected'").groupBy("id", "product_id").agg(F.min(place).alias("at"))
+    return rows.select("id", "product_id", F.shiftright("at", 32).cast("int").alias("vuln"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("nth"))
 
 
 _PRODUCT = ("product", "version_start", "version_end", "last_affected", "version_fixed", "versions", "patch_available")
@@ -105,11 +162,13 @@ def _product(product: Column, start=None, end=None, last=None, fixed=None, exact
     return [c.alias(n) for n, c in zip(_PRODUCT, (product, text(start), text(end), text(last), text(fixed), versions, patched), strict=True)]
 
 
-def _ranged(affected: DataFrame, fixed: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Products by the tree's ranges; a family's first fixed range in the same vulnerability is its fixed version."""
-    known = fixed.join(ranges, ["id", "product_id"]).where("op in ('>=', '>') and version is not null")
-    fixes = known.groupBy("id", "vuln", "family").agg(F.min_by("version", "nth").alias("fix"))
-    rows = affected.join(ranges, ["id", "product_id"]).join(fixes, ["id", "vuln", "family"], "left")
+def _ranged(known: DataFrame) -> DataFrame:
+    """Products by the tree's ranges; a family's first fixed range in the same vulnerability is its fixed version.
+
+    known: affected and fixed product ids (id, vuln, nth, kind) with their family, op and version.
+    """
+    fixes = known.where("kind = 'fixed' and op in ('>=', '>') and version is not null").groupBy("id", "vuln", "family").agg(F.min_by("version", "nth").alias("fix"))
+    rows = known.where("kind = 'affected'").join(fixes.hint("merge"), ["id", "vuln", "family"], "left")
     version = F.col("version")
     return rows.select("id", "vuln", "nth", *_product(F.col("family"), None, F.when(F.col("op") == "<", version), F.when(F.col("op") == "<=", version), F.col("fix")))
 
@@ -123,7 +182,7 @@ def _behind(vendor: str, name: Column) -> Column:
 def _with_name(rows: DataFrame, known: DataFrame, vendor: str) -> DataFrame:
     """Rows with the longest known name that the id starts with; one vendor's older ids end with a blank and a version."""
     ident = F.col("product_id")
-    rows = rows.join(known, "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    rows = rows.join(known.hint("merge"), "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     if vendor == "cisco":
         fits = F.filter("names", lambda n: (ident == n) | ident.startswith(F.concat(n, F.lit(" "))) | ident.startswith(F.concat(n, F.lit("-"))))
         name = G.longest_name(ident, fits)
@@ -144,7 +203,7 @@ def _named(listed: DataFrame, known: DataFrame, vendor: str) -> DataFrame:
     else:
         fixes = fixes.where(rest.rlike(r"^\d"))
     fixes = fixes.groupBy("id", "vuln").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "rest"))), lambda x: x["rest"]).alias("fixes"))
-    rows = _with_name(_first_listed(listed), known, vendor).join(fixes, ["id", "vuln"], "left").withColumn("fixes", F.coalesce("fixes", F.array().cast("array<string>")))
+    rows = _with_name(_first_listed(listed), known, vendor).join(fixes.hint("merge"), ["id", "vuln"], "left").withColumn("fixes", F.coalesce("fixes", F.array().cast("array<string>")))
     any_fix = F.size("fixes") > 0
     if vendor == "fortinet":
         s = F.col("s")
@@ -165,7 +224,7 @@ def _named(listed: DataFrame, known: DataFrame, vendor: str) -> DataFrame:
 
 
 def affected_products(parsed: DataFrame, vendor: str) -> DataFrame:
-    """A row per affected product of a document: id, vuln and nth (its place), product, bounds, versions, patch_available.
+    """A row per affected product of a document (``parsed`` is gone through several times): id, vuln and nth (its place), product, bounds, versions, patch_available.
 
     A product id counts once, where it is listed first. One vendor's documents
     name ranges in the tree; those of its documents that don't are read like the others', by the ids' texts.
@@ -173,15 +232,16 @@ def affected_products(parsed: DataFrame, vendor: str) -> DataFrame:
     nodes = product_nodes(parsed)
     listed = statuses(parsed)
     if vendor == "oracle":
-        rows = listed.where("kind = 'affected'").join(named_map(nodes), ["id", "product_id"])
+        rows = listed.where("kind = 'affected'").join(named_map(nodes).hint("merge"), ["id", "product_id"])
         first = rows.groupBy("id", "vuln", "family", "version").agg(F.min("nth").alias("nth"))
         return first.select("id", "vuln", "nth", *_product(F.col("family"), exact=F.col("version"), patch=F.lit(True)))
     if vendor != "paloalto":
         return _named(listed, names(nodes, vendor), vendor)
-    ranges, affected = range_map(nodes), _first_listed(listed)
-    by_tree = affected.join(ranges, ["id", "product_id"], "left_semi").select("id").distinct()
-    new = _ranged(affected, listed.where("kind = 'fixed'"), ranges)
-    return new.unionByName(_named(listed.join(by_tree, "id", "left_anti"), names(nodes, vendor), vendor))
+    either = _first_listed(listed).withColumn("kind", F.lit("affected")).unionByName(listed.where("kind = 'fixed'"))
+    known = written(either.join(range_map(nodes).hint("merge"), ["id", "product_id"]).drop("product_id"), "ranges")
+    by_tree = known.where("kind = 'affected'").select("id").distinct()
+    rest = written(parsed.select("id", "tree", "vulnerabilities").join(by_tree.hint("merge"), "id", "left_anti"), "by-name")
+    return _ranged(known).unionByName(_named(statuses(rest), names(product_nodes(rest), vendor), vendor))
 
 
 def best_score(vulnerabilities: Column, newer: bool = False) -> Column:
@@ -206,7 +266,11 @@ def csaf_advisories(documents: DataFrame, vendor: str) -> DataFrame:
     One vendor's documents are collections: there a row per CVE, named by both.
     Advisories without affected products give no row.
     """
-    parsed = read_csaf(documents)
+    return advisories(written(read_csaf(documents), "csaf"), vendor)
+
+
+def advisories(parsed: DataFrame, vendor: str) -> DataFrame:
+    """``csaf_advisories`` of documents that ``read_csaf`` has read; they are gone through several times."""
     products = affected_products(parsed, vendor)
     per_vuln = vendor == "oracle"
     key = ["id", "vuln"] if per_vuln else ["id"]
@@ -221,7 +285,7 @@ def csaf_advisories(documents: DataFrame, vendor: str) -> DataFrame:
             F.upper(s["baseSeverity"]).alias("severity"), s["baseScore"].alias("score"), s["vectorString"].alias("vector"),
             F.concat(F.lit("https://www.oracle.com/security-alerts/"), "id", F.lit(".html")).alias("url"), F.lit(None).cast("string").alias("workaround"), F.lit(None).cast("string").alias("solution"),
         )
-        return rows.join(listed, key).drop(*key)
+        return rows.join(listed.hint("merge"), key).drop(*key)
     first = F.get("vulnerabilities", F.lit(0))
     s = best_score(F.col("vulnerabilities"), newer=vendor == "paloalto")
     if vendor == "paloalto":
@@ -236,7 +300,7 @@ def csaf_advisories(documents: DataFrame, vendor: str) -> DataFrame:
         "id", released, F.col("id").alias("external_id"), first["cve"].alias("cve_id"), _edges(_note(first, summary)).alias("summary"), s["baseSeverity"].alias("severity"), s["baseScore"].alias("score"), s["vectorString"].alias("vector"),
         F.coalesce(F.get(first["references"], 0)["url"], F.concat(F.lit(page), "id")).alias("url"), _edges(way if vendor == "paloalto" else F.when(way != "N/A", way)).alias("workaround"), fix.alias("solution"),
     )
-    return rows.join(listed, key).drop(*key)
+    return rows.join(listed.hint("merge"), key).drop(*key)
 
 
 def cisco_advisories(listed: DataFrame, documents: DataFrame) -> DataFrame:
@@ -245,11 +309,11 @@ def cisco_advisories(listed: DataFrame, documents: DataFrame) -> DataFrame:
     ``listed``: advisoryId, advisoryTitle, summary, sir, cves, cvssBaseScore, publicationUrl, workarounds, firstPublished and
     affectedProducts, as the vendor gives them. Without products of a document, a listed one stands for the vendor's all.
     """
-    parsed = read_csaf(documents)
+    parsed = written(read_csaf(documents), "csaf")
     products = affected_products(parsed, "cisco").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vuln", "nth", F.struct(*_PRODUCT).alias("p")))), lambda x: x["p"]).alias("products"))
     each = F.flatten(F.transform("vulnerabilities", lambda v: F.transform(F.coalesce(v["scores"], F.array().cast(_SCORES)), lambda s: s["cvss_v3"]["vectorString"])))
     vectors = parsed.select("id", F.get(F.filter(each, lambda x: x != ""), 0).alias("vector"))
-    rows = listed.withColumnRenamed("advisoryId", "id").join(vectors, "id", "left").join(products, "id", "left")
+    rows = listed.withColumnRenamed("advisoryId", "id").join(vectors.hint("merge"), "id", "left").join(products.hint("merge"), "id", "left")
     whole = F.array(F.struct(*_product(F.lit("cisco"))))
     none = F.array().cast(products.schema["products"].dataType)
     return rows.select(

@@ -26,5 +26,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in a new folder, and a scan of what was written; a lost executor then costs the tasks it was running only."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -186,3 +186,20 @@ def test_pages_as_lists(spark):
         "CVE-2024-1": ("MEDIUM", [("1.3.0", "1.31.2", "1.31.3"), ("0.6", "1.30.4", None), ("1.5.10", "1.5.10", None), ("1.0-x", "1.0-x", None)]),
         "CVE-2024-2": ("MEDIUM", [("1.5.10", "1.5.10", None)]),
     }
+
+
+def test_branches_in_one_walk():
+    odd = branch("product_name", 5, below=[{"name": 1.50, "category": True, "product": {"product_id": "", "name": {"a": [1.5, None, "x"]}}}, "no branch", branch("product_name", None, "P")])
+    assert list(csaf.collect_branches(json.dumps({"branches": [odd, branch("x", "second", "Q")]}))) == [
+        ((0,), "product_name", "5", None, None, "5"), ((0, 0), "true", "1.5", None, '{"a":[1.5,null,"x"]}', "5"), ((0, 1), None, None, None, None, "5"),
+        ((0, 2), "product_name", None, "P", None, None), ((1,), "x", "second", "Q", "second", None),
+    ]
+    assert len(list(csaf.collect_branches(json.dumps({"branches": deep(300, branch("x", "y"))})))) == 301
+    assert not any(any(csaf.collect_branches(t)) for t in (None, "", "5", "[]", '{"branches": {}}'))
+
+
+def test_named_products_are_not_sent_through_the_driver(spark):
+    tree = [branch("product", "Wall")]
+    docs = texts(spark, **{f"F{n}": document(tree, {"cve": "C", "product_status": {"known_affected": ["Wall 1.0.0"], "known_not_affected": ["Wall-1.0.1"]}}) for n in range(3)})
+    df = csaf.csaf_advisories(docs, "fortinet")
+    assert df.count() == 3 and "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
