@@ -32,7 +32,7 @@ def hashed_once(df):
     return "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "RoundRobin" not in plan and plan.count("Generate explode") == 0
 
 
-@pytest.mark.parametrize("evr", [V.dpkg_evr])
+@pytest.mark.parametrize("evr", [V.dpkg_evr, V.rpm_evr])
 def test_keyed_ranges_meet_near_versions_alone(spark, evr):
     r, a = tables(spark)
     df = matching.match_keyed(r, a, evr)
