@@ -40,3 +40,14 @@ def test_keyed_ranges_meet_near_versions_alone(spark, evr):
     want = r.join(a, "package_name").where(F.col("fixed_version").isNotNull() & (k < evr(F.col("fixed_version"))) & (F.col("introduced_version").isNull() | (k >= evr(F.col("introduced_version")))))
     assert got(df) == got(want) and df.count() > 500
     assert hashed_once(matching.match_keyed(r.where("version <> ''"), a, evr))
+
+
+def test_semver_ranges_meet_near_versions_alone(spark):
+    r, a = tables(spark)
+    a = matching.with_integer_bounds(a)
+    df = matching.match_semver(r, a)
+    v = V.normalize_version(F.col("version"))
+    want = r.join(a, "package_name").where(v.isNull() | V.range_matches(v, F.col("introduced_int"), F.col("fixed_int"), F.col("last_affected_int")))
+    assert got(df) == got(want) and df.count() > 500
+    assert {x.request_id for x in df.where("approximate").collect()} == {80, 82}
+    assert hashed_once(matching.match_semver(r.where("version like '%.0'").where("version not like '1234567%'"), a))
