@@ -51,3 +51,22 @@ def test_semver_ranges_meet_near_versions_alone(spark):
     assert got(df) == got(want) and df.count() > 500
     assert {x.request_id for x in df.where("approximate").collect()} == {80, 82}
     assert hashed_once(matching.match_semver(r.where("version like '%.0'").where("version not like '1234567%'"), a))
+
+
+def merged(df):
+    return sorted(map(tuple, df.select("request_id", "vuln_no", "n_rows", "fixed_version", "ecosystems").collect()), key=str)
+
+
+def test_merged_where_rows_lie(spark):
+    r, a = tables(spark)
+    more = [(5, 1, "p0", "PyPI", None, "", None), (5, 1, "p0", "Debian:12", "1.0", "2.0-2", None), (5, 1, "p0", "npm", "1.0", "2.0-1", None), (None, None, "p1", None, "3.0", None, None), (7, 2, "p1", None, "x", "9.9", "1.0"), (8, 2, None, "npm", None, None, None)]
+    a = matching.with_integer_bounds(a.unionByName(spark.createDataFrame(more, a.schema)))
+    single = r.groupBy("request_id").count().where("count = 1").select("request_id")
+    for asked in (r, r.join(single, "request_id")):
+        want = matching.merge_results(matching.match_semver(asked, a))
+        df = matching.search_merged(asked, a)
+        assert merged(df) == merged(want) and df.count() > 300
+        few = matching.search_merged(asked, a, 3)
+        assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, matching.first_per_request(want, 3).select("request_id", "vuln_no", "n_rows").collect()), key=str)
+    assert "Aggregate" not in plans(df).split("FlatMapCoGroups")[0]
+    assert matching.search_merged(r.where("false"), a).count() == 0 == matching.search_merged(r, a.where("false")).count()
