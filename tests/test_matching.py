@@ -70,3 +70,25 @@ def test_merged_where_rows_lie(spark):
         assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, matching.first_per_request(want, 3).select("request_id", "vuln_no", "n_rows").collect()), key=str)
     assert "Aggregate" not in plans(df).split("FlatMapCoGroups")[0]
     assert matching.search_merged(r.where("false"), a).count() == 0 == matching.search_merged(r, a.where("false")).count()
+
+
+def test_equal_questions_are_searched_once(spark):
+    from quarrymill.operators import search
+
+    rows = [(n, "a", v, e) for n, (v, e) in enumerate([("1.5.0", "npm"), ("1.5.0", "npm"), (None, None), ("9.0", "npm"), (None, None), ("1.5.0", "npm")])] + [(9, "a", "1.5.0", "npm"), (9, "a", "9.0", "npm"), (9, "a", "9.0", "npm"), (None, "a", "1.5.0", "npm")]
+    requests = spark.createDataFrame(rows, "request_id long, package_name string, version string, ecosystem string")
+    asked, members = search.questions(requests)
+    assert sorted((r.request_id if r.request_id is not None else -1, r.version) for r in asked.collect()) in ([(0, "1.5.0"), (2, None), (3, "9.0"), (9, "1.5.0"), (9, "9.0")], [(-1, "1.5.0"), (2, None), (3, "9.0"), (9, "1.5.0"), (9, "9.0")])
+    ints = {n: F.lit(None).cast("bigint") for n in ("fixed_int", "last_affected_int")}
+    osv = spark.createDataFrame([("O1", "a", "npm", "SEMVER", 1, "1.0.0", None, None, ["9.0"]), ("O2", "a", "npm", "SEMVER", None, "1.2.0", None, None, []), ("O3", "a", "npm", "versions", 1, None, None, None, ["9.0"])],
+                                "own_id string, package_name string, ecosystem string, kind string, master_no long, introduced_version string, fixed_version string, last_affected_version string, versions array<string>")
+    osv = osv.withColumns({"introduced_int": V.normalize_version(F.col("introduced_version"))} | ints)
+    nvd = osv.where("false").select("own_id", "package_name", "ecosystem", "master_no", "fixed_version", "introduced_int", *ints)
+    adv = osv.where("false").select("own_id", "package_name", "master_no", "versions", F.lit("v").alias("vendor"), *(F.lit(None).cast("string").alias(n) for n in ("version_start", "version_end", "fixed_version")), *(F.lit(None).cast("bigint").alias(n) for n in ("version_start_int", "version_end_int", "last_affected_int")))
+    masters = spark.createDataFrame([(1, "CVE-1", None, None)], "master_no long, cve_id string, osv_id string, advisory_id string")
+    show = lambda df: sorted(((r.request_id, r.id, r.external_id, sorted(r.aliases)) for r in df.collect()), key=str)
+    got = search.search_all(requests, osv, nvd, adv, masters)
+    assert show(got) == show(search.search_questions(requests, osv, nvd, adv, masters)) and got.count() == 16
+    # A row leaves its partition once, however many keys it has.
+    once = search.search_osv(search.prepared(requests), osv)
+    assert "Generate explode(keys" not in plans(once) and "ShuffledHashJoin" in plans(once)
