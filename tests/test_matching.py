@@ -92,3 +92,15 @@ def test_equal_questions_are_searched_once(spark):
     # A row leaves its partition once, however many keys it has.
     once = search.search_osv(search.prepared(requests), osv)
     assert "Generate explode(keys" not in plans(once) and "ShuffledHashJoin" in plans(once)
+
+
+def test_a_platform_name_is_searched_once(spark):
+    from quarrymill.operators import search
+
+    cpe = lambda product, v: f"cpe:2.3:a:acme:{product}:{v}:*:*:*:*:*:*:*"
+    names = spark.createDataFrame([(1, cpe("kit", "1.5.0")), (2, cpe("kit", "1.5.0")), (3, cpe("kit", "*")), (4, cpe("kit", "1.5.0")), (4, cpe("tool", "*")), (5, cpe("none", "*"))], "request_id long, cpe string")
+    rows = spark.createDataFrame([(f"N{n}", n, "acme", "kit" if n % 3 else "tool", n * 1_000_000_000 if n > 2 else None) for n in range(8)], "own_id string, row_id long, vendor string, package_name string, introduced_int long")
+    rows = rows.withColumns({n: F.lit(None).cast("bigint") for n in ("fixed_int", "last_affected_int")})
+    df = search.search_cpe(names, rows, limit=2, offset=1)
+    assert sorted(map(tuple, df.collect())) == [(1, "N2", 2), (2, "N2", 2), (3, "N2", 2), (3, "N4", 4), (4, "N1", 1), (4, "N2", 2)]
+    assert "asked_by" in plans(df).split("Window")[0]
