@@ -38,11 +38,31 @@ def release_points(entries: DataFrame) -> DataFrame:
     return rows.groupBy("version").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
+def _last_fixes(entries: DataFrame) -> DataFrame:
+    """(major, cve_id, patched): the last fix, by rpm's order, that a CVE's entries for a major line state; null if one states none."""
+    last = F.max(F.struct(F.col("patched").isNull().alias("open"), V.rpm_evr(F.col("patched")).alias("k"), "patched"))
+    return entries.groupBy("major", F.upper("cve_id").alias("cve_id")).agg(last.alias("last")).select("major", "cve_id", "last.patched")
+
+
+def _affected_by(versions: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Versions, each once, with the rows of ``fixes`` (major, patched) for their major line that are not patched, or patched later."""
+    v = versions.select("version").distinct().select("version", F.regexp_extract("version", r"^\s*(\d+)", 1).try_cast("int").alias("major"), V.rpm_evr(F.col("version")).alias("k"))
+    e = fixes.withColumn("end", F.when(F.col("patched").isNotNull(), V.rpm_evr(F.col("patched"))))
+    return v.join(e, "major").where("end is null or k < end")
+
+
 def release_truth(versions: DataFrame, entries: DataFrame) -> DataFrame:
     """(version, cve_id): CVEs whose entry for the version's major line is not patched, or patched later by rpm's order."""
-    v = versions.select("version", F.regexp_extract("version", r"^\s*(\d+)", 1).try_cast("int").alias("major"), V.rpm_evr(F.col("version")).alias("k"))
-    e = entries.select("major", F.upper("cve_id").alias("cve_id"), F.when(F.col("patched").isNotNull(), V.rpm_evr(F.col("patched"))).alias("end"))
-    return v.join(e, "major").where("end is null or k < end").select("version", "cve_id").distinct()
+    return _affected_by(versions, _last_fixes(entries)).select("version", "cve_id")
+
+
+def release_counts(versions: DataFrame, entries: DataFrame) -> DataFrame:
+    """(version, n_cves, least): how many CVEs ``release_truth`` has for a version, and the least of them.
+
+    CVEs are counted by their last fix before versions meet them, so no pair of version and CVE is made.
+    """
+    fixes = _last_fixes(entries).groupBy("major", "patched").agg(F.count(F.lit(1)).alias("n"), F.min("cve_id").alias("least"))
+    return _affected_by(versions, fixes).groupBy("version").agg(F.sum("n").alias("n_cves"), F.min("least").alias("least"))
 
 
 def release_ranges(entries: DataFrame) -> DataFrame:

@@ -205,3 +205,17 @@ def test_masters_in_order_of_arrival(spark):
         links = spark.createDataFrame([(f"{s}|{i}", m, q) for (s, i), (m, q) in last.items()], "child string, master string, seq long")
         ends = {r.child: r.end for r in resolve.follow_renames(links, resolve.renames_of(arrivals.where("kind <> 'nvd'"))).collect()}
         assert ends == {f"{s}|{i}": m for (s, i), m in link.items()}
+
+
+def test_release_counts_make_no_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from quarrymill.operators import sweeps
+
+    rows = [("cve-1", 20, "20.5.0"), ("CVE-1", 20, "20.11.1"), ("CVE-2", 20, None), ("CVE-2", 20, "20.1.0"), ("CVE-3", 20, "20.2.0"), ("CVE-1", 18, "18.0.1"), ("CVE-3", 18, None)]
+    entries = spark.createDataFrame(rows, "cve_id string, major int, patched string")
+    versions = spark.createDataFrame([("20.3.0",), ("20.3.0",), ("20.11.1",), ("18.0.0",), ("16.0.0",)], "version string")
+    truth = sweeps.release_truth(versions, entries)
+    assert sorted(map(tuple, truth.collect())) == [("18.0.0", "CVE-1"), ("18.0.0", "CVE-3"), ("20.11.1", "CVE-2"), ("20.3.0", "CVE-1"), ("20.3.0", "CVE-2")]
+    want = truth.groupBy("version").agg(F.count(F.lit(1)).alias("n_cves"), F.min("cve_id").alias("least"))
+    assert sorted(map(tuple, sweeps.release_counts(versions, entries).collect())) == sorted(map(tuple, want.collect()))
