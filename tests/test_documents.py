@@ -203,3 +203,12 @@ def test_named_products_are_not_sent_through_the_driver(spark):
     docs = texts(spark, **{f"F{n}": document(tree, {"cve": "C", "product_status": {"known_affected": ["Wall 1.0.0"], "known_not_affected": ["Wall-1.0.1"]}}) for n in range(3)})
     df = csaf.csaf_advisories(docs, "fortinet")
     assert df.count() == 3 and "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_ranges_of_trees_are_not_sent_through_the_driver(spark):
+    tree = [branch("product_name", "Agent", below=[branch("product_version_range", "vers:generic/<5.2", "A"), branch("product_version_range", "vers:generic/>=5.2", "B")])]
+    new = document(tree, {"cve": "C", "product_status": {"known_affected": ["A"], "fixed": ["B"]}})
+    old = document(tree, {"cve": "C", "product_status": {"known_affected": ["Agent 5.0.1"], "known_not_affected": ["Agent 5.0.2"]}})
+    df = csaf.csaf_advisories(texts(spark, N=new, O=old), "paloalto")
+    assert products(df) == {"N": [("Agent", None, "5.2", None, "5.2", [], True)], "O": [("Agent", "5.0.1", "5.0.2", None, "5.0.2", [], True)]}
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
