@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.advisories import severity_from_score
-from ..operators.records import prefer
+from ..storage import written
 from . import csaf
 
 SCHEMA = (
@@ -80,9 +80,9 @@ def cvrf_advisories(documents: DataFrame) -> DataFrame:
 
     It has the affected products of all entries in order, the first of the highest scores and the first details.
     """
-    v = read_cvrf(documents)
+    v = written(read_cvrf(documents), "entries")
     rows = v.select("id", F.col("v.CVE").alias("cve_id"), "vuln", F.explode("v.ProductStatuses.Status").alias("s")).where("s._Type = 'Known Affected'")
-    rows = rows.select("id", "cve_id", "vuln", F.posexplode("s.ProductID").alias("nth", "product_id")).join(product_map(documents), ["id", "product_id"])
+    rows = rows.select("id", "cve_id", "vuln", F.posexplode("s.ProductID").alias("nth", "product_id")).join(product_map(documents).hint("merge"), ["id", "product_id"])
     first = rows.groupBy("id", "cve_id", "product", "version").agg(F.min(F.struct("vuln", "nth")).alias("at"))
     p = F.struct(*csaf._product(F.col("product"), exact=F.nullif(F.col("version"), F.lit("")), patch=F.lit(True)))
     listed = first.groupBy("id", "cve_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", p.alias("p")))), lambda x: x["p"]).alias("products"))
@@ -94,7 +94,7 @@ def cvrf_advisories(documents: DataFrame) -> DataFrame:
     told = v.withColumn("details", F.nullif(details, F.lit("")))
     heads = told.groupBy("id", F.col("v.CVE").alias("cve_id")).agg(F.min("published_at").alias("published_at"), F.expr("min_by(details, vuln) FILTER (WHERE details IS NOT NULL)").alias("details"))
     none = F.lit(None).cast("string")
-    return heads.join(best, ["id", "cve_id"], "left").join(listed, ["id", "cve_id"]).select(
+    return heads.join(best.hint("merge"), ["id", "cve_id"], "left").join(listed.hint("merge"), ["id", "cve_id"]).select(
         "published_at", F.concat("id", F.lit("-"), "cve_id").alias("external_id"), "cve_id", F.coalesce("details", F.concat(F.upper("id"), F.lit(": "), "cve_id")).alias("summary"),
         severity_from_score(F.col("best.score")).alias("severity"), F.col("best.score").alias("score"), F.col("best.vector").alias("vector"),
         F.concat(F.lit("https://www.oracle.com/security-alerts/"), "id", F.lit(".html")).alias("url"), none.alias("workaround"), none.alias("solution"), "products",
@@ -112,9 +112,10 @@ def cpu_advisories(links: DataFrame, csaf_documents: DataFrame, cvrf_documents:
     ``failed`` has the collections that neither format has.
     """
     wanted = links.select(collection_of(F.col("link")).alias("id")).where("id is not null").distinct()
-    new = csaf_documents.join(csaf.read_csaf(csaf_documents).select("id"), "id", "left_semi").select("id", "text", F.lit("csaf").alias("form"))
-    old = cvrf_documents.where(F.from_xml("text", SCHEMA)["_corrupt_record"].isNull()).select("id", "text", F.lit("cvrf").alias("form"))
-    chosen = prefer(new, old, key="id").join(wanted, "id", "left_semi")
-    form = lambda f: chosen.where(F.col("form") == f).select("id", "text")
-    rows = csaf.csaf_advisories(form("csaf"), "oracle").unionByName(cvrf_advisories(form("cvrf")))
-    return rows, wanted.join(chosen, "id", "left_anti")
+    linked = wanted.hint("merge")
+    new = written(csaf.read_csaf(csaf_documents.join(linked, "id", "left_semi")), "csaf")
+    old = cvrf_documents.where(F.from_xml("text", SCHEMA)["_corrupt_record"].isNull()).select("id", "text")
+    old = written(old.join(linked, "id", "left_semi").join(new.select("id").hint("merge"), "id", "left_anti"), "cvrf")
+    rows = csaf.advisories(new, "oracle").unionByName(cvrf_advisories(old))
+    have = new.select("id").unionByName(old.select("id")).distinct()
+    return rows, wanted.join(have.hint("merge"), "id", "left_anti")
