@@ -55,7 +55,7 @@ def _ranged(spark, d) -> DataFrame:
 
 
 def product_map(spark, d):
-    return csaf.range_map(csaf.product_nodes(csaf.read_csaf(_ranged(spark, d)))).select(c("id").cast("bigint").alias("o"), "product_id", "family", "op", "version")
+    return csaf.range_map(csaf.product_nodes(csaf.read_csaf(_ranged(spark, d)), paths=False)).select(c("id").cast("bigint").alias("o"), "product_id", "family", "op", "version")
 
 
 def _joined(products="products"):

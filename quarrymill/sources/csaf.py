@@ -69,33 +69,35 @@ _BATCH = 50_000
 _NODE = {"pos": pa.int32(), "path": pa.list_(pa.int32()), "category": pa.string(), "name": pa.string(), "product_id": pa.string(), "product": pa.string(), "family": pa.string()}
 
 
-def _branches(batches):
+def _branches(batches, kinds: dict):
+    first = 0 if "path" in kinds else 1
     for batch in batches:
         at, rows = [], []
 
         def out(ids=batch.column("id"), at=at, rows=rows):
-            columns = zip(*rows, strict=True) if rows else [()] * len(_NODE)
-            arrays = [ids.take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, _NODE.values(), strict=True))]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            arrays = [ids.take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True))]
             at.clear(), rows.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["id", *_NODE])
+            return pa.RecordBatch.from_arrays(arrays, names=["id", *kinds])
 
         for i, tree in enumerate(batch.column("tree").to_pylist()):
             for pos, node in enumerate(collect_branches(tree)):
                 at.append(i)
-                rows.append((pos, *node))
+                rows.append((pos, *node[first:]))
                 if len(rows) == _BATCH:
                     yield out()
         yield out()
 
 
-def product_nodes(parsed: DataFrame) -> DataFrame:
+def product_nodes(parsed: DataFrame, paths: bool = True) -> DataFrame:
     """A row per branch: id, pos (its place in the tree's order), path (positions from the root), category, name, product_id, product and family.
 
-    ``family`` is the name of the nearest branch of category product_name, the branch itself included.
+    Paths are long; without ``paths`` they are left out. ``family`` is the name of the nearest branch of category product_name, the branch itself included.
     """
-    kind = parsed.schema["id"].dataType.simpleString()
+    kinds = {n: t for n, t in _NODE.items() if paths or n != "path"}
     texts = "category string, name string, product_id string, product string, family string"
-    return parsed.select("id", "tree").mapInArrow(_branches, f"id {kind}, pos int, path array<int>, {texts}")
+    schema = f"id {parsed.schema['id'].dataType.simpleString()}, pos int, {'path array<int>, ' if paths else ''}{texts}"
+    return parsed.select("id", "tree").mapInArrow(lambda batches: _branches(batches, kinds), schema)
 
 
 def _last(nodes: DataFrame, *values: Column) -> DataFrame:
@@ -229,7 +231,7 @@ def affected_products(parsed: DataFrame, vendor: str) -> DataFrame:
     A product id counts once, where it is listed first. One vendor's documents
     name ranges in the tree; those of its documents that don't are read like the others', by the ids' texts.
     """
-    nodes = product_nodes(parsed)
+    nodes = product_nodes(parsed, paths=False)
     listed = statuses(parsed)
     if vendor == "oracle":
         rows = listed.where("kind = 'affected'").join(named_map(nodes).hint("merge"), ["id", "product_id"])
@@ -241,7 +243,7 @@ def affected_products(parsed: DataFrame, vendor: str) -> DataFrame:
     known = written(either.join(range_map(nodes).hint("merge"), ["id", "product_id"]).drop("product_id"), "ranges")
     by_tree = known.where("kind = 'affected'").select("id").distinct()
     rest = written(parsed.select("id", "tree", "vulnerabilities").join(by_tree.hint("merge"), "id", "left_anti"), "by-name")
-    return _ranged(known).unionByName(_named(statuses(rest), names(product_nodes(rest), vendor), vendor))
+    return _ranged(known).unionByName(_named(statuses(rest), names(product_nodes(rest, paths=False), vendor), vendor))
 
 
 def best_score(vulnerabilities: Column, newer: bool = False) -> Column:

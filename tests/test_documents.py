@@ -212,3 +212,10 @@ def test_ranges_of_trees_are_not_sent_through_the_driver(spark):
     df = csaf.csaf_advisories(texts(spark, N=new, O=old), "paloalto")
     assert products(df) == {"N": [("Agent", None, "5.2", None, "5.2", [], True)], "O": [("Agent", "5.0.1", "5.0.2", None, "5.0.2", [], True)]}
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_nodes_without_paths(spark):
+    parsed = csaf.read_csaf(texts(spark, a=document(deep(4, branch("product_name", "x", "P"), branch("product", "y", "Q")))))
+    short = csaf.product_nodes(parsed, paths=False)
+    assert "path" not in short.columns
+    assert sorted(map(tuple, short.collect()), key=str) == sorted(map(tuple, csaf.product_nodes(parsed).drop("path").collect()), key=str)
